@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.scalar import token_cost
 from tickerloom.functions.text import cache_key
 from tickerloom.operators.newest import newest_row
+from tickerloom.session import pin
 from tickerloom.sources.tables import input_table
 
 MODEL, SYSTEM_PROMPT = "assistant-v1", "research"
@@ -315,12 +316,12 @@ class Research:
 
     @cached_property
     def snapshot_documents(self) -> DataFrame:
-        """Each plan as a JSON document, in both accepted shapes and now and then broken."""
+        """Each plan as a stored JSON document, in both accepted shapes and now and then broken."""
         p = self.execution_plans
         body = F.to_json(F.struct(*[c for c in p.columns if c != "plan_date"]))
         day = F.dayofmonth("plan_date")
         document = F.when(day == 13, F.lit("[{broken")).when(day % 2 == 0, text("[", body, "]")).otherwise(text('{"plans":[', body, "]}"))
-        return p.select(F.date_format("plan_date", "yyyy-MM-dd").alias("plan_date"), document.alias("document"))
+        return pin(p.select(F.date_format("plan_date", "yyyy-MM-dd").alias("plan_date"), document.alias("document")))
 
     @cached_property
     def watchlist(self) -> DataFrame:
