@@ -254,5 +254,6 @@ def _(r):
         WHERE c.created_at_utc <= q.asked_at AND q.asked_at <= c.created_at_utc + c.ttl_seconds * INTERVAL '1' SECOND""",
 )
 def _(r):
-    cache = assistant.write_cache(r.cache_writes.drop("request_id").limit(0), r.cache_writes)
+    columns = "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz"
+    cache = assistant.write_cache(r.spark.createDataFrame([], columns), r.cache_writes)
     return assistant.reusable_responses(r.model_requests, cache)

@@ -1 +1,138 @@
+"""Company profile and risk enrichment.
+
+The reference only has a written design for this part; where it leaves a
+threshold or a matching rule open, the one used here is our definition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tickerloom.functions.text import capital_wan
+from tickerloom.operators.merge import newest_wins
+from tickerloom.operators.newest import newest_row
+from tickerloom.operators.ordered import percent_ranks
+
+KEY = ["ts_code", "market"]
+
+# The risk rules (type, action, look-back in days, score factor).
 RISK_RULES = [("dishonest", "EXCLUDE", 365, None), ("execution", "SCORE_MULTIPLY", None, 0.5), ("abnormal", "EXCLUDE", 180, None)]
+LEGAL_FORMS = ["集团股份有限公司", "股份有限公司", "有限公司"]
+STATE_WORDS, INSTITUTION_WORDS = "国资|国有|财政", "社保|基金|保险|信托"
+
+
+def upsert_profiles(stored: DataFrame, arriving: DataFrame) -> DataFrame:
+    """One profile per instrument, the newest version wins."""
+    return newest_wins(stored, arriving, KEY, ["synced_on"])
+
+
+def current_profiles(feed: DataFrame) -> DataFrame:
+    return newest_row(feed, KEY, ["synced_on"])
+
+
+def matching_rules(events: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """Events with each rule of their type; a rule without look-back has no date limit."""
+    hits = events.join(F.broadcast(rules), "risk_type")
+    recent = F.col("lookback_days").isNull() | (F.col("event_date") >= F.date_sub(as_of, F.col("lookback_days")))
+    return hits.filter(recent)
+
+
+def exclude_risky(rows: DataFrame, events: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of instruments no excluding rule applies to."""
+    out = matching_rules(events, rules.filter("action = 'EXCLUDE'"), as_of).select(*KEY).distinct()
+    return rows.join(out, KEY, "left_anti")
+
+
+def score_multipliers(events: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """Product of the factors of the rules that apply to an instrument, each rule once."""
+    hits = matching_rules(events, rules.filter("action = 'SCORE_MULTIPLY'"), as_of)
+    once = hits.groupBy(*KEY, "risk_type").agg(F.max("factor").alias("factor"))
+    return once.groupBy(*KEY).agg(F.product("factor").alias("multiplier"))
+
+
+def risk_adjusted(entries: DataFrame, multipliers: DataFrame) -> DataFrame:
+    by_code = multipliers.groupBy("ts_code").agg(F.min("multiplier").alias("multiplier"))
+    joined = entries.join(by_code, "ts_code", "left")
+    return joined.withColumn("adjusted_score", F.col("final_composite_score") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+
+
+def code_mismatches(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("code_mismatch", ~F.col("stock_number").eqNullSafe(F.col("ts_code")))
+
+
+def match_names(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """Full company name for each short name: the shortest company name that starts with it.
+
+    A short name that is a prefix of a full name has an edit distance equal to
+    the surplus length, so the best candidate per prefix is known before the
+    join: prefixes are reduced to one candidate each and matched by equality.
+    ``exact`` marks names equal to the full name without its legal form.
+    """
+    prefixes = companies.select("full_name", F.explode(F.sequence(F.lit(2), F.greatest(F.length("full_name"), F.lit(2)))).alias("n")).select(
+        F.substring("full_name", F.lit(1), F.col("n")).alias("name"), F.struct(F.length("full_name").alias("size"), "full_name").alias("candidate")
+    )
+    best = prefixes.groupBy("name").agg(F.min("candidate").alias("best"))
+    joined = names.join(best, "name", "left")
+    bare = F.regexp_replace("best.full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
+    return joined.select(
+        *names.columns, F.col("best.full_name").alias("full_name"), F.levenshtein("name", "best.full_name").cast("bigint").alias("distance"),
+        F.coalesce(bare == F.col("name"), F.lit(False)).alias("exact"),
+    )
+
+
+def match_rate(matched: DataFrame) -> DataFrame:
+    return matched.agg(F.count("*").alias("names"), F.count("full_name").alias("matched"), F.round(F.count("full_name") * 100.0 / F.count("*"), 1).alias("match_pct"))
+
+
+def controllers(holders: DataFrame, controlling_pct: float = 50.0) -> DataFrame:
+    """Largest holder per instrument and sync date; controlling from ``controlling_pct`` on."""
+    largest = F.max(F.struct("stock_percent", "shareholder_name"))
+    rows = holders.groupBy(*KEY, "synced_on").agg(largest.alias("top"))
+    share = F.col("top.stock_percent")
+    return rows.select(*KEY, "synced_on", F.col("top.shareholder_name").alias("holder"), share.alias("stock_percent"), (share >= controlling_pct).alias("is_controlling"))
+
+
+def controller_changes(controlling: DataFrame) -> DataFrame:
+    """Sync dates on which the largest holder changed; one row per instrument and date goes in."""
+    before = F.lag("holder").over(Window.partitionBy(*KEY).orderBy("synced_on"))
+    moved = controlling.withColumn("previous_holder", before)
+    return moved.filter(F.col("previous_holder").isNotNull() & (F.col("holder") != F.col("previous_holder"))).select(*KEY, "synced_on", "previous_holder", "holder")
+
+
+def unmapped(instruments: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Instruments without a company key yet."""
+    return instruments.join(profiles.filter(F.col("key_no").isNotNull()), KEY, "left_anti")
+
+
+def risk_alerts(events: DataFrame) -> DataFrame:
+    """Risk events in the shape of news alerts."""
+    return events.select("id", "title", F.col("title").alias("description"), F.lit("company_risk").alias("source_name"), F.lit(None).cast("string").alias("article_url"), F.col("seen_at_utc").alias("published_at_utc"))
+
+
+def with_capital_number(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("registered_capital_num", capital_wan("registered_capital"))
+
+
+def scope_match(members: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Share of an instrument's concepts that its business scope mentions."""
+    named = members.filter(F.col("concept_name") != "")
+    found = F.contains(F.col("business_scope"), F.col("concept_name"))
+    return named.join(scopes, KEY).groupBy(*KEY).agg(
+        F.count("*").alias("concepts"), F.count_if(found).alias("confirmed"), F.round(F.avg(found.cast("double")), 6).alias("match_ratio")
+    )
+
+
+def patent_ranks(instruments: DataFrame, patents: DataFrame) -> DataFrame:
+    """Patent count per instrument as a percent rank over all of them."""
+    counts = patents.groupBy(*KEY).agg(F.count("*").alias("patents"))
+    rows = instruments.select(*KEY).join(counts, KEY, "left").withColumn("patents", F.coalesce("patents", F.lit(0).cast("bigint")))
+    return percent_ranks(rows, {"patents": "patent_rank"})
+
+
+def holder_flags(holders: DataFrame) -> DataFrame:
+    """Whether an instrument has a state or an institutional holder, by words in the name."""
+    name = F.col("shareholder_name")
+    return holders.groupBy(*KEY).agg(
+        F.bool_or(F.rlike(name, F.lit(STATE_WORDS))).alias("has_state_holder"), F.bool_or(F.rlike(name, F.lit(INSTITUTION_WORDS))).alias("has_institution")
+    )
