@@ -18,7 +18,7 @@ from tickerloom.functions.scalar import token_cost
 from tickerloom.functions.text import cache_key
 from tickerloom.operators.newest import newest_row
 from tickerloom.session import pin
-from tickerloom.sources.tables import input_table
+from tickerloom.sources.tables import input_stream, input_table
 
 MODEL, SYSTEM_PROMPT = "assistant-v1", "research"
 CHART_ROOT = "/srv/research"
@@ -296,7 +296,17 @@ class Research:
 
     @cached_property
     def execution_plans(self) -> DataFrame:
-        e = newest_row(self.given("events").withColumn("plan_date", F.to_date("ts")), ["plan_date", "user_id"], ["ts", "event_id"])
+        """The last event of a user and day stands for that day's plan."""
+        dated = self.given("events").withColumn("plan_date", F.to_date("ts"))
+        return self._plan_columns(newest_row(dated, ["plan_date", "user_id"], ["ts", "event_id"]))
+
+    @cached_property
+    def plan_arrivals(self) -> DataFrame:
+        """Every event as an arriving version of a plan."""
+        return self._plan_columns(self.given("events").withColumn("plan_date", F.to_date("ts")), "ts")
+
+    @staticmethod
+    def _plan_columns(e: DataFrame, *extra: str) -> DataFrame:
         value, n = F.col("value"), F.col("event_id")
         action = (
             F.when(F.col("event_type") == "purchase", "BUY_AT_OPEN").when(F.col("event_type") == "click", "BUY_ON_PULLBACK")
@@ -312,6 +322,7 @@ class Research:
             (value >= 69).alias("hit_target"), (value <= 14).alias("hit_stop"),
             F.when(n % 6 == 0, F.array(F.lit("⚠️ gap"), F.lit("watch"))).when(n % 6 == 1, F.array(F.lit("calm"))).alias("pre_market_notes"),
             F.when(n % 10 == 0, F.array(F.lit("touch"))).alias("intraday_notes"),
+            *extra,
         )
 
     @cached_property
@@ -426,3 +437,10 @@ class Research:
         return b.groupBy("l_suppkey").agg(scope.alias("business_scope")).select(
             code_of("l_suppkey").alias("ts_code"), market_of("l_suppkey").alias("market"), "business_scope"
         )
+
+
+class ArrivingResearch(Research):
+    """The same derivations over streams of the input tables; only row-wise ones apply to a stream."""
+
+    def given(self, name: str) -> DataFrame:
+        return input_stream(self.spark, self.folder, name)

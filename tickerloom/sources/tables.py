@@ -12,6 +12,15 @@ def input_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(INPUT_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def input_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of arriving files.
+
+    A pattern is given instead of the plain path because the file source takes
+    a plain path for a folder, while the table may also be a single file.
+    """
+    return spark.readStream.schema(INPUT_SCHEMAS[name]).parquet(f"{folder}/{name}.[p]arquet")
+
+
 def research_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored research table; an absent one reads as an empty table of its schema."""
     return parquet_or_empty(spark, f"{folder}/{name}", RESEARCH_SCHEMAS[name])
