@@ -82,20 +82,24 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def percent_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """SQL ``percent_rank()`` over the whole frame for each ``{value: target}``.
+    """SQL ``percent_rank()`` over the whole frame for each ``{value: target}`` of doubles.
 
     Ranks are taken on the distinct values with their counts, so equal values
-    collapse before anything moves and no task ever holds the whole column.
-    Null values get a null rank and are not counted.
+    collapse before anything moves and no task ever holds the whole column; all
+    columns share one ordered scan.  Null values get a null rank and are not
+    counted.
     """
+    df = pin(df)
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+    values = df.select(F.inline(pairs)).filter(F.col("_v").isNotNull())
+    counts = values.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
+    upto = running_total(counts, ["_c"], ["_v"], "_n", "_upto")
+    sizes = upto.groupBy("_c").agg(F.sum("_n").alias("_size"))
+    below = (F.col("_upto") - F.col("_n")).cast("double")
+    rank = F.coalesce(F.try_divide(below, F.col("_size") - 1), F.lit(0.0))
+    # One size row per ranked column, hence a side of fixed size.
+    ranks = upto.join(F.broadcast(sizes), "_c").select("_c", "_v", rank.alias("_rank"))
     for value, target in columns.items():
-        counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-        ranked = running_total(counts, [], [value], "_n", "_upto")
-        size = ranked.select(F.sum("_n").alias("_size"))
-        below = F.col("_upto") - F.col("_n")
-        ranks = ranked.select(
-            F.col(value).alias("_v"),
-            F.coalesce(F.try_divide(below.cast("double"), (size.scalar() - 1).cast("double")), F.lit(0.0)).alias(target),
-        )
-        df = df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+        one = ranks.filter(F.col("_c") == value).select(F.col("_v"), F.col("_rank").alias(target))
+        df = df.join(one, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
     return df

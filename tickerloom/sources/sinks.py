@@ -9,31 +9,41 @@ from tickerloom.functions.scalar import token_cost
 from tickerloom.operators.merge import fill_missing_days
 from tickerloom.operators.newest import newest_row
 
+MONTH = "month"
+
+
+def _write_by(df: DataFrame, column: str, mode: str, path: str, **options: str) -> None:
+    """Partitioned write with few, evenly sized files: rebalancing gathers a day's rows and splits a hot day."""
+    df.hint("rebalance", column).write.mode(mode).options(**options).partitionBy(column).parquet(path)
+
+
+def with_month(df: DataFrame, day: str) -> DataFrame:
+    """Months keep the number of folders and small files low, and still let a date filter prune."""
+    return df.withColumn(MONTH, F.date_format(day, "yyyy-MM"))
+
 
 def append_messages(messages: DataFrame, path: str) -> None:
     """Append chat messages by day; the cost is worked out while writing."""
     priced = messages.withColumn("cost_usd", token_cost("prompt_tokens", "output_tokens"))
-    priced.withColumn("dt", F.to_date("created_at_utc")).write.mode("append").partitionBy("dt").parquet(path)
+    _write_by(priced.withColumn("dt", F.to_date("created_at_utc")), "dt", "append", path)
 
 
 def append_pick_run(run: DataFrame, entries: DataFrame, runs_path: str, entries_path: str) -> DataFrame:
     """Append a run and its ranked entries; returns the newest entry id per run."""
     day = run.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("trade_date"))
     run.write.mode("append").parquet(runs_path)
-    entries.join(day, "run_id").write.mode("append").partitionBy("trade_date").parquet(entries_path)
-    return newest_row(entries, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
+    listed = entries.join(day, "run_id")
+    _write_by(with_month(listed, "trade_date"), MONTH, "append", entries_path)
+    return newest_row(listed, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
 
 
 def catch_up_prices(stored: DataFrame, arriving: DataFrame, path: str) -> None:
-    """Write only the days not stored yet, newest arrival winning per key.
+    """Add the days not stored yet, newest arrival winning per key.
 
-    The write replaces whole days and leaves other days alone, so a repeated or
-    restarted load ends in the same table.
+    Each month that gains a day is rewritten whole from its stored and its new
+    rows, other months are left alone, so a repeated or restarted load ends in
+    the same table.  ``stored`` is what ``path`` holds.
     """
-    fresh = fill_missing_days(stored, arriving, ["ts_code", "market", "trade_date"], "trade_date")
-    (
-        fresh.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("trade_date")
-        .parquet(path)
-    )
+    fresh = with_month(fill_missing_days(stored, arriving, ["ts_code", "market", "trade_date"], "trade_date"), "trade_date")
+    kept = with_month(stored, "trade_date").join(fresh.select(MONTH).distinct(), MONTH, "left_semi")
+    _write_by(kept.unionByName(fresh), MONTH, "overwrite", path, partitionOverwriteMode="dynamic")
