@@ -20,6 +20,10 @@ def _quarter(r):
     return r.instruments.agg(F.count("*") * F.lit(0.25)).scalar()
 
 
+def _dates(r):
+    return analytics.newest_complete_dates(r.daily_prices, _quarter(r), 60)
+
+
 def rounded(df, digits=6, keep=()):
     """Doubles rounded, except the columns in ``keep``, which are stored values and need none."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
@@ -40,7 +44,7 @@ DATES60 = f"(SELECT trade_date FROM {COMPLETE} t ORDER BY trade_date DESC LIMIT
 
 @query("tb02_panel", f"SELECT trade_date, ts_code, close, volume FROM v_daily_prices WHERE trade_date IN {DATES60}")
 def _(r):
-    return analytics.panel(r.daily_prices, _quarter(r)).select("trade_date", "ts_code", "close", "volume")
+    return analytics.panel(r.daily_prices, _dates(r)).select("trade_date", "ts_code", "close", "volume")
 
 
 FEATURES = f"""
@@ -257,7 +261,7 @@ def _(r):
         WHERE NOT EXISTS (SELECT 1 FROM v_daily_prices p WHERE p.ts_code = i.ts_code AND p.trade_date = d.trade_date)""",
 )
 def _(r):
-    return analytics.coverage_gaps(r.instruments, r.daily_prices, _quarter(r))
+    return analytics.coverage_gaps(r.instruments, r.daily_prices, _dates(r))
 
 
 # --- company ------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Most similar earlier vectors: each key's newest vector against its own history.
 
-One query vector per key meets the key's rows through an equality join, so the
-work grows linearly with the rows and a hot key is split like any skewed join.
+One query vector per key meets the key's rows, so the work grows linearly with
+the rows.  Groups of any size get it through an equality join, which Spark
+splits where a key is hot; groups known to be small get it through a window,
+which saves the second scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.newest import last_rows, newest_row
@@ -31,16 +33,24 @@ def centred(vector: Column) -> Column:
     return F.transform(vector, lambda x: x - total(vector) / F.size(vector))
 
 
-def closest_to_newest(df: DataFrame, keys: list[str], order: str, vector: str, k: int, earlier_than: int = 1, position: str | None = None) -> DataFrame:
+def closest_to_newest(
+    df: DataFrame, keys: list[str], order: str, vector: str, k: int, earlier_than: int = 1, position: str | None = None, bounded: bool = False
+) -> DataFrame:
     """The ``k`` rows of each key most similar to the key's newest row.
 
     ``position`` numbers the rows of a key; rows less than ``earlier_than``
     positions before the newest are not compared (they overlap it).  Similarity
-    is rounded to 6 digits before ranking; ties go to the newer row.
+    is rounded to 6 digits before ranking; ties go to the newer row.  Set
+    ``bounded`` only where a key's rows fit one task whatever the data size.
     """
     position = position or order
     rows = df.select(*keys, order, *({position} - {order}), unit(F.col(vector)).alias("_v"))
-    asked = newest_row(rows, keys, [order]).select(*keys, F.col("_v").alias("_q"), F.col(position).alias("_at"))
-    pairs = rows.join(asked, keys).filter(F.col(position) <= F.col("_at") - earlier_than)
+    if bounded:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        pairs = rows.withColumns({"_q": F.last("_v").over(whole), "_at": F.last(position).over(whole)})
+    else:
+        asked = newest_row(rows, keys, [order]).select(*keys, F.col("_v").alias("_q"), F.col(position).alias("_at"))
+        pairs = rows.join(asked, keys)
+    pairs = pairs.filter(F.col(position) <= F.col("_at") - earlier_than)
     scored = pairs.withColumn("similarity", F.round(dot(F.col("_v"), F.col("_q")), 6)).filter(F.col("similarity").isNotNull())
     return last_rows(scored.drop("_v", "_q", "_at"), keys, ["similarity", order], k, "place")

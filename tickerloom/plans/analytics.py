@@ -13,6 +13,7 @@ from tickerloom.operators.newest import last_rows, newest_row, top
 from tickerloom.operators.ordered import percent_ranks
 from tickerloom.operators.similarity import centred, closest_to_newest
 from tickerloom.plans.market import INSTRUMENT, by_instrument, newest_bar, trailing_mean
+from tickerloom.session import pin
 
 # Default factor weights of the rule score, and the momentum above which an instrument is dropped.
 WEIGHTS = {"ret_20d": 0.4, "high_60d_pct": 0.3, "turnover_rate": 0.3}
@@ -30,21 +31,24 @@ def latest_complete_date(prices: DataFrame, least: int | Column = 1000, market:
     return complete_dates(prices, least, market).agg(F.max("trade_date").alias("trade_date"))
 
 
-def panel(prices: DataFrame, least: int | Column = 1000, days: int = 60) -> DataFrame:
-    """Bars of the newest ``days`` complete dates, long form."""
-    dates = top(complete_dates(prices, least), [F.col("trade_date").desc()], days).select("trade_date")
+def newest_complete_dates(prices: DataFrame, least: int | Column = 1000, days: int = 60) -> DataFrame:
+    """The newest ``days`` complete dates, kept so that several steps can use them without another scan."""
+    return pin(top(complete_dates(prices, least), [F.col("trade_date").desc()], days).select("trade_date"))
+
+
+def panel(prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """Bars of the given dates (a short list of days), long form."""
     return prices.join(F.broadcast(dates), "trade_date", "left_semi")
 
 
-def coverage_gaps(instruments: DataFrame, prices: DataFrame, least: int | Column = 1000, days: int = 60) -> DataFrame:
-    """(instrument, date) pairs without a bar among the newest ``days`` complete dates.
+def coverage_gaps(instruments: DataFrame, prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """(instrument, date) pairs of the given dates without a bar.
 
-    Each instrument's at most ``days`` dates are compared with the list of
-    dates, so only the missing pairs are ever produced.
+    Each instrument's dates are compared with the short list of dates, so only
+    the missing pairs are ever produced.
     """
-    dates = top(complete_dates(prices, least), [F.col("trade_date").desc()], days)
     wanted = dates.agg(F.sort_array(F.collect_set("trade_date"))).scalar()
-    have = panel(prices, least, days).groupBy(*INSTRUMENT).agg(F.collect_set("trade_date").alias("have"))
+    have = panel(prices, dates).groupBy(*INSTRUMENT).agg(F.collect_set("trade_date").alias("have"))
     rows = instruments.select(*INSTRUMENT).join(have, INSTRUMENT, "left")
     none = F.array().cast("array<date>")
     return rows.select(*INSTRUMENT, F.explode(F.array_except(wanted, F.coalesce("have", none))).alias("trade_date"))
@@ -99,7 +103,7 @@ def similar_patterns(prices: DataFrame, length: int = 10, k: int = 5) -> DataFra
     stretch = F.collect_list("pct_chg").over(by_instrument().rowsBetween(-length + 1, 0))
     rows = bars.select(*INSTRUMENT, "trade_date", place.alias("bar"), stretch.alias("stretch")).filter(F.size("stretch") == length)
     shaped = rows.withColumn("shape", centred(F.col("stretch")))
-    return closest_to_newest(shaped, INSTRUMENT, "trade_date", "shape", k, earlier_than=length, position="bar")
+    return closest_to_newest(shaped, INSTRUMENT, "trade_date", "shape", k, earlier_than=length, position="bar", bounded=True)
 
 
 def rule_scores(prices: DataFrame, weights: dict[str, float] = WEIGHTS, max_ret_20d: float = MAX_RET_20D) -> DataFrame:

@@ -39,19 +39,20 @@ def history_for_reply(messages: DataFrame, keep: int = 20) -> DataFrame:
 
 
 def carried_codes(messages: DataFrame) -> DataFrame:
-    """Last code mentioned in the session up to each message, whatever the session's length."""
-    mentioned = messages.select("session_id", "created_at_utc", "id", stock_code("content").alias("own_code"))
+    """Last code mentioned in the session up to each message, whatever the session's length.
+
+    Code and name are taken out of the text first, so the text itself never moves.
+    """
+    mentioned = messages.select(
+        "session_id", "created_at_utc", "id", "role", stock_code("content").alias("own_code"), stock_name("content").alias("name")
+    )
     return carry_forward(mentioned, ["session_id"], MESSAGE_ORDER, "own_code", "carried_code")
 
 
 def resolved_messages(messages: DataFrame, instruments: DataFrame) -> DataFrame:
     """User messages with their instrument: own code, else exact name in market a, else the carried code."""
-    carried = carried_codes(messages)
-    named = messages.filter(F.col("role") == "user").select("id", stock_name("content").alias("name"))
-    by_name = named.filter(F.col("name").isNotNull()).join(
-        code_of_name(instruments).withColumnRenamed("ts_code", "named_code"), "name"
-    ).select("id", "named_code")
-    rows = messages.filter(F.col("role") == "user").select("id").join(carried, "id").join(by_name, "id", "left")
+    asked = carried_codes(messages).filter(F.col("role") == "user")
+    rows = asked.join(code_of_name(instruments).withColumnRenamed("ts_code", "named_code"), "name", "left")
     source = (
         F.when(F.col("own_code").isNotNull(), "own").when(F.col("named_code").isNotNull(), "name")
         .when(F.col("carried_code").isNotNull(), "carried")

@@ -26,10 +26,11 @@ def newest_run(runs: DataFrame) -> DataFrame:
 def totals(runs: DataFrame, entries: DataFrame, messages: DataFrame) -> DataFrame:
     """One row: run and entry counts, model cost, newest run."""
     newest = newest_run(runs)
+    run = newest.select(F.struct("*").alias("run")).scalar()
     return count_of(runs, "total_runs").select(
         "total_runs", count_of(entries, "total_entries").scalar().alias("total_entries"),
         total_cost(messages).scalar().alias("total_llm_cost_usd"),
-        *[newest.select(c).scalar().alias(f"latest_{c}") for c in newest.columns],
+        *[run.getField(c).alias(f"latest_{c}") for c in newest.columns],
     )
 
 

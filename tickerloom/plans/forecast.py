@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tickerloom.functions.nested import chart_map, decoded
 from tickerloom.functions.scalar import iso_time, percent
 from tickerloom.operators.newest import newest_first, top
+
 from tickerloom.schemas import FORECAST_JSON, INDEX_RESULTS_JSON
+from tickerloom.session import pin
 
 # Confidence bins [low, high) with their labels, and index names.
 CONFIDENCE_BINS = [(0, 50, "0-50%"), (50, 65, "50-65%"), (65, 80, "65-80%"), (80, 101, "80-100%")]
@@ -107,8 +109,8 @@ def index_hit_rate(evals: DataFrame, days: int = 30) -> DataFrame:
 
 
 def track_record(forecasts: DataFrame, evals: DataFrame, days: int = 30) -> DataFrame:
-    """All statistics as one tall frame (section, key, count, correct, pct)."""
-    history = verified_history(forecasts, days)
+    """All statistics as one tall frame (section, key, count, correct, pct); the ``days`` history rows are read once."""
+    history = pin(verified_history(forecasts, days))
 
     def rows(df, section, key, count, correct, pct):
         return df.select(F.lit(section).alias("section"), key.alias("key"), F.col(count).alias("count"), F.col(correct).alias("correct"), F.col(pct).alias("pct"))

@@ -93,12 +93,16 @@ class Research:
 
     @cached_property
     def daily_prices(self) -> DataFrame:
-        """One bar per instrument and day, so a per-instrument window is bounded by the calendar."""
-        before = F.lag("close").over(Window.partitionBy("l_suppkey").orderBy("trade_date"))
-        return self._day_bars.select(
-            code_of("l_suppkey").alias("ts_code"),
-            market_of("l_suppkey").alias("market"),
-            "trade_date", "open", "high", "low", "close", "volume", "amount",
+        """One bar per instrument and day, so a per-instrument window is bounded by the calendar.
+
+        Ticks are combined by instrument and day before they move, so a heavily
+        traded instrument is no hot spot; the bars then move once, by (market,
+        ts_code), and every later window reuses that partitioning.
+        """
+        before = F.lag("close").over(Window.partitionBy("market", "ts_code").orderBy("trade_date"))
+        bars = self._day_bars.withColumns({"ts_code": code_of("l_suppkey"), "market": market_of("l_suppkey")})
+        return bars.select(
+            "ts_code", "market", "trade_date", "open", "high", "low", "close", "volume", "amount",
             ((F.col("close") / before - 1.0) * 100.0).alias("pct_chg"),
             (F.col("volume") / 1e4 * 1e2).alias("turnover_rate"),
         )
