@@ -56,8 +56,8 @@ FROM (SELECT *, avg(close) OVER {W.format(k=4)} AS ma5, count(close) OVER {W.for
 
 @query(
     "tb03_lagged_returns",
-    f"""SELECT ts_code, market, trade_date, close, volume, round(turnover_rate, 6) AS turnover_rate, round(ma5, 6) AS ma5, round(ma20, 6) AS ma20,
-        round(ret_20d, 6) AS ret_20d, round(high_60d_pct, 6) AS high_60d_pct FROM ({FEATURES}) f""",
+    f"""SELECT ts_code, market, trade_date, close, volume, round(turnover_rate, 6) + 0e0 AS turnover_rate, round(ma5, 6) + 0e0 AS ma5, round(ma20, 6) + 0e0 AS ma20,
+        round(ret_20d, 6) + 0e0 AS ret_20d, round(high_60d_pct, 6) + 0e0 AS high_60d_pct FROM ({FEATURES}) f""",
 )
 def _(r):
     return rounded(analytics.features(r.daily_prices), keep=["close"])
@@ -65,8 +65,8 @@ def _(r):
 
 @query(
     "tb04_high_ratio",
-    f"""SELECT ts_code, trade_date, round(close / max(high) OVER {W.format(k=59)}, 6) AS high_60d_pct,
-        round((close / lag(close, 20) OVER (PARTITION BY ts_code, market ORDER BY trade_date) - 1e0) * 1e2, 6) AS ret_20d FROM v_daily_prices""",
+    f"""SELECT ts_code, trade_date, round(close / max(high) OVER {W.format(k=59)}, 6) + 0e0 AS high_60d_pct,
+        round((close / lag(close, 20) OVER (PARTITION BY ts_code, market ORDER BY trade_date) - 1e0) * 1e2, 6) + 0e0 AS ret_20d FROM v_daily_prices""",
 )
 def _(r):
     return rounded(analytics.feature_history(r.daily_prices)).select("ts_code", "trade_date", "high_60d_pct", "ret_20d")
@@ -81,7 +81,7 @@ WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date), w9 AS (PARTITION BY ts_c
     BARS.format(extra="coalesce((close - min(low) OVER w9) * 1e2 / nullif(max(high) OVER w9 - min(low) OVER w9, 0), 5e1) AS rsv,")
     + """, kd AS (SELECT ts_code, i, 5e1 * 2e0 / 3e0 + rsv / 3e0 AS k, 5e1 * 2e0 / 3e0 + (5e1 * 2e0 / 3e0 + rsv / 3e0) / 3e0 AS d FROM bars WHERE i = 1
          UNION ALL SELECT b.ts_code, b.i, k * 2e0 / 3e0 + rsv / 3e0, d * 2e0 / 3e0 + (k * 2e0 / 3e0 + rsv / 3e0) / 3e0 FROM kd JOIN bars b ON b.ts_code = kd.ts_code AND b.i = kd.i + 1)
-       SELECT b.ts_code, b.market, b.trade_date, round(k, 6) AS k, round(d, 6) AS d, round(3 * k - 2 * d, 6) AS j FROM kd JOIN bars b ON b.ts_code = kd.ts_code AND b.i = kd.i""",
+       SELECT b.ts_code, b.market, b.trade_date, round(k, 6) + 0e0 AS k, round(d, 6) + 0e0 AS d, round(3 * k - 2 * d, 6) + 0e0 AS j FROM kd JOIN bars b ON b.ts_code = kd.ts_code AND b.i = kd.i""",
 )
 def _(r):
     return rounded(indicators.kdj(r.daily_prices))
@@ -94,7 +94,7 @@ def _(r):
          UNION ALL SELECT b.ts_code, b.i, f * 11e0 / 13e0 + close * 2e0 / 13e0, s * 25e0 / 27e0 + close * 2e0 / 27e0,
                dea * 8e-1 + ((f * 11e0 / 13e0 + close * 2e0 / 13e0) - (s * 25e0 / 27e0 + close * 2e0 / 27e0)) * 2e-1
          FROM e JOIN bars b ON b.ts_code = e.ts_code AND b.i = e.i + 1)
-       SELECT b.ts_code, b.market, b.trade_date, round(f - s, 5) AS dif, round(dea, 5) AS dea, round(2 * (f - s - dea), 5) AS macd FROM e JOIN bars b ON b.ts_code = e.ts_code AND b.i = e.i""",
+       SELECT b.ts_code, b.market, b.trade_date, round(f - s, 5) + 0e0 AS dif, round(dea, 5) + 0e0 AS dea, round(2 * (f - s - dea), 5) + 0e0 AS macd FROM e JOIN bars b ON b.ts_code = e.ts_code AND b.i = e.i""",
 )
 def _(r):
     return rounded(indicators.macd(r.daily_prices), 5)
@@ -105,7 +105,7 @@ def _(r):
     """WITH p AS (SELECT ts_code, market, trade_date, row_number() OVER w AS bar, list(pct_chg) OVER (PARTITION BY ts_code, market ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x
             FROM v_daily_prices WHERE pct_chg IS NOT NULL WINDOW w AS (PARTITION BY ts_code, market ORDER BY trade_date)),
        q AS (SELECT *, row_number() OVER (PARTITION BY ts_code, market ORDER BY trade_date DESC) AS rn FROM p WHERE len(x) = 10),
-       s AS (SELECT h.ts_code, h.market, h.trade_date, h.bar, round(list_cosine_similarity(list_transform(h.x, lambda v: v - list_avg(h.x)), list_transform(n.x, lambda v: v - list_avg(n.x))), 6) AS similarity
+       s AS (SELECT h.ts_code, h.market, h.trade_date, h.bar, round(list_cosine_similarity(list_transform(h.x, lambda v: v - list_avg(h.x)), list_transform(n.x, lambda v: v - list_avg(n.x))), 6) + 0e0 AS similarity
             FROM q h JOIN q n ON n.ts_code = h.ts_code AND n.market = h.market AND n.rn = 1 AND h.bar <= n.bar - 10)
        SELECT ts_code, market, trade_date, CAST(bar AS INT) AS bar, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY ts_code, market ORDER BY similarity DESC, trade_date DESC) AS place FROM s
             WHERE NOT isnan(similarity)) t WHERE place <= 5""",
@@ -117,7 +117,7 @@ def _(r):
 @query(
     "tb08_nearest_vectors",
     """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings),
-       s AS (SELECT a.label, a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND b.rn = 1 AND a.vec_id < b.vec_id)
+       s AS (SELECT a.label, a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) + 0e0 AS similarity FROM v a JOIN v b ON a.label = b.label AND b.rn = 1 AND a.vec_id < b.vec_id)
        SELECT label, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id DESC) AS place FROM s) t WHERE place <= 5""",
 )
 def _(r):
@@ -137,7 +137,7 @@ def _(r):
 
 @query(
     "tb10_rule_scores",
-    f"""SELECT ts_code, market, round(100 * (4e-1 * percent_rank() OVER (ORDER BY ret_20d) + 3e-1 * percent_rank() OVER (ORDER BY high_60d_pct) + 3e-1 * percent_rank() OVER (ORDER BY turnover_rate)), 6) AS rule_score
+    f"""SELECT ts_code, market, round(100 * (4e-1 * percent_rank() OVER (ORDER BY ret_20d) + 3e-1 * percent_rank() OVER (ORDER BY high_60d_pct) + 3e-1 * percent_rank() OVER (ORDER BY turnover_rate)), 6) + 0e0 AS rule_score
         FROM ({FEATURES}) f WHERE ret_20d <= 30""",
 )
 def _(r):
@@ -183,7 +183,7 @@ def _outcomes(r):
 
 @query(
     "tb13_backtest_outcomes",
-    f"SELECT entry_id, horizon_days, round(return_pct, 6) AS return_pct, hit_buy, hit_target, hit_stop FROM ({OUTCOMES}) o",
+    f"SELECT entry_id, horizon_days, round(return_pct, 6) + 0e0 AS return_pct, hit_buy, hit_target, hit_stop FROM ({OUTCOMES}) o",
 )
 def _(r):
     return rounded(_outcomes(r).select("entry_id", "horizon_days", "return_pct", "hit_buy", "hit_target", "hit_stop"))
@@ -196,7 +196,7 @@ SELECT run_id, count(*) AS entries, avg(CASE WHEN NOT hit_buy OR return_pct < 0
 
 @query(
     "tb14_run_audit",
-    f"SELECT run_id, entries, round(fail_rate, 6) AS fail_rate, round(mean_fwd_return, 6) AS mean_fwd_return, round(mean_delta, 6) + 0e0 AS mean_delta FROM ({AUDIT}) a",
+    f"SELECT run_id, entries, round(fail_rate, 6) + 0e0 AS fail_rate, round(mean_fwd_return, 6) + 0e0 AS mean_fwd_return, round(mean_delta, 6) + 0e0 AS mean_delta FROM ({AUDIT}) a",
 )
 def _(r):
     return rounded(backtest.run_audit(_outcomes(r)))
@@ -217,8 +217,8 @@ def _(r):
 
 @query(
     "tb16_compare_audits",
-    f"""SELECT run_id, run_kind, round(fail_rate, 6) AS fail_rate, round(mean_fwd_return, 6) AS mean_fwd_return, lag(run_id) OVER w AS previous_run,
-        round(fail_rate - lag(fail_rate) OVER w, 6) AS fail_rate_change, round(mean_fwd_return - lag(mean_fwd_return) OVER w, 6) AS fwd_return_change
+    f"""SELECT run_id, run_kind, round(fail_rate, 6) + 0e0 AS fail_rate, round(mean_fwd_return, 6) + 0e0 AS mean_fwd_return, lag(run_id) OVER w AS previous_run,
+        round(fail_rate - lag(fail_rate) OVER w, 6) + 0e0 AS fail_rate_change, round(mean_fwd_return - lag(mean_fwd_return) OVER w, 6) + 0e0 AS fwd_return_change
         FROM ({AUDIT}) a JOIN v_pick_runs p ON p.id = a.run_id WINDOW w AS (PARTITION BY run_kind ORDER BY created_at_utc, run_id)""",
 )
 def _(r):
@@ -227,7 +227,7 @@ def _(r):
 
 @query(
     "tb17_verify_forecasts",
-    """WITH d AS (SELECT trade_date, round(avg(pct_chg), 6) AS pct FROM v_daily_prices WHERE market = 'a' GROUP BY 1),
+    """WITH d AS (SELECT trade_date, round(avg(pct_chg), 6) + 0e0 AS pct FROM v_daily_prices WHERE market = 'a' GROUP BY 1),
        j AS (SELECT f.id, f.market_direction, d.pct AS p FROM v_market_forecasts f ASOF LEFT JOIN (SELECT * FROM d WHERE pct IS NOT NULL) d ON f.as_of_date < d.trade_date)
        SELECT id, market_direction, p AS actual_pct_chg, a AS actual_direction, market_direction = a AS direction_correct
        FROM (SELECT *, CASE WHEN p > 5e-1 THEN 'bullish' WHEN p < -5e-1 THEN 'bearish' WHEN p IS NOT NULL THEN 'range-bound' END AS a FROM j) t""",
@@ -238,7 +238,7 @@ def _(r):
 
 @query(
     "tb18_concept_breadth",
-    f"""SELECT concept_name, count(*) AS members, round(avg(pct_chg), 6) AS mean_pct_chg, round(avg(CASE WHEN pct_chg > 0 THEN 1e0 ELSE 0e0 END), 6) AS advance_ratio
+    f"""SELECT concept_name, count(*) AS members, round(avg(pct_chg), 6) + 0e0 AS mean_pct_chg, round(avg(CASE WHEN pct_chg > 0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS advance_ratio
         FROM v_concept_members m JOIN {RECENT} b ON b.ts_code = m.ts_code AND b.market = m.market AND b.rn = 1 WHERE concept_name <> '' AND pct_chg IS NOT NULL GROUP BY 1""",
 )
 def _(r):
@@ -293,7 +293,7 @@ def _(r):
 
 @query(
     "tc03_risk_adjusted_scores",
-    """SELECT id, round(final_composite_score * CASE WHEN EXISTS (SELECT 1 FROM v_company_risk_events r WHERE r.risk_type = 'execution' AND r.ts_code = e.ts_code) THEN 5e-1 ELSE 1e0 END, 6) AS adjusted_score
+    """SELECT id, round(final_composite_score * CASE WHEN EXISTS (SELECT 1 FROM v_company_risk_events r WHERE r.risk_type = 'execution' AND r.ts_code = e.ts_code) THEN 5e-1 ELSE 1e0 END, 6) + 0e0 AS adjusted_score
        FROM v_pick_entries e""",
 )
 def _(r):
@@ -308,7 +308,7 @@ def _(r):
 
 @query(
     "tc05_match_names",
-    f"""SELECT name, full_name, CAST(levenshtein(name, full_name) AS BIGINT) AS distance, coalesce(regexp_replace(full_name, '(集团股份有限公司|股份有限公司|有限公司)$', '') = name, false) AS exact
+    f"""SELECT name, full_name, CAST(length(full_name) - length(name) AS BIGINT) AS distance, coalesce(regexp_replace(full_name, '(集团股份有限公司|股份有限公司|有限公司)$', '') = name, false) AS exact
         FROM (SELECT i.name, p.full_name, row_number() OVER (PARTITION BY i.name ORDER BY length(p.full_name), p.full_name) AS rn FROM v_instruments i
               LEFT JOIN (SELECT DISTINCT full_name FROM {PROFILES} q) p ON starts_with(p.full_name, i.name)) t WHERE rn = 1""",
 )
@@ -318,7 +318,7 @@ def _(r):
 
 @query(
     "tc05_match_rate",
-    f"""SELECT count(*) AS names, count(*) FILTER (WHERE hit) AS matched, round(count(*) FILTER (WHERE hit) * 1e2 / count(*), 1) AS match_pct
+    f"""SELECT count(*) AS names, count(*) FILTER (WHERE hit) AS matched, round(count(*) FILTER (WHERE hit) * 1e2 / count(*), 1) + 0e0 AS match_pct
         FROM (SELECT DISTINCT 'Co' || user_id AS name, EXISTS (SELECT 1 FROM {PROFILES} p WHERE starts_with(p.full_name, 'Co' || user_id)) AS hit FROM events) t""",
 )
 def _(r):
@@ -351,7 +351,7 @@ def _(r):
 
 @query(
     "tc09_capital_numbers",
-    f"SELECT ts_code, round(capital_number * CASE s_suppkey % 3 WHEN 0 THEN 1e4 WHEN 1 THEN 1e0 ELSE 1e-4 END, 6) AS registered_capital_num FROM {PROFILES} p",
+    f"SELECT ts_code, round(capital_number * CASE s_suppkey % 3 WHEN 0 THEN 1e4 WHEN 1 THEN 1e0 ELSE 1e-4 END, 6) + 0e0 AS registered_capital_num FROM {PROFILES} p",
 )
 def _(r):
     return rounded(company.with_capital_number(company.current_profiles(r.company_profile_feed)).select("ts_code", "registered_capital_num"))
@@ -369,7 +369,7 @@ def _(r):
 @query(
     "tc11_scope_match",
     """SELECT m.ts_code, m.market, count(*) AS concepts, count(*) FILTER (WHERE contains(business_scope, concept_name)) AS confirmed,
-       round(avg(CASE WHEN contains(business_scope, concept_name) THEN 1e0 ELSE 0e0 END), 6) AS match_ratio
+       round(avg(CASE WHEN contains(business_scope, concept_name) THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS match_ratio
        FROM v_concept_members m JOIN v_business_scopes s ON s.ts_code = m.ts_code AND s.market = m.market WHERE concept_name <> '' GROUP BY 1, 2""",
 )
 def _(r):
@@ -378,7 +378,7 @@ def _(r):
 
 @query(
     "tc12_patent_ranks",
-    """SELECT ts_code, market, patents, round(percent_rank() OVER (ORDER BY patents), 6) AS patent_rank FROM (SELECT i.ts_code, i.market, count(p.patent_id) AS patents
+    """SELECT ts_code, market, patents, round(percent_rank() OVER (ORDER BY patents), 6) + 0e0 AS patent_rank FROM (SELECT i.ts_code, i.market, count(p.patent_id) AS patents
        FROM v_instruments i LEFT JOIN v_patents p ON p.ts_code = i.ts_code AND p.market = i.market GROUP BY 1, 2) t""",
 )
 def _(r):

@@ -37,7 +37,7 @@ def _(r):
 
 @query(
     "src03_snapshot_documents",
-    """SELECT strftime(plan_date, '%Y-%m-%d') AS plan_date, ts_code, rank, open_action, round(predicted_target, 6) AS predicted_target, hit_target
+    """SELECT strftime(plan_date, '%Y-%m-%d') AS plan_date, ts_code, rank, open_action, round(predicted_target, 6) + 0e0 AS predicted_target, hit_target
        FROM v_read_plans""",
 )
 def _(r):
@@ -249,7 +249,7 @@ def _(r):
 
 DETAIL_SQL = """
 SELECT i.ts_code, i.market, i.name, i.industry, strftime(i.listing_date, '%Y-%m-%d') AS list_date, coalesce(c.concepts, '') AS concepts,
-       strftime(b.trade_date, '%Y-%m-%d') AS latest_date, b.close AS latest_close, round(b.pct_chg, 6) AS latest_pct_chg
+       strftime(b.trade_date, '%Y-%m-%d') AS latest_date, b.close AS latest_close, round(b.pct_chg, 6) + 0e0 AS latest_pct_chg
 FROM v_instruments i
 LEFT JOIN (SELECT ts_code, market, string_agg(concept_name, ',' ORDER BY concept_name) AS concepts FROM v_concept_members GROUP BY ALL) c
        ON c.ts_code = i.ts_code AND c.market = i.market
@@ -322,14 +322,14 @@ def _(r):
     return dashboard.count_of(r.pick_entries, "total_entries")
 
 
-@query("ag02_total_cost", "SELECT round(coalesce(sum(cost_usd), 0), 4) AS total_llm_cost_usd FROM v_chat_messages")
+@query("ag02_total_cost", "SELECT round(coalesce(sum(cost_usd), 0), 4) + 0e0 AS total_llm_cost_usd FROM v_chat_messages")
 def _(r):
     return dashboard.total_cost(r.chat_messages)
 
 
 DAILY_COST = """
 SELECT CAST(CAST(created_at_utc AS DATE) AS VARCHAR) AS date, count(*) AS requests, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens,
-       CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost_usd
+       CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(coalesce(sum(cost_usd), 0), 4) + 0e0 AS cost_usd
 FROM v_chat_messages WHERE created_at_utc >= CAST(CAST((SELECT max(created_at_utc) FROM v_chat_messages) AS DATE) - 30 AS TIMESTAMP)
 GROUP BY 1"""
 
@@ -379,7 +379,7 @@ HITS = "count(*) FILTER (WHERE direction_correct)"
 
 @query(
     "ag08_hit_rate",
-    f"SELECT count(*) AS total_verified, {HITS} AS correct, round({HITS} * 1e2 / count(*), 1) AS accuracy_pct FROM {HISTORY} h",
+    f"SELECT count(*) AS total_verified, {HITS} AS correct, round({HITS} * 1e2 / count(*), 1) + 0e0 AS accuracy_pct FROM {HISTORY} h",
 )
 def _(r):
     return forecast.hit_rate(forecast.verified_history(r.market_forecasts, 365))
@@ -387,7 +387,7 @@ def _(r):
 
 @query(
     "ag09_hit_rate_by_direction",
-    f"""SELECT market_direction AS direction, count(*) AS count, {HITS} AS correct, round({HITS} * 1e2 / count(*), 1) AS accuracy_pct
+    f"""SELECT market_direction AS direction, count(*) AS count, {HITS} AS correct, round({HITS} * 1e2 / count(*), 1) + 0e0 AS accuracy_pct
         FROM {HISTORY} h GROUP BY 1""",
 )
 def _(r):
@@ -400,7 +400,7 @@ BINS = "(VALUES (0, 50, '0-50%', 25e0), (50, 65, '50-65%', 57.5e0), (65, 80, '65
 @query(
     "ag10_confidence_calibration",
     f"""SELECT bin, count(h.id) AS count, count(h.id) FILTER (WHERE direction_correct) AS accurate,
-        round(count(h.id) FILTER (WHERE direction_correct) * 1e2 / nullif(count(h.id), 0), 1) AS accuracy_pct, bin_expected
+        round(count(h.id) FILTER (WHERE direction_correct) * 1e2 / nullif(count(h.id), 0), 1) + 0e0 AS accuracy_pct, bin_expected
         FROM {BINS} LEFT JOIN {HISTORY} h ON coalesce(direction_confidence, 0) >= lo AND coalesce(direction_confidence, 0) < hi
         GROUP BY bin, bin_expected""",
 )
@@ -409,7 +409,7 @@ def _(r):
 
 
 INDEX_RATE = """
-SELECT code, count(*) AS total, count(*) FILTER (WHERE ok) AS correct, round(count(*) FILTER (WHERE ok) * 1e2 / count(*), 1) AS pct
+SELECT code, count(*) AS total, count(*) FILTER (WHERE ok) AS correct, round(count(*) FILTER (WHERE ok) * 1e2 / count(*), 1) + 0e0 AS pct
 FROM (SELECT json_extract_string(x, '$.code') AS code, CAST(json_extract_string(x, '$.correct') AS BOOLEAN) AS ok
       FROM (SELECT unnest(CAST(index_results_json AS JSON[])) AS x
             FROM (SELECT * FROM v_forecast_evals WHERE horizon_days = 1 ORDER BY forecast_id DESC LIMIT {n}) t
@@ -492,8 +492,8 @@ def _(r):
 
 
 LAST_BARS = """
-SELECT ts_code, market, strftime(trade_date, '%Y-%m-%d') AS trade_date, open, high, low, close, volume, round(amount, 4) AS amount,
-       round(coalesce(pct_chg, 0), 6) AS pct_chg
+SELECT ts_code, market, strftime(trade_date, '%Y-%m-%d') AS trade_date, open, high, low, close, volume, round(amount, 4) + 0e0 AS amount,
+       round(coalesce(pct_chg, 0), 6) + 0e0 AS pct_chg
 FROM (SELECT *, row_number() OVER (PARTITION BY ts_code, market ORDER BY trade_date DESC) AS rn FROM v_daily_prices) t WHERE rn <= {n}"""
 
 

@@ -114,7 +114,7 @@ def _(r):
                     F.col("verified.actual_direction").alias("actual"), F.col("verified.at").alias("verified_at"), "created_at")
 
 
-RATE = f"{HITS} AS correct, round({HITS} * 1e2 / nullif(count(*), 0), 1) AS pct"
+RATE = f"{HITS} AS correct, round({HITS} * 1e2 / nullif(count(*), 0), 1) + 0e0 AS pct"
 
 
 @query(
@@ -218,7 +218,7 @@ def _(r):
 
 @query(
     "q22_messages",
-    f"SELECT session_id, id, role, content, intent, round(cost_usd, 9) AS cost_usd, elapsed_ms, strftime(created_at_utc, {ISO}) AS created_at FROM v_chat_messages",
+    f"SELECT session_id, id, role, content, intent, round(cost_usd, 9) + 0e0 AS cost_usd, elapsed_ms, strftime(created_at_utc, {ISO}) AS created_at FROM v_chat_messages",
 )
 def _(r):
     return assistant.message_view(r.chat_messages).withColumn("cost_usd", F.round("cost_usd", 9))
@@ -237,7 +237,7 @@ def _(r):
              CASE WHEN count(*) FILTER (WHERE k <= 20) >= 20 THEN avg(close) FILTER (WHERE k <= 20) END AS ma20,
              CAST(count(*) FILTER (WHERE k <= 5) AS BIGINT) AS closes FROM valid GROUP BY 1)
         SELECT s.id, s.session_id, s.ts_code, code_source, i.name, strftime(b.trade_date, '%Y-%m-%d') AS latest_date, b.close AS latest_close,
-             round(ma5, 6) AS ma5, round(ma20, 6) AS ma20, coalesce(closes, 0) AS closes
+             round(ma5, 6) + 0e0 AS ma5, round(ma20, 6) + 0e0 AS ma20, coalesce(closes, 0) AS closes
         FROM resolved s LEFT JOIN v_instruments i ON i.ts_code = s.ts_code AND i.market = 'a'
         LEFT JOIN recent b ON b.ts_code = i.ts_code AND b.rn = 1 LEFT JOIN ma ON ma.ts_code = i.ts_code""",
 )

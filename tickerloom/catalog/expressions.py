@@ -13,7 +13,7 @@ from tickerloom.sources.derived import CHART_ROOT, MODEL, SYSTEM_PROMPT
 # --- numbers ---------------------------------------------------------------------
 
 
-@query("sc01_token_cost", "SELECT id, round(cost_usd, 9) AS cost FROM v_chat_messages")
+@query("sc01_token_cost", "SELECT id, round(cost_usd, 9) + 0e0 AS cost FROM v_chat_messages")
 def _(r):
     return r.chat_messages.select("id", F.round(scalar.token_cost("prompt_tokens", "output_tokens"), 9).alias("cost"))
 
@@ -30,14 +30,14 @@ def _(r):
     return l.select("l_orderkey", "l_linenumber", "l_partkey", scalar.finite(ratio).alias("ratio"), scalar.finite(quantity).alias("quantity"))
 
 
-@query("sc03_zero_if_null", "SELECT ts_code, trade_date, round(coalesce(pct_chg, 0), 6) AS pct_chg FROM v_daily_prices")
+@query("sc03_zero_if_null", "SELECT ts_code, trade_date, round(coalesce(pct_chg, 0), 6) + 0e0 AS pct_chg FROM v_daily_prices")
 def _(r):
     return r.daily_prices.select("ts_code", "trade_date", F.round(scalar.zero_if_null("pct_chg"), 6).alias("pct_chg"))
 
 
 @query(
     "sc04_percent",
-    "SELECT run_id, round(count(*) FILTER (WHERE llm_composite_score IS NOT NULL) * 1e2 / count(*), 1) AS pct FROM v_pick_entries GROUP BY 1",
+    "SELECT run_id, round(count(*) FILTER (WHERE llm_composite_score IS NOT NULL) * 1e2 / count(*), 1) + 0e0 AS pct FROM v_pick_entries GROUP BY 1",
 )
 def _(r):
     g = r.pick_entries.groupBy("run_id").agg(F.count("llm_composite_score").alias("k"), F.count("*").alias("n"))
@@ -46,7 +46,7 @@ def _(r):
 
 @query(
     "sc14_upside",
-    "SELECT id, round((predicted_target_price - predicted_buy_price) / nullif(predicted_buy_price, 0) * 1e2, 6) AS upside FROM v_pick_entries",
+    "SELECT id, round((predicted_target_price - predicted_buy_price) / nullif(predicted_buy_price, 0) * 1e2, 6) + 0e0 AS upside FROM v_pick_entries",
 )
 def _(r):
     return r.pick_entries.select("id", F.round(scalar.upside("predicted_target_price", "predicted_buy_price"), 6).alias("upside"))
@@ -63,8 +63,8 @@ def _(r):
 
 @query(
     "sc17_effective_buy",
-    """SELECT plan_date, ts_code, round(CASE WHEN adjusted_buy <> 0 THEN adjusted_buy ELSE predicted_buy END, 6) AS buy,
-       round(overnight_adjustment * 1e2, 1) AS overnight_pct FROM v_execution_plans""",
+    """SELECT plan_date, ts_code, round(CASE WHEN adjusted_buy <> 0 THEN adjusted_buy ELSE predicted_buy END, 6) + 0e0 AS buy,
+       round(overnight_adjustment * 1e2, 1) + 0e0 AS overnight_pct FROM v_execution_plans""",
 )
 def _(r):
     return execution.status_view(r.execution_plans).select("plan_date", "ts_code", F.round("buy", 6).alias("buy"), "overnight_pct")
@@ -106,7 +106,7 @@ def _(r):
 @query(
     "sc23_calibration_health",
     f"""SELECT bin, CASE WHEN pct >= expected * 8e-1 THEN 'good' WHEN pct >= 50 THEN 'fair' ELSE 'bad' END AS health FROM (
-        SELECT bin, expected, round(count(h.id) FILTER (WHERE direction_correct) * 1e2 / nullif(count(h.id), 0), 1) AS pct
+        SELECT bin, expected, round(count(h.id) FILTER (WHERE direction_correct) * 1e2 / nullif(count(h.id), 0), 1) + 0e0 AS pct
         FROM (VALUES (0, 50, '0-50%', 25e0), (50, 65, '50-65%', 57.5e0), (65, 80, '65-80%', 72.5e0), (80, 101, '80-100%', 90.5e0)) b(lo, hi, bin, expected)
         LEFT JOIN {HISTORY} h ON coalesce(direction_confidence, 0) >= lo AND coalesce(direction_confidence, 0) < hi GROUP BY 1, 2) t""",
 )

@@ -27,7 +27,7 @@ EVENT_CLOSED = "(SELECT max(ts) - INTERVAL '1' HOUR FROM events)"
     "str01_daily_cost",
     f"""SELECT strftime(s, {ISO}) AS window_start, strftime(s + INTERVAL '1' DAY, {ISO}) AS window_end, requests, prompt_tokens, output_tokens, cost_usd FROM (
         SELECT date_trunc('day', created_at_utc) AS s, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
-        CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd FROM v_chat_messages GROUP BY 1) t WHERE s + INTERVAL '1' DAY <= {CHAT_CLOSED}""",
+        CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) + 0e0 AS cost_usd FROM v_chat_messages GROUP BY 1) t WHERE s + INTERVAL '1' DAY <= {CHAT_CLOSED}""",
 )
 def _(r):
     return jobs.run_available(jobs.daily_cost(arriving(r).chat_messages), "daily-cost").withColumn("cost_usd", F.round("cost_usd", 6))
@@ -86,7 +86,7 @@ def _(r):
 @query(
     "str05_message_sessions",
     f"""SELECT strftime(min(created_at_utc), {ISO}) AS window_start, strftime(max(created_at_utc) + INTERVAL '30' MINUTE, {ISO}) AS window_end, session_id,
-        count(*) AS messages, round(sum(cost_usd), 6) AS cost_usd FROM (SELECT *, sum(CASE WHEN before IS NULL OR created_at_utc - before >= INTERVAL '30' MINUTE THEN 1 ELSE 0 END)
+        count(*) AS messages, round(sum(cost_usd), 6) + 0e0 AS cost_usd FROM (SELECT *, sum(CASE WHEN before IS NULL OR created_at_utc - before > INTERVAL '30' MINUTE THEN 1 ELSE 0 END)
         OVER (PARTITION BY session_id ORDER BY created_at_utc, id) AS burst FROM (SELECT *, lag(created_at_utc) OVER (PARTITION BY session_id ORDER BY created_at_utc, id) AS before
         FROM v_chat_messages) a) b GROUP BY session_id, burst HAVING max(created_at_utc) + INTERVAL '30' MINUTE <= {CHAT_CLOSED}""",
 )

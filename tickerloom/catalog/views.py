@@ -62,7 +62,7 @@ SELECT {ENTRY_ID} AS id, l_orderkey AS run_id, i.ts_code, i.name, CAST(l_linenum
        CASE WHEN l_orderkey % 50 <> 0 THEN l_shipdate + (l_orderkey % 86400) * INTERVAL '1' SECOND END AS created_at_utc
 FROM lineitem JOIN v_instruments i ON i.name = 'Co' || l_suppkey""",
     "v_pick_outcomes": f"""
-SELECT {ENTRY_ID} AS entry_id, CAST(h AS INT) AS horizon_days, round((l_discount - l_tax) * 1e2 * h, 4) AS return_pct,
+SELECT {ENTRY_ID} AS entry_id, CAST(h AS INT) AS horizon_days, round((l_discount - l_tax) * 1e2 * h, 4) + 0e0 AS return_pct,
        l_discount <= 5e-2 AS hit_buy, (l_discount - l_tax) * h > 1e-1 AS hit_target, l_tax * h > 2e-1 AS hit_stop
 FROM lineitem JOIN (VALUES (1), (3), (5)) x(h) ON h <= l_linenumber + 1""",
     "v_market_forecasts": """
@@ -157,7 +157,7 @@ SELECT {code('s_suppkey')} AS ts_code, {market('s_suppkey')} AS market, CASE WHE
 FROM supplier JOIN (VALUES (1), (2)) x(v) ON v = 1 OR s_suppkey % 4 = 0""",
     "v_company_shareholders": f"""
 SELECT {code('l_suppkey')} AS ts_code, {market('l_suppkey')} AS market, shareholder_name,
-       round(held * 1e2 / sum(held) OVER (PARTITION BY l_suppkey, synced_on), 4) AS stock_percent, synced_on
+       round(held * 1e2 / sum(held) OVER (PARTITION BY l_suppkey, synced_on), 4) + 0e0 AS stock_percent, synced_on
 FROM (SELECT l_suppkey, CAST(date_trunc('year', l_shipdate) AS DATE) AS synced_on,
              CASE c_mktsegment WHEN 'BUILDING' THEN '国资控股' WHEN 'MACHINERY' THEN '社保基金' WHEN 'AUTOMOBILE' THEN '张三'
                   ELSE c_mktsegment END AS shareholder_name, sum(l_quantity) AS held

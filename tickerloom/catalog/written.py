@@ -22,7 +22,7 @@ def _(r):
     return tables.json_lines(r.spark, path, "iteration_ledger").select("run_id", "as_of", "fail_rate", "mean_delta")
 
 
-@query("snk01_append_messages", "SELECT id, session_id, round(cost_usd, 9) AS cost_usd, CAST(created_at_utc AS DATE) AS dt FROM v_chat_messages")
+@query("snk01_append_messages", "SELECT id, session_id, round(cost_usd, 9) + 0e0 AS cost_usd, CAST(created_at_utc AS DATE) AS dt FROM v_chat_messages")
 def _(r):
     path = scratch_path(r.spark, "messages")
     messages = r.chat_messages.drop("cost_usd")
@@ -60,7 +60,7 @@ def _(r):
 
 @query(
     "tb14_audit_ledger",
-    f"""SELECT run_id, round(fail_rate, 6) AS fail_rate FROM (SELECT run_id, avg(CASE WHEN hit_buy AND return_pct >= 0 THEN 0e0 ELSE 1e0 END) AS fail_rate
+    f"""SELECT run_id, round(fail_rate, 6) + 0e0 AS fail_rate FROM (SELECT run_id, avg(CASE WHEN hit_buy AND return_pct >= 0 THEN 0e0 ELSE 1e0 END) AS fail_rate
         FROM (SELECT e.run_id, o.* FROM v_pick_entries e JOIN v_pick_outcomes o ON o.entry_id = e.id WHERE o.horizon_days = 5 AND e.rank_in_run <= 10) t GROUP BY 1) a""",
 )
 def _(r):

@@ -103,7 +103,7 @@ def stage_flags(arrivals: DataFrame) -> DataFrame:
 
 
 def message_sessions(messages: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Bursts of messages of a session, ended by inactivity."""
+    """Bursts of messages of a session, ended by a pause longer than ``gap``."""
     grouped = timed(messages, "created_at_utc").groupBy(F.session_window("at", gap), "session_id").agg(F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd"))
     return grouped.select(*span("session_window"), "session_id", "messages", "cost_usd")
 
