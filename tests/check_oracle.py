@@ -21,7 +21,7 @@ def connect(folder):
 
 def normal(rows):
     def cell(x):
-        return format(x, ".10g") if isinstance(x, float) else repr(x)
+        return repr(x)
 
     return sorted(tuple(cell(x) for x in r) for r in rows)
 

@@ -235,6 +235,15 @@ def test_resolve_codes(spark):
     assert sorted(values(market.resolve_codes(asked, inst))) == [("000002", "000002"), ("?", "?"), ("X", "000001")]
 
 
+def test_instrument_search_and_empty_query(spark):
+    inst = table(spark, "instruments", [
+        {"ts_code": "600519", "name": "贵州茅台", "market": "a"}, {"ts_code": "920001", "name": "北交", "market": "a"}, {"ts_code": "600520", "name": "港", "market": "hk"},
+    ])
+    assert values(market.search(inst, "600519"), "name") == [("贵州茅台",)]
+    assert values(market.search(inst, "茅台"), "ts_code") == [("600519",)]
+    assert [r[0] for r in values(market.search(inst), "ts_code")] == ["600519", "920001"]
+
+
 def test_watchlist_round_trip(spark):
     w = table(spark, "watchlist", [{"ts_code": "1", "market": "a", "note": "n", "enabled": False}])
     asked = spark.createDataFrame([("1", "a", "", at(1)), ("2", "a", "x", at(1))], "ts_code string, market string, note string, created_at_utc timestamp_ntz")

@@ -177,8 +177,8 @@ FROM (SELECT e.*, b.ret_20d, x.h, CASE x.h WHEN 1 THEN low1 WHEN 3 THEN low3 ELS
       CROSS JOIN (VALUES (1), (3), (5)) x(h)) j WHERE c IS NOT NULL"""
 
 
-def _outcomes(r):
-    return backtest.outcomes(r.pick_entries, r.pick_runs, r.daily_prices)
+def _outcomes(r, *horizons):
+    return backtest.outcomes(r.pick_entries, r.pick_runs, r.daily_prices, horizons or backtest.HORIZONS)
 
 
 @query(
@@ -199,7 +199,7 @@ SELECT run_id, count(*) AS entries, avg(CASE WHEN NOT hit_buy OR return_pct < 0
     f"SELECT run_id, entries, round(fail_rate, 6) + 0e0 AS fail_rate, round(mean_fwd_return, 6) + 0e0 AS mean_fwd_return, round(mean_delta, 6) + 0e0 AS mean_delta FROM ({AUDIT}) a",
 )
 def _(r):
-    return rounded(backtest.run_audit(_outcomes(r)))
+    return rounded(backtest.run_audit(_outcomes(r, 5)))
 
 
 @query(
@@ -212,7 +212,7 @@ def _(r):
         UNION ALL SELECT 'forward_loss', count(*) FILTER (WHERE return_pct < 0) FROM o) t WHERE entries > 0""",
 )
 def _(r):
-    return backtest.label_counts(backtest.failure_labels(_outcomes(r)))
+    return backtest.label_counts(backtest.failure_labels(_outcomes(r, 5)))
 
 
 @query(
@@ -222,7 +222,7 @@ def _(r):
         FROM ({AUDIT}) a JOIN v_pick_runs p ON p.id = a.run_id WINDOW w AS (PARTITION BY run_kind ORDER BY created_at_utc, run_id)""",
 )
 def _(r):
-    return rounded(backtest.compare_audits(backtest.run_audit(_outcomes(r)), r.pick_runs))
+    return rounded(backtest.compare_audits(backtest.run_audit(_outcomes(r, 5)), r.pick_runs))
 
 
 @query(

@@ -1,7 +1,7 @@
 """Cross-section and time-series analytics.
 
-The reference names these results without showing how they are worked out, so
-the formulas and thresholds here are our definitions.
+Only the names of these results are given, not how they are worked out, so the
+formulas and thresholds here are our definitions.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Company profile and risk enrichment.
 
-The reference only has a written design for this part; where it leaves a
-threshold or a matching rule open, the one used here is our definition.
+Only a written design exists for this part; where it leaves a threshold or a
+matching rule open, the one used here is our definition.
 """
 
 from __future__ import annotations

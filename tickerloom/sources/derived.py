@@ -283,13 +283,11 @@ class Research:
     @cached_property
     def news_links(self) -> DataFrame:
         """A document is about the instruments traded in the order of the same number."""
-        l = self.given("lineitem").select("l_orderkey", "l_suppkey").distinct()
-        d = self.given("documents").select("doc_id")
-        labels = self.given("labels")
         doc = F.col("doc_id")
+        # Joined first: only matching lines are left to make distinct, and they already lie together by document.
+        pairs = self.given("lineitem").join(self.given("documents"), F.col("l_orderkey") == doc).select("doc_id", "l_suppkey").distinct()
         return (
-            l.join(d, F.col("l_orderkey") == doc)
-            .join(labels, "doc_id", "left")
+            pairs.join(self.given("labels"), "doc_id", "left")
             .select(
                 doc.alias("news_id"), F.when(doc % 11 == 0, "financial_alerts").otherwise("global_news").alias("news_source"),
                 code_of("l_suppkey").alias("ts_code"), market_of("l_suppkey").alias("market"),

@@ -1,8 +1,8 @@
 """Streaming twins of the batch results (definitions ours).
 
 Every job is an append-mode query with a watermark, so its state is bounded by
-the rows inside the watermark and a closed window never changes again.  All but
-the touch alerts combine on the map side, so a hot key costs one row per task.
+the rows inside the watermark and a closed window never changes again.  All
+combine on the map side, so a hot key costs a few rows per task.
 """
 
 from __future__ import annotations
@@ -49,13 +49,14 @@ def tick_bars(ticks: DataFrame, symbol: str, price: str, time: str, ident: str,
     return grouped.select(*span(), "symbol", "open", "high", "low", "close", "ticks")
 
 
-def touches(ticks: DataFrame, plans: DataFrame) -> DataFrame:
+def touches(ticks: DataFrame, plans: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """Ticks that reach the target or the stop of their instrument's plan of the day.
 
     ``ticks``: ts_code, ts, event_id, price; ``plans``: plan_date, ts_code,
     predicted_target, predicted_stop (static).
     """
-    dated = timed(ticks, "ts").withColumn("plan_date", F.to_date("ts"))
+    stamped = timed(ticks, "ts", lateness) if lateness else ticks.withColumn("at", F.col("ts").cast("timestamp"))
+    dated = stamped.withColumn("plan_date", F.to_date("ts"))
     kind = F.when(F.col("price") >= F.col("predicted_target"), "target").when(F.col("price") <= F.col("predicted_stop"), "stop")
     levels = plans.select("plan_date", "ts_code", "predicted_target", "predicted_stop")
     joined = dated.join(levels, ["plan_date", "ts_code"]).withColumn("touch", kind)
@@ -72,8 +73,21 @@ def first_touch_of_day(ticks: DataFrame, plans: DataFrame) -> DataFrame:
 ALERT = "plan_date date, ts_code string, event_id bigint, price double, touch string"
 
 
+TOUCH = "plan_date date, ts_code string, at timestamp, event_id bigint, price double, touch string"
+PLAN = ["plan_date", "ts_code"]
+
+
+def first_per_plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep one touch per plan and batch, so that a busy plan sends little to its state."""
+    for pdf in batches:
+        yield pdf.sort_values(["at", "event_id"]).drop_duplicates(PLAN)
+
+
 def touch_alerts(ticks: DataFrame, plans: DataFrame) -> DataFrame:
-    """First touch per plan as soon as it arrives; the state of a plan is one flag, dropped after its day."""
+    """First touch per plan as soon as it arrives; the state of a plan is one flag, dropped after its day.
+
+    The watermark is set on the touches, after they are thinned out.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -92,8 +106,8 @@ def touch_alerts(ticks: DataFrame, plans: DataFrame) -> DataFrame:
         state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([{"plan_date": key[0], "ts_code": key[1], "event_id": first["event_id"], "price": first["price"], "touch": first["touch"]}])
 
-    rows = touches(ticks, plans).select("plan_date", "ts_code", "at", "event_id", "price", "touch")
-    return rows.groupBy("plan_date", "ts_code").applyInPandasWithState(run, ALERT, "sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = touches(ticks, plans, None).select(*PLAN, "at", "event_id", "price", "touch").mapInPandas(first_per_plan, TOUCH)
+    return rows.withWatermark("at", LATENESS).groupBy(*PLAN).applyInPandasWithState(run, ALERT, "sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_flags(arrivals: DataFrame) -> DataFrame:
