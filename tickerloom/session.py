@@ -58,8 +58,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` durably, so later branches all see the same rows and partitions."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` to the shared folder once and read it back.
+
+    Later branches then all see the same rows and chunk numbers, also after an
+    executor is lost, and read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
