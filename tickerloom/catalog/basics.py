@@ -293,6 +293,24 @@ def _(r):
     return execution.label_actions(r.execution_plans).select("plan_date", "ts_code", "action_label")
 
 
+@query(
+    "jn08_label_directions",
+    "SELECT id, CASE market_direction WHEN 'bullish' THEN '看涨' WHEN 'bearish' THEN '看跌' WHEN 'range-bound' THEN '震荡' END AS direction_label FROM v_market_forecasts",
+)
+def _(r):
+    return forecast.with_direction_label(r.market_forecasts).select("id", "direction_label")
+
+
+@query(
+    "jn08_label_indices",
+    """SELECT id, code, CASE code WHEN '000001' THEN '上证指数' WHEN '399001' THEN '深证成指' ELSE code END AS index_name
+       FROM v_market_forecasts, (VALUES ('000001'), ('399001'), ('sector_heatmap')) x(code) WHERE charted""",
+)
+def _(r):
+    view = forecast.forecast_view(r.market_forecasts, CHART_ROOT)
+    return forecast.with_index_name(view.select("id", F.explode(F.map_keys("charts")).alias("code")))
+
+
 NEWEST_ENTRY = """(SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY created_at_utc DESC NULLS LAST, id DESC) AS rn FROM v_pick_entries)"""
 
 

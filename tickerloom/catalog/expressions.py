@@ -316,8 +316,8 @@ def _(r):
 
 @query(
     "ns05_scenarios",
-    f"""SELECT id, 'up' AS scenario, CAST(id % 101 AS DOUBLE) AS probability, 'volume' AS trigger {READABLE}
-        UNION ALL SELECT id, 'down', CAST(100 - id % 101 AS DOUBLE), 'break' {READABLE}""",
+    f"""SELECT id, 'up' AS scenario, CAST(id % 101 AS DOUBLE) AS probability, 'volume' AS trigger, id % 101 > 40 AS likely {READABLE}
+        UNION ALL SELECT id, 'down', CAST(100 - id % 101 AS DOUBLE), 'break', 100 - id % 101 > 40 {READABLE}""",
 )
 def _(r):
     return forecast.scenario_rows(_view(r))

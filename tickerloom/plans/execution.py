@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import effective_buy, plan_status, trading_clock
+from tickerloom.operators.lookup import decode
 from tickerloom.operators.newest import top
 
 # Action labels (a blank action is undecided).
@@ -81,7 +82,4 @@ def status_view(plans: DataFrame) -> DataFrame:
 
 def label_actions(plans: DataFrame) -> DataFrame:
     """Add the action label: unknown actions keep their text, blank ones are undecided."""
-    labels = plans.sparkSession.createDataFrame(ACTION_LABELS, "open_action string, action_label string")
-    joined = plans.join(F.broadcast(labels), "open_action", "left")
-    raw = F.nullif("open_action", F.lit(""))
-    return joined.withColumn("action_label", F.coalesce("action_label", raw, F.lit(NO_ACTION_LABEL)))
+    return decode(plans, "open_action", ACTION_LABELS, "action_label", NO_ACTION_LABEL)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.nested import chart_map, decoded
-from tickerloom.functions.scalar import iso_time, percent
+from tickerloom.functions.scalar import above, iso_time, percent
+from tickerloom.operators.lookup import decode
 from tickerloom.operators.newest import newest_first, top
 
 from tickerloom.schemas import FORECAST_JSON, INDEX_RESULTS_JSON
@@ -79,6 +80,14 @@ def hit_rate_by_direction(history: DataFrame) -> DataFrame:
     return counted.withColumn("accuracy_pct", percent("correct", "count"))
 
 
+def with_direction_label(rows: DataFrame, column: str = "market_direction") -> DataFrame:
+    return decode(rows, column, DIRECTION_LABELS, "direction_label")
+
+
+def with_index_name(rows: DataFrame, column: str = "code") -> DataFrame:
+    return decode(rows, column, INDEX_NAMES, "index_name")
+
+
 def bin_of(confidence: Column) -> Column:
     """Label of the bin holding the value, null outside all bins; a missing value counts as 0."""
     value = F.coalesce(confidence, F.lit(0.0))
@@ -147,7 +156,8 @@ def index_rows(view: DataFrame) -> DataFrame:
 
 
 def scenario_rows(view: DataFrame) -> DataFrame:
-    return view.select("id", F.inline("forecast.next_day_scenarios"))
+    """Next-day scenarios, those above 40 percent flagged as likely."""
+    return view.select("id", F.inline("forecast.next_day_scenarios")).withColumn("likely", above("probability", 40))
 
 
 def sector_rows(view: DataFrame) -> DataFrame:
