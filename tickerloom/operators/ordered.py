@@ -19,11 +19,12 @@ CHUNK = "_chunk"
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Cut ``df`` into evenly sized runs of (keys, order), numbered by ``_chunk``.
 
-    The result is pinned: range borders are sampled, and every later branch must
-    see the same ones, also after an executor is lost.  ``order`` should end in
-    a unique column, else ties share a chunk.
+    The input is pinned first, because sampling the range borders would work it
+    out a second time; the result is pinned because every later branch must see
+    the same borders, also after an executor is lost.  Pass narrow rows.
+    ``order`` should end in a unique column, else ties share a chunk.
     """
-    ranged = df.repartitionByRange(*keys, *order)
+    ranged = pin(df).repartitionByRange(*keys, *order)
     return pin(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 

@@ -22,15 +22,14 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def unit(vector: Column) -> Column:
-    """Scaled to length 1; null for a zero vector."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    return F.transform(v, lambda x: F.try_divide(x, F.sqrt(dot(v, v))))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where ``body`` uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def centred(vector: Column) -> Column:
     """Mean removed, so that the cosine of two vectors is their correlation."""
-    return F.transform(vector, lambda x: x - total(vector) / F.size(vector))
+    return let(total(vector) / F.size(vector), lambda mean: F.transform(vector, lambda x: x - mean))
 
 
 def closest_to_newest(
@@ -44,13 +43,16 @@ def closest_to_newest(
     ``bounded`` only where a key's rows fit one task whatever the data size.
     """
     position = position or order
-    rows = df.select(*keys, order, *({position} - {order}), unit(F.col(vector)).alias("_v"))
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(*keys, order, *({position} - {order}), v.alias("_v"), dot(v, v).alias("_vv"))
     if bounded:
         whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        pairs = rows.withColumns({"_q": F.last("_v").over(whole), "_at": F.last(position).over(whole)})
+        pairs = rows.withColumns({"_q": F.last("_v").over(whole), "_qq": F.last("_vv").over(whole), "_at": F.last(position).over(whole)})
     else:
-        asked = newest_row(rows, keys, [order]).select(*keys, F.col("_v").alias("_q"), F.col(position).alias("_at"))
+        asked = newest_row(rows, keys, [order]).select(*keys, F.col("_v").alias("_q"), F.col("_vv").alias("_qq"), F.col(position).alias("_at"))
         pairs = rows.join(asked, keys)
     pairs = pairs.filter(F.col(position) <= F.col("_at") - earlier_than)
-    scored = pairs.withColumn("similarity", F.round(dot(F.col("_v"), F.col("_q")), 6)).filter(F.col("similarity").isNotNull())
-    return last_rows(scored.drop("_v", "_q", "_at"), keys, ["similarity", order], k, "place")
+    cosine = F.try_divide(dot(F.col("_v"), F.col("_q")), F.sqrt(F.col("_vv")) * F.sqrt(F.col("_qq")))
+    # A zero vector has no direction: it is left out before the cosine is taken.
+    scored = pairs.filter("_vv > 0 AND _qq > 0").withColumn("similarity", F.round(cosine, 6))
+    return last_rows(scored.drop("_v", "_vv", "_q", "_qq", "_at"), keys, ["similarity", order], k, "place")

@@ -38,20 +38,19 @@ def history_for_reply(messages: DataFrame, keep: int = 20) -> DataFrame:
     return rows.select("session_id", "id", "role", "content", (F.col("_back") - 1).alias("messages_back"))
 
 
-def carried_codes(messages: DataFrame) -> DataFrame:
+def carried_codes(messages: DataFrame, *extra: Column) -> DataFrame:
     """Last code mentioned in the session up to each message, whatever the session's length.
 
-    Code and name are taken out of the text first, so the text itself never moves.
+    The code, and whatever ``extra`` asks for, is taken out of the text first, so the text itself never moves.
     """
-    mentioned = messages.select(
-        "session_id", "created_at_utc", "id", "role", stock_code("content").alias("own_code"), stock_name("content").alias("name")
-    )
+    mentioned = messages.select("session_id", "created_at_utc", "id", stock_code("content").alias("own_code"), *extra)
     return carry_forward(mentioned, ["session_id"], MESSAGE_ORDER, "own_code", "carried_code")
 
 
 def resolved_messages(messages: DataFrame, instruments: DataFrame) -> DataFrame:
     """User messages with their instrument: own code, else exact name in market a, else the carried code."""
-    asked = carried_codes(messages).filter(F.col("role") == "user")
+    user = F.col("role") == "user"
+    asked = carried_codes(messages, user.alias("by_user"), F.when(user, stock_name("content")).alias("name")).filter("by_user")
     rows = asked.join(code_of_name(instruments).withColumnRenamed("ts_code", "named_code"), "name", "left")
     source = (
         F.when(F.col("own_code").isNotNull(), "own").when(F.col("named_code").isNotNull(), "name")
