@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.catalog.registry import query
 from tickerloom.functions import nested, scalar, text
-from tickerloom.operators import merge, newest
+from tickerloom.operators import newest
 from tickerloom.plans import assistant, dashboard, execution, forecast, market, picks, watchlist
 from tickerloom.sources import snapshots, tables
 from tickerloom.sources.derived import CHART_ROOT

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.catalog.basics import HISTORY, HITS, ISO
+from tickerloom.catalog.basics import HISTORY, ISO
 from tickerloom.catalog.registry import query
 from tickerloom.functions import nested, scalar, text
-from tickerloom.plans import assistant, execution, forecast, market, picks
+from tickerloom.plans import execution, forecast, market, picks
 from tickerloom.sources.derived import CHART_ROOT, MODEL, SYSTEM_PROMPT
 
 # --- numbers ---------------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from tickerloom.catalog.registry import query
 from tickerloom.plans import backtest
 from tickerloom.session import scratch_path

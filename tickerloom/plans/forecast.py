@@ -11,7 +11,6 @@ from tickerloom.functions.nested import chart_map, decoded
 from tickerloom.functions.scalar import above, iso_time, percent
 from tickerloom.operators.lookup import decode
 from tickerloom.operators.newest import newest_first, top
-
 from tickerloom.schemas import FORECAST_JSON, INDEX_RESULTS_JSON
 from tickerloom.session import pin
 
