@@ -7,28 +7,57 @@ Parquet before the next one reads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickerloom.llm import gam, mixing, pii
 from tickerloom.llm.minhash import near_duplicates
-from tickerloom.llm.sources import table
+from tickerloom.llm.packing import pack_documents
+from tickerloom.llm.queries import TOKENIZER
+from tickerloom.llm.sources import table, tokenizer_path
 from tickerloom.session import pin
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model predicts good; it learns from the labelled ones among ``docs``."""
+    return gam.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One document of each group of near duplicates; rows that share an id are one document."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind, and ``n_chars`` counted anew."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it."""
+    return mixing.resample(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their sequences and places."""
+    return pack_documents(docs, tokenizer_path(TOKENIZER), 4096)
 
 
 STAGES = [
-    ("near-dedup", drop_near_duplicates),
+    ("quality classifier", drop_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", mask_personal_data),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
-# Packing and learned scores have no SQL counterpart.
+# Learned scores and packing have no SQL counterpart.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = pin(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

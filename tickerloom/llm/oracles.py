@@ -50,3 +50,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT gone AS kept
 FROM counted JOIN verdicts ON counted.source IS NOT DISTINCT FROM verdicts.source
 """
+
+MIXING = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 14))::BIGINT AS place
+  FROM documents
+), turns AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sizes GROUP BY source
+), units AS (
+  SELECT *, 2 * source_size AS cap, (sum(source_size) OVER () * 150 - 100 * coalesce(sum(2 * source_size) OVER before, 0))::BIGINT / 1e2 / (sum(weight) OVER later)::BIGINT AS unit
+  FROM turns WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    later AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), level AS (
+  SELECT first(unit ORDER BY cap / weight, source NULLS LAST) AS unit FROM units WHERE unit * weight < cap
+), goal AS (
+  SELECT source, source_size, least(coalesce(level.unit * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM units LEFT JOIN level ON true
+), ranked AS (
+  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+    sum(size) OVER (PARTITION BY s.source ORDER BY place)::BIGINT AS upto
+  FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, size * (whole + (upto <= floor(target - whole * source_size))::BIGINT)::BIGINT AS taken FROM ranked
+"""

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from tickerloom.llm import oracles
+from tickerloom.llm.gam import quality
 from tickerloom.llm.minhash import near_duplicates
+from tickerloom.llm.mixing import mix
+from tickerloom.llm.packing import pack_documents
+from tickerloom.llm.pii import detect
 from tickerloom.llm.rules import judge
-from tickerloom.llm.sources import table
+from tickerloom.llm.simhash import fingerprint_edits
+from tickerloom.llm.sources import table, tokenizer_path
+from tickerloom.llm.urls import filter_urls
+
+TOKENIZER = "word_bpe_49k.json"
 
 QUERIES = {
     "op1_near_duplicates": lambda spark, folder: near_duplicates(table(spark, folder, "documents")),
+    "op3_quality": lambda spark, folder: quality(table(spark, folder, "documents"), table(spark, folder, "labels")),
+    "op4_packing": lambda spark, folder: pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER), 4096),
+    "op5_url_filter": lambda spark, folder: filter_urls(table(spark, folder, "pages")),
     "op6_host_rules": lambda spark, folder: judge(table(spark, folder, "documents")),
+    "op8_fingerprints": lambda spark, folder: fingerprint_edits(table(spark, folder, "documents")),
+    "op9_mixing": lambda spark, folder: mix(table(spark, folder, "documents")),
+    "op10_personal_data": lambda spark, folder: detect(table(spark, folder, "documents")),
 }
 
 CHECKS = {
     "op1_near_duplicates": oracles.NEAR_DUPLICATES,
     "op6_host_rules": oracles.HOST_RULES,
+    "op9_mixing": oracles.MIXING,
 }

@@ -106,12 +106,12 @@ def host_verdicts(counted: DataFrame, host: str = "host", limit: float = 0.5) ->
         fit = F.when(used, rate)
         mean = F.coalesce(F.avg(fit), F.avg(rate), F.lit(0.0))
         moments += [mean.alias(f"_m_{r}"), F.coalesce(F.var_pop(fit), F.var_pop(rate), F.lit(0.0)).alias(f"_v_{r}")]
-    prior = hosts.agg(*moments)
     # The prior is one row whatever the input.
-    joined = hosts.join(F.broadcast(prior))
+    prior = hosts.agg(*moments).select(F.struct("*").alias("p"))
+    joined = hosts.withColumn("_p", prior.scalar())
     out = ["_host", "n_texts"]
     for r in RULES:
-        m, v = F.col(f"_m_{r}"), F.col(f"_v_{r}")
+        m, v = F.col(f"_p._m_{r}"), F.col(f"_p._v_{r}")
         # Strength of the prior in texts: from the spread, at least 1 and at most 1000 when hosts hardly differ.
         strength = F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
         out.append(((F.col(f"_f_{r}") + strength * m) / (F.col("n_texts") + strength)).alias(f"rate_{r}"))
