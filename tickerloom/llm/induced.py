@@ -147,7 +147,7 @@ class _Pushes:
         self.least[c_heads] = SAME
         self.least[c_heads[inside]] = minima(rest[inside], np.full(int(inside.sum()), len(lcp) - 1))
         self.touched = np.union1d(self.touched, c_heads)
-        return order, np.where(out == SAME, SAME, np.minimum(out.astype(np.int16) + 1, CAP)).astype(np.uint8)
+        return order, _longer(out)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -177,9 +177,9 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray) -
 class _Level:
     def __init__(self, text: np.ndarray, alphabet: int, budget: int):
         self.text, self.alphabet, self.budget = text, alphabet, budget
-        # A character each for small alphabets; else few ranges, as every batch pushes to most of them.
+        # A character each for small alphabets; else not too many ranges, as every batch pushes to most of them.
         self.small = alphabet <= 512
-        self.ranges = alphabet if self.small else 32
+        self.ranges = alphabet if self.small else min(256, max(16, len(text) >> 14))
         self.kind = text.dtype
 
     def range_of(self, char: np.ndarray) -> np.ndarray:
@@ -224,7 +224,6 @@ class _Level:
         """
         pushes = _Pushes(self.alphabet)
         waiting = _joined(queue.pop(r), self.kind)
-        sign = 1 if left else -1
         if not self.small:
             order = np.argsort(waiting[0] if left else -waiting[0].astype(np.int64), kind="stable")
             waiting = tuple(x[order] for x in waiting)
@@ -237,10 +236,12 @@ class _Level:
                     waiting, seeds = took
                     continue
             # One character: its queue entries in waves (they may push to their own bucket), then its seeds.
-            n_w = int(np.searchsorted(sign * waiting[0].astype(np.int64), sign * char, side="right"))
-            n_s = int(np.searchsorted(sign * seeds[0].astype(np.int64), sign * char, side="right"))
+            n_w, n_s = _leading(waiting[0], char, left), _leading(seeds[0], char, left)
             wave, rest = tuple(x[:n_w] for x in waiting), tuple(x[n_w:] for x in waiting)
             ours, seeds = tuple(x[:n_s] for x in seeds), tuple(x[n_s:] for x in seeds)
+            if n_w + n_s <= BATCH:
+                waiting = self._one(r, queue, wave, ours, rest, char, left, naming, emit, seeds_too)
+                continue
             pushes.new_bucket()
             more, last, started = [], None, False
             stages = [(wave, True)]
@@ -287,6 +288,50 @@ class _Level:
                     child = tuple(x[~here] for x in child)
                 queue.split(*child, self.range_of)
 
+    def _one(self, r, queue, wave, ours, rest, char, left, naming, emit, seeds_too):
+        """All of one character at once; what the queue's entries push to their own bucket comes wave by wave."""
+        waves, carry, first = [], SAME, True
+        while len(wave[1]):
+            c, p, v = wave
+            if first:
+                v = v.copy()
+                v[0], first = 0, False
+            waves.append((c, p, v))
+            own = np.flatnonzero((self._before(p) == char) & (p > 0))
+            if not len(own):
+                break
+            # Least common prefix since the parent before; no other child comes between.
+            least = np.minimum.reduceat(v[: own[-1] + 1], np.append(0, own[:-1] + 1))
+            least[0] = min(least[0], carry) if len(waves) > 1 else least[0]
+            carry = v[own[-1] + 1 :].min(initial=SAME)
+            wave = c[: len(own)], p[own] - 1, _longer(least)
+        n_w = sum(len(x[1]) for x in waves)
+        if len(ours[1]):
+            v = ours[2].copy()
+            v[0] = 0 if naming or not n_w else self._border(int(waves[-1][1][-1]), int(ours[1][0]))
+            waves.append((ours[0], ours[1], v))
+        c, p, v = _joined(waves, self.kind)
+        if n_w and not seeds_too:
+            emit(c[:n_w], p[:n_w], v[:n_w])
+        elif seeds_too:
+            emit(c, p, v)
+        before = self._before(p)
+        who = np.flatnonzero(((before > char) if left else (before < char)) & (p > 0))
+        return self._push(r, queue, rest, who, before, p, v, left)
+
+    def _push(self, r, queue, waiting, who, before, p, v, left):
+        """Pushes the predecessors of ``who``; those of the range in hand go among ``waiting``."""
+        if len(who):
+            order, lcp = _once(v, who, before[who])
+            child = before[who][order], p[who][order] - 1, lcp
+            if not self.small:
+                here = self.range_of(child[0]) == r
+                if here.any():
+                    waiting = self._merged(waiting, tuple(x[here] for x in child), left)
+                    child = tuple(x[~here] for x in child)
+            queue.split(*child, self.range_of)
+        return waiting
+
     @staticmethod
     def _pushed(before, char, queued, left):
         if left:
@@ -331,17 +376,21 @@ class _Level:
         emit(c[kept], p[kept], v[kept])
         n_w, n_s = int(queued.sum()), int((~queued).sum())
         waiting, seeds = tuple(x[n_w:] for x in waiting), tuple(x[n_s:] for x in seeds)
-        who = np.flatnonzero(ok)
-        if len(who):
-            order, lcp = _once(v, who, before[who])
-            child = before[who][order], p[who][order] - 1, lcp
-            here = self.range_of(child[0]) == r
-            if here.any():
-                waiting = self._merged(waiting, tuple(x[here] for x in child), left)
-            queue.split(*(x[~here] for x in child), self.range_of)
+        waiting = self._push(r, queue, waiting, np.flatnonzero(ok), before, p, v, left)
         return waiting, seeds
 
 
+def _leading(chars: np.ndarray, char: int, ascending: bool) -> int:
+    """How many of the sorted ``chars`` are the first one, ``char``."""
+    if ascending:
+        return int(np.searchsorted(chars, char, side="right"))
+    return len(chars) - int(np.searchsorted(chars[::-1], char, side="left"))
+
+
+def _longer(lcp: np.ndarray) -> np.ndarray:
+    return np.where(lcp == SAME, SAME, np.minimum(lcp.astype(np.int16) + 1, CAP)).astype(np.uint8)
+
+
 def _once(lcp, who, char):
     """Like ``_Pushes`` for parents of whole buckets, which no later sibling looks back to."""
     order = np.argsort(char, kind="stable")
@@ -350,7 +399,7 @@ def _once(lcp, who, char):
     later = np.flatnonzero(c[1:] == c[:-1]) + 1
     if len(later):
         out[later] = _Minima(lcp)(w[later - 1] + 1, w[later])
-    return order, np.where(out == SAME, SAME, np.minimum(out.astype(np.int16) + 1, CAP)).astype(np.uint8)
+    return order, _longer(out)
 
 
 def sort_suffixes(text: np.ndarray, alphabet: int, emit: Callable[[np.ndarray, np.ndarray], None], budget: int = 64 << 20) -> None:

@@ -26,25 +26,21 @@ from tickerloom.session import pin
 class Settings:
     """``percent``: link pairs whose Jaccard similarity is at least this.
 
-    With 20 bands of 4 values a pair at 0.85 is missed once in two million;
-    with 128 samples the screen's estimate is within ``slack`` of the truth
-    but for one pair in a million.
+    With 20 bands of 4 values a pair at 0.85 is missed once in two million.
+    The screen lets a pair pass unless its sketches differ by ``deviations``
+    standard deviations more than those of a pair at the limit would.
     """
 
     width: int = 5
     percent: int = 85
     bands: int = 20
     rows: int = 4
-    samples: int = 128
-    words: int = 8  # 64-bit words of an Odd sketch
-    slack: float = 0.17
+    bins: int = 2048  # bins of the sketch's MinHash samples and bits of the sketch
+    deviations: float = 4.5
 
     @property
-    def most_flips(self) -> int:
-        """Most set bits in the XOR of two sketches that the screen lets through."""
-        bits = 64 * self.words
-        differing = self.samples * (1 - self.percent / 100 + self.slack)
-        return math.floor(bits / 2 * (1 - math.exp(-4 * differing / bits)))
+    def words(self) -> int:
+        return self.bins // 64
 
 
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +72,19 @@ def samples(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def odd_sketches(minima: np.ndarray, words: int) -> np.ndarray:
-    """Parity bitmaps: sample k with value v flips the bit that a hash of (k, v) names."""
-    n, k = minima.shape
-    bits = 64 * words
-    place = mix(minima + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) % np.uint64(bits)
-    parity = np.zeros((n, bits), np.uint8)
-    np.bitwise_xor.at(parity, (np.repeat(np.arange(n), k), place.astype(np.int64).ravel()), 1)
+def odd_sketches(values: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+    """Parity bitmaps: the smallest value of each bin of a set's hash range flips the bit that a hash of it names.
+
+    The values of a set ascend, so a bin's smallest is the first with its high bits.
+    """
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    bin_of = (values >> np.uint64(48 - bins.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(values), bool)
+    first[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
+    sample, row = values[first], owner[first]
+    place = (mix(sample + np.uint64(0xA24BAED4963EE407)) % np.uint64(bins)).astype(np.int64)
+    parity = (np.bincount(row * bins + place, minlength=n * bins) & 1).astype(np.uint8).reshape(n, bins)
     return np.packbits(parity, axis=1, bitorder="little").view("<u8")
 
 
@@ -114,14 +116,15 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 size = np.diff(at)
                 full = np.flatnonzero(size)
                 some = np.append(at[:-1][full], len(values))
-                minima = samples(values, some, s.samples) if len(full) else np.zeros((0, s.samples), np.uint64)
+                minima = samples(values, some, s.bands * s.rows) if len(full) else np.zeros((0, s.bands * s.rows), np.uint64)
+                sketches = odd_sketches(values, some, s.bins) if len(full) else np.zeros((0, s.words), np.uint64)
                 prints = np.zeros((2, texts.n), np.uint64)
                 if len(full):
                     prints[0, full] = np.add.reduceat(mix(values.copy()), some[:-1])
                     prints[1, full] = np.add.reduceat(mix(values + np.uint64(0x51ED270B)), some[:-1])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
-                    _lists(band_keys(minima, s.bands, s.rows), full, texts.n), _lists(odd_sketches(minima, s.words), full, texts.n),
+                    _lists(band_keys(minima, s.bands, s.rows), full, texts.n), _lists(sketches, full, texts.n),
                 ], names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -132,6 +135,32 @@ def _flips(a: str, b: str, s: Settings) -> str:
     return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(s.words))
 
 
+def _alike(a: str, b: str, s: Settings):
+    """Whether sketch and size of classes ``a`` and ``b`` allow for the wanted similarity.
+
+    For sets of m and n elements with Jaccard similarity J the union has
+    u = (m + n) / (1 + J), and bins filled by k elements are
+    N(k) = B (1 - exp(-k / B)).  The union's bins agree with probability J, so
+    X = N(m) + N(n) - 2 J N(u) samples differ, which sets
+    B / 2 (1 - exp(-2 X / B)) bits of the XOR on average.  The variance is that
+    of the differing samples, carried over, and that of the parities.
+    """
+    j, bins = s.percent / 100, float(s.bins)
+
+    def filled(k: str) -> str:
+        return f"({bins} * (1 - exp(-({k}) / {bins})))"
+
+    m, n = f"n_{a}", f"n_{b}"
+    union = filled(f"({m} + {n}) / {1 + j}")
+    differing = f"({filled(m)} + {filled(n)} - {2 * j} * {union})"
+    decay = f"exp(-2 * {differing} / {bins})"
+    variance = f"({decay} * {decay} * {4 * j * (1 - j)} * {union} + {bins / 4} * (1 - {decay} * {decay}))"
+    return F.expr(
+        f"100 * least({m}, {n}) >= {s.percent} * greatest({m}, {n}) AND "
+        f"{_flips(f'sketch_{a}', f'sketch_{b}', s)} <= {bins / 2} * (1 - {decay}) + {s.deviations} * sqrt({variance}) + 4"
+    )
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Those (a, b) whose whole sets have 100 * intersection >= percent * union."""
     both = (
@@ -187,14 +216,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     sets = ["n_shingles", "set_a", "set_b"]
     first = F.min_by(F.struct("bands", "sketch"), "node")
     classes = pin(alive.groupBy(*sets).agg(F.min("node").alias("node"), first.alias("_first")).select(*sets, "node", "_first.bands", "_first.sketch"))
-    members = classes.select(F.col("node").alias("b"), F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("_last")).filter("a < _last").select("bucket", "a")
-    crowded = pin(members.join(leaders, "bucket").distinct())
-    involved = crowded.select(F.col("b").alias("node")).distinct()
-    sketches = pin(classes.select("node", "sketch").join(involved, "node", "left_semi"))
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    offered = crowded.filter("a < b").select("a", "b").distinct().join(right, "b").join(left, "a").filter(_alike("sketch_a", "sketch_b", s))
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
+    crowded = pin(members.join(shared, "bucket").distinct())
+    # The most central class, the one with the most company over all its buckets, leads each bucket.
+    company = crowded.groupBy("node").agg(F.sum("many").alias("company"))
+    sketches = pin(classes.select("node", F.col("n_shingles").alias("n"), "sketch").join(company, "node"))
+    placed = crowded.select("bucket", "node").join(sketches.select("node", "company"), "node")
+    leaders = placed.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("_top")).select("bucket", F.col("_top.node").alias("a"))
+    led = crowded.join(leaders, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    offered = led.join(_side(sketches, "b"), "b").join(_side(sketches, "a"), "a").filter(_alike("a", "b", s))
     # Whole texts of classes with a candidate only, once.
     whole = source.filter("doc_id IS NOT NULL").select(F.struct("doc_id", "text_key").alias("node"), "text")
     texts = pin(whole.join(sketches.select("node"), "node", "left_semi").dropDuplicates(["node"]))
@@ -216,23 +247,23 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _alike(a: str, b: str, s: Settings):
-    return F.expr(f"{_flips(a, b, s)} <= {s.most_flips}")
+def _side(sketches: DataFrame, name: str) -> DataFrame:
+    return sketches.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
 
 def _across(crowded: DataFrame, groups: DataFrame, sketches: DataFrame, s: Settings, best_only: bool) -> DataFrame:
     """Pairs of one bucket but different components whose sketches are alike; ``best_only``: one pair for each two components."""
     held = (
-        crowded.select("bucket", F.col("b").alias("node"))
+        crowded.select("bucket", "node")
         .join(groups, "node", "left")
         .select("bucket", "node", F.coalesce("component", "node").alias("component"))
     )
     mixed = held.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("bucket")
-    rows = pin(held.join(mixed, "bucket", "left_semi").join(sketches, "node"))
-    a = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "sketch")])
-    b = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "sketch")])
+    rows = pin(held.join(mixed, "bucket", "left_semi").join(sketches.select("node", "n", "sketch"), "node"))
+    a = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "sketch")])
+    b = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "sketch")])
+    pairs = a.join(b, (a.bucket == b.bucket) & (F.col("component_a") < F.col("component_b")) & _alike("a", "b", s))
     flips = F.expr(_flips("sketch_a", "sketch_b", s))
-    pairs = a.join(b, (a.bucket == b.bucket) & (F.col("component_a") < F.col("component_b")) & (flips <= s.most_flips))
     pairs = pairs.select("component_a", "component_b", F.struct(flips.alias("flips"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).alias("pair"))
     if best_only:
         pairs = pairs.groupBy("component_a", "component_b").agg(F.min("pair").alias("pair"))

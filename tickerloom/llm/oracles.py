@@ -73,3 +73,21 @@ WITH sizes AS (
 )
 SELECT doc_id, size, source_size, target, size * (whole + (upto <= floor(target - whole * source_size))::BIGINT)::BIGINT AS taken FROM ranked
 """
+
+REPEATS = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM docs
+), strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM starts
+), owners AS (SELECT s, min(doc_id) AS owner FROM strings GROUP BY s
+), taken AS (SELECT doc_id, p FROM strings JOIN owners USING (s) WHERE owner < doc_id
+), islands AS (SELECT doc_id, p, sum((p > q + 50 OR q IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM taken)
+), spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY doc_id, island
+), pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(length(h) // 2) FROM docs LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), left_over AS (SELECT doc_id, string_agg(substr(h, (2 * x + 1)::BIGINT, (2 * (y - x))::BIGINT), '' ORDER BY x, y) AS kept FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM docs JOIN left_over USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

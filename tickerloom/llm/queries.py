@@ -11,12 +11,14 @@ from tickerloom.llm.pii import detect
 from tickerloom.llm.rules import judge
 from tickerloom.llm.simhash import fingerprint_edits
 from tickerloom.llm.sources import table, tokenizer_path
+from tickerloom.llm.suffixes import remove_repeats
 from tickerloom.llm.urls import filter_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
 QUERIES = {
     "op1_near_duplicates": lambda spark, folder: near_duplicates(table(spark, folder, "documents")),
+    "op2_repeated_passages": lambda spark, folder: remove_repeats(table(spark, folder, "documents")),
     "op3_quality": lambda spark, folder: quality(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op4_packing": lambda spark, folder: pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER), 4096),
     "op5_url_filter": lambda spark, folder: filter_urls(table(spark, folder, "pages")),
@@ -28,6 +30,7 @@ QUERIES = {
 
 CHECKS = {
     "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op2_repeated_passages": oracles.REPEATS,
     "op6_host_rules": oracles.HOST_RULES,
     "op9_mixing": oracles.MIXING,
 }

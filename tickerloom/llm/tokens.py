@@ -9,6 +9,10 @@ import numpy as np
 from tickerloom.llm.bytetext import Texts, Words
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches ``values[start[i] : start[i] + length[i]]`` end to end."""
     ends = np.cumsum(length)
@@ -17,49 +21,83 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 class WordEncoder:
-    """Ids of a text are those of its words in turn, for tokenizers that drop white space and never look across it.
+    """Ids of a text are those of its words in turn, for lower-casing tokenizers that drop white space and never look across it.
 
-    Keeps the ids of up to ``most`` distinct words, found again by their hash.
+    Keeps the ids of up to about ``most`` distinct words in a table addressed
+    by either end of a word's hash; the few whose two places are taken by
+    others are looked up by bisection.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    SLOTS = 22
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._forget()
 
     def _forget(self):
-        self.keys, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, words: list[str]):
+        self.place = np.full(1 << self.SLOTS, -1, np.int32)
+        self.known, self.used = 0, 0
+        self.spare_keys, self.spare = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.keys, self.start, self.length, self.ids = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _ends(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64), (keys & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for those not known."""
+        high, low = self._ends(keys)
+        entry = self.place[high]
+        wrong = np.flatnonzero((entry < 0) | (self.keys[entry] != keys))
+        other = self.place[low[wrong]]
+        found = np.where((other >= 0) & (self.keys[other] == keys[wrong]), other, -1)
+        if len(self.spare) and len(wrong):
+            at = np.minimum(np.searchsorted(self.spare_keys, keys[wrong]), len(self.spare) - 1)
+            found = np.where(self.spare_keys[at] == keys[wrong], self.spare[at], found)
+        entry[wrong] = found
+        return entry
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """Encodes new words; their entries."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for one in found for i in one), np.uint32, int(length.sum()))
-        start = np.cumsum(length) - length + len(self.ids)
-        every = np.concatenate((self.keys, keys))
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.start = np.concatenate((self.start, start))[order]
-        self.length = np.concatenate((self.length, length))[order]
-        self.ids = np.concatenate((self.ids, ids))
+        entry = np.arange(self.known, self.known + len(keys))
+        for name, values, used in (("keys", keys, self.known), ("start", np.cumsum(length) - length + self.used, self.known), ("length", length, self.known), ("ids", ids, self.used)):
+            held = getattr(self, name)
+            if used + len(values) > len(held):
+                held = np.resize(held, 2 * (used + len(values)))
+                setattr(self, name, held)
+            held[used : used + len(values)] = values
+        self.known, self.used = self.known + len(keys), self.used + len(ids)
+        high, low = self._ends(keys)
+        for end in (high, low):
+            left = np.flatnonzero(self._find(keys) < 0)
+            free = left[self.place[end[left]] < 0]
+            self.place[end[free]] = entry[free]
+        left = np.flatnonzero(self._find(keys) < 0)
+        if len(left):
+            every, which = np.concatenate((self.spare_keys, keys[left])), np.concatenate((self.spare, entry[left].astype(np.int32)))
+            order = np.argsort(every)
+            self.spare_keys, self.spare = every[order], which[order]
+        return entry
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more entry than texts)."""
-        words = Words(texts)
-        unique, first, back = np.unique(words.key, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        # The tokenizer lower-cases all but its special tokens, so A-Z need not be told from a-z without those.
+        plain = b"<|" not in texts.data.tobytes()
+        data = LOWER[texts.data] if plain else texts.data
+        words = Words(texts, lower=plain)
+        if self.known > self.most:
             self._forget()
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
+        entry = self._find(words.key)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            data = texts.data
-            self._learn(unique[new], [data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in first[new]])
-            place = np.searchsorted(self.keys, unique)
-        length = self.length[place][back]
-        ids = gather(self.ids, self.start[place][back], length)
+            unique, first, back = np.unique(words.key[new], return_index=True, return_inverse=True)
+            entry[new] = self._learn(unique, [data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in new[first]])[back]
+        length = self.length[entry]
+        ids = gather(self.ids, self.start[entry], length)
         token_at = np.concatenate(([0], np.cumsum(length)))
         return ids, token_at[np.append(words.first, len(words))]
 
