@@ -191,8 +191,23 @@ def test_cache_keeps_its_first_ttl_and_takes_the_newest_response(spark):
     writes = spark.createDataFrame([("k", "mid", 999, at(1), 1), ("k", "new", 999, at(2), 2), ("z", "first", 5, at(0), 3)], kind + ", request_id bigint")
     stored = assistant.write_cache(cache, writes)
     assert sorted(values(stored, "cache_key", "response_json", "ttl_seconds")) == [("k", "new", 60), ("z", "first", 5)]
-    asked = spark.createDataFrame([(1, "k", at(3)), (2, "k", at(4)), (3, "z", at(0)), (4, "q", at(0))], "request_id bigint, cache_key string, asked_at timestamp_ntz")
-    assert sorted(values(assistant.reusable_responses(asked, stored), "request_id")) == [(1,), (3,)]
+
+
+def test_repeated_writes_of_a_new_key_keep_the_first_ttl(spark):
+    kind = "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz"
+    writes = spark.createDataFrame([("k", "b", 9999, at(2), 2), ("k", "a", 100, at(1), 1)], kind + ", request_id bigint")
+    stored = assistant.write_cache(spark.createDataFrame([], kind), writes)
+    assert values(stored, "response_json", "ttl_seconds") == [("b", 100)]
+
+
+def test_response_reuse_looks_at_the_time_of_asking(spark):
+    """A key written again later still serves the requests in between, and a key asked for very often is no problem."""
+    kind = "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz, request_id bigint"
+    writes = spark.createDataFrame([("k", "old", 120, at(0), 1), ("k", "new", 9999, at(10), 2), ("z", "first", 5, at(0), 3)], kind)
+    asked = [(1, "k", at(1)), (2, "k", at(3)), (3, "z", at(0)), (4, "q", at(0)), (5, "k", at(11)), (6, "k", at(13))] + [(100 + n, "k", at(2)) for n in range(500)]
+    rows = spark.createDataFrame(asked, "request_id bigint, cache_key string, asked_at timestamp_ntz")
+    got = dict(values(assistant.reusable_responses(rows, writes), "request_id", "response_json"))
+    assert got == {1: "old", 3: "first", 5: "new"} | {100 + n: "old" for n in range(500)}
 
 
 # --- market, watchlist, dashboard -----------------------------------------------------
@@ -268,8 +283,9 @@ def test_coverage_gaps_equal_brute_force(spark):
     part = prices(spark, [1.0] * 3, "000002")
     inst = table(spark, "instruments", [{"ts_code": c, "market": "a"} for c in ("000001", "000002", "000003")])
     bars = full.unionByName(part)
-    dates = analytics.newest_complete_dates(bars, 1, 4)
-    got = {(r["ts_code"], r["trade_date"].day) for r in analytics.coverage_gaps(inst, bars, dates).collect()}
+    got = {(r["ts_code"], r["trade_date"].day) for r in analytics.coverage_gaps(inst, bars).collect()}
+    assert got == {("000002", d) for d in (4, 5, 6)} | {("000003", d) for d in range(1, 7)}
+    got = {(r["ts_code"], r["trade_date"].day) for r in analytics.coverage_gaps(inst, bars, dt.date(2024, 1, 3)).collect()}
     assert got == {("000002", d) for d in (4, 5, 6)} | {("000003", d) for d in (3, 4, 5, 6)}
     assert values(analytics.latest_complete_date(bars, 2)) == [(dt.date(2024, 1, 3),)]
 

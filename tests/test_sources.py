@@ -63,6 +63,25 @@ def test_catch_up_fills_only_missing_days_and_can_repeat(spark, tmp_path):
         assert got == [(day(0), 1.0), (day(1), 1.0), (day(2), 9.0), (day(25), 1.0)]
 
 
+def test_catch_up_completes_a_day_that_is_stored_in_part(spark, tmp_path):
+    path, kind = str(tmp_path / "p"), "ts_code string, market string, close double, loaded_at int, trade_date date"
+    day = dt.date(2024, 1, 2)
+    sinks.catch_up_prices(spark.createDataFrame([], kind), spark.createDataFrame([("h1", "hk", 1.0, 1, day)], kind), path)
+    more = spark.createDataFrame([("h1", "hk", 9.0, 2, day), ("h2", "hk", 2.0, 2, day), ("h1", "a", 3.0, 2, day)], kind)
+    sinks.catch_up_prices(tables.parquet_or_empty(spark, path, kind), more, path)
+    got = sorted((r["ts_code"], r["market"], r["close"]) for r in spark.read.schema(kind).parquet(path).collect())
+    assert got == [("h1", "a", 3.0), ("h1", "hk", 1.0), ("h2", "hk", 2.0)]
+
+
+def test_appending_a_run_again_adds_nothing(spark, tmp_path):
+    run = spark.createDataFrame([(7, dt.date(2024, 1, 5))], "id bigint, trade_date_as_of date")
+    entries = spark.createDataFrame([("a", 7), ("b", 7)], "id string, run_id bigint")
+    for _ in range(2):
+        newest = sinks.append_pick_run(run, entries, str(tmp_path / "r"), str(tmp_path / "e"))
+    assert [tuple(r) for r in newest.collect()] == [(7, "b")]
+    assert (spark.read.parquet(str(tmp_path / "r")).count(), spark.read.parquet(str(tmp_path / "e")).count()) == (1, 2)
+
+
 def test_run_and_entries_share_an_id(spark, tmp_path):
     run = spark.createDataFrame([(7, dt.date(2024, 1, 5))], "id bigint, trade_date_as_of date")
     entries = spark.createDataFrame([("a", 7), ("b", 7), ("c", 8)], "id string, run_id bigint")

@@ -166,7 +166,7 @@ FORWARD = """(SELECT ts_code, trade_date, (close / lag(close, 20) OVER w - 1e0)
 min(low) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS low1, max(high) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS high1, lead(close, 1) OVER w AS close1,
 min(low) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS low3, max(high) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS high3, lead(close, 3) OVER w AS close3,
 min(low) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS low5, max(high) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS high5, lead(close, 5) OVER w AS close5
-FROM v_daily_prices WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))"""
+FROM v_daily_prices WHERE market = 'a' WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))"""
 OUTCOMES = f"""
 SELECT j.id AS entry_id, run_id, ts_code, rank_in_run, rule_composite_score, llm_composite_score, recommendation, ret_20d, h AS horizon_days,
        (c / close_price - 1e0) * 1e2 AS return_pct, lo <= predicted_buy_price AS hit_buy, hi >= predicted_target_price AS hit_target, lo <= predicted_stop_loss AS hit_stop
@@ -257,11 +257,11 @@ def _(r):
 
 @query(
     "tb20_coverage_gaps",
-    f"""SELECT i.ts_code, i.market, d.trade_date FROM v_instruments i CROSS JOIN {DATES60} d
-        WHERE NOT EXISTS (SELECT 1 FROM v_daily_prices p WHERE p.ts_code = i.ts_code AND p.trade_date = d.trade_date)""",
+    """SELECT i.ts_code, i.market, d.trade_date FROM v_instruments i CROSS JOIN (SELECT DISTINCT trade_date FROM v_daily_prices) d
+        WHERE NOT EXISTS (SELECT 1 FROM v_daily_prices p WHERE p.ts_code = i.ts_code AND p.market = i.market AND p.trade_date = d.trade_date)""",
 )
 def _(r):
-    return analytics.coverage_gaps(r.instruments, r.daily_prices, _dates(r))
+    return analytics.coverage_gaps(r.instruments, r.daily_prices)
 
 
 # --- company ------------------------------------------------------------------------
@@ -293,7 +293,7 @@ def _(r):
 
 @query(
     "tc03_risk_adjusted_scores",
-    """SELECT id, round(final_composite_score * CASE WHEN EXISTS (SELECT 1 FROM v_company_risk_events r WHERE r.risk_type = 'execution' AND r.ts_code = e.ts_code) THEN 5e-1 ELSE 1e0 END, 6) + 0e0 AS adjusted_score
+    """SELECT id, round(final_composite_score * CASE WHEN EXISTS (SELECT 1 FROM v_company_risk_events r WHERE r.risk_type = 'execution' AND r.market = 'a' AND r.ts_code = e.ts_code) THEN 5e-1 ELSE 1e0 END, 6) + 0e0 AS adjusted_score
        FROM v_pick_entries e""",
 )
 def _(r):

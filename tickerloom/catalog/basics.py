@@ -240,11 +240,12 @@ def _(r):
 
 @query(
     "jn04_run_entries",
-    """SELECT p.id AS run_id, p.run_kind, e.id, e.rank_in_run AS rank, count(*) OVER (PARTITION BY p.id) AS entry_count
+    """SELECT p.id AS run_id, p.run_kind, e.id, e.rank_in_run AS rank, count(*) OVER (PARTITION BY p.id) AS entry_count,
+       row_number() OVER (PARTITION BY p.id ORDER BY e.rank_in_run, e.id) AS position
        FROM v_pick_runs p JOIN v_pick_entries e ON e.run_id = p.id""",
 )
 def _(r):
-    return picks.run_entries(r.pick_runs, r.pick_entries).select("run_id", "run_kind", "id", "rank", "entry_count")
+    return picks.run_entries(r.pick_runs, r.pick_entries).select("run_id", "run_kind", "id", "rank", "entry_count", "position")
 
 
 DETAIL_SQL = """
@@ -269,7 +270,7 @@ query("jn05_star_detail", DETAIL_SQL)(_detail)
 
 @query(
     "jn06_watch_flag",
-    "SELECT id, EXISTS (SELECT 1 FROM v_watchlist w WHERE w.ts_code = e.ts_code) AS watching FROM v_pick_entries e",
+    "SELECT id, EXISTS (SELECT 1 FROM v_watchlist w WHERE w.market = 'a' AND w.ts_code = e.ts_code) AS watching FROM v_pick_entries e",
 )
 def _(r):
     return picks.watch_flags(r.pick_entries.select("id", "ts_code"), r.watchlist).select("id", "watching")
@@ -670,12 +671,18 @@ def _(r):
     return assistant.touch_sessions(r.chat_sessions, asked, now).select("id", "title", scalar.iso_time("updated_at_utc").alias("updated_at"))
 
 
-NEWEST_CACHE = "(SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at_utc DESC, request_id DESC) AS rn FROM v_cache_writes)"
-
-
-@query("mu05_cache_newest_wins", f"SELECT cache_key, response_json, strftime(created_at_utc, {ISO}) AS created_at FROM {NEWEST_CACHE} t WHERE rn = 1")
+@query(
+    "mu05_cache_newest_wins",
+    f"""WITH halves AS (SELECT *, request_id % 3 = 0 AS early FROM v_cache_writes),
+        keys AS (SELECT cache_key, bool_or(NOT early) AS late FROM halves GROUP BY 1),
+        used AS (SELECT h.* FROM halves h JOIN keys k USING (cache_key) WHERE NOT early OR NOT late),
+        first AS (SELECT cache_key, arg_min(ttl_seconds, (NOT early, created_at_utc, request_id)) AS ttl_seconds FROM halves GROUP BY 1)
+        SELECT cache_key, arg_max(response_json, (created_at_utc, request_id)) AS response_json, any_value(ttl_seconds) AS ttl_seconds,
+        strftime(max(created_at_utc), {ISO}) AS created_at FROM (SELECT u.* EXCLUDE (ttl_seconds), first.ttl_seconds FROM used u JOIN first USING (cache_key)) t GROUP BY 1""",
+)
 def _(r):
     w = r.cache_writes
-    half = F.col("request_id") % 2 == 0
-    merged = assistant.newest_cache(w.filter(half), w.filter(~half))
-    return merged.select("cache_key", "response_json", scalar.iso_time("created_at_utc").alias("created_at"))
+    early = F.col("request_id") % 3 == 0
+    empty = r.spark.createDataFrame([], "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz")
+    merged = assistant.write_cache(assistant.write_cache(empty, w.filter(early)), w.filter(~early))
+    return merged.select("cache_key", "response_json", "ttl_seconds", scalar.iso_time("created_at_utc").alias("created_at"))

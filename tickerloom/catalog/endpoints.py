@@ -66,12 +66,13 @@ def _(r):
 @query(
     "q08_run_with_entries",
     """SELECT p.id AS run_id, p.run_kind, strftime(p.trade_date_as_of, '%Y-%m-%d') AS trade_date, count(*) OVER (PARTITION BY p.id) AS entry_count,
-       e.id, e.ts_code, e.rank_in_run AS rank, e.close_price, e.llm_composite_score, e.qty AS report_qty
+       e.id, e.ts_code, e.rank_in_run AS rank, e.close_price, e.llm_composite_score, e.qty AS report_qty,
+       row_number() OVER (PARTITION BY p.id ORDER BY e.rank_in_run, e.id) AS position
        FROM v_pick_runs p JOIN v_pick_entries e ON e.run_id = p.id""",
 )
 def _(r):
     return picks.run_entries(r.pick_runs, r.pick_entries).select(
-        "run_id", "run_kind", "trade_date", "entry_count", "id", "ts_code", "rank", "close_price", "llm_composite_score", F.col("report.qty").alias("report_qty"))
+        "run_id", "run_kind", "trade_date", "entry_count", "id", "ts_code", "rank", "close_price", "llm_composite_score", F.col("report.qty").alias("report_qty"), "position")
 
 
 @query(
@@ -224,6 +225,16 @@ def _(r):
     return assistant.message_view(r.chat_messages).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
+@query(
+    "q22_message_page",
+    f"""SELECT session_id, id, role, content, intent, round(cost_usd, 9) + 0e0 AS cost_usd, elapsed_ms, strftime(created_at_utc, {ISO}) AS created_at FROM v_chat_messages
+        WHERE session_id = (SELECT min(session_id) FROM v_chat_messages) ORDER BY created_at_utc, id LIMIT 50 OFFSET 1""",
+)
+def _(r):
+    session = r.chat_messages.agg(F.min("session_id")).scalar()
+    return assistant.messages_page(r.chat_messages, session, 50, 1).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
 @query(
     "q23_message_context",
     rf"""WITH named AS (SELECT id, {expressions.NAME_SQL} AS name FROM v_chat_messages WHERE role = 'user'),
@@ -250,10 +261,10 @@ def _(r):
 
 @query(
     "q24_response_reuse",
-    f"""SELECT q.request_id, q.cache_key, c.response_json FROM v_model_requests q JOIN (SELECT * FROM {basics.NEWEST_CACHE} t WHERE rn = 1) c ON c.cache_key = q.cache_key
-        WHERE c.created_at_utc <= q.asked_at AND q.asked_at <= c.created_at_utc + c.ttl_seconds * INTERVAL '1' SECOND""",
+    """WITH first AS (SELECT cache_key, arg_min(ttl_seconds, (created_at_utc, request_id)) AS ttl_seconds FROM v_cache_writes GROUP BY 1),
+        stored AS (SELECT cache_key, created_at_utc, arg_max(response_json, request_id) AS response_json FROM v_cache_writes GROUP BY 1, 2)
+        SELECT q.request_id, q.cache_key, s.response_json FROM v_model_requests q ASOF JOIN stored s ON s.cache_key = q.cache_key AND q.asked_at >= s.created_at_utc
+        JOIN first f ON f.cache_key = q.cache_key WHERE q.asked_at <= s.created_at_utc + f.ttl_seconds * INTERVAL '1' SECOND""",
 )
 def _(r):
-    columns = "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz"
-    cache = assistant.write_cache(r.spark.createDataFrame([], columns), r.cache_writes)
-    return assistant.reusable_responses(r.model_requests, cache)
+    return assistant.reusable_responses(r.model_requests, r.cache_writes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.basics import ISO
 from tickerloom.catalog.registry import query
 from tickerloom.catalog.views import code
+from tickerloom.session import pin
 from tickerloom.sources.derived import ArrivingResearch, code_of
 from tickerloom.streaming import jobs
 
@@ -65,12 +66,12 @@ FROM events e JOIN v_execution_plans p ON p.plan_date = CAST(e.ts AS DATE) AND p
         FROM {TOUCH} t WHERE rn = 1 AND plan_date + INTERVAL '1' DAY <= {EVENT_CLOSED}""",
 )
 def _(r):
-    return jobs.run_available(jobs.first_touch_of_day(_ticks(r), r.execution_plans), "first-touch")
+    return jobs.run_available(jobs.first_touch_of_day(_ticks(r), pin(r.execution_plans)), "first-touch")
 
 
 @query("str03_touch_alerts", f"SELECT plan_date, ts_code, event_id, price, touch FROM {TOUCH} t WHERE rn = 1")
 def _(r):
-    return jobs.run_available(jobs.touch_alerts(_ticks(r), r.execution_plans), "touch-alerts")
+    return jobs.run_available(jobs.touch_alerts(_ticks(r), pin(r.execution_plans)), "touch-alerts")
 
 
 @query(

@@ -24,9 +24,11 @@ SELECT {code('s_suppkey')} AS ts_code, 'Co' || s_suppkey AS name, n_name AS indu
        CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE DATE '1990-01-01' + CAST(s_suppkey % 1000 AS INT) END AS listing_date
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_concept_members": """
-SELECT DISTINCT i.ts_code, i.name, i.market, CASE WHEN p_brand = 'Brand#25' THEN NULL ELSE p_brand END AS concept_name
-FROM lineitem JOIN part ON l_partkey = p_partkey
-JOIN v_instruments i ON i.name = 'Co' || l_suppkey WHERE l_quantity = 50""",
+SELECT i.ts_code, i.name, i.market, CASE WHEN p_brand = 'Brand#25' THEN NULL ELSE p_brand END AS concept_name
+FROM (SELECT * FROM (SELECT *, m * count(*) OVER own > sum(m) OVER own AS above
+      FROM (SELECT l_suppkey, p_brand, sum(l_quantity) AS m FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) g
+      WINDOW own AS (PARTITION BY l_suppkey)) h WHERE above) b
+JOIN v_instruments i ON i.name = 'Co' || l_suppkey""",
     "v_daily_prices": f"""
 SELECT b.ts_code, i.market, trade_date, open, high, low, close, volume, amount,
        (close / lag(close) OVER (PARTITION BY b.ts_code ORDER BY trade_date) - 1e0) * 1e2 AS pct_chg,
@@ -103,12 +105,12 @@ SELECT session_id AS id, CASE session_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'talk '
        session_id % 2 = 0 AS is_active, min(created_at_utc) AS created_at_utc, max(created_at_utc) AS updated_at_utc
 FROM v_chat_messages GROUP BY session_id""",
     "v_news": """
-SELECT doc_id AS id, substr(text, 1, 40) AS title, substr(text, 1, 200) AS description, source AS source_name,
+SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description, source AS source_name,
        'https://example.com/n/' || doc_id AS article_url,
        TIMESTAMP '2024-01-01 00:00:00' + (doc_id * 977 % 2592000) * INTERVAL '1' SECOND AS published_at_utc
 FROM documents""",
     "v_alerts": """
-SELECT page_id AS id, substr(url, 1, 40) AS title, url AS description, 'alerts' AS source_name, url AS article_url,
+SELECT page_id AS id, url AS title, url AS description, 'alerts' AS source_name, url AS article_url,
        TIMESTAMP '2024-01-15 00:00:00' + (page_id * 613 % 1296000) * INTERVAL '1' SECOND AS published_at_utc
 FROM pages""",
     "v_news_links": """
@@ -139,12 +141,13 @@ SELECT {code('user_id')} AS ts_code, {market('user_id')} AS market,
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
       FROM events WHERE event_type = 'click') t WHERE rn = 1""",
     "v_watchlist_removals": f"""
-SELECT DISTINCT {code('user_id')} AS ts_code, {market('user_id')} AS market FROM events WHERE event_type = 'error' AND value > 60""",
+SELECT {code('user_id')} AS ts_code, {market('user_id')} AS market
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1 AND event_type = 'error'""",
     "v_model_requests": """
-SELECT id AS request_id, sha256('assistant-v1:research:' || content) AS cache_key, created_at_utc AS asked_at
+SELECT id AS request_id, sha256('assistant-v1:research:' || CASE WHEN id % 2 = 0 THEN 'ask ' || (id % 20) ELSE content END) AS cache_key, created_at_utc AS asked_at
 FROM v_chat_messages WHERE role = 'user'""",
     "v_cache_writes": """
-SELECT cache_key, '{"text":"' || request_id || '"}' AS response_json, CAST(3600 AS BIGINT) AS ttl_seconds,
+SELECT cache_key, '{"text":"' || request_id || '"}' AS response_json, (request_id % 13 + 1) * 600 AS ttl_seconds,
        asked_at - (request_id % 7 * 1000) * INTERVAL '1' SECOND AS created_at_utc, request_id
 FROM v_model_requests""",
     "v_company_profile_feed": f"""
@@ -167,13 +170,15 @@ SELECT event_id AS id, {code('user_id')} AS ts_code, {market('user_id')} AS mark
        CASE event_type WHEN 'error' THEN 'dishonest' WHEN 'purchase' THEN 'execution' WHEN 'click' THEN 'abnormal'
             WHEN 'view' THEN 'court' ELSE 'serious' END AS risk_type,
        'case ' || event_id AS title, value AS involved_amount, CAST(ts AS DATE) AS event_date, ts AS seen_at_utc
-FROM events WHERE value > 150""",
+FROM events""",
     "v_patents": f"""
 SELECT {code('l_suppkey')} AS ts_code, {market('l_suppkey')} AS market, l_partkey AS patent_id FROM lineitem WHERE l_returnflag = 'R'""",
     "v_business_scopes": f"""
 SELECT {code('l_suppkey')} AS ts_code, {market('l_suppkey')} AS market,
        string_agg(p_brand, '、' ORDER BY p_brand) AS business_scope
-FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 49) t
+FROM (SELECT * FROM (SELECT *, m * count(*) OVER own > sum(m) OVER own AS above
+      FROM (SELECT l_suppkey, p_brand, count(*) AS m FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) g
+      WINDOW own AS (PARTITION BY l_suppkey)) h WHERE above) t
 GROUP BY l_suppkey""",
 }
 

@@ -62,8 +62,9 @@ def stock_name(text: str | Column) -> Column:
 
 
 def like_search(c: str | Column, q: str) -> Column:
-    """``LIKE '%q%'`` ignoring case; ``%`` and ``_`` inside ``q`` stay wildcards."""
-    return col(c).ilike(f"%{q}%")
+    """``LIKE '%q%'`` ignoring case; ``%`` and ``_`` inside ``q`` stay wildcards, a backslash is plain."""
+    escaped = q.replace("\\", "\\\\")
+    return col(c).ilike(f"%{escaped}%")
 
 
 def literal_search(c: str | Column, q: str) -> Column:

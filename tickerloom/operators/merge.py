@@ -51,7 +51,6 @@ def delete_report(base: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFr
     return requested.join(found, keys, "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
 
 
-def fill_missing_days(base: DataFrame, arriving: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Arriving rows for days the base does not hold yet, one row per key, for a catch-up load."""
-    held = base.select(day).distinct()
-    return newest_row(arriving.join(held, [day], "left_anti"), keys, ["loaded_at"])
+def fill_missing(base: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
+    """Arriving rows whose key the base does not hold yet, the newest arrival of each, for a catch-up load."""
+    return newest_row(arriving.join(base.select(*keys), keys, "left_anti"), keys, ["loaded_at"])

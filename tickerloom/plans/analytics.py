@@ -23,7 +23,7 @@ MAX_RET_20D = 30.0
 def complete_dates(prices: DataFrame, least: int | Column = 1000, market: str | None = None) -> DataFrame:
     """Trade dates with at least ``least`` instruments."""
     rows = prices if market is None else prices.filter(F.col("market") == market)
-    counts = rows.groupBy("trade_date").agg(F.count_distinct("ts_code").alias("instruments"))
+    counts = rows.groupBy("trade_date").agg(F.count_distinct(*INSTRUMENT).alias("instruments"))
     return counts.filter(F.col("instruments") >= least)
 
 
@@ -41,14 +41,17 @@ def panel(prices: DataFrame, dates: DataFrame) -> DataFrame:
     return prices.join(F.broadcast(dates), "trade_date", "left_semi")
 
 
-def coverage_gaps(instruments: DataFrame, prices: DataFrame, dates: DataFrame) -> DataFrame:
-    """(instrument, date) pairs of the given dates without a bar.
+def coverage_gaps(instruments: DataFrame, prices: DataFrame, since=None) -> DataFrame:
+    """(instrument, trade date) pairs without a bar, over all dates that any instrument has, or those from ``since`` on.
 
-    Each instrument's dates are compared with the short list of dates, so only
-    the missing pairs are ever produced.
+    Each instrument's dates are compared with the list of all, which the
+    calendar bounds, so only the missing pairs are ever produced.
     """
+    if since is not None:
+        prices = prices.filter(F.col("trade_date") >= since)
+    dates = prices.select("trade_date").distinct()
     wanted = dates.agg(F.sort_array(F.collect_set("trade_date"))).scalar()
-    have = panel(prices, dates).groupBy(*INSTRUMENT).agg(F.collect_set("trade_date").alias("have"))
+    have = prices.groupBy(*INSTRUMENT).agg(F.collect_set("trade_date").alias("have"))
     rows = instruments.select(*INSTRUMENT).join(have, INSTRUMENT, "left")
     none = F.array().cast("array<date>")
     return rows.select(*INSTRUMENT, F.explode(F.array_except(wanted, F.coalesce("have", none))).alias("trade_date"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import iso_time, still_valid, title_or_default
 from tickerloom.functions.text import stock_code, stock_name
-from tickerloom.operators.merge import delete_keys, newest_wins, upsert
-from tickerloom.operators.newest import last_rows, newest_first, newest_row, page
+from tickerloom.operators.merge import delete_keys, upsert
+from tickerloom.operators.newest import last_rows, newest_first, page
 from tickerloom.operators.ordered import carry_forward
 from tickerloom.plans.market import code_of_name, price_context
 
@@ -87,17 +87,28 @@ def delete_sessions(sessions: DataFrame, messages: DataFrame, doomed: DataFrame)
 
 
 def write_cache(cache: DataFrame, writes: DataFrame) -> DataFrame:
-    """Newest response per key; the time to live stays as first stored."""
-    newest = newest_row(writes, ["cache_key"], ["created_at_utc", "request_id"])
-    return upsert(cache, newest.drop("request_id"), ["cache_key"],
+    """Newest response per key; the time to live stays as first written."""
+    order = F.struct("created_at_utc", "request_id")
+    newest = writes.groupBy("cache_key").agg(
+        F.max_by("response_json", order).alias("response_json"), F.min_by("ttl_seconds", order).alias("ttl_seconds"), F.max("created_at_utc").alias("created_at_utc"))
+    return upsert(cache, newest, ["cache_key"],
                   {c: f"c.{c}" for c in cache.columns if c not in ("cache_key", "ttl_seconds")}, {})
 
 
-def newest_cache(cache: DataFrame, writes: DataFrame) -> DataFrame:
-    return newest_wins(cache, writes, ["cache_key"], ["created_at_utc", "request_id"])
+def reusable_responses(requests: DataFrame, writes: DataFrame) -> DataFrame:
+    """Requests with the response that was stored when they were asked, if it was still valid.
 
-
-def reusable_responses(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests with the stored response that is still valid when they are asked."""
-    rows = requests.join(cache, "cache_key")
-    return rows.filter(still_valid("created_at_utc", "ttl_seconds", "asked_at")).select("request_id", "cache_key", "response_json")
+    The stored response is that of the newest write up to then; the time to
+    live is that of the key's first write.  Writes and requests of a key are
+    scanned together in time, cut into even chunks, so a key may be asked for
+    any number of times.
+    """
+    order = F.struct("created_at_utc", "request_id")
+    first = writes.groupBy("cache_key").agg(F.min_by("ttl_seconds", order).alias("ttl_seconds"))
+    held = F.struct("response_json", "created_at_utc")
+    kind = writes.select(held.alias("held")).schema["held"].dataType.simpleString()
+    timeline = writes.select("cache_key", F.col("created_at_utc").alias("at"), F.lit(0).alias("step"), "request_id", held.alias("held")).unionByName(
+        requests.select("cache_key", F.col("asked_at").alias("at"), F.lit(1).alias("step"), "request_id", F.lit(None).cast(kind).alias("held")))
+    seen = carry_forward(timeline, ["cache_key"], ["at", "step", "request_id"], "held", "stored").filter("step = 1")
+    rows = seen.join(first, "cache_key").filter(still_valid("stored.created_at_utc", "ttl_seconds", "at"))
+    return rows.select("request_id", "cache_key", F.col("stored.response_json").alias("response_json"))

@@ -14,43 +14,50 @@ FAVOURED = ["强烈关注", "关注"]
 FLAT_BAND = 0.5
 
 
-def _by_code() -> Window:
-    return Window.partitionBy("ts_code").orderBy("trade_date")
+KEY = ["market", "ts_code"]
+
+
+def _by_instrument() -> Window:
+    return Window.partitionBy(*KEY).orderBy("trade_date")
 
 
 def forward_bars(prices: DataFrame, horizons=HORIZONS) -> DataFrame:
     """At every bar, what the next h bars bring: lowest low, highest high, close at h."""
     def ahead(h: int) -> Column:
-        span = _by_code().rowsBetween(1, h)
+        span = _by_instrument().rowsBetween(1, h)
         return F.struct(
             F.lit(h).alias("horizon_days"), F.min("low").over(span).alias("low"), F.max("high").over(span).alias("high"),
-            F.lead("close", h).over(_by_code()).alias("close"),
+            F.lead("close", h).over(_by_instrument()).alias("close"),
         )
 
-    return prices.select("ts_code", "trade_date", lagged_return(20, _by_code()).alias("ret_20d"), F.array(*[ahead(h) for h in horizons]).alias("ahead"))
+    return prices.select(*KEY, "trade_date", lagged_return(20, _by_instrument()).alias("ret_20d"), F.array(*[ahead(h) for h in horizons]).alias("ahead"))
 
 
 def as_of_bars(dates: DataFrame, bars: DataFrame, columns: list[str]) -> DataFrame:
-    """For each distinct (ts_code, as_of), ``columns`` of the last bar on or before it, null if there is none.
+    """For each distinct (market, ts_code, as_of), ``columns`` of the last bar on or before it, null if there is none.
 
     Both sides are at most one row per code and day before they meet, so no
     group grows with the number of entries behind a date.
     """
-    asked = dates.select("ts_code", "as_of").distinct()
+    asked = dates.select(*KEY, "as_of").distinct()
     kind = bars.select(F.struct("trade_date", *columns).alias("bar")).schema["bar"].dataType.simpleString()
-    timeline = bars.select("ts_code", F.col("trade_date").alias("as_of"), F.struct("trade_date", *columns).alias("bar"), F.lit(False).alias("asked")).unionByName(
-        asked.select("ts_code", "as_of", F.lit(None).cast(kind).alias("bar"), F.lit(True).alias("asked"))
+    timeline = bars.select(*KEY, F.col("trade_date").alias("as_of"), F.struct("trade_date", *columns).alias("bar"), F.lit(False).alias("asked")).unionByName(
+        asked.select(*KEY, "as_of", F.lit(None).cast(kind).alias("bar"), F.lit(True).alias("asked"))
     )
-    upto = Window.partitionBy("ts_code").orderBy("as_of", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*KEY).orderBy("as_of", "asked").rowsBetween(Window.unboundedPreceding, 0)
     known = timeline.withColumn("bar", F.last("bar", ignorenulls=True).over(upto)).filter("asked")
-    return known.select("ts_code", "as_of", F.col("bar.trade_date").alias("bar_date"), *[F.col(f"bar.{c}").alias(c) for c in columns])
+    return known.select(*KEY, "as_of", F.col("bar.trade_date").alias("bar_date"), *[F.col(f"bar.{c}").alias(c) for c in columns])
 
 
-def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Return and level hits of each entry per horizon; horizons the bars do not reach are left out."""
-    dated = entries.join(runs.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("as_of")), "run_id")
-    known = as_of_bars(dated, forward_bars(prices, horizons), ["ret_20d", "ahead"])
-    rows = dated.join(known, ["ts_code", "as_of"]).select(
+def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HORIZONS, market: str = "a") -> DataFrame:
+    """Return and level hits of each entry per horizon; horizons the bars do not reach are left out.
+
+    Entries are all of one market, and only its bars are looked at.
+    """
+    dated = entries.join(runs.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("as_of")), "run_id").withColumn("market", F.lit(market))
+    bars = forward_bars(prices.filter(F.col("market") == market), horizons)
+    known = as_of_bars(dated.select(*KEY, "as_of"), bars, ["ret_20d", "ahead"])
+    rows = dated.join(known, [*KEY, "as_of"]).select(
         F.col("id").alias("entry_id"), "run_id", "ts_code", "rank_in_run", "close_price", "rule_composite_score", "llm_composite_score", "recommendation",
         "predicted_buy_price", "predicted_target_price", "predicted_stop_loss", "ret_20d", F.inline("ahead"),
     )

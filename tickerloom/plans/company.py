@@ -51,8 +51,9 @@ def score_multipliers(events: DataFrame, rules: DataFrame, as_of: Column) -> Dat
     return once.groupBy(*KEY).agg(F.product("factor").alias("multiplier"))
 
 
-def risk_adjusted(entries: DataFrame, multipliers: DataFrame) -> DataFrame:
-    by_code = multipliers.groupBy("ts_code").agg(F.min("multiplier").alias("multiplier"))
+def risk_adjusted(entries: DataFrame, multipliers: DataFrame, market: str = "a") -> DataFrame:
+    """Final scores times the multiplier of their instrument; entries are all of one market."""
+    by_code = multipliers.filter(F.col("market") == market).groupBy("ts_code").agg(F.min("multiplier").alias("multiplier"))
     joined = entries.join(by_code, "ts_code", "left")
     return joined.withColumn("adjusted_score", F.col("final_composite_score") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
 
@@ -69,7 +70,7 @@ def match_names(names: DataFrame, companies: DataFrame) -> DataFrame:
     join: prefixes are reduced to one candidate each and matched by equality.
     ``exact`` marks names equal to the full name without its legal form.
     """
-    prefixes = companies.select("full_name", F.explode(F.sequence(F.lit(2), F.greatest(F.length("full_name"), F.lit(2)))).alias("n")).select(
+    prefixes = companies.select("full_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))).alias("n")).select(
         F.substring("full_name", F.lit(1), F.col("n")).alias("name"), F.struct(F.length("full_name").alias("size"), "full_name").alias("candidate")
     )
     best = prefixes.groupBy("name").agg(F.min("candidate").alias("best"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.nested import decoded
@@ -52,11 +52,13 @@ def entry_view(entries: DataFrame, *extra: str) -> DataFrame:
 
 
 def run_entries(runs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Runs with their entry count and entries, rank ascending inside a run."""
+    """Runs with their entry count and entries; ``position`` counts a run's entries by rank, then id."""
     run = entry_counts(runs, entries).select(
         F.col("id").alias("run_id"), "run_kind", iso_date("trade_date_as_of").alias("trade_date"), "entry_count"
     )
-    return run.join(entry_view(entries, "run_id"), "run_id")
+    # A run ranks each instrument of the universe at most a few times, so its entries fit one group.
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("rank", "id")).cast("bigint")
+    return run.join(entry_view(entries, "run_id"), "run_id").withColumn("position", place)
 
 
 def entry_outcomes(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def by_score(ranking: DataFrame) -> DataFrame:
     return ranking.orderBy(F.coalesce("final_composite_score", F.lit(0.0)), "id")
 
 
-def watch_flags(rows: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Whether each row's instrument is on the watchlist."""
-    listed = watchlist.select("ts_code").distinct().withColumn("watching", F.lit(True))
+def watch_flags(rows: DataFrame, watchlist: DataFrame, market: str = "a") -> DataFrame:
+    """Whether each row's instrument is on the watchlist of its market."""
+    listed = watchlist.filter(F.col("market") == market).select("ts_code").distinct().withColumn("watching", F.lit(True))
     return rows.join(listed, "ts_code", "left").withColumn("watching", F.coalesce("watching", F.lit(False)))

@@ -65,8 +65,8 @@ class Research:
 
     @cached_property
     def concept_members(self) -> DataFrame:
-        l = self.given("lineitem").filter(F.col("l_quantity") == 50)
-        pairs = l.join(self.given("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
+        """Brands that make up more than their even share of a supplier's traded quantity."""
+        pairs = self._brands(F.sum("l_quantity"))
         return pairs.select(
             code_of("l_suppkey").alias("ts_code"),
             text("Co", F.col("l_suppkey").cast("string")).alias("name"),
@@ -74,6 +74,14 @@ class Research:
             F.when(F.col("p_brand") != "Brand#25", F.col("p_brand")).alias("concept_name"),
         )
 
+    def _brands(self, measure: Column) -> DataFrame:
+        """(l_suppkey, p_brand) of the brands above the mean of the supplier's brands; a supplier has no more of these than there are brands."""
+        l = self.given("lineitem").join(self.given("part"), F.col("l_partkey") == F.col("p_partkey"))
+        own = Window.partitionBy("l_suppkey")
+        sums = l.groupBy("l_suppkey", "p_brand").agg(measure.alias("_m"))
+        above = F.col("_m") * F.count("*").over(own) > F.sum("_m").over(own)
+        return sums.withColumn("_above", above).filter("_above").select("l_suppkey", "p_brand")
+
     @cached_property
     def _day_bars(self) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
@@ -265,7 +273,7 @@ class Research:
     def news(self) -> DataFrame:
         start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
         return self.given("documents").select(
-            F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 200).alias("description"),
+            F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"),
             F.col("source").alias("source_name"), text("https://example.com/n/", F.col("doc_id").cast("string")).alias("article_url"),
             (start + seconds(F.col("doc_id") * 977 % 2592000)).alias("published_at_utc"),
         )
@@ -275,7 +283,7 @@ class Research:
         """Pages stand for the second news source."""
         start = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
         return self.given("pages").select(
-            F.col("page_id").alias("id"), F.substring("url", 1, 40).alias("title"), F.col("url").alias("description"),
+            F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("url").alias("description"),
             F.lit("alerts").alias("source_name"), F.col("url").alias("article_url"),
             (start + seconds(F.col("page_id") * 613 % 1296000)).alias("published_at_utc"),
         )
@@ -355,13 +363,16 @@ class Research:
 
     @cached_property
     def watchlist_removals(self) -> DataFrame:
-        e = self.given("events").filter((F.col("event_type") == "error") & (F.col("value") > 60))
-        return e.select(code_of("user_id").alias("ts_code"), market_of("user_id").alias("market")).distinct()
+        """Users whose last event is an error."""
+        e = newest_row(self.given("events"), ["user_id"], ["ts", "event_id"]).filter(F.col("event_type") == "error")
+        return e.select(code_of("user_id").alias("ts_code"), market_of("user_id").alias("market"))
 
     @cached_property
     def model_requests(self) -> DataFrame:
         m = self.chat_messages.filter(F.col("role") == "user")
-        key = cache_key(F.lit(MODEL), F.lit(SYSTEM_PROMPT), F.col("content"))
+        # Every other question is one of a few that keep coming back.
+        question = F.when(F.col("id") % 2 == 0, text("ask ", (F.col("id") % 20).cast("string"))).otherwise(F.col("content"))
+        key = cache_key(F.lit(MODEL), F.lit(SYSTEM_PROMPT), question)
         return m.select(F.col("id").alias("request_id"), key.alias("cache_key"), F.col("created_at_utc").alias("asked_at"))
 
     @cached_property
@@ -370,7 +381,7 @@ class Research:
         late = F.col("asked_at") - seconds((F.col("request_id") % 7) * 1000)
         return self.model_requests.select(
             "cache_key", text('{"text":"', F.col("request_id").cast("string"), '"}').alias("response_json"),
-            F.lit(3600).cast("bigint").alias("ttl_seconds"), late.alias("created_at_utc"), "request_id",
+            ((F.col("request_id") % 13 + 1) * 600).alias("ttl_seconds"), late.alias("created_at_utc"), "request_id",
         )
 
     @cached_property
@@ -413,12 +424,11 @@ class Research:
 
     @cached_property
     def company_risk_events(self) -> DataFrame:
-        """Only large events count as risk events."""
         kind = (
             F.when(F.col("event_type") == "error", "dishonest").when(F.col("event_type") == "purchase", "execution")
             .when(F.col("event_type") == "click", "abnormal").when(F.col("event_type") == "view", "court").otherwise("serious")
         )
-        return self.given("events").filter(F.col("value") > 150).select(
+        return self.given("events").select(
             F.col("event_id").alias("id"), code_of("user_id").alias("ts_code"), market_of("user_id").alias("market"), kind.alias("risk_type"),
             text("case ", F.col("event_id").cast("string")).alias("title"), F.col("value").alias("involved_amount"),
             F.to_date("ts").alias("event_date"), F.col("ts").alias("seen_at_utc"),
@@ -432,9 +442,8 @@ class Research:
 
     @cached_property
     def business_scopes(self) -> DataFrame:
-        """Brands sold in lots of 49, as one scope text per instrument (at most one entry per brand)."""
-        l = self.given("lineitem").filter(F.col("l_quantity") == 49)
-        b = l.join(self.given("part"), F.col("l_partkey") == F.col("p_partkey"))
+        """Brands with more than their even share of a supplier's lines, as one scope text per instrument."""
+        b = self._brands(F.count("*"))
         scope = F.array_join(F.sort_array(F.collect_set("p_brand")), "、")
         return b.groupBy("l_suppkey").agg(scope.alias("business_scope")).select(
             code_of("l_suppkey").alias("ts_code"), market_of("l_suppkey").alias("market"), "business_scope"

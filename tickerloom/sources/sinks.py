@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import token_cost
-from tickerloom.operators.merge import fill_missing_days
+from tickerloom.operators.merge import fill_missing
 from tickerloom.operators.newest import newest_row
+from tickerloom.sources.tables import parquet_or_empty
 
 MONTH = "month"
+WRITERS = 8  # runs are few and small
 
 
 def _write_by(df: DataFrame, column: str, mode: str, path: str, **options: str) -> None:
@@ -29,21 +31,27 @@ def append_messages(messages: DataFrame, path: str) -> None:
 
 
 def append_pick_run(run: DataFrame, entries: DataFrame, runs_path: str, entries_path: str) -> DataFrame:
-    """Append a run and its ranked entries; returns the newest entry id per run."""
+    """Append runs and their ranked entries; returns the newest stored entry id of each of these runs.
+
+    Entries go first and the runs last, so nobody sees a run without its
+    entries; what is stored already is left out, so a retry adds nothing.
+    """
+    spark = run.sparkSession
     day = run.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("trade_date"))
-    run.write.mode("append").parquet(runs_path)
-    listed = entries.join(day, "run_id")
+    held_entries = parquet_or_empty(spark, entries_path, "id string, run_id bigint")
+    held_runs = parquet_or_empty(spark, runs_path, "id bigint")
+    listed = entries.join(day, "run_id").join(held_entries, ["id", "run_id"], "left_anti")
     _write_by(with_month(listed, "trade_date"), MONTH, "append", entries_path)
-    return newest_row(listed, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
+    run.join(held_runs, "id", "left_anti").coalesce(WRITERS).write.mode("append").parquet(runs_path)
+    stored = spark.read.schema("id string, run_id bigint").parquet(entries_path).join(day.select("run_id"), "run_id", "left_semi")
+    return newest_row(stored, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
 
 
 def catch_up_prices(stored: DataFrame, arriving: DataFrame, path: str) -> None:
-    """Add the days not stored yet, newest arrival winning per key.
+    """Append the bars whose instrument and day are not stored yet, newest arrival winning per key.
 
-    Each month that gains a day is rewritten whole from its stored and its new
-    rows, other months are left alone, so a repeated or restarted load ends in
-    the same table.  ``stored`` is what ``path`` holds.
+    Stored bars are only read, so a load that breaks off loses none, and a
+    repeated one adds nothing.  ``stored`` is what ``path`` holds; one writer.
     """
-    fresh = with_month(fill_missing_days(stored, arriving, ["ts_code", "market", "trade_date"], "trade_date"), "trade_date")
-    kept = with_month(stored, "trade_date").join(fresh.select(MONTH).distinct(), MONTH, "left_semi")
-    _write_by(kept.unionByName(fresh), MONTH, "overwrite", path, partitionOverwriteMode="dynamic")
+    fresh = fill_missing(stored, arriving, ["ts_code", "market", "trade_date"])
+    _write_by(with_month(fresh, "trade_date"), MONTH, "append", path)

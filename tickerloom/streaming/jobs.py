@@ -1,8 +1,9 @@
 """Streaming twins of the batch results (definitions ours).
 
 Every job is an append-mode query with a watermark, so its state is bounded by
-the rows inside the watermark and a closed window never changes again.  All
-combine on the map side, so a hot key costs a few rows per task.
+the rows inside the watermark and a closed window never changes again.  Before
+the shuffle, aggregates combine, sessions are merged and alerts and deliveries
+are thinned out to one row per key and Arrow batch, so a hot key moves few rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tickerloom.plans.execution import stages
 from tickerloom.session import scratch_path
 
 LATENESS = "1 hour"
+MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def timed(df: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
@@ -71,20 +73,27 @@ def first_touch_of_day(ticks: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 ALERT = "plan_date date, ts_code string, event_id bigint, price double, touch string"
-
-
 TOUCH = "plan_date date, ts_code string, at timestamp, event_id bigint, price double, touch string"
 PLAN = ["plan_date", "ts_code"]
 
 
-def first_per_plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep one touch per plan and batch, so that a busy plan sends little to its state."""
-    for pdf in batches:
-        yield pdf.sort_values(["at", "event_id"]).drop_duplicates(PLAN)
+def one_per_key(keys: list[str], order: list[str]):
+    """Keeps one row per key and batch, so that a busy key sends little to its state.
+
+    A function made here travels to the workers by value, so these need not have the package.
+    """
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values(order).drop_duplicates(keys)
+
+    return thin
 
 
 def touch_alerts(ticks: DataFrame, plans: DataFrame) -> DataFrame:
-    """First touch per plan as soon as it arrives; the state of a plan is one flag, dropped after its day.
+    """First touch of a plan to arrive (the earliest one of the first micro-batch that has any); the state of a plan is one flag, dropped after its day.
+
+    A touch that arrives later with an earlier time changes nothing; ``first_touch_of_day`` waits for those.
 
     The watermark is set on the touches, after they are thinned out.
     """
@@ -106,7 +115,7 @@ def touch_alerts(ticks: DataFrame, plans: DataFrame) -> DataFrame:
         state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([{"plan_date": key[0], "ts_code": key[1], "event_id": first["event_id"], "price": first["price"], "touch": first["touch"]}])
 
-    rows = touches(ticks, plans, None).select(*PLAN, "at", "event_id", "price", "touch").mapInPandas(first_per_plan, TOUCH)
+    rows = touches(ticks, plans, None).select(*PLAN, "at", "event_id", "price", "touch").mapInPandas(one_per_key(PLAN, ["at", "event_id"]), TOUCH)
     return rows.withWatermark("at", LATENESS).groupBy(*PLAN).applyInPandasWithState(run, ALERT, "sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -117,14 +126,16 @@ def stage_flags(arrivals: DataFrame) -> DataFrame:
 
 
 def message_sessions(messages: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Bursts of messages of a session, ended by a pause longer than ``gap``."""
+    """Bursts of messages of a session, ended by a pause longer than ``gap``; each task merges its own before they move."""
+    messages.sparkSession.conf.set(MERGE, "true")
     grouped = timed(messages, "created_at_utc").groupBy(F.session_window("at", gap), "session_id").agg(F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd"))
     return grouped.select(*span("session_window"), "session_id", "messages", "cost_usd")
 
 
 def first_deliveries(links: DataFrame, keys: list[str], time: str, lateness: str = "30 days") -> DataFrame:
     """Rows whose key was not delivered before within the watermark."""
-    return timed(links, time, lateness).dropDuplicatesWithinWatermark(keys)
+    few = links.mapInPandas(one_per_key(keys, [time]), links.schema)
+    return timed(few, time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
