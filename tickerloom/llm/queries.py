@@ -12,6 +12,7 @@ from tickerloom.llm.rules import judge
 from tickerloom.llm.simhash import fingerprint_edits
 from tickerloom.llm.sources import table, tokenizer_path
 from tickerloom.llm.suffixes import remove_repeats
+from tickerloom.llm.token_output import packed_ids
 from tickerloom.llm.urls import filter_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +24,7 @@ QUERIES = {
     "op4_packing": lambda spark, folder: pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER), 4096),
     "op5_url_filter": lambda spark, folder: filter_urls(table(spark, folder, "pages")),
     "op6_host_rules": lambda spark, folder: judge(table(spark, folder, "documents")),
+    "op7_token_matrices": lambda spark, folder: packed_ids(table(spark, folder, "documents"), tokenizer_path(TOKENIZER), 4096),
     "op8_fingerprints": lambda spark, folder: fingerprint_edits(table(spark, folder, "documents")),
     "op9_mixing": lambda spark, folder: mix(table(spark, folder, "documents")),
     "op10_personal_data": lambda spark, folder: detect(table(spark, folder, "documents")),
