@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, db, name):
 def test_all_ten_are_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in (1, 2, 3, 4, 5, 6, 8, 9, 10)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
@@ -43,7 +43,7 @@ def test_pipeline_stages_hand_on_documents(spark):
         docs = corpus_pipeline.pin(stage(spark, docs, FOLDER))
         assert docs.columns == columns
         counts.append(docs.count())
-    assert counts[1] < counts[0] and counts[2] < counts[1] == counts[1] and counts[3] == counts[2]
+    assert counts[2] < counts[1] < counts[0] and counts[3] == counts[2]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert whole.filter("n <> end OR n > 4096").isEmpty()
