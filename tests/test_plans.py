@@ -325,15 +325,27 @@ def test_forecast_is_compared_with_the_next_day_only(spark):
 
 
 def test_names_match_as_by_comparing_all_pairs(spark):
+    """Prefixes first, then the nearest by edit distance, also for one character and for names in the middle."""
     full = ["平安银行股份有限公司", "平安银行理财有限公司", "平安", "中国平安保险集团股份有限公司", "贵州茅台酒股份有限公司"]
-    short = ["平安银行", "平安", "中国平安", "茅台", "贵州茅台酒"]
+    short = ["平安银行", "平安", "中国平安", "茅台", "贵州茅台酒", "平", "茅台酒股份", "无此"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
     want = {}
     for s in short:
-        best = sorted((len(c), c) for c in full if c.startswith(s))
-        want[s] = (best[0][1], best[0][0] - len(s)) if best else (None, None)
+        starts = sorted((len(c), c) for c in full if c.startswith(s))
+        near = sorted((edits(s, c), c) for c in full if any(s[k : k + 2] in c for k in range(len(s) - 1)))
+        want[s] = (starts[0][1], starts[0][0] - len(s)) if starts else (near[0][1], near[0][0]) if near else (None, None)
     got = company.match_names(spark.createDataFrame([(s,) for s in short], "name string"), spark.createDataFrame([(c,) for c in full], "full_name string"))
     rows = {r["name"]: r for r in got.collect()}
     assert {k: (r["full_name"], r["distance"]) for k, r in rows.items()} == want
+    assert want["茅台"][0] == "贵州茅台酒股份有限公司" and want["无此"] == (None, None)
     assert (rows["贵州茅台酒"]["exact"], rows["中国平安"]["exact"], rows["茅台"]["exact"]) == (True, False, False)
 
 

@@ -306,14 +306,23 @@ def _(r):
     return company.code_mismatches(company.current_profiles(r.company_profile_feed)).select("ts_code", "market", "code_mismatch")
 
 
+def one(name: str) -> str:
+    """The name with one byte per character, as the SQL side's edit distance counts bytes."""
+    return f"translate({name}, '集团股份有限公司', 'abcdefghi')"
+
+
 @query(
     "tc05_match_names",
-    f"""SELECT name, full_name, CAST(length(full_name) - length(name) AS BIGINT) AS distance, coalesce(regexp_replace(full_name, '(集团股份有限公司|股份有限公司|有限公司)$', '') = name, false) AS exact
-        FROM (SELECT i.name, p.full_name, row_number() OVER (PARTITION BY i.name ORDER BY length(p.full_name), p.full_name) AS rn FROM v_instruments i
-              LEFT JOIN (SELECT DISTINCT full_name FROM {PROFILES} q) p ON starts_with(p.full_name, i.name)) t WHERE rn = 1""",
+    f"""WITH p AS (SELECT DISTINCT full_name FROM {PROFILES} q),
+        n AS (SELECT name FROM v_instruments UNION ALL SELECT substr(full_name, 3) FROM p WHERE full_name LIKE '%3%')
+        SELECT name, full_name, CAST(levenshtein({one('name')}, {one('full_name')}) AS BIGINT) AS distance, coalesce(regexp_replace(full_name, '(集团股份有限公司|股份有限公司|有限公司)$', '') = name, false) AS exact
+        FROM (SELECT n.name, p.full_name, row_number() OVER (PARTITION BY n.name ORDER BY NOT starts_with(p.full_name, n.name),
+                  CASE WHEN starts_with(p.full_name, n.name) THEN length(p.full_name) ELSE levenshtein({one('n.name')}, {one('p.full_name')}) END, p.full_name) AS rn FROM n CROSS JOIN p) t WHERE rn = 1""",
 )
 def _(r):
-    return company.match_names(r.instruments.select("name"), company.current_profiles(r.company_profile_feed))
+    profiles = company.current_profiles(r.company_profile_feed)
+    cut = profiles.filter(F.contains("full_name", F.lit("3"))).select(F.substring("full_name", F.lit(3), F.length("full_name")).alias("name"))
+    return company.match_names(r.instruments.select("name").union(cut), profiles)
 
 
 @query(

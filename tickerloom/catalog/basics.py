@@ -8,6 +8,7 @@ from tickerloom.catalog.registry import query
 from tickerloom.functions import nested, scalar, text
 from tickerloom.operators import newest
 from tickerloom.plans import assistant, dashboard, execution, forecast, market, picks, watchlist
+from tickerloom.session import scratch_path
 from tickerloom.sources import snapshots, tables
 from tickerloom.sources.derived import CHART_ROOT
 
@@ -60,8 +61,10 @@ def _(r):
 def _(r):
     from tickerloom.plans.company import RISK_RULES
 
-    rules = tables.risk_rules(r.spark, RISK_RULES)
-    return r.company_risk_events.join(F.broadcast(rules), "risk_type").select("id", "action")
+    # The rules are written as a file first, as a user would keep them.
+    path = scratch_path(r.spark, "strategy")
+    tables.risk_rules(r.spark, RISK_RULES).write.json(path)
+    return r.company_risk_events.join(tables.risk_rules_file(r.spark, path), "risk_type").select("id", "action")
 
 
 @query(

@@ -38,7 +38,7 @@ def newest_complete_dates(prices: DataFrame, least: int | Column = 1000, days: i
 
 def panel(prices: DataFrame, dates: DataFrame) -> DataFrame:
     """Bars of the given dates (a short list of days), long form."""
-    return prices.join(F.broadcast(dates), "trade_date", "left_semi")
+    return prices.join(dates, "trade_date", "left_semi")
 
 
 def coverage_gaps(instruments: DataFrame, prices: DataFrame, since=None) -> DataFrame:

@@ -33,7 +33,7 @@ def current_profiles(feed: DataFrame) -> DataFrame:
 
 def matching_rules(events: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
     """Events with each rule of their type; a rule without look-back has no date limit."""
-    hits = events.join(F.broadcast(rules), "risk_type")
+    hits = events.join(rules, "risk_type")
     recent = F.col("lookback_days").isNull() | (F.col("event_date") >= F.date_sub(as_of, F.col("lookback_days")))
     return hits.filter(recent)
 
@@ -62,28 +62,48 @@ def code_mismatches(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("code_mismatch", ~F.col("stock_number").eqNullSafe(F.col("ts_code")))
 
 
-def match_names(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """Full company name for each short name: the shortest company name that starts with it.
+def _bigrams(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with one row for each distinct pair of neighbouring characters."""
+    last = F.length(text) - 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("bigram", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(2))))))
+
+
+def match_names(names: DataFrame, companies: DataFrame, bigrams: int = 2) -> DataFrame:
+    """Full company name for each short name: the shortest one that starts with it, else the nearest by edit distance.
 
     A short name that is a prefix of a full name has an edit distance equal to
     the surplus length, so the best candidate per prefix is known before the
     join: prefixes are reduced to one candidate each and matched by equality.
-    ``exact`` marks names equal to the full name without its legal form.
+    Other names are looked up by their ``bigrams`` rarest character pairs, so
+    a pair that most companies have (as in a legal form) brings no candidates
+    unless a name has nothing else; the edit distance then decides, the first
+    name in order among equals.  ``exact`` marks names equal to the full name
+    without its legal form.
     """
-    prefixes = companies.select("full_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))).alias("n")).select(
+    listed = companies.select("full_name").distinct()
+    prefixes = listed.select("full_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))).alias("n")).select(
         F.substring("full_name", F.lit(1), F.col("n")).alias("name"), F.struct(F.length("full_name").alias("size"), "full_name").alias("candidate")
     )
     best = prefixes.groupBy("name").agg(F.min("candidate").alias("best"))
-    joined = names.join(best, "name", "left")
-    bare = F.regexp_replace("best.full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
-    return joined.select(
-        *names.columns, F.col("best.full_name").alias("full_name"), F.levenshtein("name", "best.full_name").cast("bigint").alias("distance"),
-        F.coalesce(bare == F.col("name"), F.lit(False)).alias("exact"),
+    wanted = names.select("name").distinct().join(best, "name", "left").select("name", F.col("best.full_name").alias("by_prefix"))
+    blocks = _bigrams(listed, "full_name")
+    common = blocks.groupBy("bigram").agg(F.count("*").alias("companies"))
+    rarest = Window.partitionBy("name").orderBy("companies", "bigram")
+    lookups = _bigrams(wanted.filter("by_prefix IS NULL"), "name").join(common, "bigram").withColumn("_k", F.row_number().over(rarest)).filter(F.col("_k") <= bigrams)
+    candidates = lookups.select("name", "bigram").join(blocks, "bigram").select("name", "full_name").distinct()
+    nearest = candidates.groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name")).alias("near"))
+    found = wanted.join(nearest, "name", "left").select("name", F.coalesce("by_prefix", "near.full_name").alias("full_name"))
+    bare = F.regexp_replace("full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
+    return names.join(found, "name", "left").select(
+        *names.columns, "full_name", F.levenshtein("name", "full_name").cast("bigint").alias("distance"), F.coalesce(bare == F.col("name"), F.lit(False)).alias("exact"),
     )
 
 
 def match_rate(matched: DataFrame) -> DataFrame:
-    return matched.agg(F.count("*").alias("names"), F.count("full_name").alias("matched"), F.round(F.count("full_name") * 100.0 / F.count("*"), 1).alias("match_pct"))
+    """How many names were matched for certain, that is by a full name that starts with them."""
+    sure = F.count_if(F.coalesce(F.startswith("full_name", "name"), F.lit(False)))
+    return matched.agg(F.count("*").alias("names"), sure.alias("matched"), F.round(sure * 100.0 / F.count("*"), 1).alias("match_pct"))
 
 
 def controllers(holders: DataFrame, controlling_pct: float = 50.0) -> DataFrame:

@@ -424,11 +424,14 @@ class Research:
 
     @cached_property
     def company_risk_events(self) -> DataFrame:
+        """Events of more than three times the mean of all."""
         kind = (
             F.when(F.col("event_type") == "error", "dishonest").when(F.col("event_type") == "purchase", "execution")
             .when(F.col("event_type") == "click", "abnormal").when(F.col("event_type") == "view", "court").otherwise("serious")
         )
-        return self.given("events").select(
+        e = self.given("events")
+        heavy = F.col("value") > e.agg(F.avg("value") * 3).scalar()
+        return e.filter(heavy).select(
             F.col("event_id").alias("id"), code_of("user_id").alias("ts_code"), market_of("user_id").alias("market"), kind.alias("risk_type"),
             text("case ", F.col("event_id").cast("string")).alias("title"), F.col("value").alias("involved_amount"),
             F.to_date("ts").alias("event_date"), F.col("ts").alias("seen_at_utc"),

@@ -44,11 +44,14 @@ def json_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(RESEARCH_SCHEMAS[name]).json(path)
 
 
-def score_weights(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
-    """Strategy weights as rows, one per factor."""
-    return spark.createDataFrame(sorted(weights.items()), "factor string, weight double")
+RULES = "risk_type string, action string, lookback_days int, factor double"
 
 
 def risk_rules(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     """Risk rules as rows (risk_type, action, lookback_days, factor)."""
-    return spark.createDataFrame(rules, "risk_type string, action string, lookback_days int, factor double")
+    return spark.createDataFrame(rules, RULES)
+
+
+def risk_rules_file(spark: SparkSession, path: str) -> DataFrame:
+    """Risk rules from a file or folder of JSON lines; a field left out is null."""
+    return spark.read.schema(RULES).json(path)
