@@ -81,8 +81,8 @@ def _(r):
        LEFT JOIN v_pick_outcomes o ON o.entry_id = e.id""",
 )
 def _(r):
-    rows = picks.entry_outcomes(r.pick_entries.select("id", "ts_code", F.col("rank_in_run").alias("rank")), r.pick_outcomes)
-    return rows.select("id", "ts_code", "rank", F.inline_outer("backtest_outcomes")).drop("hit_buy")
+    rows = picks.outcome_rows(r.pick_entries.select("id", "ts_code", F.col("rank_in_run").alias("rank")), r.pick_outcomes)
+    return rows.select("id", "ts_code", "rank", "horizon_days", "return_pct", "hit_target", "hit_stop")
 
 
 @query(

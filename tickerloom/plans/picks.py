@@ -52,13 +52,15 @@ def entry_view(entries: DataFrame, *extra: str) -> DataFrame:
 
 
 def run_entries(runs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Runs with their entry count and entries; ``position`` counts a run's entries by rank, then id."""
-    run = entry_counts(runs, entries).select(
-        F.col("id").alias("run_id"), "run_kind", iso_date("trade_date_as_of").alias("trade_date"), "entry_count"
-    )
-    # A run ranks each instrument of the universe at most a few times, so its entries fit one group.
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("rank", "id")).cast("bigint")
-    return run.join(entry_view(entries, "run_id"), "run_id").withColumn("position", place)
+    """Runs with their entry count and entries; ``position`` counts a run's entries by rank, then id.
+
+    A run ranks each instrument of the universe at most a few times, so its
+    entries fit one group; count and position come from the groups of the join.
+    """
+    run = runs.select(F.col("id").alias("run_id"), "run_kind", iso_date("trade_date_as_of").alias("trade_date"))
+    own = Window.partitionBy("run_id")
+    rows = run.join(entry_view(entries, "run_id"), "run_id").withColumn("entry_count", F.count("*").over(own))
+    return rows.withColumn("position", F.row_number().over(own.orderBy("rank", "id")).cast("bigint"))
 
 
 def entry_outcomes(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -72,6 +74,11 @@ def entry_outcomes(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
+def outcome_rows(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row per entry and outcome, flat; an entry without outcomes has one row of nulls."""
+    return entries.join(outcomes.withColumnRenamed("entry_id", "id"), "id", "left")
+
+
 def newest_reports(entries: DataFrame) -> DataFrame:
     """The newest entry of every instrument code."""
     return newest_row(entries, ["ts_code"], ["created_at_utc", "id"])
