@@ -1,6 +1,6 @@
 """Removal of repeated passages: suffix sorting of everything that could repeat.
 
-A 50-byte string names an anchor inside itself: of its 24-byte pieces the one
+A 50-byte string names an anchor inside itself: of its 28-byte pieces the one
 with the smallest hash.  Equal strings name equal anchors, so a string can
 only repeat across documents if its anchor does.  The steps are
 
@@ -11,7 +11,9 @@ only repeat across documents if its anchor does.  The steps are
    smallest document id that has them, to buckets again;
 4. each bucket sorts all suffixes of its surroundings by external induced
    sorting; suffixes that share 50 bytes or more are occurrences of one
-   string, whose smallest document id goes back to the blocks;
+   string, whose smallest document id goes back to the blocks.  Equal
+   surroundings are sorted as one, and the only surroundings of an anchor not
+   at all, as their strings can equal no others;
 5. each block removes the bytes of strings that a smaller id has.
 
 What a hot passage sends is one entry per block, however many documents of
@@ -34,7 +36,7 @@ from tickerloom.llm.induced import sort_suffixes
 from tickerloom.llm.tokens import gather
 from tickerloom.session import pin
 
-LENGTH, PIECE = 50, 24
+LENGTH, PIECE = 50, 28
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -246,7 +248,7 @@ def _texts_of(wanted: pa.Table, kind: int) -> list[bytes]:
 
 
 def surroundings(blocks: DataFrame, found: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block, data, lengths, least): each block's distinct surroundings of shared anchors."""
+    """(bucket, block, anchors, data, lengths, least): each block's distinct surroundings of shared anchors."""
 
     def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
@@ -254,15 +256,15 @@ def surroundings(blocks: DataFrame, found: DataFrame, bits: int) -> DataFrame:
             ids, at, data = _block(block)
             s = _Surroundings(ids, at, data, [k.as_py() for k in wanted.column("keys")])
             for bucket, a, b in _slices(s.key, bits):
-                rows.append((bucket, block.column("block")[0].as_py(), _packed(gather(data, s.start[a:b], s.length[a:b]).tobytes()), _packed(s.length[a:b].astype(np.int32).tobytes()), _packed(s.least[a:b].tobytes())))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "block", "data", "lengths", "least"), columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+                rows.append((bucket, block.column("block")[0].as_py(), _packed(_bytes_of(s.key[a:b])), _packed(gather(data, s.start[a:b], s.length[a:b]).tobytes()), _packed(s.length[a:b].astype(np.int32).tobytes()), _packed(s.least[a:b].tobytes())))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.table({n: pa.array(c, pa.int64() if n in ("bucket", "block") else pa.binary()) for n, c in zip(("bucket", "block", "anchors", "data", "lengths", "least"), columns, strict=True)})
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "bucket long, block long, data binary, lengths binary, least binary")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "bucket long, block long, anchors binary, data binary, lengths binary, least binary")
 
 
 # ---------------------------------------------------------------- suffixes
-def smallest_owners(data: np.ndarray, length: np.ndarray, least: np.ndarray, budget: int = 96 << 20) -> tuple[np.ndarray, np.ndarray]:
+def smallest_owners(data: np.ndarray, length: np.ndarray, least: np.ndarray, budget: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
     """For every string start of distinct passages the smallest owner of that string, and where each passage's begin.
 
     All suffixes of the passages, apart by separators, come in descending
@@ -272,8 +274,13 @@ def smallest_owners(data: np.ndarray, length: np.ndarray, least: np.ndarray, bud
     text = np.ones(len(data) + len(length) + 1, np.uint16)
     start = np.cumsum(length) - length + np.arange(len(length))
     owner = np.repeat(np.arange(len(length), dtype=np.int32), length + 1)
-    text[gather(np.arange(len(text)), start, length)] = data.astype(np.uint16) + 2
+    inside = np.ones(len(text), bool)
+    inside[start + length] = False
+    inside[-1] = False
+    text[inside] = data
+    text[inside] += 2
     text[-1] = 0
+    del inside
     strings = length - LENGTH + 1
     first = np.concatenate(([0], np.cumsum(strings)))
     places, groups, runs = [], [], 0
@@ -286,8 +293,8 @@ def smallest_owners(data: np.ndarray, length: np.ndarray, least: np.ndarray, bud
         who = owner[np.where(inside, pos, 0)]
         offset = pos - start[who]
         good = inside & (offset < strings[who])
-        places.append((first[who] + offset)[good])
-        groups.append(group[good])
+        places.append((first[who] + offset)[good].astype(np.int32))
+        groups.append(group[good].astype(np.int32))
 
     sort_suffixes(text, 258, take, budget)
     place, group = np.concatenate(places), np.concatenate(groups)
@@ -308,17 +315,30 @@ def resolved(passages: DataFrame) -> DataFrame:
         length = np.concatenate(lengths)
         data = np.concatenate([_unpacked(x.as_py(), np.uint8) for x in table.column("data")])
         least = np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column("least")])
-        # Passages that several blocks sent are sorted once, for the smallest of their owners.
+        anchor = np.concatenate([_keys_of(zstandard.ZstdDecompressor().decompress(x.as_py())) for x in table.column("anchors")])
+        # Passages that several blocks sent count once, for the smallest of their owners.
         begin = np.cumsum(length) - length
         prints = _hash_ranges(data, begin, length)
-        order = np.lexsort((prints, length))
+        order = np.lexsort((prints, anchor))
+        prints = prints[order]
+        key = anchor[order]
         new = np.ones(len(order), bool)
-        new[1:] = (prints[order][1:] != prints[order][:-1]) | (length[order][1:] != length[order][:-1])
+        new[1:] = (prints[1:] != prints[:-1]) | (key[1:] != key[:-1])
         at = np.flatnonzero(new)
         kept = order[at]
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
-        owners, first = smallest_owners(gather(data, begin[kept], length[kept]), length[kept], np.minimum.reduceat(least[order], at))
+        own = np.minimum.reduceat(least[order], at)
+        strings = length[kept] - LENGTH + 1
+        first = np.concatenate(([0], np.cumsum(strings)))
+        owners = np.repeat(own, strings)
+        _, which, many = np.unique(key[at], return_inverse=True, return_counts=True)
+        compared = np.flatnonzero(many[which] > 1)
+        if len(compared):
+            found, _ = smallest_owners(gather(data, begin[kept[compared]], length[kept[compared]]), length[kept[compared]], own[compared])
+            of_compared = np.zeros(len(kept), bool)
+            of_compared[compared] = True
+            owners[np.repeat(of_compared, strings)] = found
         # Runs of equal owners within each passage.
         cut = np.ones(len(owners), bool)
         cut[1:] = owners[1:] != owners[:-1]
@@ -330,9 +350,9 @@ def resolved(passages: DataFrame) -> DataFrame:
         ends = np.cumsum(n)
         rows = []
         for e, k in zip(ends.tolist(), n.tolist(), strict=True):
-            own = back[e - k : e]
-            count = of_passage[own + 1] - of_passage[own]
-            which = gather(np.arange(len(run_at)), of_passage[own], count)
+            ours = back[e - k : e]
+            count = of_passage[ours + 1] - of_passage[ours]
+            which = gather(np.arange(len(run_at)), of_passage[ours], count)
             rows.append(_packed(b"".join((np.array([k, len(which)], np.int64).tobytes(), count.astype(np.int64).tobytes(), run_size[which].tobytes(), run_owner[which].tobytes()))))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "keys": pa.array(rows, pa.binary())})
 
