@@ -84,9 +84,9 @@ class Spools:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def _joined(parts: list[tuple[np.ndarray, ...]], like) -> tuple[np.ndarray, ...]:
+def _joined(parts: list[tuple[np.ndarray, ...]], char, place) -> tuple[np.ndarray, ...]:
     if not parts:
-        return np.zeros(0, like), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return np.zeros(0, char), np.zeros(0, place), np.zeros(0, np.uint8)
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
@@ -150,17 +150,24 @@ class _Pushes:
         return order, _longer(out)
 
 
+def _place_type(n: int):
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S; the last character is a unique smallest one and of type S."""
     n = len(text)
     step = np.ones(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    at = np.where(step != 0, np.arange(n), n)
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
+    at = np.where(step != 0, np.arange(n, dtype=_place_type(n)), _place_type(n)(n))
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Common prefix of the suffixes at a and b, known to share ``start`` characters, up to CAP."""
+    if len(a) > 4 * BATCH:
+        some = range(0, len(a), 4 * BATCH)
+        return np.concatenate([_common(text, *(x[i : i + 4 * BATCH] for x in (a, b, start))) for i in some])
     out = np.minimum(start, CAP)
     live = np.flatnonzero(out < CAP)
     n = len(text)
@@ -180,7 +187,7 @@ class _Level:
         # A character each for small alphabets; else not too many ranges, as every batch pushes to most of them.
         self.small = alphabet <= 512
         self.ranges = alphabet if self.small else min(256, max(16, len(text) >> 14))
-        self.kind = text.dtype
+        self.kind, self.place = text.dtype, _place_type(len(text))
 
     def range_of(self, char: np.ndarray) -> np.ndarray:
         return char if self.small else char.astype(np.int64) * self.ranges // self.alphabet
@@ -206,9 +213,9 @@ class _Level:
                 a, b = seed_at[r], seed_at[r + 1]
                 self._pass(r, lefts, (chars[a:b], seeds[a:b], shared[a:b]), naming, True, lambda c, p, v, r=r: done.push(r, c, p, v), seeds_too=False)
             # The last character is the one S suffix that no other pushes.
-            rights.push(0, self.text[-1:], np.array([len(self.text) - 1]), np.zeros(1, np.uint8))
+            rights.push(0, self.text[-1:], np.array([len(self.text) - 1], self.place), np.zeros(1, np.uint8))
             for r in range(self.ranges - 1, -1, -1):
-                ended = tuple(x[::-1] for x in _joined(done.pop(r), self.kind))
+                ended = tuple(x[::-1] for x in _joined(done.pop(r), self.kind, self.place))
                 # Descending: each one's common prefix with the one before is what the next one had with it.
                 lcp = np.zeros(len(ended[2]), np.uint8)
                 lcp[1:] = ended[2][:-1]
@@ -223,7 +230,7 @@ class _Level:
         ``left``: the ascending pass, whose seeds are LMS suffixes; else the descending one, whose seeds are L suffixes.
         """
         pushes = _Pushes(self.alphabet)
-        waiting = _joined(queue.pop(r), self.kind)
+        waiting = _joined(queue.pop(r), self.kind, self.place)
         if not self.small:
             order = np.argsort(waiting[0] if left else -waiting[0].astype(np.int64), kind="stable")
             waiting = tuple(x[order] for x in waiting)
@@ -276,7 +283,7 @@ class _Level:
                     last = int(p[-1])
                 own = [x for x in own if len(x[0])]
                 if own:
-                    stages.append((_joined(own, self.kind), True))
+                    stages.append((_joined(own, self.kind, self.place), True))
                 elif queued and len(ours[0]):
                     stages.append((ours, False))
                     ours = tuple(x[:0] for x in ours)
@@ -310,7 +317,7 @@ class _Level:
             v = ours[2].copy()
             v[0] = 0 if naming or not n_w else self._border(int(waves[-1][1][-1]), int(ours[1][0]))
             waves.append((ours[0], ours[1], v))
-        c, p, v = _joined(waves, self.kind)
+        c, p, v = _joined(waves, self.kind, self.place)
         if n_w and not seeds_too:
             emit(c[:n_w], p[:n_w], v[:n_w])
         elif seeds_too:
@@ -415,7 +422,8 @@ def sort_suffixes(text: np.ndarray, alphabet: int, emit: Callable[[np.ndarray, n
         emit(np.zeros(1, np.int64), np.zeros(1, np.uint8))
         return
     s = _types(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(_place_type(n))
+    del s
     level = _Level(text, alphabet, budget)
     # Naming: the LMS suffixes in order of their first character induce the order of their substrings.
     seeds = lms[np.argsort(text[lms], kind="stable")]
@@ -463,11 +471,13 @@ def sort_suffixes(text: np.ndarray, alphabet: int, emit: Callable[[np.ndarray, n
         ranked = np.concatenate(pos_parts)[::-1]
         lcp = np.concatenate(lcp_parts)[::-1]
         # Descending common prefixes belong to the neighbour below.
-        agreed = np.append(0, lcp[:-1]).astype(np.int64)
+        agreed = np.append(0, lcp[:-1]).astype(np.int32)
+        del pos_parts, lcp_parts, lcp, reduced
     # Names agreed upon are whole substrings; from there on the characters tell.
     seeds = lms[ranked]
-    known = np.zeros(len(seeds), np.int64)
+    known = np.zeros(len(seeds), lms.dtype)
     known[1:] = lms[np.minimum(ranked[:-1] + agreed[1:], len(lms) - 1)] - seeds[:-1]
+    del ranked, agreed
     shared = np.zeros(len(seeds), np.uint8)
     shared[1:] = _common(text, seeds[:-1], seeds[1:], known[1:])
     level.induce(seeds, shared, False, emit)

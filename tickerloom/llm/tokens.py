@@ -10,6 +10,7 @@ import numpy as np
 from tickerloom.llm.bytetext import SPACE, Texts, hash_runs
 
 
+GATHERED = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -55,7 +56,17 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     """The stretches ``values[start[i] : start[i] + length[i]]`` end to end."""
     ends = np.cumsum(length)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(start - (ends - length), length)]
+    out = np.empty(total, values.dtype)
+    first = 0
+    while first < len(ends):
+        # About a million at a time, as the places take far more room than what lies there.
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + GATHERED, side="right")))
+        n, here = length[first:last], ends[first:last]
+        upto = int(here[-1])
+        out[done:upto] = values[np.arange(done, upto) + np.repeat(start[first:last] - (here - n), n)]
+        first = last
+    return out
 
 
 class WordEncoder:
