@@ -55,7 +55,8 @@ def shingles(text):
     return {tuple(w)} - {()} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
-def test_near_duplicates_equal_all_pairs(spark, documents, corpus):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_all_pairs(spark, documents, corpus, percent):
     sets = [(i, shingles(t)) for i, t in corpus]
     reach = {i: i for i, _ in corpus if i is not None}
 
@@ -66,11 +67,11 @@ def test_near_duplicates_equal_all_pairs(spark, documents, corpus):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 lo, hi = sorted((find(i), find(j)))
                 reach[hi] = lo
     expected = Counter((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets)
-    assert Counter(collected(minhash.near_duplicates(documents(corpus)))) == expected
+    assert Counter(collected(minhash.near_duplicates(documents(corpus), minhash.Settings(percent=percent)))) == expected
     assert len({find(i) for i in reach}) < len(reach)
 
 
@@ -90,7 +91,7 @@ def test_a_large_family_is_one_group(spark, documents):
 
 def test_sketches_estimate_the_difference():
     r = np.random.default_rng(4)
-    s = minhash.Settings()
+    s = minhash.Settings(percent=85)
     for n, j in ((100, 0.9), (3000, 0.85), (20000, 0.85)):
         common = int(2 * n * j / (1 + j))
         ids = r.integers(1, 2**48, 2 * n - common).astype(np.uint64)
@@ -169,6 +170,7 @@ def test_quality_without_labels_is_undecided(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert collected(gam.quality(documents([(1, "a"), (2, None)]), none).select("score", "predicted")) == [(0.5, 0), (0.5, 0)]
     assert collected(gam.quality(documents([]), none)) == []
+    assert gam.keep_good(documents([(1, "a"), (2, None)]), none).count() == 2
 
 
 def test_pairs_learn_an_interaction():

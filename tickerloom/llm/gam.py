@@ -74,6 +74,7 @@ class Model:
     edges: list[np.ndarray] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
     pairs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    known: bool = True  # whether it has seen labels of both classes
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
@@ -139,6 +140,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, leaves:
     model.edges = [_cuts(x[:, f], bins) for f in range(n_features)]
     model.tables = [np.zeros(len(c) + 1) for c in model.edges]
     if not len(y) or y.min() == y.max():
+        model.known = False
         return model
     binned = [np.searchsorted(model.edges[f], x[:, f], side="right") for f in range(n_features)]
     total = np.full(len(y), model.bias)
@@ -236,10 +238,14 @@ def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.7, most_rows: i
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.7, most_rows: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model predicts good, with all their columns.
 
-    Features are worked out twice, for training and in the filter, so that no text moves.
+    Features are worked out twice, for training and in the filter, so that no
+    text moves.  A model that has not seen labels of both classes drops nothing.
     """
     model = train(pin(feature_table(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), ["doc_id"])), labels, most_rows=most_rows)
 
+    if not model.known:
+        return docs
+
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text):
