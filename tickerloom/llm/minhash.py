@@ -22,17 +22,22 @@ from tickerloom.llm.components import connected
 from tickerloom.session import pin
 
 
+# Classes of a bucket that are compared at a time.
+CHUNK = 384
+
+
 @dataclass(frozen=True)
 class Settings:
     """``percent``: link pairs whose Jaccard similarity is at least this.
 
-    With 20 bands of 4 values a pair at 0.85 is missed once in two million.
+    With 20 bands of 4 values a pair at 0.8 is missed 26 times in a million, one
+    at 0.85 once in two million.
     The screen lets a pair pass unless its sketches differ by ``deviations``
     standard deviations more than those of a pair at the limit would.
     """
 
     width: int = 5
-    percent: int = 85
+    percent: int = 80
     bands: int = 20
     rows: int = 4
     bins: int = 2048  # bins of the sketch's MinHash samples and bits of the sketch
@@ -131,34 +136,36 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
 
-def _flips(a: str, b: str, s: Settings) -> str:
-    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(s.words))
-
-
-def _alike(a: str, b: str, s: Settings):
-    """Whether sketch and size of classes ``a`` and ``b`` allow for the wanted similarity.
+def _most_flips(m, n, s: Settings, f):
+    """Most differing bits that the screen lets through, for set sizes ``m`` and ``n``; ``f`` is numpy or pyspark.sql.functions.
 
     For sets of m and n elements with Jaccard similarity J the union has
     u = (m + n) / (1 + J), and bins filled by k elements are
     N(k) = B (1 - exp(-k / B)).  The union's bins agree with probability J, so
-    X = N(m) + N(n) - 2 J N(u) samples differ, which sets
+    X = N(m) + N(n) - 2 J N(u) samples differ, which set
     B / 2 (1 - exp(-2 X / B)) bits of the XOR on average.  The variance is that
-    of the differing samples, carried over, and that of the parities.
+    of the differing samples, which vanishes where every element is a sample,
+    carried over, and that of X balls' parities in B bins.
     """
     j, bins = s.percent / 100, float(s.bins)
 
-    def filled(k: str) -> str:
-        return f"({bins} * (1 - exp(-({k}) / {bins})))"
-
-    m, n = f"n_{a}", f"n_{b}"
-    union = filled(f"({m} + {n}) / {1 + j}")
-    differing = f"({filled(m)} + {filled(n)} - {2 * j} * {union})"
-    decay = f"exp(-2 * {differing} / {bins})"
-    variance = f"({decay} * {decay} * {4 * j * (1 - j)} * {union} + {bins / 4} * (1 - {decay} * {decay}))"
-    return F.expr(
-        f"100 * least({m}, {n}) >= {s.percent} * greatest({m}, {n}) AND "
-        f"{_flips(f'sketch_{a}', f'sketch_{b}', s)} <= {bins / 2} * (1 - {decay}) + {s.deviations} * sqrt({variance}) + 4"
-    )
+    def filled(k):
+        return (1 - f.exp(-k / bins)) * bins
+
+    u = (m + n) / (1 + j)
+    union = filled(u)
+    differing = filled(m) + filled(n) - union * (2 * j)
+    decay = f.exp(differing * (-4 / bins))
+    variance = decay * union * (1 - union / u) * (4 * j * (1 - j)) + (1 - decay) * (bins / 4) - differing * decay
+    return (1 - f.exp(differing * (-2 / bins))) * (bins / 2) + f.sqrt(variance + 1) * s.deviations + 2
+
+
+def _alike(a: str, b: str, s: Settings):
+    """Whether sketch and size of classes ``a`` and ``b`` allow for the wanted similarity."""
+    m, n = F.col(f"n_{a}").cast("double"), F.col(f"n_{b}").cast("double")
+    sizes = 100 * F.least(m, n) >= s.percent * F.greatest(m, n)
+    flips = F.aggregate(F.zip_with(f"sketch_{a}", f"sketch_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return sizes & (flips <= _most_flips(m, n, s, F))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -180,13 +187,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 right, at_r = shingle_sets(Texts(part.column("text_b")), s.width)
                 keep = np.zeros(part.num_rows, bool)
                 for k in range(part.num_rows):
-                    x, y = left[at_l[k] : at_l[k + 1]], right[at_r[k] : at_r[k + 1]]
-                    if not len(x) or not len(y):
-                        continue
-                    place = np.searchsorted(x, y)
-                    place[place == len(x)] = 0
-                    common = int((x[place] == y).sum())
-                    keep[k] = 100 * common >= s.percent * (len(x) + len(y) - common)
+                    keep[k] = _similar(left[at_l[k] : at_l[k + 1]], right[at_r[k] : at_r[k + 1]], s)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
@@ -205,8 +206,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
 
     No bucket is turned into all its pairs.  Each bucket first offers its
     members to one leader, which settles groups of near copies of any size in
-    one pass; only buckets whose members are then still in different
-    components offer pairs across these, screened inside the join.
+    one pass; in buckets whose members are then still in different components
+    the pairs across these are compared in blocks.
     """
     body = F.col(text).cast("string")
     # A class is named by the smallest (id, hash of the text) among its rows.
@@ -232,13 +233,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     same = _links_by_id(alive, classes)
     links = pin(confirm(offered.select("a", "b"), texts, s).union(same))
     groups = connected(links)
-    # First the most alike pair of each two components, then whatever is left between components.
-    for best_only in (True, False):
-        pairs = _across(crowded, groups, sketches, s, best_only)
-        if pairs.isEmpty():
-            break
-        links = pin(links.union(confirm(pairs, texts, s)))
-        groups = connected(links)
+    more = pin(_across(crowded, groups, sketches, texts, s))
+    if not more.isEmpty():
+        groups = connected(links.union(more))
 
     found = classes.select(*sets, "node").join(groups, "node", "left").select(*sets, F.coalesce("component.doc_id", "node.doc_id").alias("component_id"))
     out = signed.select("doc_id", *sets).join(found, sets, "left")
@@ -251,23 +248,91 @@ def _side(sketches: DataFrame, name: str) -> DataFrame:
     return sketches.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
 
-def _across(crowded: DataFrame, groups: DataFrame, sketches: DataFrame, s: Settings, best_only: bool) -> DataFrame:
-    """Pairs of one bucket but different components whose sketches are alike; ``best_only``: one pair for each two components."""
-    held = (
-        crowded.select("bucket", "node")
-        .join(groups, "node", "left")
-        .select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    )
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("bucket")
+def _unlike_components(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch bits and sizes aside, which pairs of a group are to be compared: of different components and, in a mixed cell, of its two chunks."""
+    component = group.column("component_key").to_numpy()
+    own = group.column("own").to_numpy()
+    differ = np.triu(component[:, None] != component[None, :], 1)
+    if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
+        differ &= own[:, None] != own[None, :]
+    return np.nonzero(differ)
+
+
+def _screened(group: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (rows a, b of the group) that the screen lets pass, and how many bits of their sketches differ."""
+    a, b = _unlike_components(group)
+    n = group.column("n").to_numpy().astype(float)
+    fits = 100 * np.minimum(n[a], n[b]) >= s.percent * np.maximum(n[a], n[b])
+    a, b = a[fits], b[fits]
+    sketch = group.column("sketch").combine_chunks()
+    sketch = (sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten().to_numpy().view(np.uint64).reshape(-1, s.words)
+    flips = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(sketch[a[i : i + 8192]] ^ sketch[b[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(a), 8192))])
+    good = flips <= _most_flips(n[a], n[b], s, np)
+    return a[good], b[good], flips[good]
+
+
+def _across(crowded: DataFrame, groups: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """All links between different components inside the buckets, as far as they are needed to join these.
+
+    A bucket is cut into chunks of about ``CHUNK`` classes and every two
+    chunks meet in a cell of their own, so no task holds a bucket whole.  A
+    cell first screens its pairs by their sketches and hands on only the
+    classes that have a partner left; the whole sets of these then decide,
+    most alike first, and only pairs that join two components come out.
+    """
+    held = crowded.join(groups, "node", "left").select("bucket", "many", "node", F.xxhash64(F.coalesce("component", "node")).alias("component_key"))
+    mixed = held.groupBy("bucket").agg(F.min("component_key").alias("_lo"), F.max("component_key").alias("_hi")).filter("_lo < _hi").select("bucket")
     rows = pin(held.join(mixed, "bucket", "left_semi").join(sketches.select("node", "n", "sketch"), "node"))
-    a = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "sketch")])
-    b = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "sketch")])
-    pairs = a.join(b, (a.bucket == b.bucket) & (F.col("component_a") < F.col("component_b")) & _alike("a", "b", s))
-    flips = F.expr(_flips("sketch_a", "sketch_b", s))
-    pairs = pairs.select("component_a", "component_b", F.struct(flips.alias("flips"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).alias("pair"))
-    if best_only:
-        pairs = pairs.groupBy("component_a", "component_b").agg(F.min("pair").alias("pair"))
-    return pin(pairs.select("pair.a", "pair.b").distinct())
+    chunks_ = F.ceil(F.col("many") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), chunks_).cast("int")
+    cells = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks_ - 1))).select(
+        "bucket", F.least("own", "_other").alias("lo"), F.greatest("own", "_other").alias("hi"), "own", "node", "component_key", "n", "sketch")
+
+    def screen(group: pa.Table) -> pa.Table:
+        a, b, _ = _screened(group, s)
+        return group.take(pa.array(np.unique(np.concatenate((a, b)))))
+
+    def settle(group: pa.Table) -> pa.Table:
+        a, b, flips = _screened(group, s)
+        order = np.argsort(flips, kind="stable")
+        parent = {int(c): int(c) for c in group.column("component_key").to_numpy()}
+        component = group.column("component_key").to_numpy()
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        values, at = shingle_sets(Texts(_one(group.column("text"))), s.width)
+        found = []
+        for k in order.tolist():
+            x, y = root(int(component[a[k]])), root(int(component[b[k]]))
+            if x != y and _similar(values[at[a[k]] : at[a[k] + 1]], values[at[b[k]] : at[b[k] + 1]], s):
+                parent[x] = y
+                found.append(k)
+        node = _one(group.column("node"))
+        return pa.table({"a": node.take(pa.array(a[found])), "b": node.take(pa.array(b[found]))})
+
+    cell = ["bucket", "lo", "hi"]
+    left = pin(cells.groupBy(*cell).applyInArrow(screen, cells.schema))
+    kind = crowded.schema["node"].dataType.simpleString()
+    return left.join(texts, "node").groupBy(*cell).applyInArrow(settle, f"a {kind}, b {kind}")
+
+
+def _one(column) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    """Whether two ascending sets have 100 * intersection >= percent * union."""
+    if not len(x) or not len(y):
+        return False
+    place = np.searchsorted(x, y)
+    place[place == len(x)] = 0
+    common = int((x[place] == y).sum())
+    return 100 * common >= s.percent * (len(x) + len(y) - common)
 
 
 def _links_by_id(alive: DataFrame, classes: DataFrame) -> DataFrame:

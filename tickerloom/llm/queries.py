@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tickerloom.llm import oracles
 from tickerloom.llm.gam import quality
-from tickerloom.llm.minhash import near_duplicates
+from tickerloom.llm.minhash import Settings, near_duplicates
 from tickerloom.llm.mixing import mix
 from tickerloom.llm.packing import pack_documents
 from tickerloom.llm.pii import detect
@@ -18,7 +18,7 @@ from tickerloom.llm.urls import filter_urls
 TOKENIZER = "word_bpe_49k.json"
 
 QUERIES = {
-    "op1_near_duplicates": lambda spark, folder: near_duplicates(table(spark, folder, "documents")),
+    "op1_near_duplicates": lambda spark, folder: near_duplicates(table(spark, folder, "documents"), Settings(percent=85)),
     "op2_repeated_passages": lambda spark, folder: remove_repeats(table(spark, folder, "documents")),
     "op3_quality": lambda spark, folder: quality(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op4_packing": lambda spark, folder: pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER), 4096),
