@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
-CHUNK_ROWS = 2048
+CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1024
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 

@@ -178,11 +178,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            i = 0
-            while i < batch.num_rows:
-                # A few pairs at a time; pairs with one side in common often follow each other.
-                part = batch.slice(i, 128)
-                i += 128
+            # A few pairs at a time; the two texts of a pair are much alike in size.
+            for part in chunks(batch, "text_a", 1 << 19, 128):
                 left, at_l = shingle_sets(Texts(part.column("text_a")), s.width)
                 right, at_r = shingle_sets(Texts(part.column("text_b")), s.width)
                 keep = np.zeros(part.num_rows, bool)

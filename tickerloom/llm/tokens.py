@@ -77,9 +77,9 @@ class WordEncoder:
     others are looked up by bisection.
     """
 
-    SLOTS = 22
+    SLOTS = 20
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
