@@ -83,7 +83,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # ---------------------------------------------------------------- the field
 # Tokens: runs of digits, runs of letters, single other characters; long runs are cut so that every token is short.
 TOKEN = re.compile(r"[0-9]{1,64}|[^\W\d_]{1,64}|\s|.", re.S)
-MOST_TOKENS = 24
+LONGEST = 128
+# No shape holds another character, another space than a single blank, or, unless it is spelt out with [at], both a blank and a letter other than A to Z.
+FOREIGN = re.compile(r"[^\w.%+\-()\[\]@ ]")
+SPELT = re.compile(r"[\[(]at[\])]", re.I | re.A)
+CAPITALS = re.compile(r"[A-Z]+\Z")
 TRIGGER = re.compile(r"[0-9@]")
 KEYWORD = re.compile(r"(token|secret|passwor[dt]|api[_ -]?key|key|bearer)\W{0,6}$", re.I)
 CALLED = re.compile(r"(tel|phone|call|mobile|fax|telefon|teléfono|téléphone)\W{0,6}$", re.I)
@@ -138,16 +142,24 @@ def segment_features(text: str, a: int, b: int) -> list[int]:
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[int]]]]:
     """For each token end j, (first token, features) of the spans that could be personal data.
 
-    Such a span has a digit or an at sign, at most ``MOST_TOKENS`` tokens and
-    128 characters, and begins and ends with neither space nor sentence mark.
+    Such a span has a digit or an at sign and at most ``LONGEST`` characters,
+    however many tokens they are, and begins and ends with neither space nor
+    sentence mark.
     """
     out = []
     edge = [text[a:b] not in ".,;:!?|\"'" and not text[a].isspace() for a, b in tokens]
     hot = [text[a] in "0123456789@" for a, _ in tokens]
+    foreign = [FOREIGN.match(text, a) is not None for a, _ in tokens]
+    blank = [text[a] == " " for a, _ in tokens]
+    small = [text[a].isalpha() and CAPITALS.match(text[a:b]) is None for a, b in tokens]
+    spelt = bool(tokens) and SPELT.search(text, tokens[0][0], tokens[-1][1]) is not None
     for j in range(len(tokens)):
-        here, seen = [], False
-        for i in range(j, max(-1, j - MOST_TOKENS), -1):
-            if not edge[j] or tokens[j][1] - tokens[i][0] > 128 or text[tokens[i][0]] == "\n":
+        here, seen, blanks, smalls = [], False, False, False
+        for i in range(j, -1, -1):
+            if not edge[j] or tokens[j][1] - tokens[i][0] > LONGEST or foreign[i] or (blank[i] and blank[i + 1]):
+                break
+            blanks, smalls = blanks or blank[i], smalls or small[i]
+            if blanks and smalls and not spelt:
                 break
             seen |= hot[i]
             if seen and edge[i]:
