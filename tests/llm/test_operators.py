@@ -486,3 +486,21 @@ def test_secrets_of_any_number_of_tokens():
             continue  # a base span inside goes first
         text = f'set token = "{secret}" here'
         assert pii.find(text, weights)[1] == [("secret", 13, 13 + len(secret))], secret
+
+
+def test_spans_without_a_digit(documents):
+    """Spelt-out addresses and named secrets need neither digit nor at sign."""
+    weights = pii.trained()
+    rows = {
+        "write to jane.doe [at] example [dot] com please": [("email", 9, 40)],
+        "ask joe(at)example.org now": [("email", 4, 22)],
+        "mail anna (AT) mail (dot) example (dot) net today": [("email", 5, 43)],
+        'the password: "QwErTyUiOpAsDfGhJkLzXcVbNm" is old': [("secret", 15, 41)],
+        "meet [at] noon, the key point is Donaudampfschifffahrtsgesellschaft": [],
+    }
+    for text, spans in rows.items():
+        assert pii.find(text, weights)[1] == spans, text
+    got = {x["doc_id"]: x["spans"] for x in pii.detect(documents([*enumerate(rows), (9, None)])).collect()}
+    assert got == {**{i: pii._joined(s) for i, s in enumerate(rows.values())}, 9: ""}
+    masked = {x["doc_id"]: x["text"] for x in pii.mask(documents([*enumerate(rows)])).collect()}
+    assert masked[0] == "write to <email> please" and masked[3] == 'the password: "<secret>" is old'

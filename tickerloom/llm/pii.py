@@ -87,9 +87,15 @@ LONGEST = 128
 # No shape holds another character, another space than a single blank, or, unless it is spelt out with [at], both a blank and a letter other than A to Z.
 FOREIGN = re.compile(r"[^\w.%+\-()\[\]@ ]")
 SPELT = re.compile(r"[\[(]at[\])]", re.I | re.A)
+MORE = re.compile(r" ?[\[(]dot[\])] ?[A-Za-z0-9-]", re.I)
 CAPITALS = re.compile(r"[A-Z]+\Z")
-TRIGGER = re.compile(r"[0-9@]")
-KEYWORD = re.compile(r"(token|secret|passwor[dt]|api[_ -]?key|key|bearer)\W{0,6}$", re.I)
+# What a span needs: a digit or an at sign, one of these spelt out, or a word before it that names a secret.
+NAMED = r"token|secret|passwor[dt]|api[_ -]?key|key|bearer"
+SPELT_OUT = r"[\[(](?:at|dot)[\])]"
+TRIGGER = re.compile(rf"[0-9@]|{SPELT_OUT}|{NAMED}", re.I | re.A)
+RARE = re.compile(rf"{SPELT_OUT}|{NAMED}".encode(), re.I)
+NAMES = re.compile(rf"(?:{NAMED})(?=(\W{{0,6}}))", re.I | re.A)
+KEYWORD = re.compile(rf"({NAMED})\W{{0,6}}$", re.I)
 CALLED = re.compile(r"(tel|phone|call|mobile|fax|telefon|teléfono|téléphone)\W{0,6}$", re.I)
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 SHAPES = (
@@ -102,7 +108,9 @@ SHAPES = (
     ("fours", re.compile(r"[0-9]{4}([ -]?[0-9]{4}){3}\Z")),
     ("country", re.compile(r"[A-Z]{2}[0-9]{2}( ?[0-9A-Z]{4}){3,7}( ?[0-9A-Z]{1,3})?\Z")),
     ("mixed", re.compile(r"(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}\Z")),
+    ("letters", re.compile(r"[A-Za-z_]{20,}\Z")),
 )
+COUNTRY = [name for name, _ in SHAPES].index("country")
 N_FEATURES = len(SHAPES) + 16
 
 
@@ -124,7 +132,7 @@ def segment_features(text: str, a: int, b: int) -> list[int]:
         13 <= digits <= 19 and luhn("".join(c for c in span if "0" <= c <= "9")),
         digits < 7 and "@" not in span,
         len(span) >= 32 and HEX.match(span) is not None,
-        n - 2 in on and _iban(span),
+        COUNTRY in on and _iban(span),
         2 in on and all(map(_octet, span.split("."))),
         before.isalnum(),
         after.isalnum(),
@@ -132,7 +140,7 @@ def segment_features(text: str, a: int, b: int) -> list[int]:
         after in ("-", "_", "@") and after != "",
         KEYWORD.search(text[max(0, a - 24) : a]) is not None,
         CALLED.search(text[max(0, a - 24) : a]) is not None,
-        after == "." and text[b + 1 : b + 2].isalnum(),
+        (after == "." and text[b + 1 : b + 2].isalnum()) or MORE.match(text, b) is not None,
         before == "." and text[max(0, a - 2) : a - 1].isalnum(),
         6 in on and not luhn("".join(c for c in span if "0" <= c <= "9")),
     )
@@ -142,17 +150,21 @@ def segment_features(text: str, a: int, b: int) -> list[int]:
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[int]]]]:
     """For each token end j, (first token, features) of the spans that could be personal data.
 
-    Such a span has a digit or an at sign and at most ``LONGEST`` characters,
+    Such a span has a digit, an at sign or a spelt-out one, or follows a word
+    that names a secret; it has at most ``LONGEST`` characters,
     however many tokens they are, and begins and ends with neither space nor
     sentence mark.
     """
     out = []
     edge = [text[a:b] not in ".,;:!?|\"'" and not text[a].isspace() for a, b in tokens]
-    hot = [text[a] in "0123456789@" for a, _ in tokens]
+    low, high = (tokens[0][0], tokens[-1][1]) if tokens else (0, 0)
+    named = {a for m in NAMES.finditer(text, low, high) for a in range(m.end(), m.end(1) + 1)}
+    ats = {m.start() + 1 for m in SPELT.finditer(text, low, high)}
+    hot = [text[a] in "0123456789@" or a in named or a in ats for a, _ in tokens]
     foreign = [FOREIGN.match(text, a) is not None for a, _ in tokens]
     blank = [text[a] == " " for a, _ in tokens]
     small = [text[a].isalpha() and CAPITALS.match(text[a:b]) is None for a, b in tokens]
-    spelt = bool(tokens) and SPELT.search(text, tokens[0][0], tokens[-1][1]) is not None
+    spelt = bool(ats)
     for j in range(len(tokens)):
         here, seen, blanks, smalls = [], False, False, False
         for i in range(j, -1, -1):
@@ -229,18 +241,23 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         check = 98 - int(body + "1314" + "00") % 97
         return f"DE{check:02d}{body}"
 
+    def letters(least, most):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(least, most)))
+
     def quad(top):
         return ".".join(str(rng.randint(0, top)) for _ in range(4))
 
     number = card()
     kind, text = rng.choice([
         (0, f"{word()}.{digits(2)}@{word()}{digits(1)}.example.com"), (0, f"{word()}@{word()}.org"), (0, f"{word()} [at] {word()}{digits(2)} [dot] com"),
+        (0, f"{word()}.{word()} [at] {word()} [dot] com"), (0, f"{word()}(at){word()}.org"), (0, f"{word()} (at) {word()} (dot) {word()} (dot) net"),
         (1, quad(255)), (1, quad(255)), (2, number), (2, " ".join(number[k : k + 4] for k in range(0, 16, 4))),
         (3, f"+{rng.randint(1, 99)} ({digits(3)}) 555-{digits(4)}"), (3, f"+{digits(11)}"), (3, f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, f"{digits(3)}-{digits(3)}-{digits(4)}"),
-        (4, "".join(rng.choice("0123456789abcdef") for _ in range(40))), (4, "".join(rng.choice("0123456789abcdefghijABCDEFGHIJ") for _ in range(32))), (5, iban()),
+        (4, "".join(rng.choice("0123456789abcdef") for _ in range(40))), (4, "".join(rng.choice("0123456789abcdefghijABCDEFGHIJ") for _ in range(32))), (4, letters(24, 48)), (5, iban()),
         (-1, f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}."), (-1, f"in {rng.randint(1500, 2100)},"), (-1, f"{digits(rng.randint(1, 6))} {word()}"),
         (-1, f"{digits(3)},{digits(3)}.{digits(2)}"), (-1, f"{quad(99)}.{digits(2)}"), (-1, digits(rng.choice([8, 16, 20, 24]))), (-1, f"{digits(4)}-{digits(2)}-{digits(2)}"),
         (-1, f"@{word()}{digits(2)}"), (-1, f"{word()}{digits(3)}"), (-1, f"build {''.join(rng.choice('0123456789abcdef') for _ in range(8))}"),
+        (-1, f"{word()} [at] {word()}"), (-1, "".join(rng.choice("aeinorst") for _ in range(rng.randint(20, 30)))), (-1, f"key {word()}"),
     ])
     if kind == -1 and re.fullmatch(r"[0-9]{13,19}", text) and luhn(text):
         kind = 2
@@ -287,7 +304,7 @@ def trained(examples: int = 800, rounds: int = 120, rate: float = 0.5, ridge: fl
 
 
 def windows(text: str, reach: int = 40) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs, apart from each other, cut at white space where there is some.
+    """Stretches around digits, at signs and words that point to a span, apart from each other, cut at white space where there is some.
 
     A stretch goes on while the next trigger is within ``reach``, at most 2000 characters at a time.
     """
@@ -327,8 +344,10 @@ def _joined(spans) -> str:
 
 
 def _suspects(texts: Texts) -> np.ndarray:
-    """Texts with a digit or an at sign; no span is without one."""
-    return np.flatnonzero(sums(((texts.data >= 48) & (texts.data <= 57)) | (texts.data == 64), texts.at))
+    """Texts with anything that ``TRIGGER`` matches; no span is without."""
+    hot = ((texts.data >= 48) & (texts.data <= 57)) | (texts.data == 64)
+    hot[[m.start() for m in RARE.finditer(np.ascontiguousarray(texts.data))]] = True
+    return np.flatnonzero(sums(hot, texts.at))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
