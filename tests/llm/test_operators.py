@@ -504,3 +504,17 @@ def test_spans_without_a_digit(documents):
     assert got == {**{i: pii._joined(s) for i, s in enumerate(rows.values())}, 9: ""}
     masked = {x["doc_id"]: x["text"] for x in pii.mask(documents([*enumerate(rows)])).collect()}
     assert masked[0] == "write to <email> please" and masked[3] == 'the password: "<secret>" is old'
+
+
+def test_dense_stretches_have_no_borders():
+    """Spans of a long stretch full of digits are those each line has alone, wherever they lie."""
+    weights = pii.trained()
+    line = 'Ann tel: (212) 555-0188; key = "0123456789abcdef0123456789abcdef01234567", DE89370400440532013000 and bob [at] mail7 [dot] com'
+    alone = pii.find(line, weights)[1]
+    assert [k for k, _, _ in alone] == ["email", "phone", "secret", "iban"]
+    for lead in (0, 7, 61):
+        for mark in ("\n", " ", ", "):
+            text = "1" * lead + mark + mark.join([line] * 60)
+            shifts = [lead + len(mark) + k * (len(line) + len(mark)) for k in range(60)]
+            want = {(k, a + s, b + s) for s in shifts for k, a, b in alone}
+            assert set(pii.added_spans(text, {}, weights)) == want, (lead, mark)

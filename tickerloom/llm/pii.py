@@ -11,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +151,11 @@ def segment_features(text: str, a: int, b: int) -> list[int]:
 
 
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[int]]]]:
+    """What ``candidates`` says of each token end, as a list."""
+    return list(candidates(text, tokens))
+
+
+def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[int, list[int]]]]:
     """For each token end j, (first token, features) of the spans that could be personal data.
 
     Such a span has a digit, an at sign or a spelt-out one, or follows a word
@@ -155,7 +163,6 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, l
     however many tokens they are, and begins and ends with neither space nor
     sentence mark.
     """
-    out = []
     edge = [text[a:b] not in ".,;:!?|\"'" and not text[a].isspace() for a, b in tokens]
     low, high = (tokens[0][0], tokens[-1][1]) if tokens else (0, 0)
     named = {a for m in NAMES.finditer(text, low, high) for a in range(m.end(), m.end(1) + 1)}
@@ -179,12 +186,14 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, l
                 # A span with none of the shapes is never better than outside text.
                 if on[0] < len(SHAPES):
                     here.append((i, on))
-        out.append(here)
-    return out
+        yield here
 
 
 def decode(lattice, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """Best segmentation: (first token, last token, type) of its spans.  Outside tokens score 0."""
+    """Best segmentation: (first token, last token, type) of its spans.  Outside tokens score 0.
+
+    ``lattice`` is read once from front to back.
+    """
     best, back = [0.0], [None]
     for j, here in enumerate(lattice):
         score, step = best[j], None
@@ -195,7 +204,7 @@ def decode(lattice, weights: np.ndarray) -> list[tuple[int, int, int]]:
                 score, step = best[i] + by_type[k], (i, j, k)
         best.append(score)
         back.append(step)
-    out, j = [], len(lattice)
+    out, j = [], len(best) - 1
     while j > 0:
         step = back[j]
         if step:
@@ -304,30 +313,45 @@ def trained(examples: int = 800, rounds: int = 120, rate: float = 0.5, ridge: fl
 
 
 def windows(text: str, reach: int = 40) -> list[tuple[int, int]]:
-    """Stretches around digits, at signs and words that point to a span, apart from each other, cut at white space where there is some.
+    """Stretches around digits, at signs and words that point to a span, apart from each other.
 
-    A stretch goes on while the next trigger is within ``reach``, at most 2000 characters at a time.
+    A stretch goes on while the next trigger is within ``reach``, however long
+    it gets, and on both sides to a blank or as far as a span can.
     """
-    out: list[tuple[int, int]] = []
+    out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1] and b - out[-1][0] <= 2000:
-            out[-1] = (out[-1][0], b)
+        if out and m.start() - reach <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], min(len(text), m.end() + reach))
         else:
-            out.append((max(a, out[-1][1]) if out else a, b))
-    return out
+            out.append([max(0, m.start() - reach), min(len(text), m.end() + reach)])
+    apart: list[tuple[int, int]] = []
+    for a, b in out:
+        low, high = max(0, a - LONGEST), min(len(text), b + LONGEST)
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        while b < high and not text[b].isspace():
+            b += 1
+        if apart and a <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], b)
+        else:
+            apart.append((a, b))
+    return apart
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], weights: np.ndarray) -> list[tuple[str, int, int]]:
     """The field's spans that touch no base span."""
     taken = sorted(s for spans in base.values() for s in spans)
+    begins = [x for x, _ in taken]
+    ends = list(accumulate((y for _, y in taken), max))
     out = []
     for a, b in windows(text):
-        part = text[a:b]
-        tokens = [m.span() for m in TOKEN.finditer(part)]
-        for i, j, k in decode(segments(part, tokens), weights):
-            s, e = a + tokens[i][0], a + tokens[j][1]
-            if not any(x < e and s < y for x, y in taken):
+        # Places are those of the whole text, so that features see what is around the stretch.
+        tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+        for i, j, k in decode(candidates(text, tokens), weights):
+            s, e = tokens[i][0], tokens[j][1]
+            # Of the base spans that begin before its end none ends after its start.
+            before = bisect_left(begins, e)
+            if not before or ends[before - 1] <= s:
                 out.append((ALL[k], s, e))
     return out
 
