@@ -349,6 +349,38 @@ def test_names_match_as_by_comparing_all_pairs(spark):
     assert (rows["贵州茅台酒"]["exact"], rows["中国平安"]["exact"], rows["茅台"]["exact"]) == (True, False, False)
 
 
+def test_names_with_typing_errors_match_the_nearest(spark):
+    """Every name against all companies that share a pair with it, by brute force."""
+    import random
+
+    rng = random.Random(3)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    def typed(c):
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(c))
+            c = c[:k] + rng.choice(["", rng.choice("abcdez"), rng.choice("abcdez") + c[k]]) + c[k + 1 :] or "z"
+        return c
+
+    full = ["ABzzzzzzz", "yyyyBCyyyy", "xxCDE", "CDqqqqqq", "DErrrrrr"] + sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 14))) + rng.choice(["", "Co", "HoldingCo"]) for _ in range(120)})
+    short = sorted({"ABCDE", *[typed(rng.choice(full)) for _ in range(150)]})
+    want = {}
+    for s in short:
+        near = sorted((edits(s, c), c) for c in full if any(s[k : k + 2] in c for k in range(len(s) - 1)))
+        starts = sorted((len(c), c) for c in full if c.startswith(s))
+        want[s] = starts[0][1] if starts else near[0][1] if near else None
+    assert want["ABCDE"] == "xxCDE"
+    got = company.match_names(spark.createDataFrame([(s,) for s in short], "name string"), spark.createDataFrame([(c,) for c in full], "full_name string"))
+    assert {r["name"]: r["full_name"] for r in got.collect()} == want
+
+
 def test_rules_apply_with_their_look_back(spark):
     rules = tables.risk_rules(spark, company.RISK_RULES)
     as_of = F.lit("2024-12-31").cast("date")

@@ -19,6 +19,8 @@ KEY = ["ts_code", "market"]
 # The risk rules (type, action, look-back in days, score factor).
 RISK_RULES = [("dishonest", "EXCLUDE", 365, None), ("execution", "SCORE_MULTIPLY", None, 0.5), ("abnormal", "EXCLUDE", 180, None)]
 LEGAL_FORMS = ["集团股份有限公司", "股份有限公司", "有限公司"]
+# Pairs looked up before the distance is taken anew (see match_names).
+_STEP = 8
 STATE_WORDS, INSTITUTION_WORDS = "国资|国有|财政", "社保|基金|保险|信托"
 
 
@@ -75,11 +77,14 @@ def match_names(names: DataFrame, companies: DataFrame, bigrams: int = 2) -> Dat
     A short name that is a prefix of a full name has an edit distance equal to
     the surplus length, so the best candidate per prefix is known before the
     join: prefixes are reduced to one candidate each and matched by equality.
-    Other names are looked up by their ``bigrams`` rarest character pairs, so
-    a pair that most companies have (as in a legal form) brings no candidates
-    unless a name has nothing else; the edit distance then decides, the first
-    name in order among equals.  ``exact`` marks names equal to the full name
-    without its legal form.
+    Other names get the nearest of the companies that share a character pair
+    with them, the first name in order among equals, and null if none does.
+    They are looked up by their ``bigrams`` rarest pairs first.  As an edit
+    breaks two pairs at most, a company within the distance d found so far has
+    one of any 2 d + 1 pairs of the name: the rarest that many, pairs of no
+    company among them, prove the best, up to ``_STEP`` of them in a round of
+    their own as that mostly lowers d.  ``exact`` marks names equal to the
+    full name without its legal form.
     """
     listed = companies.select("full_name").distinct()
     prefixes = listed.select("full_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))).alias("n")).select(
@@ -89,10 +94,24 @@ def match_names(names: DataFrame, companies: DataFrame, bigrams: int = 2) -> Dat
     wanted = names.select("name").distinct().join(best, "name", "left").select("name", F.col("best.full_name").alias("by_prefix"))
     blocks = _bigrams(listed, "full_name")
     common = blocks.groupBy("bigram").agg(F.count("*").alias("companies"))
-    rarest = Window.partitionBy("name").orderBy("companies", "bigram")
-    lookups = _bigrams(wanted.filter("by_prefix IS NULL"), "name").join(common, "bigram").withColumn("_k", F.row_number().over(rarest)).filter(F.col("_k") <= bigrams)
-    candidates = lookups.select("name", "bigram").join(blocks, "bigram").select("name", "full_name").distinct()
-    nearest = candidates.groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name")).alias("near"))
+    by_name = Window.partitionBy("name")
+    pairs = _bigrams(wanted.filter("by_prefix IS NULL"), "name").join(common, "bigram", "left").select("name", "bigram", F.coalesce("companies", F.lit(0)).alias("companies"))
+    # Rank of each pair among the name's, and among those that some company has.
+    ranked = pairs.withColumn("_k", F.row_number().over(by_name.orderBy("companies", "bigram"))).withColumn("_p", F.col("_k") - F.count_if(F.col("companies") == 0).over(by_name))
+    ranked = ranked.filter("companies > 0")
+
+    def nearer(lookups: DataFrame) -> DataFrame:
+        near = F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name"))
+        return lookups.groupBy("name").agg(near.alias("near"))
+
+    nearest = nearer(ranked.filter(F.col("_p") <= bigrams).join(blocks, "bigram"))
+    for first, last in ((0, _STEP), (_STEP, None)):
+        more = ranked.filter((F.col("_p") > bigrams) & (F.col("_k") > first))
+        more = more.filter(F.col("_k") <= last) if last else more
+        asked = more.join(nearest, "name").filter(F.col("_k") <= 2 * F.col("near.distance") + 1).select("name", "bigram", F.col("near.distance").alias("_d"))
+        # Companies whose length alone is too far off are not compared.
+        found = nearer(asked.join(blocks, "bigram").filter(F.abs(F.length("full_name") - F.length("name")) <= F.col("_d")))
+        nearest = nearest.union(found).groupBy("name").agg(F.min("near").alias("near"))
     found = wanted.join(nearest, "name", "left").select("name", F.coalesce("by_prefix", "near.full_name").alias("full_name"))
     bare = F.regexp_replace("full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
     return names.join(found, "name", "left").select(
