@@ -91,3 +91,73 @@ WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM docs JOIN left_over USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
+
+MANIFEST = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS turned
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(turned, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(low)::VARCHAR || ':' || low, '-')) END AS other
+  FROM (SELECT *, array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), '') AS head FROM rows)
+), trees AS (
+  SELECT source, 0 AS lvl, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT source, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY source, lvl, i // 16, n
+), subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j FROM trees WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, j AS i, (SELECT count(*) FROM subroots) AS n, subroot AS h FROM subroots
+  UNION ALL SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY lvl, i // 16, n
+), sides AS (
+  SELECT source, lvl, i, coalesce(string_agg(h, '') OVER (PARTITION BY source, lvl, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (PARTITION BY source, lvl, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM trees WHERE n > 1
+), upper_sides AS (
+  SELECT lvl, i, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM upper WHERE n > 1
+), steps AS (
+  SELECT doc_id, s.lvl, a, b FROM leaves l JOIN sides s ON l.source IS NOT DISTINCT FROM s.source AND s.i = l.i >> (4 * s.lvl)
+  UNION ALL SELECT doc_id, 100 + u.lvl, a, b FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN upper_sides u ON u.i = r.j >> (4 * u.lvl)
+), folded AS (
+  SELECT doc_id, list_reduce(list_concat([['', coalesce(other, leaf), '']], coalesce(list([a, '', b] ORDER BY lvl) FILTER (a IS NOT NULL), [])),
+      lambda x, y: ['', sha256(y[1] || x[2] || y[3]), ''])[2] AS folded_root, sha256(coalesce(string_agg(a || b, '' ORDER BY lvl), '')) AS proof_sha256
+  FROM leaves LEFT JOIN steps USING (doc_id) GROUP BY doc_id, leaf, other
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN folded USING (doc_id), (SELECT h AS root FROM upper WHERE n = 1)
+"""
+
+REPEATED_WORDS = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, w FROM words
+), starts AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM placed WHERE i + 34 <= len(w)
+), again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY s) > 1 AS twice FROM starts
+), judged AS (
+  SELECT doc_id, i, word, coalesce(bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM placed LEFT JOIN again USING (doc_id, i)
+), sums AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM words LEFT JOIN sums USING (doc_id)
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS t(k)) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), frequent AS (SELECT lang, k, g, string_split(g, ' ') AS w, f FROM grams WHERE f >= 100
+), cuts AS (SELECT lang, k, g, f, c, array_to_string(w[:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM frequent)
+), rated AS (
+  SELECT cuts.lang, cuts.k, cuts.g, cuts.f AS a, p.f AS l, q.f AS r, n, (1000::HUGEINT * cuts.f * n) // (p.f::HUGEINT * q.f) AS score, c
+  FROM cuts JOIN frequent p ON p.lang = cuts.lang AND p.g = x JOIN frequent q ON q.lang = cuts.lang AND q.g = y JOIN totals ON totals.lang = cuts.lang
+), lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1
+), parts AS (
+  SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS g, f FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM frequent))
+), held AS (SELECT lang, g, max(f) AS most FROM parts GROUP BY ALL
+), kept AS (SELECT lowest.* FROM lowest LEFT JOIN held USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from tickerloom.llm import oracles
 from tickerloom.llm.gam import quality
+from tickerloom.llm.lempel import remove_repeated_words
+from tickerloom.llm.merkle import manifest
 from tickerloom.llm.minhash import Settings, near_duplicates
 from tickerloom.llm.mixing import mix
 from tickerloom.llm.packing import pack_documents
+from tickerloom.llm.phrases import collocations
 from tickerloom.llm.pii import detect
 from tickerloom.llm.rules import judge
 from tickerloom.llm.simhash import fingerprint_edits
@@ -28,6 +31,9 @@ QUERIES = {
     "op8_fingerprints": lambda spark, folder: fingerprint_edits(table(spark, folder, "documents")),
     "op9_mixing": lambda spark, folder: mix(table(spark, folder, "documents")),
     "op10_personal_data": lambda spark, folder: detect(table(spark, folder, "documents")),
+    "op11_merkle_manifest": lambda spark, folder: manifest(table(spark, folder, "documents")),
+    "op12_repeated_words": lambda spark, folder: remove_repeated_words(table(spark, folder, "documents")),
+    "op13_collocations": lambda spark, folder: collocations(table(spark, folder, "documents")),
 }
 
 CHECKS = {
@@ -35,4 +41,7 @@ CHECKS = {
     "op2_repeated_passages": oracles.REPEATS,
     "op6_host_rules": oracles.HOST_RULES,
     "op9_mixing": oracles.MIXING,
+    "op11_merkle_manifest": oracles.MANIFEST,
+    "op12_repeated_words": oracles.REPEATED_WORDS,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
