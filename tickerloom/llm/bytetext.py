@@ -14,6 +14,7 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1024
+SEGMENT = 1 << 20
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
@@ -114,13 +115,20 @@ class Words:
 
 def hash_runs(data: np.ndarray, start: np.ndarray, skipped: np.ndarray | None = None, lower: bool = False) -> np.ndarray:
     """Hash of the bytes from each start to the next one, ``skipped`` bytes left out at the end of a run."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    values = BYTES[lower][data]
-    if skipped is not None:
-        values[skipped] = 0
-    values *= powers(_MULT, len(data))
-    return mix(np.add.reduceat(values, start) * powers(_INV, len(data))[start])
+    out = np.zeros(len(start), np.uint64)
+    # About SEGMENT bytes at a time: the numbers take eight times the room of the bytes.
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(start, start[first] + SEGMENT)))
+        a, b = int(start[first]), int(start[last]) if last < len(start) else len(data)
+        values = BYTES[lower][data[a:b]]
+        if skipped is not None:
+            values[skipped[a:b]] = 0
+        values *= powers(_MULT, b - a)
+        here = start[first:last] - a
+        out[first:last] = mix(np.add.reduceat(values, here) * powers(_INV, b - a)[here])
+        first = last
+    return out
 
 
 def windows(words: Words, width: int, short_as_one: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
