@@ -30,6 +30,58 @@ def test_snapshot_files_in_both_shapes_and_broken(spark, tmp_path):
     assert snapshots.plan_rows(decoded).count() == 3
 
 
+def plans_of(spark, days):
+    rows = [(d, f"{k:06d}", k, "BUY_AT_OPEN" if k % 2 else None, k * 1.5) for d in days for k in range(1, 6)]
+    return spark.createDataFrame(rows, "plan_date string, ts_code string, rank int, open_action string, predicted_buy double").withColumn("plan_date", F.to_date("plan_date"))
+
+
+def test_snapshots_are_written_one_file_a_day_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "snaps")
+    plans = plans_of(spark, ["2024-02-28", "2024-02-29", "2024-03-01"])
+    snapshots.write_snapshot_files(snapshots.document_lines(plans, ["rank"], F.dayofmonth("plan_date") == 29), path)
+    assert sorted(p.name for p in (tmp_path / "snaps").iterdir() if not p.name.startswith(".")) == [f"execution_2024-{d}.json" for d in ("02-28", "02-29", "03-01")]
+    first = json.loads((tmp_path / "snaps/execution_2024-02-28.json").read_text())
+    assert [p["rank"] for p in first] == [1, 2, 3, 4, 5] and len(json.loads((tmp_path / "snaps/execution_2024-02-29.json").read_text())["plans"]) == 5
+    back = snapshots.plan_rows(snapshots.decode_snapshots(snapshots.read_snapshot_files(spark, path)))
+    assert sorted(tuple(r) for r in back.select("plan_date", "ts_code", "rank", "predicted_buy").collect()) == sorted((str(r.plan_date), r.ts_code, r["rank"], r.predicted_buy) for r in plans.collect())
+    # A day written again is replaced, the others stay as they are.
+    before = (tmp_path / "snaps/execution_2024-02-28.json").stat().st_mtime_ns
+    snapshots.write_snapshot_files(snapshots.document_lines(plans_of(spark, ["2024-03-01"]).filter("rank < 3"), ["rank"]), path)
+    assert len(json.loads((tmp_path / "snaps/execution_2024-03-01.json").read_text())) == 2
+    assert (tmp_path / "snaps/execution_2024-02-28.json").stat().st_mtime_ns == before
+
+
+def files_opened(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numFiles").value()
+
+
+def test_only_files_of_the_days_asked_for_are_opened(spark, tmp_path):
+    for k in range(1, 10):
+        (tmp_path / f"execution_2024-01-0{k}.json").write_text("[]")
+    path = str(tmp_path)
+    assert files_opened(snapshots.read_snapshot_files(spark, path)) == 9
+    assert files_opened(snapshots.read_snapshot_files(spark, path, "2024-01-03", "2024-01-04")) == 2
+    newest = snapshots.newest_snapshot_files(spark, path, 3)
+    assert files_opened(newest) == 3 and sorted(r.plan_date for r in newest.collect()) == ["2024-01-07", "2024-01-08", "2024-01-09"]
+    # Names come from the listing; the content is not part of what is read.
+    listed = snapshots.snapshot_days(spark, path)
+    assert listed.count() == 9 and "content" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_without_or_with_unreadable_snapshot(spark, tmp_path):
+    (tmp_path / "execution_2024-01-05.json").write_text('[{"ts_code": "1", "auction_price": 2.0, "open_action": ""}]')
+    (tmp_path / "execution_2024-01-06.json").write_bytes(b"[{\xff\xfe")
+    days = spark.sql("SELECT explode(sequence(date'2024-01-04', date'2024-01-06')) AS plan_date")
+    decoded = snapshots.decode_snapshots(snapshots.read_snapshot_files(spark, str(tmp_path)))
+    got = {(r.plan_date, r.stage): (r.weekday, r.is_weekend, r.has_snapshot, r.done) for r in execution.status_of_days(days, decoded).collect()}
+    assert len(got) == 12 and got["2024-01-05", "auction"] == (4, False, True, True) and got["2024-01-05", "opening"] == (4, False, True, False)
+    assert {v[2:] for k, v in got.items() if k[0] != "2024-01-05"} == {(False, False)} and got["2024-01-06", "intraday"][1]
+    assert decoded.filter("error IS NOT NULL").count() == 1
+
+
 def test_absent_table_is_empty_but_other_errors_show(spark, tmp_path):
     empty = tables.research_table(spark, str(tmp_path), "watchlist")
     assert empty.columns == ["ts_code", "market", "note", "enabled", "created_at_utc"] and empty.count() == 0

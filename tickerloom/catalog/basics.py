@@ -42,7 +42,7 @@ def _(r):
        FROM v_read_plans""",
 )
 def _(r):
-    rows = snapshots.plan_rows(snapshots.decode_snapshots(r.snapshot_documents))
+    rows = snapshots.plan_rows(snapshots.decode_snapshots(snapshots.read_snapshot_files(r.spark, r.snapshot_folder)))
     return rows.select("plan_date", "ts_code", "rank", "open_action", F.round("predicted_target", 6).alias("predicted_target"), "hit_target")
 
 
@@ -186,7 +186,7 @@ def _(r):
        WHERE event_id % 10 = 0 OR event_id % 6 = 0""",
 )
 def _(r):
-    rows = snapshots.plan_rows(snapshots.decode_snapshots(r.snapshot_documents)).select(
+    rows = snapshots.plan_rows(snapshots.decode_snapshots(snapshots.read_snapshot_files(r.spark, r.snapshot_folder))).select(
         "plan_date", "ts_code", nested.not_empty("intraday_notes").alias("has_signal"), nested.any_contains("pre_market_notes", "⚠️").alias("warned")
     )
     return rows.filter(F.col("has_signal") | F.col("warned"))
@@ -470,14 +470,14 @@ CALENDAR = """
 SELECT strftime(plan_date, '%Y-%m-%d') AS plan_date, CASE WHEN fine THEN n END AS total_picks, CASE WHEN fine THEN buys END AS buy_signals,
        CASE WHEN fine THEN targets END AS hit_target, CASE WHEN NOT fine THEN '解析失败' END AS error
 FROM (SELECT plan_date, dayofmonth(plan_date) <> 13 AS fine, count(*) AS n, count(*) FILTER (WHERE open_action = 'BUY_AT_OPEN') AS buys,
-             count(*) FILTER (WHERE hit_target) AS targets FROM v_execution_plans GROUP BY 1 ORDER BY 1 DESC LIMIT 30) t"""
+             count(*) FILTER (WHERE hit_target) AS targets FROM v_execution_plans GROUP BY 1 ORDER BY 1 DESC LIMIT {days}) t"""
 
 
-def _calendar(r):
-    return execution.calendar(snapshots.decode_snapshots(r.snapshot_documents), 30)
+def _calendar(r, days=30):
+    return execution.calendar(snapshots.decode_snapshots(snapshots.newest_snapshot_files(r.spark, r.snapshot_folder, days)), days)
 
 
-query("ag14_day_rollup", CALENDAR)(_calendar)
+query("ag14_day_rollup", CALENDAR.format(days=30))(_calendar)
 
 
 @query("ag15_distinct", "SELECT DISTINCT concept_name FROM v_concept_members")
@@ -615,7 +615,7 @@ def _(r):
 
 @query("st05_newest_days", "SELECT DISTINCT strftime(plan_date, '%Y-%m-%d') AS plan_date FROM v_execution_plans ORDER BY 1 DESC LIMIT 5")
 def _(r):
-    return newest.top(r.snapshot_documents.select("plan_date").distinct(), [F.col("plan_date").desc()], 5)
+    return newest.top(snapshots.snapshot_days(r.spark, r.snapshot_folder).distinct(), [F.col("plan_date").desc()], 5)
 
 
 @query("st06_limit_with_order", "SELECT ts_code FROM v_instruments WHERE market = 'a' ORDER BY ts_code LIMIT 20")

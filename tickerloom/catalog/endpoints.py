@@ -154,7 +154,7 @@ def _(r):
 
 
 def _plans(r):
-    return snapshots.plan_rows(snapshots.decode_snapshots(r.snapshot_documents))
+    return snapshots.plan_rows(snapshots.decode_snapshots(snapshots.read_snapshot_files(r.spark, r.snapshot_folder)))
 
 
 @query("q15_execution_summary", basics.SUMMARY.format(day="strftime(plan_date, '%Y-%m-%d')", t="v_read_plans"))
@@ -164,15 +164,23 @@ def _(r):
 
 @query(
     "q16_execution_stages",
-    f"""WITH s AS ({basics.STAGES.format(day="strftime(plan_date, '%Y-%m-%d')", t='v_read_plans')})
-        SELECT plan_date, 'pre_market' AS stage, pre_market AS done FROM s UNION ALL SELECT plan_date, 'auction', auction FROM s
-        UNION ALL SELECT plan_date, 'opening', opening FROM s UNION ALL SELECT plan_date, 'intraday', intraday FROM s""",
+    f"""WITH s AS ({basics.STAGES.format(day="plan_date", t='v_read_plans')}), d AS (
+          SELECT CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 7, INTERVAL '1' DAY)) AS DATE) AS plan_date FROM events)
+        SELECT strftime(d.plan_date, '%Y-%m-%d') AS plan_date, CAST((dayofweek(d.plan_date) + 6) % 7 AS INTEGER) AS weekday, dayofweek(d.plan_date) IN (0, 6) AS is_weekend,
+          s.plan_date IS NOT NULL AS has_snapshot, x.stage, coalesce(CASE x.stage WHEN 'pre_market' THEN pre_market WHEN 'auction' THEN auction
+          WHEN 'opening' THEN opening ELSE intraday END, false) AS done
+        FROM d LEFT JOIN s ON s.plan_date = d.plan_date, (VALUES ('pre_market'), ('auction'), ('opening'), ('intraday')) x(stage)""",
 )
 def _(r):
-    return execution.stage_rows(_plans(r))
+    # Every day of the events and a week beyond, for which there is no file.
+    span = r.given("events").agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 7).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("plan_date"))
+    return execution.status_of_days(days, snapshots.decode_snapshots(snapshots.read_snapshot_files(r.spark, r.snapshot_folder)))
 
 
-query("q17_execution_calendar", basics.CALENDAR)(basics._calendar)
+@query("q17_execution_calendar", basics.CALENDAR.format(days=5))
+def _(r):
+    return basics._calendar(r, 5)
 
 
 @query(

@@ -8,6 +8,7 @@ from tickerloom.catalog.basics import HISTORY, ISO
 from tickerloom.catalog.registry import query
 from tickerloom.functions import nested, scalar, text
 from tickerloom.plans import execution, forecast, market, picks
+from tickerloom.sources import snapshots
 from tickerloom.sources.derived import CHART_ROOT, MODEL, SYSTEM_PROMPT
 
 # --- numbers ---------------------------------------------------------------------
@@ -256,10 +257,10 @@ def _(r):
     return rows.select("id", F.inline("s"))
 
 
-@query("sc25_date_in_file_name", "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS plan_date FROM events")
+@query("sc25_date_in_file_name", "SELECT strftime(plan_date, '%Y-%m-%d') AS plan_date, count(*) > 0 AS filled FROM v_execution_plans GROUP BY 1")
 def _(r):
-    name = F.concat(F.lit("execution_"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".json"))
-    return r.given("events").select(text.date_in_file_name(name).alias("plan_date")).distinct()
+    files = snapshots.read_snapshot_files(r.spark, r.snapshot_folder)
+    return files.select("plan_date", (F.length("document") > 0).alias("filled"))
 
 
 # --- nested data -----------------------------------------------------------------------

@@ -46,9 +46,27 @@ def stages(plans: DataFrame) -> DataFrame:
     )
 
 
-def stage_rows(plans: DataFrame) -> DataFrame:
-    """The stages as rows (plan_date, stage, done)."""
-    return stages(plans).unpivot("plan_date", ["pre_market", "auction", "opening", "intraday"], "stage", "done")
+def status_of_days(days: DataFrame, decoded: DataFrame) -> DataFrame:
+    """The stages of each asked day: (plan_date, weekday, is_weekend, has_snapshot, stage, done).
+
+    A day without a snapshot, or with an unreadable one, has no stage done.
+    ``days``: plan_date as dates; ``decoded``: documents with dates as text.
+    """
+    readable = decoded.filter("error IS NULL").groupBy("plan_date").agg(F.flatten(F.collect_list("plans")).alias("plans"))
+    weekday = F.weekday("plan_date")
+    asked = days.select(F.date_format("plan_date", "yyyy-MM-dd").alias("plan_date"), weekday.alias("weekday"), (weekday >= 5).alias("is_weekend"))
+    found = asked.join(readable, "plan_date", "left").withColumn("has_snapshot", F.col("plans").isNotNull())
+
+    def any_of(test):
+        return F.coalesce(F.exists("plans", test), F.lit(False))
+
+    return found.select(
+        "plan_date", "weekday", "is_weekend", "has_snapshot",
+        any_of(lambda p: p["overnight_adjustment"].isNotNull() | p["adjusted_buy"].isNotNull()).alias("pre_market"),
+        any_of(lambda p: p["auction_price"].isNotNull()).alias("auction"),
+        any_of(lambda p: F.coalesce(p["open_action"], F.lit("")) != "").alias("opening"),
+        any_of(lambda p: p["current_price"].isNotNull()).alias("intraday"),
+    ).unpivot(["plan_date", "weekday", "is_weekend", "has_snapshot"], ["pre_market", "auction", "opening", "intraday"], "stage", "done")
 
 
 def clock_view(times: DataFrame, column: str) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tickerloom.functions.scalar import token_cost
 from tickerloom.functions.text import cache_key
 from tickerloom.operators.newest import newest_row
-from tickerloom.session import pin
+from tickerloom.session import pin, scratch_path
+from tickerloom.sources.snapshots import document_lines, write_snapshot_files
 from tickerloom.sources.tables import input_stream, input_table
 
 MODEL, SYSTEM_PROMPT = "assistant-v1", "research"
@@ -336,13 +337,14 @@ class Research:
         )
 
     @cached_property
-    def snapshot_documents(self) -> DataFrame:
-        """Each plan as a stored JSON document, in both accepted shapes and now and then broken."""
-        p = self.execution_plans
-        body = F.to_json(F.struct(*[c for c in p.columns if c != "plan_date"]))
+    def snapshot_folder(self) -> str:
+        """Each day's plans as a stored file, in both accepted shapes; that of the 13th breaks off."""
+        path = scratch_path(self.spark, "snapshots")
         day = F.dayofmonth("plan_date")
-        document = F.when(day == 13, F.lit("[{broken")).when(day % 2 == 0, text("[", body, "]")).otherwise(text('{"plans":[', body, "]}"))
-        return pin(p.select(F.date_format("plan_date", "yyyy-MM-dd").alias("plan_date"), document.alias("document")))
+        lines = document_lines(self.execution_plans, ["rank", "ts_code"], day % 2 == 1).withColumn("_broken", F.endswith("plan_date", F.lit("-13")))
+        lines = lines.filter("NOT _broken OR place = 1").withColumn("line", F.when(F.col("_broken"), "[{broken").otherwise(F.col("line")))
+        write_snapshot_files(lines.drop("_broken"), path)
+        return path
 
     @cached_property
     def watchlist(self) -> DataFrame:
