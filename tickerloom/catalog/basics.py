@@ -674,15 +674,15 @@ def _(r):
     return assistant.touch_sessions(r.chat_sessions, asked, now).select("id", "title", scalar.iso_time("updated_at_utc").alias("updated_at"))
 
 
-@query(
-    "mu05_cache_newest_wins",
-    f"""WITH halves AS (SELECT *, request_id % 3 = 0 AS early FROM v_cache_writes),
+CACHE = f"""WITH halves AS (SELECT *, request_id % 3 = 0 AS early FROM v_cache_writes),
         keys AS (SELECT cache_key, bool_or(NOT early) AS late FROM halves GROUP BY 1),
         used AS (SELECT h.* FROM halves h JOIN keys k USING (cache_key) WHERE NOT early OR NOT late),
         first AS (SELECT cache_key, arg_min(ttl_seconds, (NOT early, created_at_utc, request_id)) AS ttl_seconds FROM halves GROUP BY 1)
         SELECT cache_key, arg_max(response_json, (created_at_utc, request_id)) AS response_json, any_value(ttl_seconds) AS ttl_seconds,
-        strftime(max(created_at_utc), {ISO}) AS created_at FROM (SELECT u.* EXCLUDE (ttl_seconds), first.ttl_seconds FROM used u JOIN first USING (cache_key)) t GROUP BY 1""",
-)
+        strftime(max(created_at_utc), {ISO}) AS created_at FROM (SELECT u.* EXCLUDE (ttl_seconds), first.ttl_seconds FROM used u JOIN first USING (cache_key)) t GROUP BY 1"""
+
+
+@query("mu05_cache_newest_wins", CACHE)
 def _(r):
     w = r.cache_writes
     early = F.col("request_id") % 3 == 0

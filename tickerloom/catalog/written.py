@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.catalog.basics import CACHE, ISO
 from tickerloom.catalog.registry import query
-from tickerloom.plans import backtest
+from tickerloom.functions import scalar
+from tickerloom.operators.merge import upsert
+from tickerloom.plans import assistant, backtest, watchlist
+from tickerloom.schemas import RESEARCH_SCHEMAS
 from tickerloom.session import scratch_path
 from tickerloom.sources import sinks, tables
+from tickerloom.sources.stored import KeyedTable
 
 
 @query(
@@ -69,3 +74,39 @@ def _(r):
     audit = backtest.run_audit(entries.join(r.pick_outcomes, "entry_id")).withColumn("as_of", F.lit("2024-07-18"))
     audit.select("run_id", "as_of", "fail_rate", "mean_fwd_return", "mean_delta").write.json(path)
     return tables.json_lines(r.spark, path, "iteration_ledger").select("run_id", F.round("fail_rate", 6).alias("fail_rate"))
+
+
+def _loaded(r, name, rows, keys):
+    """A stored table of ``rows``, put there by its first change set."""
+    schema = r.spark.createDataFrame([], RESEARCH_SCHEMAS[name]).select(*rows.columns).schema
+    table = KeyedTable(r.spark, scratch_path(r.spark, name), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema), keys)
+    table.change(rows, lambda stored, fresh: upsert(stored, fresh, keys, {}, {}))
+    return table
+
+
+@query(
+    "mu01_stored_watchlist",
+    f"""SELECT coalesce(b.ts_code, c.ts_code) AS ts_code, coalesce(b.market, c.market) AS market,
+        CASE WHEN b.ts_code IS NULL THEN c.note WHEN c.note <> '' THEN c.note ELSE b.note END AS note,
+        CASE WHEN b.ts_code IS NULL THEN true WHEN c.note <> '' THEN true ELSE b.enabled END AS enabled,
+        strftime(coalesce(b.created_at_utc, c.created_at_utc), {ISO}) AS created_at
+        FROM v_watchlist b FULL JOIN v_watchlist_changes c ON c.ts_code = b.ts_code AND c.market = b.market
+        WHERE NOT EXISTS (SELECT 1 FROM v_watchlist_removals d WHERE d.ts_code = coalesce(b.ts_code, c.ts_code) AND d.market = coalesce(b.market, c.market))""",
+)
+def _(r):
+    """The stored list takes its additions, twice over, and then its removals."""
+    table = _loaded(r, "watchlist", r.watchlist, watchlist.KEY)
+    for _ in range(2):
+        table.change(r.watchlist_changes, watchlist.add)
+    table.change(r.watchlist_removals, watchlist.remove)
+    return table.read().select("ts_code", "market", "note", "enabled", scalar.iso_time("created_at_utc").alias("created_at"))
+
+
+@query("mu05_stored_cache", CACHE)
+def _(r):
+    """Early and late writes reach the stored cache as two change sets, the late ones twice over."""
+    writes, early = r.cache_writes, F.col("request_id") % 3 == 0
+    table = KeyedTable(r.spark, scratch_path(r.spark, "cache"), "cache_key string, response_json string, ttl_seconds bigint, created_at_utc timestamp_ntz", ["cache_key"])
+    for part in (writes.filter(early), writes.filter(~early), writes.filter(~early)):
+        table.change(part, assistant.write_cache)
+    return table.read().select("cache_key", "response_json", "ttl_seconds", scalar.iso_time("created_at_utc").alias("created_at"))
