@@ -118,3 +118,74 @@ def test_repeated_deliveries_are_dropped(feed):
     rows = [(i % 7, START + dt.timedelta(hours=i)) for i in range(60)]
     got = jobs.run_available(jobs.first_deliveries(feed(rows, kind), ["news_id"], "ts").select("news_id", F.col("ts")), "t-news")
     assert sorted(r["news_id"] for r in got.collect()) == list(range(7))
+
+
+MESSAGES = "id bigint, created_at_utc timestamp_ntz, prompt_tokens bigint, output_tokens bigint, cost_usd double"
+
+
+def test_running_totals_equal_batch_after_every_file_and_a_replay_changes_nothing(spark, tmp_path):
+    folder, table, log = (str(tmp_path / x) for x in ("in", "totals", "log"))
+    rng = random.Random(4)
+    rows = [(i, START + dt.timedelta(minutes=37 * i - rng.randrange(50)), i % 9, None if i % 4 else i, 0.25 * (i % 5)) for i in range(180)]
+    stored = lambda: {(r.window_start, r.requests, r.prompt_tokens, r.output_tokens, r.cost_usd) for r in jobs.running_table(spark, table).read().collect()}
+    for n in range(0, 180, 45):
+        spark.createDataFrame(rows[n : n + 45], MESSAGES).coalesce(1).write.mode("append").parquet(folder)
+        jobs.keep_running_totals(spark.readStream.schema(MESSAGES).parquet(folder), table, log)
+        days = {}
+        for _, at, a, b, c in rows[: n + 45]:
+            days.setdefault(iso(dt.datetime.combine(at.date(), dt.time())), []).append((a, b, c))
+        want = {(d, len(g), sum(x[0] for x in g), sum(x[1] or 0 for x in g) if any(x[1] is not None for x in g) else None, sum(x[2] for x in g)) for d, g in days.items()}
+        assert stored() == want
+    files = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "totals").rglob("*.parquet")}
+    # The last batch is played again, as after a failure before its commit.
+    last = max(int(p.name) for p in (tmp_path / "log/commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "log/commits").glob(f"*{last}*"):
+        p.unlink()
+    jobs.keep_running_totals(spark.readStream.schema(MESSAGES).parquet(folder), table, log)
+    assert stored() == want and files.keys() == {p.name for p in (tmp_path / "totals").rglob("*.parquet")}
+
+
+def test_an_older_batch_never_replaces_a_newer_one(spark, tmp_path):
+    folder, table = str(tmp_path / "in"), str(tmp_path / "totals")
+    spark.createDataFrame([(1, START, 1, 1, 1.0)], MESSAGES).write.parquet(folder)
+    kind = jobs.RUNNING
+    newer = spark.createDataFrame([(iso(START), iso(START), 99, 9, 9, 9.0, 7)], kind)
+    jobs.running_table(spark, table).change(newer, lambda stored, fresh: fresh)
+    jobs.keep_running_totals(spark.readStream.schema(MESSAGES).parquet(folder), table, str(tmp_path / "log"))
+    assert [r.requests for r in jobs.running_table(spark, table).read().collect()] == [99]
+
+
+def test_revised_plans_serve_from_their_arrival(spark, tmp_path):
+    rng = random.Random(8)
+    tick_rows = ticks(800)
+    plan_kind = "ts timestamp_ntz, event_id bigint, ts_code string, predicted_target double, predicted_stop double"
+    plans = [(START + dt.timedelta(minutes=rng.randrange(6 * 1440)), k, rng.choice(["hot", "hot", "c1", "c2", "c9"]), rng.uniform(11, 14), rng.uniform(6, 9)) for k in range(250)]
+    versions = {}
+    for p in plans:
+        versions.setdefault((p[2], p[0].date()), []).append(p)
+    want = {}
+    for t, i, c, price in sorted(tick_rows):
+        earlier = [p for p in versions.get((c, t.date()), []) if p[0] < t]
+        if earlier:
+            p = max(earlier)
+            touch = "target" if price >= p[3] else "stop" if price <= p[4] else None
+            if touch:
+                want.setdefault((iso(dt.datetime.combine(t.date(), dt.time())), c), (iso(t), price, touch, p[1]))
+    # Rows of either side come up to 50 minutes out of order, in eight files each.
+    def feed_of(name, rows, kind):
+        mixed = sorted(rows, key=lambda r: r[0] + dt.timedelta(minutes=rng.randrange(50)))
+        for k in range(8):
+            spark.createDataFrame(mixed[k * len(mixed) // 8 : (k + 1) * len(mixed) // 8], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+    job = jobs.first_touch_of_revised(feed_of("ticks", tick_rows, TICKS), feed_of("plans", plans, plan_kind))
+    running = job.writeStream.outputMode("append").format("memory").queryName("revised").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = {(r.window_start, r.ts_code): (r.touched_at, r.price, r.touch, r.version) for r in spark.table("revised").collect()}
+    last = min(max(r[0] for r in rows) for rows in (tick_rows, plans)) - dt.timedelta(hours=1)
+    closed = {k: v for k, v in want.items() if dt.datetime.fromisoformat(k[0]) + dt.timedelta(days=2) <= last}
+    assert got == closed and any(k[1] == "hot" for k in got) and len({v[3] for v in got.values()}) > 5
+    # Versions and ticks more than a day behind the watermark are gone from the state of the join.
+    state = running.lastProgress["stateOperators"]
+    recent = sum(r[0] > last - dt.timedelta(days=1, hours=1) for r in tick_rows + plans)
+    assert max(s["numRowsTotal"] for s in state) <= 2 * recent < 2 * len(tick_rows + plans)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.basics import ISO
 from tickerloom.catalog.registry import query
 from tickerloom.catalog.views import code
-from tickerloom.session import pin
+from tickerloom.session import pin, scratch_path
 from tickerloom.sources.derived import ArrivingResearch, code_of
 from tickerloom.streaming import jobs
 
@@ -34,6 +34,20 @@ def _(r):
     return jobs.run_available(jobs.daily_cost(arriving(r).chat_messages), "daily-cost").withColumn("cost_usd", F.round("cost_usd", 6))
 
 
+@query(
+    "str01_running_cost",
+    f"""SELECT strftime(s, {ISO}) AS window_start, requests, prompt_tokens, output_tokens, cost_usd FROM (
+        SELECT date_trunc('day', created_at_utc) AS s, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+        CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) + 0e0 AS cost_usd FROM v_chat_messages GROUP BY 1) t""",
+)
+def _(r):
+    """The totals so far of every day, the open one included."""
+    path = scratch_path(r.spark, "running-cost")
+    jobs.keep_running_totals(arriving(r).chat_messages, path, scratch_path(r.spark, "running-cost-log"))
+    totals = jobs.running_table(r.spark, path).read()
+    return totals.select("window_start", "requests", "prompt_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"))
+
+
 BAR_SQL = """SELECT strftime(s, {iso}) AS window_start, strftime(s + INTERVAL '1' HOUR, {iso}) AS window_end, event_type AS symbol,
         arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks
         FROM ({rows}) t WHERE s + INTERVAL '1' HOUR <= {closed} GROUP BY s, event_type"""
@@ -74,6 +88,21 @@ def _(r):
     return jobs.run_available(jobs.touch_alerts(_ticks(r), pin(r.execution_plans)), "touch-alerts")
 
 
+@query(
+    "str03_revised_plans",
+    f"""WITH v AS (SELECT event_id, {code('user_id')} AS ts_code, ts, value FROM events),
+        held AS (SELECT t.*, p.event_id AS version, p.value AS base FROM v t JOIN v p ON p.ts_code = t.ts_code AND p.ts < t.ts AND CAST(p.ts AS DATE) = CAST(t.ts AS DATE)
+                 QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY p.ts DESC, p.event_id DESC) = 1),
+        touched AS (SELECT *, CASE WHEN value >= base * 1.1e0 THEN 'target' WHEN value <= base * 9e-1 THEN 'stop' END AS touch FROM held),
+        first AS (SELECT * FROM touched WHERE touch IS NOT NULL QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), ts_code ORDER BY ts, event_id) = 1)
+        SELECT strftime(date_trunc('day', ts), {ISO}) AS window_start, strftime(date_trunc('day', ts) + INTERVAL '1' DAY, {ISO}) AS window_end, ts_code,
+        strftime(ts, {ISO}) AS touched_at, value AS price, touch, version FROM first WHERE date_trunc('day', ts) + INTERVAL '2' DAY <= {EVENT_CLOSED}""",
+)
+def _(r):
+    """Plans arrive and are revised while ticks do; a day is given out when the watermark is a day past it, as long as the join may still bring rows."""
+    return jobs.run_available(jobs.first_touch_of_revised(_ticks(r), arriving(r).plan_arrivals), "revised-plans")
+
+
 @query(
     "str04_stage_flags",
     f"""SELECT strftime(d, {ISO}) AS window_start, strftime(d + INTERVAL '1' DAY, {ISO}) AS window_end, bool_or(event_id % 4 = 0 OR event_id % 5 IN (0, 1)) AS pre_market,

@@ -314,7 +314,7 @@ class Research:
     @cached_property
     def plan_arrivals(self) -> DataFrame:
         """Every event as an arriving version of a plan."""
-        return self._plan_columns(self.given("events").withColumn("plan_date", F.to_date("ts")), "ts")
+        return self._plan_columns(self.given("events").withColumn("plan_date", F.to_date("ts")), "ts", "event_id")
 
     @staticmethod
     def _plan_columns(e: DataFrame, *extra: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Streaming twins of the batch results (definitions ours).
 
-Every job is an append-mode query with a watermark, so its state is bounded by
-the rows inside the watermark and a closed window never changes again.  Before
+Every job has a watermark, so its state is bounded by the rows inside the
+watermark.  Most are append-mode queries, whose closed windows never change
+again; running totals are updates, kept in a stored table by day.  Before
 the shuffle, aggregates combine, sessions are merged and alerts and deliveries
 are thinned out to one row per key and Arrow batch, so a hot key moves few rows.
 """
@@ -11,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickerloom.operators.merge import upsert
 from tickerloom.plans.execution import stages
 from tickerloom.session import scratch_path
+from tickerloom.sources.stored import KeyedTable
 
 LATENESS = "1 hour"
 MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -41,6 +44,32 @@ def daily_cost(messages: DataFrame) -> DataFrame:
     return grouped.select(*span(), "requests", "prompt_tokens", "output_tokens", "cost_usd")
 
 
+RUNNING = "window_start string, window_end string, requests bigint, prompt_tokens bigint, output_tokens bigint, cost_usd double, batch_id bigint"
+
+
+def running_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The stored running totals, a row per day."""
+    return KeyedTable(spark, path, RUNNING, ["window_start"], 16)
+
+
+def keep_running_totals(messages: DataFrame, path: str, log: str) -> None:
+    """Process what has arrived and leave each day's totals so far, the open day's included, at ``path``.
+
+    Each micro-batch puts the days it changed into the table by key, with its
+    number: a batch that is played again after a failure writes the same rows,
+    and an older number never replaces a newer one.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table = running_table(batch.sparkSession, path)
+        columns = [c for c in batch.columns if c not in table.keys] + ["batch_id"]
+        newer = {c: f"CASE WHEN c.batch_id >= b.batch_id THEN c.{c} ELSE b.{c} END" for c in columns}
+        table.change(batch.withColumn("batch_id", F.lit(number).cast("long")), lambda stored, fresh: upsert(stored, fresh, table.keys, newer, {}))
+
+    writer = daily_cost(messages).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", log)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def tick_bars(ticks: DataFrame, symbol: str, price: str, time: str, ident: str, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Tumbling (or, with ``slide``, sliding) open-high-low-close bars with tick counts."""
     order = F.struct(time, ident)
@@ -72,6 +101,31 @@ def first_touch_of_day(ticks: DataFrame, plans: DataFrame) -> DataFrame:
     return days.select(*span(), "ts_code", F.date_format("first.ts", "yyyy-MM-dd'T'HH:mm:ss").alias("touched_at"), "first.price", "first.touch")
 
 
+def first_touch_of_revised(ticks: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """First touch per instrument and day of the plan in force, given out once the day is closed.
+
+    ``arrivals``: plan versions as a stream (ts_code, ts, event_id,
+    predicted_target, predicted_stop).  A tick is held against the newest
+    version of its day that arrived before it, so a revised plan replaces the
+    earlier one from its arrival on.  Both sides have a watermark and a version
+    serves its own day only, so neither side is kept longer than a day beyond
+    the watermark; a tick meets the versions of its day, not all.
+    """
+    dated = timed(ticks, "ts").select("ts_code", "at", "event_id", "price")
+    versions = arrivals.select(
+        F.col("ts_code").alias("_code"), F.col("ts").cast("timestamp").alias("set_at"), F.col("event_id").alias("version"), "predicted_target", "predicted_stop"
+    ).withWatermark("set_at", LATENESS)
+    met = F.expr("ts_code = _code AND set_at < at AND set_at >= at - INTERVAL 1 DAY AND date_trunc('day', set_at) = date_trunc('day', at)")
+    held = dated.join(versions, met)
+    newest = F.max_by(F.struct("version", "predicted_target", "predicted_stop"), F.struct("set_at", "version"))
+    judged = held.groupBy(F.window("at", "1 day"), "ts_code", "event_id").agg(newest.alias("plan"), F.first("price").alias("price"), F.first("at").alias("tick_at"))
+    kind = F.when(F.col("price") >= F.col("plan.predicted_target"), "target").when(F.col("price") <= F.col("plan.predicted_stop"), "stop")
+    touched = judged.withColumn("touch", kind).filter(F.col("touch").isNotNull())
+    first = F.min_by(F.struct("tick_at", "price", "touch", "plan.version"), F.struct("tick_at", "event_id"))
+    days = touched.groupBy(F.window(F.window_time("window"), "1 day"), "ts_code").agg(first.alias("first"))
+    return days.select(*span(), "ts_code", F.date_format("first.tick_at", "yyyy-MM-dd'T'HH:mm:ss").alias("touched_at"), "first.price", "first.touch", "first.version")
+
+
 ALERT = "plan_date date, ts_code string, event_id bigint, price double, touch string"
 TOUCH = "plan_date date, ts_code string, at timestamp, event_id bigint, price double, touch string"
 PLAN = ["plan_date", "ts_code"]
