@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.basics import ISO, RECENT, W
 from tickerloom.catalog.registry import query
 from tickerloom.functions import scalar
-from tickerloom.operators import indicators, similarity
+from tickerloom.operators import indicators, neighbours, similarity
 from tickerloom.plans import analytics, backtest, company, market
 from tickerloom.sources import tables
 
@@ -114,6 +114,27 @@ def _(r):
     return analytics.similar_patterns(r.daily_prices)
 
 
+@query(
+    "tb07_patterns_across",
+    """WITH p AS (SELECT ts_code, market, trade_date, row_number() OVER w AS bar, list(pct_chg) OVER (PARTITION BY ts_code, market ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x
+            FROM v_daily_prices WHERE pct_chg IS NOT NULL WINDOW w AS (PARTITION BY ts_code, market ORDER BY trade_date)),
+       c AS (SELECT * EXCLUDE (x), list_transform(x, lambda v: v - list_avg(x)) AS x, row_number() OVER (PARTITION BY ts_code, market ORDER BY trade_date DESC) AS rn FROM p WHERE len(x) = 10),
+       s AS (SELECT n.ts_code, n.market, h.ts_code AS like_ts_code, h.market AS like_market, h.trade_date, round(list_cosine_similarity(h.x, n.x), 6) + 0e0 AS similarity
+            FROM c n JOIN c h ON n.rn = 1 AND (h.ts_code <> n.ts_code OR h.market <> n.market OR h.bar <= n.bar - 10))
+       SELECT *, row_number() OVER (PARTITION BY ts_code, market ORDER BY similarity DESC, trade_date DESC, like_market, like_ts_code) AS position FROM s
+       WHERE NOT isnan(similarity) QUALIFY position <= 5""",
+)
+def _(r):
+    return analytics.similar_patterns_across(r.daily_prices)[0].withColumn("position", F.col("position").cast("long"))
+
+
+@query("tb08_vector_neighbours")
+def _(r):
+    """Every vector whose id is divisible by 20 against all of them."""
+    e = r.given("embeddings")
+    return neighbours.vector_neighbours(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
 @query(
     "tb08_nearest_vectors",
     """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators.newest import last_rows, newest_row, top
-from tickerloom.operators.ordered import percent_ranks
+from tickerloom.operators.neighbours import exact_neighbours, unit
+from tickerloom.operators.newest import last_rows, top
+from tickerloom.operators.ordered import percent_ranks, running_total
 from tickerloom.operators.similarity import centred, closest_to_newest
 from tickerloom.plans.market import INSTRUMENT, by_instrument, newest_bar, trailing_mean
 from tickerloom.session import pin
@@ -109,6 +110,35 @@ def similar_patterns(prices: DataFrame, length: int = 10, k: int = 5) -> DataFra
     return closest_to_newest(shaped, INSTRUMENT, "trade_date", "shape", k, earlier_than=length, position="bar", bounded=True)
 
 
+def pattern_rows(prices: DataFrame, length: int = 10) -> DataFrame:
+    """Every stretch of ``length`` daily returns, centred and at length one: instrument, trade_date, bar, v."""
+    bars = prices.filter(F.col("pct_chg").isNotNull())
+    place = F.row_number().over(by_instrument())
+    stretch = F.collect_list("pct_chg").over(by_instrument().rowsBetween(-length + 1, 0))
+    rows = bars.select(*INSTRUMENT, "trade_date", place.cast("long").alias("bar"), stretch.alias("stretch")).filter(F.size("stretch") == length)
+    return rows.select(*INSTRUMENT, "trade_date", "bar", unit(centred(F.col("stretch"))).alias("v")).filter("v IS NOT NULL")
+
+
+def similar_patterns_across(prices: DataFrame, length: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """For each instrument, the ``k`` stretches of any instrument most like its newest one; and what was compared.
+
+    Stretches that overlap the newest one, which only the instrument's own can,
+    are left out; ties go to the newer stretch, then to the smaller code.
+    """
+    shaped = pin(pattern_rows(prices, length))
+    names = shaped.select(*INSTRUMENT).distinct()
+    # Instruments by number, in the order of their codes.
+    numbered = pin(running_total(names.withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)}), ["_all"], INSTRUMENT, "_one", "group").select(*INSTRUMENT, "group"))
+    rows = shaped.join(numbered, INSTRUMENT).select("group", F.col("bar").alias("place"), (-F.unix_date("trade_date")).cast("long").alias("age"), "v")
+    newest = rows.groupBy("group").agg(F.max_by(F.struct("v", "place"), "place").alias("n"))
+    asks = newest.select(F.col("group").alias("ask"), F.col("group").alias("ask_group"), (F.col("n.place") - length).alias("ask_upto"), F.col("n.v").alias("q"))
+    found, looked_at = exact_neighbours(rows, asks, k, ["age", "group"])
+    ours = numbered.select(F.col("group").alias("ask"), *[F.col(c) for c in INSTRUMENT])
+    theirs = numbered.select("group", *[F.col(c).alias(f"like_{c}") for c in INSTRUMENT])
+    named = found.join(ours, "ask").join(theirs, "group").withColumn("trade_date", F.date_from_unix_date((-F.col("age")).cast("int")))
+    return named.select(*INSTRUMENT, *[f"like_{c}" for c in INSTRUMENT], "trade_date", "similarity", "position"), looked_at
+
+
 def rule_scores(prices: DataFrame, weights: dict[str, float] = WEIGHTS, max_ret_20d: float = MAX_RET_20D) -> DataFrame:
     """Weighted percent ranks of the factors, times 100, over all instruments that pass the momentum filter."""
     kept = features(prices).filter(F.col("ret_20d") <= max_ret_20d)
@@ -148,9 +178,3 @@ def concept_breadth(members: DataFrame, prices: DataFrame) -> DataFrame:
     return named.join(bars, INSTRUMENT).groupBy("concept_name").agg(
         F.count("*").alias("members"), F.avg("pct_chg").alias("mean_pct_chg"), F.avg((F.col("pct_chg") > 0).cast("double")).alias("advance_ratio")
     )
-
-
-def newest_signals(prices: DataFrame) -> DataFrame:
-    return newest_row(cross_signals(prices), INSTRUMENT, ["trade_date"])
-
-

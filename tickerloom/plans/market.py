@@ -163,8 +163,3 @@ def price_context(prices: DataFrame, lookback: int = 60) -> DataFrame:
         F.max_by(newest, "trade_date").alias("latest"), mean(5).alias("ma5"), mean(20).alias("ma20"), last5.alias("_last5")
     )
     return grouped.withColumn("closes5", F.col("_last5.close")).drop("_last5")
-
-
-def most_active(prices: DataFrame, n: int = 20) -> DataFrame:
-    """Instruments with the largest traded amount on their newest bar."""
-    return numbered(newest_bar(prices), [*newest_first("amount"), F.col("ts_code"), F.col("market")], n)
