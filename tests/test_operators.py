@@ -136,6 +136,28 @@ def test_macd_recursion(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("n", "block"), [(1, 4), (7, 4), (500, 4), (500, 128)])
+def test_a_series_in_many_chunks_and_blocks_is_smoothed_as_in_one_pass(spark, n, block):
+    rng = random.Random(n)
+    values = {"hot": [rng.uniform(0, 9) for _ in range(n)], "few": [rng.uniform(0, 9) for _ in range(3)]}
+    rows = [(k, i, v, "extra") for k, vs in values.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, u double, note string")
+    means = {"plain": ("u", 0.9, None), "seeded": ("u", 0.5, 50.0)}
+    want = {}
+    for k, vs in values.items():
+        a, b = vs[0], 50.0
+        for i, v in enumerate(vs):
+            a, b = (a if i == 0 else a * 0.9 + v * 0.1), b * 0.5 + v * 0.5
+            want[k, i] = (pytest.approx(a, rel=1e-12), pytest.approx(b, rel=1e-12), "extra")
+    for chunked in (True, False):
+        got = ordered.smoothed(df, ["k"], ["i"], means, chunked, block)
+        if chunked and n == 500:
+            assert got.filter("k = 'hot'").select(ordered.CHUNK).distinct().count() > 1
+        found = got.collect()
+        assert len(found) == len(rows) and {(r.k, r.i): (r.plain, r.seeded, r.note) for r in found} == want
+
+
 def test_kdj_recursion_and_flat_prices(spark):
     rng = random.Random(4)
     closes = [50 + rng.uniform(-5, 5) for _ in range(30)]

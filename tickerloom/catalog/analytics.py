@@ -100,6 +100,21 @@ def _(r):
     return rounded(indicators.macd(r.daily_prices), 5)
 
 
+@query(
+    "tb06_tick_macd",
+    """WITH RECURSIVE t AS MATERIALIZED (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+       e AS (SELECT event_type, i, value AS f, value AS s, 0e0 AS dea FROM t WHERE i = 1
+         UNION ALL SELECT t.event_type, t.i, f * 11e0 / 13e0 + value * 2e0 / 13e0, s * 25e0 / 27e0 + value * 2e0 / 27e0,
+               dea * 8e-1 + ((f * 11e0 / 13e0 + value * 2e0 / 13e0) - (s * 25e0 / 27e0 + value * 2e0 / 27e0)) * 2e-1
+         FROM e JOIN t ON t.event_type = e.event_type AND t.i = e.i + 1)
+       SELECT t.event_type, t.event_id, round(f - s, 5) + 0e0 AS dif, round(dea, 5) + 0e0 AS dea FROM e JOIN t USING (event_type, i)""",
+)
+def _(r):
+    """Over single ticks, of which a few types have all: a series is cut into chunks."""
+    ticks = r.given("events").select("event_type", "ts", "event_id", F.col("value").alias("close"))
+    return rounded(indicators.macd(ticks, keys=["event_type"], order=["ts", "event_id"], chunked=True).select("event_type", "event_id", "dif", "dea"), 5)
+
+
 @query(
     "tb07_similar_patterns",
     """WITH p AS (SELECT ts_code, market, trade_date, row_number() OVER w AS bar, list(pct_chg) OVER (PARTITION BY ts_code, market ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x

@@ -1,31 +1,32 @@
-"""Recursive indicators, one pandas pass per instrument (formulas are our definitions).
+"""Recursive indicators as linear recurrences (formulas are our definitions).
 
-Each group is one instrument's daily bars, so its size is bounded by the
-calendar; only the columns the recursion needs are sent to Python.
+Daily bars of one instrument are bounded by the calendar, so their means share
+one shuffle; pass ``chunked=True`` for longer series, which are then cut into
+chunks that hand on their last value.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.operators.ordered import smoothed
+
 KEYS = ["market", "ts_code"]
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """DIF, DEA and 2·(DIF − DEA); every mean starts at its first value."""
+def _decay(span: int) -> float:
+    """Share of the value before in an exponential mean of ``span`` bars."""
+    return 1.0 - 2.0 / (span + 1.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        pdf["dif"] = mean(pdf["close"], fast) - mean(pdf["close"], slow)
-        pdf["dea"] = mean(pdf["dif"], signal)
-        pdf["macd"] = 2.0 * (pdf["dif"] - pdf["dea"])
-        return pdf[[*KEYS, "trade_date", "dif", "dea", "macd"]]
 
-    rows = bars.filter(F.col("close").isNotNull()).select(*KEYS, "trade_date", "close")
-    return rows.groupBy(*KEYS).applyInPandas(run, "market string, ts_code string, trade_date date, dif double, dea double, macd double")
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: list[str] = KEYS, order: list[str] = ["trade_date"], chunked: bool = False) -> DataFrame:  # noqa: B006
+    """DIF, DEA and 2·(DIF − DEA); every mean starts at its first value.  ``order`` is unique within a key."""
+    rows = bars.filter(F.col("close").isNotNull()).select(*keys, *order, "close")
+    both = smoothed(rows, keys, order, {"_fast": ("close", _decay(fast), None), "_slow": ("close", _decay(slow), None)}, chunked)
+    moved = both.withColumn("dif", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", "close")
+    out = smoothed(moved, keys, order, {"dea": ("dif", _decay(signal), None)}, chunked)
+    return out.select(*keys, *order, "dif", "dea", (2.0 * (F.col("dif") - F.col("dea"))).alias("macd"))
 
 
 def kdj(bars: DataFrame, n: int = 9, seed: float = 50.0) -> DataFrame:
@@ -33,17 +34,7 @@ def kdj(bars: DataFrame, n: int = 9, seed: float = 50.0) -> DataFrame:
     span = Window.partitionBy(*KEYS).orderBy("trade_date").rowsBetween(-n + 1, 0)
     low, high = F.min("low").over(span), F.max("high").over(span)
     position = F.coalesce(F.try_divide((F.col("close") - low) * 100.0, high - low), F.lit(seed))
-
-    def smooth(x: pd.Series) -> pd.Series:
-        started = pd.concat([pd.Series([seed]), x], ignore_index=True)
-        return started.ewm(alpha=1.0 / 3.0, adjust=False).mean().iloc[1:].set_axis(x.index)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        pdf["k"] = smooth(pdf["rsv"])
-        pdf["d"] = smooth(pdf["k"])
-        pdf["j"] = 3.0 * pdf["k"] - 2.0 * pdf["d"]
-        return pdf[[*KEYS, "trade_date", "k", "d", "j"]]
-
     rows = bars.filter(F.col("close").isNotNull()).select(*KEYS, "trade_date", position.alias("rsv"))
-    return rows.groupBy(*KEYS).applyInPandas(run, "market string, ts_code string, trade_date date, k double, d double, j double")
+    k = smoothed(rows, KEYS, ["trade_date"], {"k": ("rsv", 2.0 / 3.0, seed)}, chunked=False)
+    out = smoothed(k, KEYS, ["trade_date"], {"d": ("k", 2.0 / 3.0, seed)}, chunked=False)
+    return out.select(*KEYS, "trade_date", "k", "d", (3.0 * F.col("k") - 2.0 * F.col("d")).alias("j"))
