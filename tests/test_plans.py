@@ -340,17 +340,17 @@ def test_names_match_as_by_comparing_all_pairs(spark):
     want = {}
     for s in short:
         starts = sorted((len(c), c) for c in full if c.startswith(s))
-        near = sorted((edits(s, c), c) for c in full if any(s[k : k + 2] in c for k in range(len(s) - 1)))
-        want[s] = (starts[0][1], starts[0][0] - len(s)) if starts else (near[0][1], near[0][0]) if near else (None, None)
+        near = sorted((edits(s, c), c) for c in full)
+        want[s] = (starts[0][1], starts[0][0] - len(s)) if starts else (near[0][1], near[0][0])
     got = company.match_names(spark.createDataFrame([(s,) for s in short], "name string"), spark.createDataFrame([(c,) for c in full], "full_name string"))
     rows = {r["name"]: r for r in got.collect()}
     assert {k: (r["full_name"], r["distance"]) for k, r in rows.items()} == want
-    assert want["茅台"][0] == "贵州茅台酒股份有限公司" and want["无此"] == (None, None)
+    assert want["无此"] == ("平安", 2)
     assert (rows["贵州茅台酒"]["exact"], rows["中国平安"]["exact"], rows["茅台"]["exact"]) == (True, False, False)
 
 
 def test_names_with_typing_errors_match_the_nearest(spark):
-    """Every name against all companies that share a pair with it, by brute force."""
+    """Every name against all companies by brute force: typing errors, shared suffixes, and names that nothing is near to."""
     import random
 
     rng = random.Random(3)
@@ -370,17 +370,25 @@ def test_names_with_typing_errors_match_the_nearest(spark):
         return c
 
     full = ["ABzzzzzzz", "yyyyBCyyyy", "xxCDE", "CDqqqqqq", "DErrrrrr"] + sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 14))) + rng.choice(["", "Co", "HoldingCo"]) for _ in range(120)})
-    short = sorted({"ABCDE", *[typed(rng.choice(full)) for _ in range(150)]})
+    short = sorted({"ABCDE", "ZZZZ", "Q", "ZZZZZZZZZZZZZZZZZZZZZZZZZ", "公", *[typed(rng.choice(full)) for _ in range(150)]})
     want = {}
     for s in short:
-        near = sorted((edits(s, c), c) for c in full if any(s[k : k + 2] in c for k in range(len(s) - 1)))
+        near = sorted((edits(s, c), c) for c in full)
         starts = sorted((len(c), c) for c in full if c.startswith(s))
-        want[s] = starts[0][1] if starts else near[0][1] if near else None
+        want[s] = starts[0][1] if starts else near[0][1]
     assert want["ABCDE"] == "xxCDE"
     got = company.match_names(spark.createDataFrame([(s,) for s in short], "name string"), spark.createDataFrame([(c,) for c in full], "full_name string"))
     assert {r["name"]: r["full_name"] for r in got.collect()} == want
 
 
+def test_names_without_companies_and_nulls(spark):
+    none = spark.createDataFrame([], "full_name string")
+    some = spark.createDataFrame([("a",), (None,), ("",)], "name string")
+    assert {(r["name"], r["full_name"], r["distance"], r["exact"]) for r in company.match_names(some, none).collect()} == {("a", None, None, False), (None, None, None, False), ("", None, None, False)}
+    one = spark.createDataFrame([("Acme",), (None,)], "full_name string")
+    assert {(r["name"], r["full_name"], r["distance"]) for r in company.match_names(some, one).collect()} == {("a", "Acme", 4), (None, None, None), ("", "Acme", 4)}
+
+
 def test_rules_apply_with_their_look_back(spark):
     rules = tables.risk_rules(spark, company.RISK_RULES)
     as_of = F.lit("2024-12-31").cast("date")

@@ -13,14 +13,13 @@ from tickerloom.functions.text import capital_wan
 from tickerloom.operators.merge import newest_wins
 from tickerloom.operators.newest import newest_row
 from tickerloom.operators.ordered import percent_ranks
+from tickerloom.session import pin
 
 KEY = ["ts_code", "market"]
 
 # The risk rules (type, action, look-back in days, score factor).
 RISK_RULES = [("dishonest", "EXCLUDE", 365, None), ("execution", "SCORE_MULTIPLY", None, 0.5), ("abnormal", "EXCLUDE", 180, None)]
 LEGAL_FORMS = ["集团股份有限公司", "股份有限公司", "有限公司"]
-# Pairs looked up before the distance is taken anew (see match_names).
-_STEP = 8
 STATE_WORDS, INSTITUTION_WORDS = "国资|国有|财政", "社保|基金|保险|信托"
 
 
@@ -64,54 +63,98 @@ def code_mismatches(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("code_mismatch", ~F.col("stock_number").eqNullSafe(F.col("ts_code")))
 
 
-def _bigrams(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with one row for each distinct pair of neighbouring characters."""
-    last = F.length(text) - 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("bigram", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(2))))))
-
-
-def match_names(names: DataFrame, companies: DataFrame, bigrams: int = 2) -> DataFrame:
+def _segments(listed: DataFrame, d: int) -> DataFrame:
+    """(key, full_name): every name longer than ``d`` cut into ``d + 1`` even segments, each with its number and the name's length."""
+    size, parts = F.col("size"), d + 1
+    short = F.floor(size / parts)
+    # The last ``size mod parts`` segments have one character more.
+    longer = size % parts
+    first = F.col("i") * short + F.greatest(F.lit(0), F.col("i") - (parts - longer))
+    width = short + (F.col("i") >= parts - longer).cast("int")
+    cut = listed.filter(size > d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    return cut.select(F.concat_ws("|", "size", "i", F.substring("full_name", first.cast("int") + 1, width.cast("int"))).alias("key"), "full_name")
+
+
+def _lookups(names: DataFrame, sizes: DataFrame, d: int) -> DataFrame:
+    """(name, key): the segments that a company within ``d`` edits has in common with a name, where it can have them."""
+    asked = names.withColumn("m", F.length("name"))
+    spans = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(d + 1), F.col("m") - d), F.greatest(F.lit(d + 1), F.col("m") + d))))
+    spans = spans.join(sizes.select("size"), "size", "left_semi")
+    size, parts = F.col("size"), d + 1
+    short, longer = F.floor(size / parts), size % parts
+    placed = spans.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    first = (F.col("i") * short + F.greatest(F.lit(0), F.col("i") - (parts - longer))).cast("int")
+    width = (short + (F.col("i") >= parts - longer).cast("int")).cast("int")
+    # d edits move a segment by d places at most.
+    placed = placed.withColumns({"first": first, "width": width}).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("first") - d), F.greatest(F.lit(0), F.col("first") + d))))
+    inside = placed.filter(F.col("at") + F.col("width") <= F.col("m"))
+    return inside.select("name", F.concat_ws("|", "size", "i", F.substring("name", F.col("at") + 1, F.col("width"))).alias("key")).distinct()
+
+
+def _letters(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("letter", F.explode(F.array_distinct(F.split(F.col(text), "")))).filter("letter <> ''")
+
+
+def _nearer(lookups: DataFrame) -> DataFrame:
+    near = F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name"))
+    return lookups.groupBy("name").agg(near.alias("near"))
+
+
+def nearest_names(names: DataFrame, listed: DataFrame) -> DataFrame:
+    """(name, near): for each name the company at the smallest edit distance, the first in order among equals.
+
+    The distance is raised round by round.  A company within d edits keeps one
+    of its d + 1 segments unchanged, at most d places away, so the companies
+    that share such a segment hold all within d, and a best at d or less is
+    proved.  Companies of at most d characters have no such segments: of
+    those, the ones that share a character are compared; one that shares none
+    is as far as the longer of both is long, and the first company of
+    each length is at least as good.  Only names that nothing is near to get
+    to rounds in which segments are so short that most companies share one.
+    """
+    listed = pin(listed.select("full_name", F.length("full_name").alias("size")).distinct())
+    # One company for each length, so a bounded side.
+    sizes = pin(listed.groupBy("size").agg(F.min("full_name").alias("full_name")))
+    firsts = [F.lit(r["full_name"]) for r in sizes.collect()]
+    start = F.array_min(F.array(*[F.struct(F.levenshtein("name", c).alias("distance"), c.alias("full_name")) for c in firsts]))
+    none = F.lit(None).cast("struct<distance:int,full_name:string>")
+    open_ = pin(names.select("name").distinct().withColumn("near", start if firsts else none))
+    done, d = [open_.filter("near IS NULL")], 1
+    open_ = open_.filter("near IS NOT NULL")
+    while True:
+        keys = _lookups(open_.select("name"), sizes, d)
+        found = keys.join(_segments(listed, d), "key").select("name", "full_name")
+        few = _letters(listed.filter(F.col("size") <= d), "full_name").select("letter", "full_name")
+        found = found.union(_letters(open_.select("name"), "name").join(few, "letter").select("name", "full_name")).distinct()
+        step = pin(open_.join(_nearer(found).withColumnRenamed("near", "more"), "name", "left").select("name", F.least("near", "more").alias("near")))
+        done.append(step.filter(F.col("near.distance") <= d))
+        open_ = step.filter(F.col("near.distance") > d)
+        if open_.isEmpty():
+            break
+        d *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def match_names(names: DataFrame, companies: DataFrame) -> DataFrame:
     """Full company name for each short name: the shortest one that starts with it, else the nearest by edit distance.
 
     A short name that is a prefix of a full name has an edit distance equal to
     the surplus length, so the best candidate per prefix is known before the
     join: prefixes are reduced to one candidate each and matched by equality.
-    Other names get the nearest of the companies that share a character pair
-    with them, the first name in order among equals, and null if none does.
-    They are looked up by their ``bigrams`` rarest pairs first.  As an edit
-    breaks two pairs at most, a company within the distance d found so far has
-    one of any 2 d + 1 pairs of the name: the rarest that many, pairs of no
-    company among them, prove the best, up to ``_STEP`` of them in a round of
-    their own as that mostly lowers d.  ``exact`` marks names equal to the
-    full name without its legal form.
+    Other names get the nearest of all companies (``nearest_names``), null only
+    if there is none at all.  ``exact`` marks names equal to the full name
+    without its legal form.
     """
-    listed = companies.select("full_name").distinct()
+    listed = companies.select("full_name").filter("full_name IS NOT NULL").distinct()
     prefixes = listed.select("full_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))).alias("n")).select(
         F.substring("full_name", F.lit(1), F.col("n")).alias("name"), F.struct(F.length("full_name").alias("size"), "full_name").alias("candidate")
     )
     best = prefixes.groupBy("name").agg(F.min("candidate").alias("best"))
-    wanted = names.select("name").distinct().join(best, "name", "left").select("name", F.col("best.full_name").alias("by_prefix"))
-    blocks = _bigrams(listed, "full_name")
-    common = blocks.groupBy("bigram").agg(F.count("*").alias("companies"))
-    by_name = Window.partitionBy("name")
-    pairs = _bigrams(wanted.filter("by_prefix IS NULL"), "name").join(common, "bigram", "left").select("name", "bigram", F.coalesce("companies", F.lit(0)).alias("companies"))
-    # Rank of each pair among the name's, and among those that some company has.
-    ranked = pairs.withColumn("_k", F.row_number().over(by_name.orderBy("companies", "bigram"))).withColumn("_p", F.col("_k") - F.count_if(F.col("companies") == 0).over(by_name))
-    ranked = ranked.filter("companies > 0")
-
-    def nearer(lookups: DataFrame) -> DataFrame:
-        near = F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name"))
-        return lookups.groupBy("name").agg(near.alias("near"))
-
-    nearest = nearer(ranked.filter(F.col("_p") <= bigrams).join(blocks, "bigram"))
-    for first, last in ((0, _STEP), (_STEP, None)):
-        more = ranked.filter((F.col("_p") > bigrams) & (F.col("_k") > first))
-        more = more.filter(F.col("_k") <= last) if last else more
-        asked = more.join(nearest, "name").filter(F.col("_k") <= 2 * F.col("near.distance") + 1).select("name", "bigram", F.col("near.distance").alias("_d"))
-        # Companies whose length alone is too far off are not compared.
-        found = nearer(asked.join(blocks, "bigram").filter(F.abs(F.length("full_name") - F.length("name")) <= F.col("_d")))
-        nearest = nearest.union(found).groupBy("name").agg(F.min("near").alias("near"))
+    wanted = pin(names.select("name").filter("name IS NOT NULL").distinct().join(best, "name", "left").select("name", F.col("best.full_name").alias("by_prefix")))
+    nearest = nearest_names(wanted.filter("by_prefix IS NULL"), listed)
     found = wanted.join(nearest, "name", "left").select("name", F.coalesce("by_prefix", "near.full_name").alias("full_name"))
     bare = F.regexp_replace("full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
     return names.join(found, "name", "left").select(
