@@ -409,3 +409,30 @@ def test_controller_changes(spark):
     assert values(company.controller_changes(c), "synced_on", "previous_holder", "holder") == [(dt.date(2021, 1, 1), "A", "B")]
 
 
+
+
+def test_chart_maps_of_mixed_nested_and_broken_values(one):
+    from tickerloom.functions.nested import chart_map
+
+    cases = {
+        '{"a": "/r/charts/x.png", "b": {"kline": "/r/charts/k.png", "other": "/elsewhere/o.png"}}': {"a": {"default": "/charts/x.png"}, "b": {"kline": "/charts/k.png", "other": None}},
+        '{"a": {"deep": {"er": "/r/charts/x.png"}, "n": 5, "l": ["/r/charts/x.png"]}, "c": 7, "d": null, "e": [1]}': {
+            "a": {"deep": None, "n": None, "l": None}, "c": {"default": None}, "d": {"default": None}, "e": {"default": None}},
+        "{}": {}, "{broken": None, "": None, "[1, 2]": None, None: None,
+    }
+    got = one("t string", [(t,) for t in cases], chart_map("t", "/r"))
+    assert [g[0] for g in got] == list(cases.values())
+
+
+def test_rule_scores_leave_out_instruments_that_did_not_trade_on_the_date(spark):
+    from tickerloom.plans import analytics
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(30)]
+    # "old" stopped a week earlier, "late" has one bar after the date asked for.
+    rows = [(c, "a", d, 10.0 + k + i * 0.1, 0.5 * k) for k, c in enumerate(("x", "y", "old", "late")) for i, d in enumerate(days) if not (c == "old" and i > 20)]
+    rows.append(("late", "a", dt.date(2024, 2, 5), 99.0, 1.0))
+    prices = spark.createDataFrame(rows, "ts_code string, market string, trade_date date, close double, turnover_rate double").withColumns(
+        {"high": F.col("close"), "low": F.col("close"), "volume": F.lit(1.0)})
+    as_of = analytics.latest_complete_date(prices, 3).scalar()
+    got = {r.ts_code: r.trade_date for r in analytics.rule_scores(prices, as_of).collect()}
+    assert got == {c: days[-1] for c in ("x", "y", "late")}

@@ -148,3 +148,27 @@ def test_shared_folder_is_the_named_one(spark, monkeypatch):
         assert session.scratch_path(spark, "x").startswith(folder)
     pinned = session.pin(spark.range(5).withColumn("r", F.rand()))
     assert [r["r"] for r in pinned.collect()] == [r["r"] for r in pinned.collect()]
+
+
+def test_stored_panel_reads_the_newest_months_alone(spark, tmp_path):
+    from tickerloom.plans import analytics
+
+    schema = "ts_code string, market string, trade_date date, close double"
+    path = tmp_path / "p"
+    days = spark.sql("SELECT explode(sequence(date'2022-01-01', date'2024-06-30')) AS trade_date")
+    bars = days.crossJoin(spark.range(6)).select(F.col("id").cast("string").alias("ts_code"), F.lit("a").alias("market"), "trade_date", F.lit(1.0).alias("close"), F.lit(1).alias("loaded_at"))
+    # The newest two days are not complete.
+    bars = bars.filter("trade_date < date'2024-06-29' OR id < 2")
+    sinks.catch_up_prices(spark.createDataFrame([], f"{schema}, loaded_at int"), bars, str(path))
+    # Months that no read may open: they hold no parquet at all.
+    for month in path.glob("month=202[23]-*"):
+        for file in month.glob("*.parquet"):
+            file.write_bytes(b"not a table")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    got = analytics.stored_panel(spark, str(path), schema, 4, 60)
+    rows = got.collect()
+    assert len(rows) == 360 and max(r.trade_date for r in rows) == dt.date(2024, 6, 28) and min(r.trade_date for r in rows) == dt.date(2024, 4, 30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert any("month" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
+    with pytest.raises(Exception):
+        analytics.stored_panel(spark, str(path), schema, 4, 400).collect()

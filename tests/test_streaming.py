@@ -189,3 +189,17 @@ def test_revised_plans_serve_from_their_arrival(spark, tmp_path):
     state = running.lastProgress["stateOperators"]
     recent = sum(r[0] > last - dt.timedelta(days=1, hours=1) for r in tick_rows + plans)
     assert max(s["numRowsTotal"] for s in state) <= 2 * recent < 2 * len(tick_rows + plans)
+
+
+def test_a_delivery_that_returns_after_the_watermark_comes_again(feed):
+    kind = "news_id bigint, ts timestamp_ntz"
+    rng = random.Random(9)
+    rows = sorted(((rng.randrange(5), START + dt.timedelta(hours=6 * i, minutes=rng.randrange(300))) for i in range(80)), key=lambda r: r[1])
+    got = jobs.run_available(jobs.first_deliveries(feed(rows, kind, 8), ["news_id"], "ts", "2 days").select("news_id", "ts"), "t-return").collect()
+    times = {}
+    for r in sorted(got, key=lambda r: r["ts"]):
+        times.setdefault(r["news_id"], []).append(r["ts"])
+    # Every key comes at its first time, never again within two days, and again some time after those.
+    assert {i: t[0] for i, t in times.items()} == {i: min(t for j, t in rows if j == i) for i in range(5)}
+    assert all(b - a > dt.timedelta(days=2) for t in times.values() for a, b in zip(t, t[1:]))
+    assert all(len(t) > 1 for t in times.values()) and len(got) < len(rows) / 2

@@ -9,7 +9,8 @@ from tickerloom.catalog.registry import query
 from tickerloom.functions import scalar
 from tickerloom.operators import indicators, neighbours, similarity
 from tickerloom.plans import analytics, backtest, company, market
-from tickerloom.sources import tables
+from tickerloom.session import scratch_path
+from tickerloom.sources import sinks
 
 QUARTER = "(SELECT count(*) * 25e-2 FROM v_instruments)"
 COMPLETE = f"(SELECT trade_date, count(DISTINCT ts_code) AS instruments FROM v_daily_prices GROUP BY 1 HAVING count(DISTINCT ts_code) >= {QUARTER})"
@@ -47,6 +48,16 @@ def _(r):
     return analytics.panel(r.daily_prices, _dates(r)).select("trade_date", "ts_code", "close", "volume")
 
 
+@query("tb02_stored_panel", f"SELECT trade_date, ts_code, close, volume FROM v_daily_prices WHERE trade_date IN {DATES60}")
+def _(r):
+    """From a stored table, of which only the newest months are read."""
+    path = scratch_path(r.spark, "prices-by-month")
+    schema = "ts_code string, market string, trade_date date, close double, volume double"
+    none = r.spark.createDataFrame([], f"{schema}, loaded_at int")
+    sinks.catch_up_prices(none, r.daily_prices.select("ts_code", "market", "trade_date", "close", "volume", F.lit(1).alias("loaded_at")), path)
+    return analytics.stored_panel(r.spark, path, schema, _quarter(r)).select("trade_date", "ts_code", "close", "volume")
+
+
 FEATURES = f"""
 SELECT ts_code, market, trade_date, close, volume, turnover_rate, CASE WHEN n5 >= 5 THEN ma5 END AS ma5, CASE WHEN n20 >= 20 THEN ma20 END AS ma20, ret_20d, high_60d_pct
 FROM (SELECT *, avg(close) OVER {W.format(k=4)} AS ma5, count(close) OVER {W.format(k=4)} AS n5, avg(close) OVER {W.format(k=19)} AS ma20,
@@ -54,6 +65,11 @@ FROM (SELECT *, avg(close) OVER {W.format(k=4)} AS ma5, count(close) OVER {W.for
              close / max(high) OVER {W.format(k=59)} AS high_60d_pct FROM {RECENT} b) t WHERE rn = 1"""
 
 
+LATEST = f"(SELECT max(trade_date) FROM {COMPLETE} t)"
+# The bars up to the latest complete date, newest first.
+UPTO = f"(SELECT *, row_number() OVER (PARTITION BY ts_code, market ORDER BY trade_date DESC) AS rn FROM v_daily_prices WHERE trade_date <= {LATEST})"
+
+
 @query(
     "tb03_lagged_returns",
     f"""SELECT ts_code, market, trade_date, close, volume, round(turnover_rate, 6) + 0e0 AS turnover_rate, round(ma5, 6) + 0e0 AS ma5, round(ma20, 6) + 0e0 AS ma20,
@@ -174,10 +190,11 @@ def _(r):
 @query(
     "tb10_rule_scores",
     f"""SELECT ts_code, market, round(100 * (4e-1 * percent_rank() OVER (ORDER BY ret_20d) + 3e-1 * percent_rank() OVER (ORDER BY high_60d_pct) + 3e-1 * percent_rank() OVER (ORDER BY turnover_rate)), 6) + 0e0 AS rule_score
-        FROM ({FEATURES}) f WHERE ret_20d <= 30""",
+        FROM ({FEATURES.replace(RECENT, UPTO)}) f WHERE ret_20d <= 30 AND trade_date = {LATEST}""",
 )
 def _(r):
-    return rounded(analytics.rule_scores(r.daily_prices).select("ts_code", "market", "rule_score"))
+    as_of = analytics.latest_complete_date(r.daily_prices, _quarter(r)).scalar()
+    return rounded(analytics.rule_scores(r.daily_prices, as_of).select("ts_code", "market", "rule_score"))
 
 
 @query(
@@ -312,7 +329,7 @@ def _as_of():
 
 
 def _rules(r):
-    return tables.risk_rules(r.spark, company.RISK_RULES)
+    return r.risk_rules
 
 
 @query("tc01_profile_upsert", f"SELECT ts_code, market, full_name, status, synced_on FROM {PROFILES} p")

@@ -59,12 +59,7 @@ def _(r):
        ('abnormal', 'EXCLUDE')) x(risk_type, action) ON e.risk_type = x.risk_type""",
 )
 def _(r):
-    from tickerloom.plans.company import RISK_RULES
-
-    # The rules are written as a file first, as a user would keep them.
-    path = scratch_path(r.spark, "strategy")
-    tables.risk_rules(r.spark, RISK_RULES).write.json(path)
-    return r.company_risk_events.join(tables.risk_rules_file(r.spark, path), "risk_type").select("id", "action")
+    return r.company_risk_events.join(r.risk_rules, "risk_type").select("id", "action")
 
 
 @query(
@@ -607,10 +602,12 @@ def _(r):
 
 @query(
     "st04_by_score",
-    "SELECT id, coalesce(final_composite_score, 0) AS score FROM v_pick_entries",
+    f"""SELECT id, rank_in_run AS rank, coalesce(final_composite_score, 0) AS score, row_number() OVER (ORDER BY coalesce(final_composite_score, 0), id) AS position
+        FROM (SELECT e.* FROM ({ADEQUATE.format(kind='scan', top=30)}) p JOIN v_pick_entries e ON e.run_id = p.id ORDER BY e.rank_in_run, e.id LIMIT 30) t""",
 )
 def _(r):
-    return picks.by_score(r.pick_entries.select("id", "final_composite_score")).select("id", F.coalesce("final_composite_score", F.lit(0.0)).alias("score"))
+    ranking = picks.by_score(picks.latest_ranking(r.pick_runs, r.pick_entries))
+    return ranking.select("id", "rank", F.coalesce("final_composite_score", F.lit(0.0)).alias("score"), "position")
 
 
 @query("st05_newest_days", "SELECT DISTINCT strftime(plan_date, '%Y-%m-%d') AS plan_date FROM v_execution_plans ORDER BY 1 DESC LIMIT 5")

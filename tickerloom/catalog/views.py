@@ -169,8 +169,8 @@ FROM (SELECT l_suppkey, CAST(date_trunc('year', l_shipdate) AS DATE) AS synced_o
 SELECT event_id AS id, {code('user_id')} AS ts_code, {market('user_id')} AS market,
        CASE event_type WHEN 'error' THEN 'dishonest' WHEN 'purchase' THEN 'execution' WHEN 'click' THEN 'abnormal'
             WHEN 'view' THEN 'court' ELSE 'serious' END AS risk_type,
-       'case ' || event_id AS title, value AS involved_amount, CAST(ts AS DATE) AS event_date, ts AS seen_at_utc
-FROM events WHERE value > (SELECT avg(value) * 3 FROM events)""",
+       'case ' || event_id AS title, value AS involved_amount, CAST(ts AS DATE) - CAST(user_id * 37 % 2000 AS INT) AS event_date, ts AS seen_at_utc
+FROM events""",
     "v_patents": f"""
 SELECT {code('l_suppkey')} AS ts_code, {market('l_suppkey')} AS market, l_partkey AS patent_id FROM lineitem WHERE l_returnflag = 'R'""",
     "v_business_scopes": f"""

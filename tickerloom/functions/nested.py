@@ -25,12 +25,12 @@ def snapshot_body(document: str | Column, plan_schema: str) -> Column:
 
 def chart_map(text: str | Column, root: str) -> Column:
     """``code → {kind → url}``; a plain path is filed under the kind ``default``."""
-    outer = F.from_json(col(text), "map<string,string>")
+    # Parsed once as a variant; what a code holds tells its own kind.
+    outer = F.try_variant_get(F.try_parse_json(col(text)), "$", "map<string,variant>")
 
     def inner(_, value):
-        kinds = F.when(F.startswith(value, F.lit("{")), F.from_json(value, "map<string,string>"))
-        kinds = F.coalesce(kinds, F.create_map(F.lit("default"), value))
-        return F.transform_values(kinds, lambda _, path: chart_url(path, root))
+        kinds = F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.create_map(F.lit("default"), value))
+        return F.transform_values(kinds, lambda _, path: chart_url(F.try_variant_get(path, "$", "string"), root))
 
     return F.transform_values(outer, inner)
 

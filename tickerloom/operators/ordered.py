@@ -16,15 +16,15 @@ from tickerloom.session import pin
 CHUNK = "_chunk"
 
 
-def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], cheap: bool = False) -> DataFrame:
     """Cut ``df`` into evenly sized runs of (keys, order), numbered by ``_chunk``.
 
-    The input is pinned first, because sampling the range borders would work it
-    out a second time; the result is pinned because every later branch must see
+    The input is pinned first, unless it is ``cheap``, because sampling the range
+    borders works it out a second time; the result is pinned because every later branch must see
     the same borders, also after an executor is lost.  Pass narrow rows.
     ``order`` should end in a unique column, else ties share a chunk.
     """
-    ranged = pin(df).repartitionByRange(*keys, *order)
+    ranged = (df if cheap else pin(df)).repartitionByRange(*keys, *order)
     return pin(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
@@ -49,9 +49,9 @@ def _in_chunk(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Last non-null ``value`` up to and including each row, per key."""
-    chunks = ordered_chunks(df, keys, order)
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, cheap: bool = False) -> DataFrame:
+    """Last non-null ``value`` up to and including each row, per key; ``cheap`` as in ``ordered_chunks``."""
+    chunks = ordered_chunks(df, keys, order, cheap)
     position = F.struct(*order)
     tail = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position))
     rows = _with_carry(chunks, keys, tail, lambda c: F.last(c, ignorenulls=True))

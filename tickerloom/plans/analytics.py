@@ -6,7 +6,7 @@ formulas and thresholds here are our definitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.operators.neighbours import exact_neighbours, unit
@@ -15,6 +15,7 @@ from tickerloom.operators.ordered import percent_ranks, running_total
 from tickerloom.operators.similarity import centred, closest_to_newest
 from tickerloom.plans.market import INSTRUMENT, by_instrument, newest_bar, trailing_mean
 from tickerloom.session import pin
+from tickerloom.sources.sinks import MONTH, stored_months
 
 # Default factor weights of the rule score, and the momentum above which an instrument is dropped.
 WEIGHTS = {"ret_20d": 0.4, "high_60d_pct": 0.3, "turnover_rate": 0.3}
@@ -37,6 +38,24 @@ def newest_complete_dates(prices: DataFrame, least: int | Column = 1000, days: i
     return pin(top(complete_dates(prices, least), [F.col("trade_date").desc()], days).select("trade_date"))
 
 
+def stored_panel(spark: SparkSession, path: str, schema: str, least: int | Column = 1000, days: int = 60) -> DataFrame:
+    """Bars of the newest ``days`` complete dates from a table stored by month, of which only the newest months are read.
+
+    Four months are looked at first, twice as many as long as they hold too
+    few complete dates; the months before the oldest date are then pruned.
+    """
+    stored, months = spark.read.schema(f"{schema}, {MONTH} string").parquet(path), stored_months(spark, path)
+    number = 4
+    while True:
+        recent = stored.filter(F.col(MONTH) >= (months[-number:] or [""])[0])
+        dates = newest_complete_dates(recent, least, days)
+        if number >= len(months) or dates.count() >= days:
+            break
+        number *= 2
+    oldest = dates.agg(F.date_format(F.min("trade_date"), "yyyy-MM")).scalar()
+    return panel(stored.filter(F.col(MONTH) >= oldest), dates).drop(MONTH)
+
+
 def panel(prices: DataFrame, dates: DataFrame) -> DataFrame:
     """Bars of the given dates (a short list of days), long form."""
     return prices.join(dates, "trade_date", "left_semi")
@@ -139,9 +158,13 @@ def similar_patterns_across(prices: DataFrame, length: int = 10, k: int = 5) ->
     return named.select(*INSTRUMENT, *[f"like_{c}" for c in INSTRUMENT], "trade_date", "similarity", "position"), looked_at
 
 
-def rule_scores(prices: DataFrame, weights: dict[str, float] = WEIGHTS, max_ret_20d: float = MAX_RET_20D) -> DataFrame:
-    """Weighted percent ranks of the factors, times 100, over all instruments that pass the momentum filter."""
-    kept = features(prices).filter(F.col("ret_20d") <= max_ret_20d)
+def rule_scores(prices: DataFrame, as_of: Column, weights: dict[str, float] = WEIGHTS, max_ret_20d: float = MAX_RET_20D) -> DataFrame:
+    """Weighted percent ranks of the factors, times 100, over all instruments that traded on ``as_of`` and pass the momentum filter.
+
+    ``as_of`` is mostly the latest complete date; later bars are not looked at.
+    """
+    upto = features(prices.filter(F.col("trade_date") <= as_of))
+    kept = upto.filter((F.col("trade_date") == as_of) & (F.col("ret_20d") <= max_ret_20d))
     ranked = percent_ranks(kept, {f: f"{f}_rank" for f in weights})
     score = sum(F.coalesce(F.col(f"{f}_rank"), F.lit(0.0)) * F.lit(w) for f, w in weights.items())
     return ranked.withColumn("rule_score", score * 100.0)

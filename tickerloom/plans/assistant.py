@@ -44,7 +44,7 @@ def carried_codes(messages: DataFrame, *extra: Column) -> DataFrame:
     The code, and whatever ``extra`` asks for, is taken out of the text first, so the text itself never moves.
     """
     mentioned = messages.select("session_id", "created_at_utc", "id", stock_code("content").alias("own_code"), *extra)
-    return carry_forward(mentioned, ["session_id"], MESSAGE_ORDER, "own_code", "carried_code")
+    return carry_forward(mentioned, ["session_id"], MESSAGE_ORDER, "own_code", "carried_code", cheap=True)
 
 
 def resolved_messages(messages: DataFrame, instruments: DataFrame) -> DataFrame:
@@ -105,10 +105,12 @@ def reusable_responses(requests: DataFrame, writes: DataFrame) -> DataFrame:
     """
     order = F.struct("created_at_utc", "request_id")
     first = writes.groupBy("cache_key").agg(F.min_by("ttl_seconds", order).alias("ttl_seconds"))
-    held = F.struct("response_json", "created_at_utc")
+    # The write is carried by its number; its text joins at the end.
+    held = F.struct(F.col("request_id").alias("write"), "created_at_utc")
     kind = writes.select(held.alias("held")).schema["held"].dataType.simpleString()
     timeline = writes.select("cache_key", F.col("created_at_utc").alias("at"), F.lit(0).alias("step"), "request_id", held.alias("held")).unionByName(
         requests.select("cache_key", F.col("asked_at").alias("at"), F.lit(1).alias("step"), "request_id", F.lit(None).cast(kind).alias("held")))
-    seen = carry_forward(timeline, ["cache_key"], ["at", "step", "request_id"], "held", "stored").filter("step = 1")
+    seen = carry_forward(timeline, ["cache_key"], ["at", "step", "request_id"], "held", "stored", cheap=True).filter("step = 1 AND stored IS NOT NULL")
     rows = seen.join(first, "cache_key").filter(still_valid("stored.created_at_utc", "ttl_seconds", "at"))
-    return rows.select("request_id", "cache_key", F.col("stored.response_json").alias("response_json"))
+    texts = writes.select("cache_key", F.col("request_id").alias("_write"), "response_json")
+    return rows.select("request_id", "cache_key", F.col("stored.write").alias("_write")).join(texts, ["cache_key", "_write"]).drop("_write")

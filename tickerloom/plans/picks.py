@@ -124,8 +124,9 @@ def filter_ranking(ranking: DataFrame, q: str) -> DataFrame:
 
 
 def by_score(ranking: DataFrame) -> DataFrame:
-    """Ascending by final score, null counting as 0."""
-    return ranking.orderBy(F.coalesce("final_composite_score", F.lit(0.0)), "id")
+    """A loaded ranking (a page of entries) ascending by final score, null counting as 0, with the new ``position``."""
+    order = [F.coalesce("final_composite_score", F.lit(0.0)), F.col("id")]
+    return ranking.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("long")).orderBy("run_id", "position")
 
 
 def watch_flags(rows: DataFrame, watchlist: DataFrame, market: str = "a") -> DataFrame:

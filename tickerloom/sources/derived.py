@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tickerloom.functions.scalar import token_cost
 from tickerloom.functions.text import cache_key
 from tickerloom.operators.newest import newest_row
+from tickerloom.plans.company import RISK_RULES
 from tickerloom.session import pin, scratch_path
 from tickerloom.sources.snapshots import document_lines, write_snapshot_files
-from tickerloom.sources.tables import input_stream, input_table
+from tickerloom.sources.tables import input_stream, input_table, risk_rules, risk_rules_file
 
 MODEL, SYSTEM_PROMPT = "assistant-v1", "research"
 CHART_ROOT = "/srv/research"
@@ -77,9 +78,10 @@ class Research:
 
     def _brands(self, measure: Column) -> DataFrame:
         """(l_suppkey, p_brand) of the brands above the mean of the supplier's brands; a supplier has no more of these than there are brands."""
-        l = self.given("lineitem").join(self.given("part"), F.col("l_partkey") == F.col("p_partkey"))
+        # Lines are counted up by part before its brand is looked up.
+        l = self.given("lineitem").groupBy("l_suppkey", "l_partkey").agg(measure.alias("_n")).join(self.given("part"), F.col("l_partkey") == F.col("p_partkey"))
         own = Window.partitionBy("l_suppkey")
-        sums = l.groupBy("l_suppkey", "p_brand").agg(measure.alias("_m"))
+        sums = l.groupBy("l_suppkey", "p_brand").agg(F.sum("_n").alias("_m"))
         above = F.col("_m") * F.count("*").over(own) > F.sum("_m").over(own)
         return sums.withColumn("_above", above).filter("_above").select("l_suppkey", "p_brand")
 
@@ -424,19 +426,25 @@ class Research:
             F.round(F.col("held") * 100.0 / total, 4).alias("stock_percent"), "synced_on",
         )
 
+    @cached_property
+    def risk_rules(self) -> DataFrame:
+        """The risk rules, kept in a file as a user would keep them."""
+        path = scratch_path(self.spark, "strategy")
+        risk_rules(self.spark, RISK_RULES).write.json(path)
+        return risk_rules_file(self.spark, path)
+
     @cached_property
     def company_risk_events(self) -> DataFrame:
-        """Events of more than three times the mean of all."""
+        """Every event as a risk event of its type, the amount being its value; the dates of a user lie up to 2000 days back."""
         kind = (
             F.when(F.col("event_type") == "error", "dishonest").when(F.col("event_type") == "purchase", "execution")
             .when(F.col("event_type") == "click", "abnormal").when(F.col("event_type") == "view", "court").otherwise("serious")
         )
         e = self.given("events")
-        heavy = F.col("value") > e.agg(F.avg("value") * 3).scalar()
-        return e.filter(heavy).select(
+        return e.select(
             F.col("event_id").alias("id"), code_of("user_id").alias("ts_code"), market_of("user_id").alias("market"), kind.alias("risk_type"),
             text("case ", F.col("event_id").cast("string")).alias("title"), F.col("value").alias("involved_amount"),
-            F.to_date("ts").alias("event_date"), F.col("ts").alias("seen_at_utc"),
+            F.date_sub(F.to_date("ts"), (F.col("user_id") * 37 % 2000).cast("int")).alias("event_date"), F.col("ts").alias("seen_at_utc"),
         )
 
     @cached_property

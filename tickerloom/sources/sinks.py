@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import token_cost
@@ -24,6 +24,14 @@ def with_month(df: DataFrame, day: str) -> DataFrame:
     return df.withColumn(MONTH, F.date_format(day, "yyyy-MM"))
 
 
+def stored_months(spark: SparkSession, path: str) -> list[str]:
+    """The months a table is stored by, oldest first, from the names of its folders."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    files = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(new(f"{path}/{MONTH}=*")) or []
+    return sorted(f.getPath().getName().removeprefix(f"{MONTH}=") for f in found)
+
+
 def append_messages(messages: DataFrame, path: str) -> None:
     """Append chat messages by day; the cost is worked out while writing."""
     priced = messages.withColumn("cost_usd", token_cost("prompt_tokens", "output_tokens"))
