@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -84,6 +84,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 # ---------------------------------------------------------------- the field
+# A run of such characters is one key: it is a candidate whole, whatever its length, and no part of it is one.
+RUN = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_+/-]*={0,2}")
+RUN_MARKS = "+/-=_"
+LEAST_RUN = 20
 # Tokens: runs of digits, runs of letters, single other characters; long runs are cut so that every token is short.
 TOKEN = re.compile(r"[0-9]{1,64}|[^\W\d_]{1,64}|\s|.", re.S)
 LONGEST = 128
@@ -112,6 +116,7 @@ SHAPES = (
     ("country", re.compile(r"[A-Z]{2}[0-9]{2}( ?[0-9A-Z]{4}){3,7}( ?[0-9A-Z]{1,3})?\Z")),
     ("mixed", re.compile(r"(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}\Z")),
     ("letters", re.compile(r"[A-Za-z_]{20,}\Z")),
+    ("run", re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_][A-Za-z0-9_+/-]{18,}[A-Za-z0-9_+/=-]={0,1}\Z")),
 )
 COUNTRY = [name for name, _ in SHAPES].index("country")
 N_FEATURES = len(SHAPES) + 16
@@ -161,7 +166,8 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[
     Such a span has a digit, an at sign or a spelt-out one, or follows a word
     that names a secret; it has at most ``LONGEST`` characters,
     however many tokens they are, and begins and ends with neither space nor
-    sentence mark.
+    sentence mark.  A run of ``LEAST_RUN`` or more letters, digits and marks of
+    keys is a candidate at any length; no span begins or ends inside one.
     """
     edge = [text[a:b] not in ".,;:!?|\"'" and not text[a].isspace() for a, b in tokens]
     low, high = (tokens[0][0], tokens[-1][1]) if tokens else (0, 0)
@@ -172,20 +178,41 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[
     blank = [text[a] == " " for a, _ in tokens]
     small = [text[a].isalpha() and CAPITALS.match(text[a:b]) is None for a, b in tokens]
     spelt = bool(ats)
+    first_at = {a: i for i, (a, _) in enumerate(tokens)}
+    runs = [m.span() for m in RUN.finditer(text, low, high) if m.end() - m.start() >= LEAST_RUN]
+    run_begins = [a for a, _ in runs]
+
     for j in range(len(tokens)):
-        here, seen, blanks, smalls = [], False, False, False
-        for i in range(j, -1, -1):
-            if not edge[j] or tokens[j][1] - tokens[i][0] > LONGEST or foreign[i] or (blank[i] and blank[i + 1]):
+        here, seen, blanks, smalls, i, alone = [], False, False, False, j, False
+        k = bisect_right(run_begins, tokens[j][0]) - 1
+        if k >= 0 and tokens[j][0] < runs[k][1]:
+            start, end = runs[k]
+            if tokens[j][1] != end or start not in first_at:
+                yield here
+                continue
+            i = first_at[start]
+            alone = any(foreign[i : j + 1])
+            if start in named or any(hot[i : j + 1]):
+                on = segment_features(text, start, end)
+                if on[0] < len(SHAPES):
+                    here.append((i, on))
+            seen, smalls = any(hot[i : j + 1]), any(small[i : j + 1])
+            i -= 1
+        while i >= 0 and edge[j] and not alone:
+            if tokens[j][1] - tokens[i][0] > LONGEST or foreign[i] or (blank[i] and blank[i + 1]):
                 break
             blanks, smalls = blanks or blank[i], smalls or small[i]
             if blanks and smalls and not spelt:
                 break
             seen |= hot[i]
-            if seen and edge[i]:
+            # Nor does a span begin inside a run.
+            b = bisect_right(run_begins, tokens[i][0]) - 1
+            if seen and edge[i] and (b < 0 or tokens[i][0] == run_begins[b] or tokens[i][0] >= runs[b][1]):
                 on = segment_features(text, tokens[i][0], tokens[j][1])
                 # A span with none of the shapes is never better than outside text.
                 if on[0] < len(SHAPES):
                     here.append((i, on))
+            i -= 1
         yield here
 
 
@@ -250,6 +277,9 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         check = 98 - int(body + "1314" + "00") % 97
         return f"DE{check:02d}{body}"
 
+    def key(n):
+        return "".join(rng.choice("abcdefghijABCDEFGHIJ0123456789") for _ in range(n))
+
     def letters(least, most):
         return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(least, most)))
 
@@ -260,13 +290,16 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     kind, text = rng.choice([
         (0, f"{word()}.{digits(2)}@{word()}{digits(1)}.example.com"), (0, f"{word()}@{word()}.org"), (0, f"{word()} [at] {word()}{digits(2)} [dot] com"),
         (0, f"{word()}.{word()} [at] {word()} [dot] com"), (0, f"{word()}(at){word()}.org"), (0, f"{word()} (at) {word()} (dot) {word()} (dot) net"),
-        (1, quad(255)), (1, quad(255)), (2, number), (2, " ".join(number[k : k + 4] for k in range(0, 16, 4))),
+        (1, quad(255)), (1, quad(255)), (1, quad(20)), (2, number), (2, " ".join(number[k : k + 4] for k in range(0, 16, 4))),
         (3, f"+{rng.randint(1, 99)} ({digits(3)}) 555-{digits(4)}"), (3, f"+{digits(11)}"), (3, f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, f"{digits(3)}-{digits(3)}-{digits(4)}"),
         (4, "".join(rng.choice("0123456789abcdef") for _ in range(40))), (4, "".join(rng.choice("0123456789abcdefghijABCDEFGHIJ") for _ in range(32))), (4, letters(24, 48)), (5, iban()),
+        (4, f"sk-{key(rng.randint(6, 12))}-{key(rng.randint(10, 24))}"), (4, f"{key(rng.randint(20, 30))}/{key(9)}+{key(8)}{rng.choice(['', '=', '=='])}"), (4, key(rng.choice([64, 150, 200]))),
         (-1, f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}."), (-1, f"in {rng.randint(1500, 2100)},"), (-1, f"{digits(rng.randint(1, 6))} {word()}"),
         (-1, f"{digits(3)},{digits(3)}.{digits(2)}"), (-1, f"{quad(99)}.{digits(2)}"), (-1, digits(rng.choice([8, 16, 20, 24]))), (-1, f"{digits(4)}-{digits(2)}-{digits(2)}"),
         (-1, f"@{word()}{digits(2)}"), (-1, f"{word()}{digits(3)}"), (-1, f"build {''.join(rng.choice('0123456789abcdef') for _ in range(8))}"),
         (-1, f"{word()} [at] {word()}"), (-1, "".join(rng.choice("aeinorst") for _ in range(rng.randint(20, 30)))), (-1, f"key {word()}"),
+        (-1, "-".join([word(), digits(2), *(word() for _ in range(4)), digits(4)])), (-1, "/".join([word(), word() + digits(1), word(), word() + "-" + word(), word()])),
+        (-1, f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}-{digits(2)}-{digits(2)}"),
     ])
     if kind == -1 and re.fullmatch(r"[0-9]{13,19}", text) and luhn(text):
         kind = 2
@@ -331,6 +364,11 @@ def windows(text: str, reach: int = 40) -> list[tuple[int, int]]:
             a -= 1
         while b < high and not text[b].isspace():
             b += 1
+        # A key goes on as long as it does.
+        while a > 0 and text[a - 1 : a + 1].isascii() and (text[a - 1].isalnum() or text[a - 1] in RUN_MARKS):
+            a -= 1
+        while b < len(text) and text[b].isascii() and (text[b].isalnum() or text[b] in RUN_MARKS):
+            b += 1
         if apart and a <= apart[-1][1]:
             apart[-1] = (apart[-1][0], b)
         else:
@@ -339,7 +377,7 @@ def windows(text: str, reach: int = 40) -> list[tuple[int, int]]:
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], weights: np.ndarray) -> list[tuple[str, int, int]]:
-    """The field's spans that touch no base span."""
+    """The field's spans; of kinds that have fixed patterns only those that touch no base span."""
     taken = sorted(s for spans in base.values() for s in spans)
     begins = [x for x, _ in taken]
     ends = list(accumulate((y for _, y in taken), max))
@@ -351,7 +389,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], weights: np.n
             s, e = tokens[i][0], tokens[j][1]
             # Of the base spans that begin before its end none ends after its start.
             before = bisect_left(begins, e)
-            if not before or ends[before - 1] <= s:
+            if ALL[k] in ADDED or not before or ends[before - 1] <= s:
                 out.append((ALL[k], s, e))
     return out
 
