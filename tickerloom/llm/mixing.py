@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.session import pin
 
 # A document's place in its source's order: 56 bits of a hash of its id, read as groups of STEP bits.
-STEP, LEVELS = 14, 4
+STEP, LEVELS = 8, 7
 
 
 def _place(key: str):
@@ -53,7 +53,8 @@ def limits(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
     """(source, source_size, target, whole, threshold) of each source.
 
     A source takes every document ``whole`` times and those with a place below
-    ``threshold`` once more.  The threshold is found by histograms: words by
+    ``threshold`` once more, the one in which the budget ends among them if
+    that comes nearer to the budget than stopping before it.  The threshold is found by histograms: words by
     hash bucket, then by finer buckets inside the one bucket where the budget
     ends, so no rows are sorted and a source of any size moves as sums.
     """
@@ -74,13 +75,16 @@ def limits(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
         # The first bucket that does not fit whole stays open; if all fit, the end of the range does.
         full = F.coalesce(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))), F.lit(0))
         next_ = F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), F.col("bucket"))), F.shiftleft(F.first("prefix") + 1, STEP))
-        found = filled.groupBy("_s").agg(full.alias("_used"), next_.alias("_next"))
+        beyond = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("bucket", "words")))["words"]
+        found = filled.groupBy("_s").agg(full.alias("_used"), next_.alias("_next"), beyond.alias("_beyond"))
         keep = state.join(found, state.source.eqNullSafe(F.col("_s")), "left")
         # A prefix past the range (everything fits) or of an empty bucket stays where it is, in finer units.
         state = pin(keep.select(
             "source", "source_size", "target", "whole", (F.col("budget") - F.coalesce("_used", F.lit(0))).alias("budget"),
-            F.coalesce("_next", F.shiftleft("prefix", STEP)).alias("prefix")))
-    return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("threshold"))
+            F.coalesce("_next", F.shiftleft("prefix", STEP)).alias("prefix"), F.col("_beyond").alias("beyond")))
+    # Documents that share the place where the budget ends go together: taken if most of them fits.
+    closer = F.coalesce(F.col("beyond") < 2 * F.col("budget"), F.lit(False))
+    return state.select("source", "source_size", "target", "whole", (F.col("prefix") + closer.cast("long")).alias("threshold"))
 
 
 def _copies(place: Column) -> Column:
@@ -96,8 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
 
     Size is the number of words (null: 0).  Each source takes every document
     as often as its target holds its size whole; the words still missing are
-    taken once more in order of a hash of the id, up to the last document that
-    fits.  Rows that share an id share a hash and are taken or left together;
+    taken once more in order of a hash of the id, up to the document that
+    comes nearest to them, so a source misses its target by half a document at most.  Rows that share an id share a hash and are taken or left together;
     an empty table gives no rows; other columns are not looked at.
     """
     sizes = measured(docs, key, text, source)

@@ -42,9 +42,12 @@ WITH base AS (
     {r: 'lines', f: 3 * n_dup_lines > n_words}, {r: 'word_length', f: n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)}], recursive := true)
   FROM counted
 ), hosts AS (SELECT source, r, count(*) AS n, sum(f::INT) AS bad FROM flagged GROUP BY ALL
-), prior AS (
-  SELECT r, coalesce(avg(bad / n) FILTER (n >= 5), avg(bad / n)) AS m, coalesce(var_pop(bad / n) FILTER (n >= 5), var_pop(bad / n)) AS v FROM hosts GROUP BY r
-), strength AS (SELECT r, m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS k FROM prior
+), moments AS (
+  SELECT r, sum(bad) / sum(n) AS m, sum(bad::DOUBLE * bad / n) - sum(bad)::DOUBLE * sum(bad) / sum(n) AS spread, count(*) - 1 AS others, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
+  FROM hosts GROUP BY r
+), strength AS (
+  SELECT r, m, CASE WHEN NOT m * (1 - m) * room > 0 THEN 1 WHEN spread - m * (1 - m) * others > 0
+    THEN least(1000, greatest(1, m * (1 - m) * room / (spread - m * (1 - m) * others) - 1)) ELSE 1000 END AS k FROM moments
 ), verdicts AS (SELECT source, bool_or((bad + k * m) / (n + k) > 0.5) AS gone FROM hosts JOIN strength USING (r) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT gone AS kept
@@ -68,10 +71,11 @@ WITH sizes AS (
   SELECT source, source_size, least(coalesce(level.unit * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM units LEFT JOIN level ON true
 ), ranked AS (
   SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
-    sum(size) OVER (PARTITION BY s.source ORDER BY place)::BIGINT AS upto
+    sum(size) OVER (PARTITION BY s.source ORDER BY place)::BIGINT AS upto, sum(size) OVER (PARTITION BY s.source, place)::BIGINT AS here
   FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 )
-SELECT doc_id, size, source_size, target, size * (whole + (upto <= floor(target - whole * source_size))::BIGINT)::BIGINT AS taken FROM ranked
+SELECT doc_id, size, source_size, target, size * (whole + (upto <= budget OR (upto - here <= budget AND here < 2 * (budget - upto + here)))::BIGINT)::BIGINT AS taken
+FROM (SELECT *, floor(target - whole * source_size)::BIGINT AS budget FROM ranked)
 """
 
 REPEATS = r"""

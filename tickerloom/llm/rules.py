@@ -91,29 +91,33 @@ def count_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
 def host_verdicts(counted: DataFrame, host: str = "host", limit: float = 0.5) -> DataFrame:
     """Per host: texts, shrunk failure rate of each rule, and ``host_kept``.
 
-    Each rule has a beta prior fitted to the hosts' own rates by moments, every
-    host counting once (a host of one text says nothing about spread, so hosts
-    below 5 texts are left out of the fit unless there are no others).  A host
-    goes where the shrunk rate of any rule is above ``limit``.  Null is a host
-    like any other.  Only one row per host moves.
+    Each rule has a beta prior fitted by the moments of a beta-binomial over
+    all hosts, weighted by texts: the spread of their rates less what chance
+    alone makes of it, so small hosts count as little as they tell.  Where
+    hosts are too few or too small to tell a spread, the prior weighs one text,
+    and where they differ no more than by chance, 1000.  A host goes where the
+    shrunk rate of any rule is above ``limit``.  Null is a host like any
+    other.  Only one row per host moves.
     """
     flags = [F.sum(F.expr(f"CAST({c} AS BIGINT)")).alias(f"_f_{r}") for r, c in RULES.items()]
     hosts = pin(counted.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("n_texts"), *flags))
-    used = F.col("n_texts") >= 5
-    moments = []
+    texts = F.col("n_texts").cast("double")
+    moments = [F.sum(texts).alias("_texts"), F.sum(texts * texts).alias("_squares"), F.count("*").cast("double").alias("_hosts")]
     for r in RULES:
-        rate = F.col(f"_f_{r}") / F.col("n_texts")
-        fit = F.when(used, rate)
-        mean = F.coalesce(F.avg(fit), F.avg(rate), F.lit(0.0))
-        moments += [mean.alias(f"_m_{r}"), F.coalesce(F.var_pop(fit), F.var_pop(rate), F.lit(0.0)).alias(f"_v_{r}")]
+        failed = F.col(f"_f_{r}").cast("double")
+        moments += [F.sum(failed).alias(f"_b_{r}"), F.sum(failed * failed / texts).alias(f"_r_{r}")]
     # The prior is one row whatever the input.
     prior = hosts.agg(*moments).select(F.struct("*").alias("p"))
     joined = hosts.withColumn("_p", prior.scalar())
     out = ["_host", "n_texts"]
     for r in RULES:
-        m, v = F.col(f"_p._m_{r}"), F.col(f"_p._v_{r}")
-        # Strength of the prior in texts: from the spread, at least 1 and at most 1000 when hosts hardly differ.
-        strength = F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
+        total, hosts_, b = F.col("_p._texts"), F.col("_p._hosts"), F.col(f"_p._b_{r}")
+        m = b / total
+        chance = m * (1 - m)
+        room = total - F.col("_p._squares") / total - (hosts_ - 1)
+        # How alike texts of one host are beyond chance; the prior's strength in texts follows from it.
+        alike = (F.col(f"_p._r_{r}") - b * b / total - chance * (hosts_ - 1)) / (chance * room)
+        strength = F.when(chance * room > 0, F.when(alike > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), 1 / alike - 1))).otherwise(F.lit(1000.0))).otherwise(F.lit(1.0))
         out.append(((F.col(f"_f_{r}") + strength * m) / (F.col("n_texts") + strength)).alias(f"rate_{r}"))
     rates = joined.select(*out)
     bad = F.lit(False)
