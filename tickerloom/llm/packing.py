@@ -2,7 +2,8 @@
 
 Every task packs its own pieces best-fit; bins that are nearly full are done,
 the others go up a tree of ever fewer groups as items of their own size and
-are packed best-fit again.
+are packed best-fit again.  Only the bins move, their pieces learn at the end
+where they went.
 """
 
 from __future__ import annotations
@@ -51,28 +52,43 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bin_of, offset, np.array(fill, np.int64)
 
 
-def _settle(fill: np.ndarray, capacity: int, nearly: float, carry: int) -> np.ndarray:
-    """Which bins are done: the nearly full ones, and all but the ``carry`` emptiest others (a group has at most one bin under half full)."""
+def _settle(fill: np.ndarray, capacity: int, nearly: float, others: int) -> np.ndarray:
+    """Which bins of a group are done while ``others`` more groups go on.
+
+    No two bins that best-fit leaves go together, so all but one are more than
+    half full, of this group as of any other.  What can still come to them is
+    the one emptier bin of each other group, so the emptiest ``others`` serve
+    as well as all; those, and the one at most half full, go on unless they
+    are nearly full.
+    """
     done = fill >= nearly * capacity
-    rest = np.flatnonzero(~done)
-    if len(rest) > carry:
-        done[rest[np.argsort(fill[rest], kind="stable")[carry:]]] = True
+    rest = np.flatnonzero(~done & (2 * fill > capacity))
+    if len(rest) > others:
+        done[rest[np.argsort(fill[rest], kind="stable")[others:]]] = True
     return done
 
 
-def pack(items: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8, carry: int = 20_000) -> DataFrame:
+def _going_on(capacity: int, nearly: float, others: int):
+    """Keeps the bins of a group that are not done; see ``_settle``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_bin")
+        return rows[~_settle(rows["_fill"].to_numpy(), capacity, nearly, others)]
+
+    return run
+
+
+def pack(items: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``items``, whose ``length`` is 1 to ``capacity``.
 
-    Offsets within a sequence are gapless from 0.  A group receives at most
-    ``fan_in * carry`` bins however large the input; bins that a group cannot
-    pass on are done as they are, so nothing is lost.  ``items`` must be read
-    from a table, so that a lost task packs the same rows again.  No items
-    give no rows; equal items are packed each.
+    Offsets within a sequence are gapless from 0.  Items stay where they are
+    packed first; up the tree go bins alone (group, number, fill), as many as
+    there are groups still, and each level notes which bin went where.
+    ``items`` must be read from a table, so that a lost task packs the same
+    rows again.  No items give no rows; equal items are packed each.
     """
     columns = items.columns
-    state = ["_group", "_bin", "_fill", "_done", "sequence_id", "offset"]
-    kinds = "_group long, _bin long, _fill long, _done boolean, sequence_id long, offset long"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields), kinds])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
 
     def local(batches):
         rows = [b for b in batches if b.num_rows]
@@ -81,42 +97,42 @@ def pack(items: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8
         rows = pa.Table.from_batches(rows)
         group = TaskContext.get().partitionId()
         bin_of, offset, fill = best_fit(rows.column("length").to_numpy(), capacity)
-        done = _settle(fill, capacity, nearly, carry)
-        more = [np.full(len(bin_of), group), bin_of, fill[bin_of], done[bin_of], (group << 34) + bin_of, offset]
-        for name, values in zip(state, more, strict=True):
+        for name, values in zip(["_group", "_bin", "_fill", "_place"], [np.full(len(bin_of), group), bin_of, fill[bin_of], offset], strict=True):
             rows = rows.append_column(name, pa.array(values))
         yield from rows.to_batches()
 
-    level = pin(items.mapInArrow(local, schema))
-    out = [level.filter("_done")]
-    waiting = level.filter("NOT _done")
-    depth = 0
-    last = (waiting.agg(F.max("_group")).first()[0] or 0) == 0
-    while True:
-        depth += 1
-        height, final = depth, last
-
-        def merge(rows: pd.DataFrame) -> pd.DataFrame:
-            # The bins of this group, in one order whatever order their rows came in.
-            bins = rows.groupby(["_group", "_bin"], sort=True)["_fill"].first()
-            bin_of, base, fill = best_fit(bins.to_numpy(), capacity)
-            done = np.ones(len(fill), bool) if final else _settle(fill, capacity, nearly, carry)
-            at = bins.index.get_indexer(pd.MultiIndex.from_frame(rows[["_group", "_bin"]]))
-            group = int(rows["_next"].iloc[0])
-            b = bin_of[at]
-            return rows.assign(_group=group, _bin=b, _fill=fill[b], _done=done[b], sequence_id=(height << 58) + (group << 34) + b, offset=rows["offset"] + base[at]).drop(columns="_next")
-
-        step = waiting.withColumn("_next", F.floor(F.col("_group") / fan_in).cast("long"))
-        level = pin(step.groupBy("_next").applyInPandas(merge, schema))
-        out.append(level.filter("_done"))
-        waiting = level.filter("NOT _done")
-        if final:
-            break
-        last = (waiting.agg(F.max("_group")).first()[0] or 0) == 0
-    packed = out[0]
-    for more in out[1:]:
-        packed = packed.union(more)
-    return packed.select(*columns, "sequence_id", "offset")
+    placed = pin(items.mapInArrow(local, f"{kinds}, _group long, _bin long, _fill long, _place long"))
+    groups = (placed.agg(F.max("_group")).first()[0] or 0) + 1
+    # Every bin begins where it holds its first item.
+    bins = placed.filter("_place = 0").select("_group", "_bin", "_fill")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        # In one order whatever order the bins came in.
+        rows = rows.sort_values(["_group", "_bin"])
+        bin_of, base, fill = best_fit(rows["_fill"].to_numpy(), capacity)
+        return rows.assign(_to=rows["_next"], _number=bin_of, _base=base, _full=fill[bin_of])[["_group", "_bin", "_to", "_number", "_base", "_full"]]
+
+    moves, height = [], 0
+    while groups > 1 or not height:
+        height, before = height + 1, groups
+        groups = -(-groups // fan_in)
+
+        kept = bins.groupBy("_group").applyInPandas(_going_on(capacity, nearly, before - 1), "_group long, _bin long, _fill long")
+        step = kept.withColumn("_next", F.floor(F.col("_group") / fan_in).cast("long"))
+        moved = pin(step.groupBy("_next").applyInPandas(merge, "_group long, _bin long, _to long, _number long, _base long, _full long"))
+        moves.append(moved)
+        bins = moved.groupBy(F.col("_to").alias("_group"), F.col("_number").alias("_bin")).agg(F.first("_full").alias("_fill"))
+    # Where each bin of the lowest level ends up, put together from the top.
+    final = None
+    for level, moved in reversed(list(enumerate(moves, 1))):
+        here = moved.select("_group", "_bin", "_to", "_number", "_base", (F.lit(level << 58) + F.shiftleft("_to", 34) + F.col("_number")).alias("_id"))
+        if final is not None:
+            up = final.select(F.col("_group").alias("_to"), F.col("_bin").alias("_number"), F.col("_base").alias("_more"), F.col("_id").alias("_end"))
+            here = here.join(up, ["_to", "_number"], "left").withColumns({"_base": F.col("_base") + F.coalesce("_more", F.lit(0)), "_id": F.coalesce("_end", "_id")})
+        final = here.select("_group", "_bin", "_base", "_id")
+    joined = placed.join(final, ["_group", "_bin"], "left")
+    own = F.shiftleft("_group", 34) + F.col("_bin")
+    return joined.select(*columns, F.coalesce("_id", own).alias("sequence_id"), (F.col("_place") + F.coalesce("_base", F.lit(0))).alias("offset"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
