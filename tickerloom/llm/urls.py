@@ -78,11 +78,11 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, rounds: int = 200,
     """One row ``weights``: an array with a weight for each place and the bias last.
 
     Gradient descent over the whole label table, at most ``most_rows`` rows
-    of it, folded in one expression: each round finds all rows' errors and
+    of it, chosen by a hash, folded in one expression: each round finds all rows' errors and
     then each place's step from the rows that have the place.
     """
     host, path = host_and_path(F.col("url"))
-    rows = labelled.filter("label IN (0, 1)").select("url", "label").orderBy("url", "label").limit(most_rows)
+    rows = labelled.filter("label IN (0, 1)").select("url", "label").orderBy(F.xxhash64("url", "label"), "url", "label").limit(most_rows)
     rows = rows.select(F.struct(F.col("label"), F.array_append(grams(host, path, dimensions), F.lit(dimensions)).alias("places")).alias("x"))
     data = rows.agg(F.array_sort(F.collect_list("x")).alias("data")).select("data", F.size("data").alias("n"))
     # For each place the rows that have it.
