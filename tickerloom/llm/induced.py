@@ -27,6 +27,7 @@ import numpy as np
 CAP = 254  # common prefixes are counted up to this
 SAME = 255  # in the naming passes: equal LMS substrings
 BATCH = 1 << 16
+PER_NAME = 12  # bytes of the queues for each suffix
 
 
 class Spools:
@@ -409,6 +410,29 @@ def _once(lcp, who, char):
     return order, _longer(out)
 
 
+def _doubled(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a short text from the largest to the smallest, and common prefixes with the one before, by doubled names in memory."""
+    n, rank, names, width = len(text), text.astype(np.int64), [], 1
+    while True:
+        if width <= CAP:
+            names.append(rank.astype(np.int32))
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - width)] = rank[width:] + 1
+        both = rank * (n + 1) + after
+        order = np.argsort(both, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(both[order[1:]] != both[order[:-1]])))
+        width *= 2
+        if rank[order[-1]] == n - 1:
+            break
+    order = order[::-1]
+    same = np.zeros(max(0, n - 1), np.int64)
+    for k in reversed(range(len(names))):
+        equal = names[k][order[:-1] + same] == names[k][order[1:] + same]
+        same[equal] += 1 << k
+    return order, np.minimum(np.append(0, same), CAP).astype(np.uint8)
+
+
 def sort_suffixes(text: np.ndarray, alphabet: int, emit: Callable[[np.ndarray, np.ndarray], None], budget: int = 64 << 20) -> None:
     """Emits all suffixes of ``text`` from the largest to the smallest.
 
@@ -467,7 +491,11 @@ def sort_suffixes(text: np.ndarray, alphabet: int, emit: Callable[[np.ndarray, n
             lcp_parts.append(lcp)
 
         del order, names, new
-        sort_suffixes(reduced, count, keep, budget)
+        # Recursion ends where the names fit the memory that a queue may take.
+        if len(reduced) * PER_NAME <= budget:
+            keep(*_doubled(reduced))
+        else:
+            sort_suffixes(reduced, count, keep, budget)
         ranked = np.concatenate(pos_parts)[::-1]
         lcp = np.concatenate(lcp_parts)[::-1]
         # Descending common prefixes belong to the neighbour below.

@@ -75,13 +75,14 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(BYTES[False][part] * p[: len(part)], out=total[1:])
         value = mix((total[PIECE:] - total[:-PIECE]) * powers(_INV, len(part) + 1)[: len(total) - PIECE])
-        # Leftmost smallest of ``span`` neighbours, by doubling.
+        # Leftmost smallest of ``span`` neighbours by the highest 32 bits, by doubling.
+        least = (value >> np.uint64(32)).astype(np.uint32)
         where, width = np.zeros(len(value), np.uint8), 1
         while width < span:
             step = min(width, span - width)
-            later = value[step:] < value[:-step]
+            later = least[step:] < least[:-step]
             where = np.where(later, where[step:] + np.uint8(step), where[:-step])
-            value = np.minimum(value[step:], value[:-step])
+            least = np.minimum(least[step:], least[:-step])
             width += step
         anchor = where[:m] + np.arange(m)
         ok = valid[s : s + m]
@@ -95,7 +96,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         lows.append(low + s)
         highs.append(np.minimum(high, cut) + s)
         # Smallest hashes are small numbers, so they are scrambled again.
-        keys.append(mix(value[low] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(16))
+        keys.append(mix(value[anchor[low]] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(16))
     return np.concatenate(lows), np.concatenate(highs), np.concatenate(keys)
 
 
@@ -219,7 +220,7 @@ class _Surroundings:
         self.low, self.high, key = low[ours], high[ours], key[ours]
         self.text = np.searchsorted(at, self.low, side="right") - 1
         length = self.high - self.low + LENGTH - 1
-        prints = _hash_ranges(data, self.low, length)
+        prints = _rolled_ranges(data, self.low, length)
         order = np.lexsort((self.low, prints, key))
         k, f = key[order], prints[order]
         new = np.ones(len(k), bool)
@@ -241,6 +242,21 @@ def _hash_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray, some:
     return out
 
 
+def _rolled_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The same for overlapping stretches with ascending starts, from running sums over a segment of the bytes."""
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(start, start[first] + SEGMENT)))
+        a, b = int(start[first]), int((start[first:last] + length[first:last]).max())
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(BYTES[False][data[a:b]] * powers(_BASE, b - a + 1)[:-1], out=total[1:])
+        at, n = start[first:last] - a, length[first:last]
+        out[first:last] = mix((total[at + n] - total[at]) * powers(_INV, b - a + 1)[at]) ^ mix(n.astype(np.uint64))
+        first = last
+    return out
+
+
 def _texts_of(wanted: pa.Table, kind: int) -> list[bytes]:
     kinds = wanted.column("kind").to_pylist()
     rows = sorted((b, i) for i, (b, k) in enumerate(zip(wanted.column("bucket").to_pylist(), kinds, strict=True)) if k == kind)
