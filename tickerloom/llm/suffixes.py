@@ -442,7 +442,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     # Buckets grow in number, not in size.
     bits = max(3, int(-(-total // BUCKET_BYTES) - 1).bit_length() if total else 0)
     found = pin(shared(offered(blocks, bits)))
-    answers = pin(resolved(surroundings(blocks, found, bits - 1)))
+    answers = pin(resolved(surroundings(blocks, found, bits)))
     out = removed(blocks, found, answers, keep_text)
     body = F.col("text").cast("binary")
     lone = source.filter("doc_id IS NULL").select(
