@@ -112,7 +112,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 # ---------------------------------------------------------------- repeated passages
-def test_repeats_equal_a_table_of_all_strings(documents, corpus):
+def without_repeats(corpus):
     owner = {}
     for i, t in corpus:
         b = (t or "").encode()
@@ -128,8 +128,60 @@ def test_repeats_equal_a_table_of_all_strings(documents, corpus):
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
         spans = int((gone[:-1] & ~np.append(False, gone[:-2])).sum()) if len(b) else 0
         expected[(i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)] += 1
+    return expected
+
+
+def test_repeats_equal_a_table_of_all_strings(documents, corpus):
     got = suffixes.remove_repeats(documents(corpus).repartition(5), keep_text=True)
-    assert Counter((*x[:5], bytes(x[5])) for x in collected(got)) == expected
+    assert Counter((*x[:5], bytes(x[5])) for x in collected(got)) == without_repeats(corpus)
+
+
+def test_repeats_with_crowded_anchors(spark, documents, corpus, monkeypatch):
+    """Lines that many texts have between other bytes, with equal bytes to the left, to the right, on both sides, or on none."""
+    r = np.random.default_rng(11)
+    rulers = ["-" * 28, "=" * 60, "licensed under the terms of this notice.", "x" * 45]
+
+    def some(n):
+        return "".join(r.choice(list("abcdefgh "), n))
+
+    sides = [some(int(n)) for n in r.integers(1, 30, 12)]
+    rows = []
+    for i in range(300):
+        parts = [x + ruler + y for ruler in rulers for x, y in [[sides[int(r.integers(12))] if r.random() < 0.6 else some(30) for _ in range(2)]]]
+        rows.append((1000 + i, some(int(r.integers(5))).join(parts)))
+    rows += [r_ for r_ in corpus if r_[0] is None or r_[0] < 200]
+    small = suffixes.blocks_of
+    monkeypatch.setattr(suffixes, "blocks_of", lambda docs: small(docs, 4000))
+    levels = []
+    whole = suffixes.shared
+    monkeypatch.setattr(suffixes, "shared", lambda offers, level, most: (levels.append(level), whole(offers, level, most))[1])
+    expected = without_repeats(rows)
+    assert sum(n * x[2] for x, n in expected.items()) > 20_000
+    for most, deepest in ((20, 3), (0, 5)):
+        levels.clear()
+        got = suffixes.remove_repeats(documents(rows).repartition(3), keep_text=True, most=most)
+        assert Counter((*x[:5], bytes(x[5])) for x in collected(got)) == expected
+        assert max(levels) >= deepest
+
+
+def test_longer_anchors_split_surroundings_and_lose_no_string():
+    """One anchor between other bytes: each string keeps to one longer anchor, equal strings to the same."""
+    r = np.random.default_rng(12)
+    texts = [bytes(r.integers(97, 101, 22, dtype=np.uint8)) + b"#" * 28 + bytes(r.integers(97, 101, 22, dtype=np.uint8)) for _ in range(400)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    low = np.arange(400) * 72
+    runs = low, low + 23, np.full(400, 7, np.uint64), low + 22
+    groups = []
+    for level in range(5):
+        runs = suffixes.lengthened(data, runs[0], runs[1], runs[3], level)
+        at = np.concatenate([np.arange(a, b) for a, b in zip(*runs[:2], strict=True)])
+        assert sorted(at.tolist()) == [72 * i + j for i in range(400) for j in range(23)]
+        anchor_of = {}
+        for a, b, k in zip(*map(np.ndarray.tolist, runs[:3]), strict=True):
+            for p in range(a, b):
+                assert anchor_of.setdefault(data[p : p + 50].tobytes(), k) == k
+        groups.append(max(Counter(runs[2].tolist()).values()))
+    assert groups == sorted(groups, reverse=True) and groups[0] <= 6 and all(b - a == 1 for a, b in zip(*runs[:2], strict=True))
 
 
 def test_repeats_across_many_small_blocks(spark, documents, corpus, monkeypatch):

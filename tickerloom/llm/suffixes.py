@@ -17,15 +17,21 @@ only repeat across documents if its anchor does.  The steps are
 5. each block removes the bytes of strings that a smaller id has.
 
 What a hot passage sends is one entry per block, however many documents of
-the block have it.
+the block have it.  An anchor with too many surroundings is lengthened: half
+the bytes a string has besides it come from its left where the string has
+them, else from its right.  Equal strings name equal longer anchors, which go
+to buckets of their own; step 2 runs again for them, five times at most until
+an anchor is the whole string and has but one surroundings.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +47,9 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 SEGMENT = 1 << 18
+# Surroundings of one anchor that one bucket takes; bytes that a string has besides its anchor, level by level.
+MOST_SURROUNDINGS = 1 << 16
+SLACK = (LENGTH - PIECE, 11, 5, 2, 1, 0)
 
 
 def _packed(data: bytes) -> bytes:
@@ -52,14 +61,14 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- anchors
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low, high, key): the strings that start at low to high - 1 have one anchor, whose hash has 48 bits ``key``.
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, key, place): the strings that start at low to high - 1 have one anchor, which starts at ``place`` and whose hash has 48 bits ``key``.
 
     Strings lie within one text (stretches of ``at``).
     """
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     crossing = np.zeros(len(data) + 1, np.int8)
     ends = at[1:][at[1:] > at[:-1]]
     begins = np.maximum(at[:-1][at[1:] > at[:-1]], ends - LENGTH + 1)
@@ -67,7 +76,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     crossing[ends] -= 1
     valid = np.cumsum(crossing[:n], dtype=np.int8) == 0
     span = LENGTH - PIECE + 1
-    lows, highs, keys = [], [], []
+    lows, highs, keys, places = [], [], [], []
     for s in range(0, n, SEGMENT):
         m = min(SEGMENT, n - s)
         part = data[s : s + m + LENGTH - 1]
@@ -97,7 +106,31 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         highs.append(np.minimum(high, cut) + s)
         # Smallest hashes are small numbers, so they are scrambled again.
         keys.append(mix(value[anchor[low]] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(16))
-    return np.concatenate(lows), np.concatenate(highs), np.concatenate(keys)
+        places.append(anchor[low] + s)
+    return np.concatenate(lows), np.concatenate(highs), np.concatenate(keys), np.concatenate(places)
+
+
+def lengthened(data: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of anchors of ``level`` by their anchors of the next one, as ``anchors`` returns them."""
+    grow = SLACK[level] - SLACK[level + 1]
+    between = np.clip(place - grow + 1, low, high)
+    low, high = np.concatenate((low, between)), np.concatenate((between, high))
+    place = np.concatenate((place - grow, place))
+    some = np.flatnonzero(low < high)
+    some = some[np.argsort(place[some], kind="stable")]
+    low, high, place = low[some], high[some], place[some]
+    prints = _rolled_ranges(data, place, np.full(len(place), LENGTH - SLACK[level + 1]))
+    return low, high, mix(prints ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(16), place
+
+
+def _is_in(key: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    """Which keys are among those of ``packed``."""
+    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_keys_of, packed)]))
+    if not len(known):
+        return np.zeros(len(key), bool)
+    place = np.searchsorted(known, key)
+    place[place == len(known)] = 0
+    return known[place] == key
 
 
 def _bytes_of(keys: np.ndarray) -> bytes:
@@ -156,51 +189,135 @@ def _slices(keys: np.ndarray, bits: int):
             yield int(bucket[a]), a, b
 
 
+def _offer(block: int, ids: np.ndarray, at: np.ndarray, data: np.ndarray, runs, bits: int):
+    """Rows (bucket, block, keys, many, kinds) of the runs of one block: its distinct anchors in ascending order.
+
+    ``many`` marks the anchors that several documents of the block have;
+    ``kinds`` is for those with more than one surroundings in the block: which
+    of the row's anchors, and how many.
+    """
+    low, high, key, _ = runs
+    who = ids[np.searchsorted(at, low, side="right") - 1]
+    order = np.argsort(key)
+    of_key, who = key[order], who[order]
+    first = np.flatnonzero(np.append(True, of_key[1:] != of_key[:-1]))
+    many = np.minimum.reduceat(who, first) < np.maximum.reduceat(who, first)
+    times = np.diff(np.append(first, len(order)))
+    key = of_key[first]
+    again = order[np.repeat(times > 1, times)]
+    again = again[np.argsort(low[again])]
+    prints = _rolled_ranges(data, low[again], high[again] - low[again] + LENGTH - 1)
+    place = np.searchsorted(key, runs[2][again])
+    by = np.lexsort((prints, place))
+    place, prints = place[by], prints[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (place[1:] != place[:-1]) | (prints[1:] != prints[:-1])
+    kinds = np.bincount(place[new], minlength=len(key))
+    for b, x, y in _slices(key, bits):
+        several = np.flatnonzero(kinds[x:y] > 1)
+        yield b, block, _bytes_of(key[x:y]), np.packbits(many[x:y]).tobytes(), np.concatenate((several, kinds[x:y][several])).astype(np.int32).tobytes()
+
+
+_OFFERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary()), ("kinds", pa.binary())])
+_OFFERED = "bucket long, block long, keys binary, many binary, kinds binary"
+
+
+def _rows(rows, schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(schema, columns, strict=True)})
+
+
 def offered(blocks: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block, keys, many): each block's distinct anchors; ``many`` marks those that several of its documents have."""
+    """(bucket, block, keys, many, kinds): each block's distinct anchors, as ``_offer`` gives them."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, at, data = _block(batch, i)
-                low, _, key = anchors(data, at)
-                if not len(key):
-                    continue
-                who = ids[np.searchsorted(at, low, side="right") - 1]
-                order = np.argsort(key)
-                key, who = key[order], who[order]
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                many = np.minimum.reduceat(who, first) < np.maximum.reduceat(who, first)
-                key = key[first]
-                rows = [(b, _bytes_of(key[x:y]), np.packbits(many[x:y]).tobytes()) for b, x, y in _slices(key, bits)]
-                bucket, keys, flags = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket, pa.int64()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(flags, pa.binary())
-                ], names=["bucket", "block", "keys", "many"])
-
-    return blocks.mapInArrow(run, "bucket long, block long, keys binary, many binary")
-
-
-def shared(offers: DataFrame) -> DataFrame:
-    """(block, keys): the anchors of each block that more than one document of the corpus has."""
+                runs = anchors(data, at)
+                if len(runs[0]):
+                    yield from _rows(_offer(batch.column("block")[i].as_py(), ids, at, data, runs, bits), _OFFERS).to_batches()
+
+    return blocks.mapInArrow(run, _OFFERED)
+
+
+def offered_longer(blocks: DataFrame, found: list[DataFrame], bits: int) -> DataFrame:
+    """The same for the longer anchors of the last level's crowded ones."""
+    level = len(found)
+
+    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = []
+        if block.num_rows and wanted.num_rows:
+            ids, at, data = _block(block)
+            runs = _levels(data, at, wanted, level)[-1]
+            if len(runs[0]):
+                rows = list(_offer(block.column("block")[0].as_py(), ids, at, data, runs, bits))
+        return _rows(rows, _OFFERS)
+
+    crowded = _all(found).filter("n_crowded > 0").withColumn("keys", F.lit(b""))
+    return blocks.groupBy("block").cogroup(crowded.groupBy("block")).applyInArrow(run, _OFFERED)
+
+
+def shared(offers: DataFrame, level: int, most: int) -> DataFrame:
+    """(block, level, keys, crowded, n_crowded): the anchors of each block that more than one document of the corpus has.
+
+    Those that blocks have more than ``most`` surroundings of, added up, are ``crowded``.
+    """
+    lengthens = level + 1 < len(SLACK)
 
     def run(table: pa.Table) -> pa.Table:
         keys = [_keys_of(k.as_py()) for k in table.column("keys")]
         many = [np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(k)).astype(bool) for m, k in zip(table.column("many"), keys, strict=True)]
         size = np.array(list(map(len, keys)))
         key, flag = np.concatenate(keys), np.concatenate(many)
+        del keys, many
+        ends = np.cumsum(size)
         order = np.argsort(key, kind="stable")
         k = key[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        count = np.diff(np.append(first, len(k)))
+        del k
+        count = np.diff(np.append(first, len(order)))
         good = (count > 1) | np.logical_or.reduceat(flag[order], first)
         keep = np.zeros(len(key), bool)
         keep[order] = np.repeat(good, count)
-        ends = np.cumsum(size)
-        found = [_bytes_of(key[e - n : e][keep[e - n : e]]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
-        return pa.table({"block": table.column("block"), "keys": pa.array(found, pa.binary())}).filter(pa.array([len(x) > 0 for x in found]))
+        hot = np.zeros(len(key), bool)
+        if lengthens:
+            kinds = np.ones(len(key), np.int32)
+            for e, n, x in zip(ends.tolist(), size.tolist(), table.column("kinds"), strict=True):
+                which, times = np.frombuffer(x.as_py(), np.int32).reshape(2, -1)
+                kinds[e - n + which] = times
+            hot[order] = np.repeat(good & (np.add.reduceat(kinds[order], first, dtype=np.int64) > most), count)
+        rows = []
+        for block, e, n in zip(table.column("block").to_pylist(), ends.tolist(), size.tolist(), strict=True):
+            ours, few, lots = key[e - n : e], keep[e - n : e] & ~hot[e - n : e], hot[e - n : e]
+            if few.any() or lots.any():
+                rows.append((block, level, _bytes_of(ours[few]), _bytes_of(ours[lots]), int(lots.sum())))
+        return _rows(rows, pa.schema([("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("crowded", pa.binary()), ("n_crowded", pa.int64())]))
+
+    return offers.groupBy("bucket").applyInArrow(run, "block long, level int, keys binary, crowded binary, n_crowded long")
 
-    return offers.groupBy("bucket").applyInArrow(run, "block long, keys binary")
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, found)
+
+
+def shared_anchors(blocks: DataFrame, bits: int, most: int) -> DataFrame:
+    """The shared anchors of all levels; a level is looked at if the one before has crowded anchors."""
+    found = [pin(shared(offered(blocks, bits), 0, most))]
+    while not found[-1].filter("n_crowded > 0").isEmpty():
+        found.append(pin(shared(offered_longer(blocks, found, bits), len(found), most)))
+    return _all(found)
+
+
+def _levels(data: np.ndarray, at: np.ndarray, wanted: pa.Table, last: int | None = None) -> list[tuple]:
+    """A block's runs of strings by anchor, level by level; a further level has those of crowded anchors of the one before."""
+    level, crowded = wanted.column("level").to_pylist(), wanted.column("crowded").to_pylist()
+    out = [anchors(data, at)]
+    for i in range(max(level) if last is None else last):
+        low, high, key, place = out[-1]
+        hot = _is_in(key, [c for n, c in zip(level, crowded, strict=True) if n == i])
+        out.append(lengthened(data, low[hot], high[hot], place[hot], i))
+    return out
 
 
 class _Surroundings:
@@ -211,13 +328,16 @@ class _Surroundings:
     ``length`` of one run's surroundings, ``least``: smallest document id.
     """
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, wanted: list[bytes]):
-        low, high, key = anchors(data, at)
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_keys_of, wanted)]))
-        place = np.searchsorted(known, key)
-        place[place == len(known)] = 0
-        ours = known[place] == key if len(known) else np.zeros(len(key), bool)
-        self.low, self.high, key = low[ours], high[ours], key[ours]
+    def __init__(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, wanted: pa.Table):
+        level, keys = wanted.column("level").to_pylist(), wanted.column("keys").to_pylist()
+        parts = []
+        for i, (low, high, key, _) in enumerate(_levels(data, at, wanted)):
+            ours = _is_in(key, [k for n, k in zip(level, keys, strict=True) if n == i])
+            parts.append((low[ours], high[ours], key[ours]))
+        self.low, self.high, key = map(np.concatenate, zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(self.low, kind="stable")
+            self.low, self.high, key = self.low[order], self.high[order], key[order]
         self.text = np.searchsorted(at, self.low, side="right") - 1
         length = self.high - self.low + LENGTH - 1
         prints = _rolled_ranges(data, self.low, length)
@@ -257,12 +377,6 @@ def _rolled_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> n
     return out
 
 
-def _texts_of(wanted: pa.Table, kind: int) -> list[bytes]:
-    kinds = wanted.column("kind").to_pylist()
-    rows = sorted((b, i) for i, (b, k) in enumerate(zip(wanted.column("bucket").to_pylist(), kinds, strict=True)) if k == kind)
-    return [wanted.column("keys")[i].as_py() for _, i in rows]
-
-
 def surroundings(blocks: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     """(bucket, block, anchors, data, lengths, least): each block's distinct surroundings of shared anchors."""
 
@@ -270,7 +384,7 @@ def surroundings(blocks: DataFrame, found: DataFrame, bits: int) -> DataFrame:
         rows = []
         if block.num_rows and wanted.num_rows:
             ids, at, data = _block(block)
-            s = _Surroundings(ids, at, data, [k.as_py() for k in wanted.column("keys")])
+            s = _Surroundings(ids, at, data, wanted)
             for bucket, a, b in _slices(s.key, bits):
                 rows.append((bucket, block.column("block")[0].as_py(), _packed(_bytes_of(s.key[a:b])), _packed(gather(data, s.start[a:b], s.length[a:b]).tobytes()), _packed(s.length[a:b].astype(np.int32).tobytes()), _packed(s.least[a:b].tobytes())))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
@@ -388,7 +502,7 @@ def _answers(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def removed(blocks: DataFrame, found: DataFrame, answers: DataFrame, keep_text: bool) -> DataFrame:
     """Each document's counts, and what is left of it."""
-    back = found.select("block", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("kind"), "keys").union(answers.select("block", "bucket", F.lit(1).alias("kind"), "keys"))
+    back = found.select("block", F.lit(0).cast("long").alias("bucket"), "level", "keys", "crowded").union(answers.select("block", "bucket", F.lit(-1).alias("level"), "keys", F.lit(b"").alias("crowded")))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
 
@@ -398,8 +512,9 @@ def removed(blocks: DataFrame, found: DataFrame, answers: DataFrame, keep_text:
         ids, at, data = _block(block)
         gone = np.zeros(len(data), bool)
         if wanted.num_rows:
-            s = _Surroundings(ids, at, data, _texts_of(wanted, 0))
-            count, size, owner = _answers(_texts_of(wanted, 1))
+            answer = pc.equal(wanted.column("level"), -1)
+            s = _Surroundings(ids, at, data, wanted.filter(pc.invert(answer)))
+            count, size, owner = _answers(wanted.filter(answer).sort_by("bucket").column("keys").to_pylist())
             begin = np.cumsum(count) - count
             # Where each run of owners starts among its surroundings' strings.
             ahead = np.cumsum(size) - size
@@ -426,7 +541,7 @@ def removed(blocks: DataFrame, found: DataFrame, answers: DataFrame, keep_text:
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, most: int = MOST_SURROUNDINGS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``.
 
     Every byte goes that lies in a 50-byte string which also starts in a
@@ -434,14 +549,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     is empty, strings lie within one text and are judged on the input.  Ids
     are whole numbers; rows that share an id never take from each other; a row
     with a null id takes from none and keeps all.  An empty table gives no
-    rows; other columns are not looked at.
+    rows; other columns are not looked at.  ``most``: surroundings of one anchor
+    that are sorted together; the result does not depend on it.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     blocks = pin(blocks_of(source.filter("doc_id IS NOT NULL")))
     total = blocks.agg(F.sum(F.element_at("at", -1))).first()[0] or 0
     # Buckets grow in number, not in size.
     bits = max(3, int(-(-total // BUCKET_BYTES) - 1).bit_length() if total else 0)
-    found = pin(shared(offered(blocks, bits)))
+    found = shared_anchors(blocks, bits, most)
     answers = pin(resolved(surroundings(blocks, found, bits)))
     out = removed(blocks, found, answers, keep_text)
     body = F.col("text").cast("binary")
