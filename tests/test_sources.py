@@ -150,6 +150,30 @@ def test_shared_folder_is_the_named_one(spark, monkeypatch):
     assert [r["r"] for r in pinned.collect()] == [r["r"] for r in pinned.collect()]
 
 
+def test_pinned_tables_are_removed_after_a_released_block(spark, tmp_path):
+    from pathlib import Path
+
+    outside = session.pin(spark.range(3))
+    result = str(tmp_path / "result")
+    with session.released(spark) as folder:
+        kept = session.pin(spark.range(5))
+        with session.released(spark) as inner:
+            assert inner.startswith(folder)
+            session.pin(spark.range(2)).write.parquet(f"{result}-inner")
+        assert not Path(inner).exists() and kept.count() == 5
+        kept.join(outside, "id").write.parquet(result)
+        assert session.scratch_path(spark, "x").startswith(folder) and Path(folder).is_dir()
+    assert not Path(folder).exists()
+    assert not session.scratch_path(spark, "x").startswith(folder)
+    assert outside.count() == 3 and spark.read.parquet(result).count() == 3 and spark.read.parquet(f"{result}-inner").count() == 2
+    with pytest.raises(ValueError), session.released(spark) as failed:
+        session.pin(spark.range(1))
+        raise ValueError
+    assert not Path(failed).exists()
+    with session.released(spark):
+        pass
+
+
 def test_stored_panel_reads_the_newest_months_alone(spark, tmp_path):
     from tickerloom.plans import analytics
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,10 @@ DEFAULTS = {
 }
 
 
+# Folder of the innermost ``released`` block, if any.
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tickerloom")
@@ -44,7 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         folder = spark.conf.get("tickerloom.local.scratch", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="tickerloom-")
@@ -54,8 +62,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the ``released`` block around the call."""
+    return f"{_run_folder.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[str]:
+    """Removes on leaving, also by an error, all tables that plans built inside have pinned.
+
+    Build a plan and write its result inside the block; a frame built inside
+    must not be read after it.  The tables lie in one folder below the shared
+    one, whose path is returned; a nested block removes its own only.
+    Callbacks of streams run outside the block.
+    """
+    folder = scratch_path(spark, "run")
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame) -> DataFrame:
