@@ -52,6 +52,14 @@ def test_latest_ranking_is_cut_by_rank(spark):
     assert [r[0] for r in values(picks.latest_ranking(runs, entries, "scan", 3), "rank")] == [1, 2, 3]
 
 
+def test_all_entries_are_placed_by_score(spark):
+    """Entries of every run, more than one page of them; null counts as 0 and equal scores go by id."""
+    scores = [None if i % 9 == 0 else float(i * 37 % 23 - 5) for i in range(80)]
+    entries = spark.createDataFrame([(f"e{i:02d}", i % 4, s) for i, s in enumerate(scores)], "id string, run_id bigint, final_composite_score double").repartition(5)
+    want = sorted((s or 0.0, f"e{i:02d}") for i, s in enumerate(scores))
+    assert values(picks.by_score(entries), "position", "id") == [(n, i) for n, (_, i) in enumerate(want, 1)]
+
+
 def test_runs_page_total_ignores_the_page(spark):
     runs, _ = ranking_tables(spark, [1] * 7)
     assert values(picks.runs_page(runs, "scan", 2, 2), "id", "total") == [(4, 7), (3, 7)]

@@ -602,12 +602,12 @@ def _(r):
 
 @query(
     "st04_by_score",
-    f"""SELECT id, rank_in_run AS rank, coalesce(final_composite_score, 0) AS score, row_number() OVER (ORDER BY coalesce(final_composite_score, 0), id) AS position
-        FROM (SELECT e.* FROM ({ADEQUATE.format(kind='scan', top=30)}) p JOIN v_pick_entries e ON e.run_id = p.id ORDER BY e.rank_in_run, e.id LIMIT 30) t""",
+    """SELECT id, rank_in_run AS rank, coalesce(final_composite_score, 0) AS score, row_number() OVER (ORDER BY coalesce(final_composite_score, 0), id) AS position
+        FROM v_pick_entries""",
 )
 def _(r):
-    ranking = picks.by_score(picks.latest_ranking(r.pick_runs, r.pick_entries))
-    return ranking.select("id", "rank", F.coalesce("final_composite_score", F.lit(0.0)).alias("score"), "position")
+    entries = r.pick_entries.select("id", F.col("rank_in_run").alias("rank"), "final_composite_score")
+    return picks.by_score(entries).select("id", "rank", F.coalesce("final_composite_score", F.lit(0.0)).alias("score"), "position")
 
 
 @query("st05_newest_days", "SELECT DISTINCT strftime(plan_date, '%Y-%m-%d') AS plan_date FROM v_execution_plans ORDER BY 1 DESC LIMIT 5")

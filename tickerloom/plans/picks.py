@@ -9,6 +9,7 @@ from tickerloom.functions.nested import decoded
 from tickerloom.functions.scalar import finite, iso_date, iso_time
 from tickerloom.functions.text import literal_search
 from tickerloom.operators.newest import newest_first, newest_row, page, top
+from tickerloom.operators.ordered import running_total
 from tickerloom.schemas import ANALYSIS_JSON
 
 SCORES = ["close_price", "rule_composite_score", "llm_composite_score", "final_composite_score"]
@@ -123,10 +124,13 @@ def filter_ranking(ranking: DataFrame, q: str) -> DataFrame:
     return ranking.filter(literal_search("ts_code", q) | literal_search("name", q))
 
 
-def by_score(ranking: DataFrame) -> DataFrame:
-    """A loaded ranking (a page of entries) ascending by final score, null counting as 0, with the new ``position``."""
-    order = [F.coalesce("final_composite_score", F.lit(0.0)), F.col("id")]
-    return ranking.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("long")).orderBy("run_id", "position")
+def by_score(entries: DataFrame) -> DataFrame:
+    """Entries ascending by final score, null counting as 0, with the new ``position`` among all of them.
+
+    Positions are running totals over even chunks, so no task holds the whole list.
+    """
+    scored = entries.withColumns({"_score": F.coalesce("final_composite_score", F.lit(0.0)), "_one": F.lit(1).cast("long")})
+    return running_total(scored, [], ["_score", "id"], "_one", "position").drop("_score", "_one").orderBy("position")
 
 
 def watch_flags(rows: DataFrame, watchlist: DataFrame, market: str = "a") -> DataFrame:
