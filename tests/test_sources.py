@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom import session
+from tickerloom.catalog import QUERIES
 from tickerloom.plans import execution
+from tickerloom.schemas import INPUT_SCHEMAS
 from tickerloom.sources import sinks, snapshots, tables
 
 
@@ -196,3 +198,11 @@ def test_stored_panel_reads_the_newest_months_alone(spark, tmp_path):
     assert any("month" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
     with pytest.raises(Exception):
         analytics.stored_panel(spark, str(path), schema, 4, 400).collect()
+
+
+def test_the_calendar_shows_a_month_of_days(spark, tmp_path):
+    start = dt.datetime(2024, 3, 1, 9)
+    rows = [(i, start + dt.timedelta(days=i % 12), i % 4, "view", 10.0, "") for i in range(60)]
+    spark.createDataFrame(rows, INPUT_SCHEMAS["events"]).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["q17_execution_calendar"](spark, str(tmp_path)).collect()
+    assert sorted(r["plan_date"] for r in got) == [f"2024-03-{d:02d}" for d in range(1, 13)]

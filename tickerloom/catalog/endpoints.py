@@ -178,9 +178,7 @@ def _(r):
     return execution.status_of_days(days, snapshots.decode_snapshots(snapshots.read_snapshot_files(r.spark, r.snapshot_folder)))
 
 
-@query("q17_execution_calendar", basics.CALENDAR.format(days=5))
-def _(r):
-    return basics._calendar(r, 5)
+query("q17_execution_calendar", basics.CALENDAR.format(days=30))(basics._calendar)
 
 
 @query(
