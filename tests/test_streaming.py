@@ -90,6 +90,21 @@ def test_alerts_come_once_per_plan(spark, feed):
     assert {(r["plan_date"], r["ts_code"]): (r["event_id"], r["price"], r["touch"]) for r in got} == want and len(got) == len(want)
 
 
+def test_alert_state_grows_by_day_and_bucket_not_by_plan(spark, tmp_path):
+    """Three files of one day, each of which touches every plan: one alert a plan, that of the first file."""
+    codes = [f"p{i:03d}" for i in range(300)]
+    for k in range(3):
+        rows = [(START + dt.timedelta(hours=k, seconds=i), 1000 * k + i, c, 20.0) for i, c in enumerate(codes)]
+        spark.createDataFrame(rows, TICKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    plans = spark.createDataFrame([(START.date(), c, 13.0, 7.0) for c in codes], "plan_date date, ts_code string, predicted_target double, predicted_stop double")
+    feed = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = jobs.touch_alerts(feed, plans).writeStream.outputMode("append").format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = [(r["ts_code"], r["event_id"]) for r in spark.table("alerts").collect()]
+    assert len({e // 1000 for _, e in got}) == 1 and sorted((c, e % 1000) for c, e in got) == [(c, i) for i, c in enumerate(codes)]
+    assert 0 < running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 64
+
+
 def test_first_touch_of_closed_days(spark, feed):
     rows = ticks()
     got = jobs.run_available(jobs.first_touch_of_day(feed(rows, TICKS), plan_rows(spark)), "t-touch")
