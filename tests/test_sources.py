@@ -136,6 +136,19 @@ def test_appending_a_run_again_adds_nothing(spark, tmp_path):
     assert (spark.read.parquet(str(tmp_path / "r")).count(), spark.read.parquet(str(tmp_path / "e")).count()) == (1, 2)
 
 
+def test_a_run_stored_already_moves_no_entries(spark, tmp_path, monkeypatch):
+    run = spark.createDataFrame([(7, dt.date(2024, 1, 5)), (8, dt.date(2024, 2, 5))], "id bigint, trade_date_as_of date")
+    entries = spark.createDataFrame([("a", 7, "x"), ("b", 7, "y"), ("c", 8, "z"), ("c", 8, "z")], "id string, run_id bigint, report_json string")
+    paths = str(tmp_path / "r"), str(tmp_path / "e")
+    sinks.append_pick_run(run, entries.filter("id = 'b'"), *paths)
+    sinks.append_pick_run(run, entries, *paths)
+    written = []
+    monkeypatch.setattr(sinks, "_write_by", lambda *args, **options: written.append(args))
+    newest = sinks.append_pick_run(run, entries, *paths)
+    assert written == [] and sorted(tuple(r) for r in newest.collect()) == [(7, "b"), (8, "c")]
+    assert sorted((r["id"], r["report_json"], r["month"]) for r in spark.read.parquet(paths[1]).collect()) == [("a", "x", "2024-01"), ("b", "y", "2024-01"), ("c", "z", "2024-02"), ("c", "z", "2024-02")]
+
+
 def test_run_and_entries_share_an_id(spark, tmp_path):
     run = spark.createDataFrame([(7, dt.date(2024, 1, 5))], "id bigint, trade_date_as_of date")
     entries = spark.createDataFrame([("a", 7), ("b", 7), ("c", 8)], "id string, run_id bigint")

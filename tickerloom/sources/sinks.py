@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.scalar import token_cost
 from tickerloom.operators.merge import fill_missing
 from tickerloom.operators.newest import newest_row
+from tickerloom.session import pin
 from tickerloom.sources.tables import parquet_or_empty
 
 MONTH = "month"
@@ -38,19 +39,34 @@ def append_messages(messages: DataFrame, path: str) -> None:
     _write_by(priced.withColumn("dt", F.to_date("created_at_utc")), "dt", "append", path)
 
 
+def _not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Rows whose keys are not stored yet, None if there are none; only keys move, unless some are missing."""
+    if stored.isEmpty():
+        return rows
+    missing = pin(rows.select(*keys).join(stored, keys, "left_anti").distinct())
+    if missing.isEmpty():
+        return None
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    return rows.alias("r").join(missing.alias("m"), same, "left_semi")
+
+
 def append_pick_run(run: DataFrame, entries: DataFrame, runs_path: str, entries_path: str) -> DataFrame:
     """Append runs and their ranked entries; returns the newest stored entry id of each of these runs.
 
     Entries go first and the runs last, so nobody sees a run without its
-    entries; what is stored already is left out, so a retry adds nothing.
+    entries; what is stored already is left out, so a retry adds nothing and
+    moves no more than the keys.
     """
     spark = run.sparkSession
     day = run.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("trade_date"))
     held_entries = parquet_or_empty(spark, entries_path, "id string, run_id bigint")
     held_runs = parquet_or_empty(spark, runs_path, "id bigint")
-    listed = entries.join(day, "run_id").join(held_entries, ["id", "run_id"], "left_anti")
-    _write_by(with_month(listed, "trade_date"), MONTH, "append", entries_path)
-    run.join(held_runs, "id", "left_anti").coalesce(WRITERS).write.mode("append").parquet(runs_path)
+    fresh = _not_stored(entries, held_entries, ["id", "run_id"])
+    if fresh is not None:
+        _write_by(with_month(fresh.join(day, "run_id"), "trade_date"), MONTH, "append", entries_path)
+    fresh = _not_stored(run, held_runs, ["id"])
+    if fresh is not None:
+        fresh.coalesce(WRITERS).write.mode("append").parquet(runs_path)
     stored = spark.read.schema("id string, run_id bigint").parquet(entries_path).join(day.select("run_id"), "run_id", "left_semi")
     return newest_row(stored, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
 
