@@ -357,6 +357,19 @@ def test_names_match_as_by_comparing_all_pairs(spark):
     assert (rows["贵州茅台酒"]["exact"], rows["中国平安"]["exact"], rows["茅台"]["exact"]) == (True, False, False)
 
 
+def test_bars_and_dates_of_a_backtest_move_once_by_instrument(spark):
+    """All windows over bars and asked dates share one shuffle."""
+    import re
+
+    entries = spark.createDataFrame([], "id string, run_id bigint, ts_code string, rank_in_run bigint, close_price double, rule_composite_score double, llm_composite_score double, "
+                                    "recommendation string, predicted_buy_price double, predicted_target_price double, predicted_stop_loss double")
+    runs = spark.createDataFrame([], "id bigint, trade_date_as_of date")
+    tables = [spark.createDataFrame(df.rdd, df.schema) for df in (entries, runs, spark.createDataFrame([], "market string, ts_code string, trade_date date, low double, high double, close double"))]
+    plan = backtest.outcomes(*tables)._jdf.queryExecution().sparkPlan().toString()
+    prepared = backtest.outcomes(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and len(re.findall(r"Exchange hashpartitioning\(market#\d+, ts_code#\d+, \d+\)", prepared)) == 1
+
+
 def test_names_with_typing_errors_match_the_nearest(spark):
     """Every name against all companies by brute force: typing errors, shared suffixes, and names that nothing is near to."""
     import random

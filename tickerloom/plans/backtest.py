@@ -17,36 +17,30 @@ FLAT_BAND = 0.5
 KEY = ["market", "ts_code"]
 
 
-def _by_instrument() -> Window:
-    return Window.partitionBy(*KEY).orderBy("trade_date")
+def forward_bars(dates: DataFrame, prices: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """For each distinct (market, ts_code, as_of) with a bar on or before it, that bar's 20-day return and what the next h bars bring.
 
-
-def forward_bars(prices: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """At every bar, what the next h bars bring: lowest low, highest high, close at h."""
-    def ahead(h: int) -> Column:
-        span = _by_instrument().rowsBetween(1, h)
-        return F.struct(
-            F.lit(h).alias("horizon_days"), F.min("low").over(span).alias("low"), F.max("high").over(span).alias("high"),
-            F.lead("close", h).over(_by_instrument()).alias("close"),
-        )
-
-    return prices.select(*KEY, "trade_date", lagged_return(20, _by_instrument()).alias("ret_20d"), F.array(*[ahead(h) for h in horizons]).alias("ahead"))
-
-
-def as_of_bars(dates: DataFrame, bars: DataFrame, columns: list[str]) -> DataFrame:
-    """For each distinct (market, ts_code, as_of), ``columns`` of the last bar on or before it, null if there is none.
-
-    Both sides are at most one row per code and day before they meet, so no
-    group grows with the number of entries behind a date.
+    That is the lowest low, the highest high and the close at h, as columns
+    ``low_h``, ``high_h`` and ``close_h``.  Dates and bars are at most one row per
+    code and day before they meet, so no group grows with the number of
+    entries behind a date; they move once, and all windows share that move.
     """
     asked = dates.select(*KEY, "as_of").distinct()
-    kind = bars.select(F.struct("trade_date", *columns).alias("bar")).schema["bar"].dataType.simpleString()
-    timeline = bars.select(*KEY, F.col("trade_date").alias("as_of"), F.struct("trade_date", *columns).alias("bar"), F.lit(False).alias("asked")).unionByName(
-        asked.select(*KEY, "as_of", F.lit(None).cast(kind).alias("bar"), F.lit(True).alias("asked"))
+    level = ["low", "high", "close"]
+    timeline = prices.select(*KEY, F.col("trade_date").alias("as_of"), *level, F.lit(False).alias("asked")).unionByName(
+        asked.select(*KEY, "as_of", F.lit(True).alias("asked")), allowMissingColumns=True
     )
+    own = Window.partitionBy(*KEY, "asked").orderBy("as_of")
+    ahead = {}
+    for h in horizons:
+        span = own.rowsBetween(1, h)
+        ahead |= {f"low_{h}": F.min("low").over(span), f"high_{h}": F.max("high").over(span), f"close_{h}": F.lead("close", h).over(own)}
+    bars = timeline.select(*KEY, "as_of", "asked", lagged_return(20, own).alias("ret_20d"), *[c.alias(n) for n, c in ahead.items()])
     upto = Window.partitionBy(*KEY).orderBy("as_of", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    known = timeline.withColumn("bar", F.last("bar", ignorenulls=True).over(upto)).filter("asked")
-    return known.select(*KEY, "as_of", F.col("bar.trade_date").alias("bar_date"), *[F.col(f"bar.{c}").alias(c) for c in columns])
+    columns = ["ret_20d", *ahead]
+    bar = F.last(F.when(~F.col("asked"), F.struct(*columns)), ignorenulls=True).over(upto)
+    known = bars.select(*KEY, "as_of", "asked", bar.alias("bar")).filter(F.col("asked") & F.col("bar").isNotNull())
+    return known.select(*KEY, "as_of", *[F.col(f"bar.{c}").alias(c) for c in columns])
 
 
 def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HORIZONS, market: str = "a") -> DataFrame:
@@ -55,11 +49,11 @@ def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HO
     Entries are all of one market, and only its bars are looked at.
     """
     dated = entries.join(runs.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("as_of")), "run_id").withColumn("market", F.lit(market))
-    bars = forward_bars(prices.filter(F.col("market") == market), horizons)
-    known = as_of_bars(dated.select(*KEY, "as_of"), bars, ["ret_20d", "ahead"])
+    known = forward_bars(dated, prices.filter(F.col("market") == market), horizons)
+    ahead = [F.struct(F.lit(h).alias("horizon_days"), *[F.col(f"{c}_{h}").alias(c) for c in ("low", "high", "close")]) for h in horizons]
     rows = dated.join(known, [*KEY, "as_of"]).select(
         F.col("id").alias("entry_id"), "run_id", "ts_code", "rank_in_run", "close_price", "rule_composite_score", "llm_composite_score", "recommendation",
-        "predicted_buy_price", "predicted_target_price", "predicted_stop_loss", "ret_20d", F.inline("ahead"),
+        "predicted_buy_price", "predicted_target_price", "predicted_stop_loss", "ret_20d", F.inline(F.array(*ahead)),
     )
     reached = rows.filter(F.col("close").isNotNull())
     return reached.select(
