@@ -402,6 +402,51 @@ def test_names_with_typing_errors_match_the_nearest(spark):
     assert {r["name"]: r["full_name"] for r in got.collect()} == want
 
 
+def test_names_with_a_common_legal_form_meet_few_companies(spark, monkeypatch):
+    """No row per name and company, though all companies share first letters and legal form; names are as near as by brute force."""
+    import random
+
+    rng = random.Random(9)
+    full = [f"Co{n}{f}" for n in range(100, 700) for f in ("有限公司", "股份有限公司")[n % 2 : n % 2 + 1]]
+    names = [f"Co{rng.randrange(7000, 9999)}" for _ in range(60)] + [c[2:] for c in full[::20]]
+    compared = []
+
+    def counted(df, *keys):
+        if len(keys) == 1 and str(keys[0]) == "name":
+            compared.append(df.count())
+        return group(df, *keys)
+
+    listed = spark.createDataFrame([(c,) for c in full], "full_name string")
+    group = type(listed).groupBy
+    monkeypatch.setattr(type(listed), "groupBy", counted)
+    got = company.nearest_names(spark.createDataFrame([(n,) for n in names], "name string"), listed).collect()
+    monkeypatch.undo()
+    assert max(compared) < len(set(names)) * len(full) / 4
+    pairs = spark.createDataFrame([(n,) for n in set(names)], "name string").crossJoin(listed)
+    want = pairs.groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name")).alias("near")).collect()
+    assert {r.name: tuple(r.near) for r in got} == {r.name: tuple(r.near) for r in want}
+
+
+@pytest.mark.parametrize("share", [0, 16])
+def test_long_names_and_open_characters_match_the_nearest(spark, monkeypatch, share):
+    """Companies too long to spell out, also without a legal form, and such that hold the sign of an open character; crowded pairs are compared in blocks."""
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(company._by_segments, "__defaults__", (share,))
+    monkeypatch.setattr(company._in_blocks, "__defaults__", (7,))
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    full = sorted({word(rng.randint(15, 30)) + rng.choice(["", "有限公司", "集团股份有限公司"]) for _ in range(60)} | {"a\0", "\0b有限公司", "ab", "有限公司"})
+    names = {"", "x\0", "b\0公司", "ax", "公司"} | {word(25) for _ in range(5)}
+    for c in full:
+        k = rng.randrange(len(c))
+        names |= {c[1:k] + "z" + c[k + 2 :], c[: k // 2] + c[k:]}
+    listed, asked = spark.createDataFrame([(c,) for c in full], "full_name string"), spark.createDataFrame([(n,) for n in names], "name string")
+    got = company.nearest_names(asked, listed).collect()
+    want = asked.crossJoin(listed).groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "full_name").alias("distance"), "full_name")).alias("near")).collect()
+    assert {r.name: tuple(r.near) for r in got} == {r.name: tuple(r.near) for r in want}
+
+
 def test_names_without_companies_and_nulls(spark):
     none = spark.createDataFrame([], "full_name string")
     some = spark.createDataFrame([("a",), (None,), ("",)], "name string")
