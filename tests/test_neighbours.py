@@ -97,3 +97,32 @@ def test_segment_means_bound_the_distance():
     gap = neighbours._gaps(means, cells)
     true = ((v[:, None] - v[None]) ** 2).sum(axis=2)
     assert all(gap[i, of[j]] <= true[i, j] + 1e-9 for i in range(400) for j in range(400))
+
+
+def test_a_crowded_grid_cell_is_cut_into_boxes(spark):
+    """Vectors that differ less than a grid cell is wide: all neighbours are found, and few of the pairs are compared."""
+    r = np.random.default_rng(8)
+    v = np.tile([0.2, 0.2, -0.2, -0.2], 3)[:10] + 0.05 * r.normal(size=(8000, 3)) @ r.normal(size=(3, 10))
+    v -= v.mean(axis=1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[300:900] = v[7]  # a cut cannot part these
+    group, place = np.arange(8000) % 40, np.arange(8000) // 40
+    rows = spark.createDataFrame([(int(g), int(p), [float(x) for x in e]) for g, p, e in zip(group, place, v, strict=True)], "group bigint, place bigint, v array<double>")
+    asks = rows.filter("place = 199").select(F.col("group").alias("ask"), F.col("group").alias("ask_group"), F.lit(189).cast("long").alias("ask_upto"), F.col("v").alias("q"))
+    got, looked = neighbours.exact_neighbours(rows, asks, 5, ["place", "group"], enough=100)
+    result = {}
+    for x in got.orderBy("ask", "position").collect():
+        result.setdefault(x.ask, []).append((x.place, x.group, x.similarity))
+    for ask in range(40):
+        near = np.round(v @ v[199 * 40 + ask], 6)
+        near[(group == ask) & (place > 189)] = -2
+        order = np.lexsort((group, place, -near))[:5]
+        assert result[ask] == [(place[i], group[i], pytest.approx(near[i])) for i in order]
+    pairs, cells = looked.agg(F.sum(F.col("rows") * F.col("asks")), F.count("*")).first()
+    assert pairs < 0.2 * 8000 * 40 and cells > 30
+
+
+def test_no_rows_to_be_near_to(spark):
+    rows = spark.createDataFrame([], "group bigint, place bigint, v array<double>")
+    asks = spark.createDataFrame([(1, 1, 0, [0.6, -0.8])], "ask bigint, ask_group bigint, ask_upto bigint, q array<double>")
+    assert neighbours.exact_neighbours(rows, asks, 5, ["place", "group"], segments=1)[0].isEmpty()

@@ -2,13 +2,16 @@
 
 Cells come from k-means on a bounded sample (``vector_neighbours``, a few cells
 per question, nearly all neighbours found) or from a grid over segment means
-(``exact_neighbours``, as many cells as a lower bound asks for, all found).
+(``exact_neighbours``, as many cells as a lower bound asks for, all found; a
+crowded one is cut further, so that cells get smaller as rows get more).
 What meets in a cell is cut into blocks on both sides, so no task holds more
 than a block of rows and one of questions, however large a cell is.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -205,49 +208,169 @@ def gridded(df: DataFrame, segments: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _looked_at(asks: DataFrame, cells: tuple[np.ndarray, np.ndarray], segments: int, enough: int, second: bool) -> DataFrame:
-    """``asks`` once for each cell to look at: first the nearest ones that hold ``enough`` rows, then all others within ``reach``."""
-    shared = asks.sparkSession.sparkContext.broadcast(cells)  # BINS ** segments at most
+@dataclass(frozen=True)
+class Boxes:
+    """Grid cells (``cells``, ``roots``) cut into boxes: nodes with the dimension and the place of their cut (-1: a box), and the nodes on both sides."""
+
+    segments: int
+    cells: np.ndarray
+    roots: np.ndarray
+    dim: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The box of each vector."""
+        x = _turned(v, self.segments)
+        node = self.roots[np.searchsorted(self.cells, _grid(x[:, : self.segments]))]
+        while (self.dim[node] >= 0).any():
+            dim = self.dim[node]
+            side = np.where(x[np.arange(len(x)), dim] < self.cut[node], self.below[node], self.above[node])
+            node = np.where(dim >= 0, side, node)
+        return node
+
+
+def _turned(v: np.ndarray, segments: int) -> np.ndarray:
+    """The segment means and, at right angles to them, what they leave out; distances stay the same."""
+    width = v.shape[1]
+    n = width // segments
+    means = np.zeros((width, segments))
+    means[np.arange(segments * n), np.arange(segments * n) // n] = n**-0.5
+    return np.hstack([segment_means(v, segments), v @ np.linalg.qr(means, mode="complete")[0][:, segments:]])
+
+
+def boxes(cells: np.ndarray, count: np.ndarray, sample: np.ndarray, segments: int, most: int) -> Boxes:
+    """Cells of more than about ``most`` of their ``count`` rows are halved at medians of a sample of all rows, across the widest dimension."""
+    x = _turned(sample, segments) if len(sample) else np.zeros((0, segments))
+    home = _grid(x[:, :segments])
+    order = np.argsort(home, kind="stable")
+    start, end = np.searchsorted(home[order], cells, "left"), np.searchsorted(home[order], cells, "right")
+    dims = x.shape[1]
+    dim, cut, below, above, low, high = [], [], [], [], [], []
+
+    def node(lo, hi) -> int:
+        for column, value in ((dim, -1), (cut, 0.0), (below, -1), (above, -1), (low, lo), (high, hi)):
+            column.append(value)
+        return len(dim) - 1
+
+    roots = []
+    for i, cell in enumerate(cells):
+        lo, hi = np.full(dims, -np.inf), np.full(dims, np.inf)
+        lo[:segments] = (cell // BINS ** np.arange(segments)) % BINS * WIDTH - 1
+        # The means may pass the outer edges by a rounding error.
+        hi[:segments] = lo[:segments] + WIDTH
+        roots.append(node(lo, hi))
+        todo = [(roots[-1], order[start[i] : end[i]], float(count[i]))]
+        while todo:
+            at, some, rows = todo.pop()
+            if rows <= most or len(some) < 4:
+                continue
+            spread = x[some].max(axis=0) - x[some].min(axis=0)
+            d = int(np.argmax(spread))
+            if spread[d] <= ROUNDING:
+                continue
+            values = np.sort(x[some, d])
+            place = values[len(values) // 2]
+            if place == values[0]:
+                place = values[np.searchsorted(values, place, "right")]
+            left = x[some, d] < place
+            dim[at], cut[at] = d, place
+            lo, hi = low[at], high[at]
+            below[at] = node(lo, np.where(np.arange(dims) == d, np.minimum(hi, place), hi))
+            above[at] = node(np.where(np.arange(dims) == d, np.maximum(lo, place), lo), hi)
+            todo += [(below[at], some[left], rows * left.mean()), (above[at], some[~left], rows * (1 - left.mean()))]
+    return Boxes(segments, cells, np.array(roots, np.int64), *(np.array(c) for c in (dim, cut, below, above)), np.array(low), np.array(high))
+
+
+def _boxed(df: DataFrame, shared) -> DataFrame:
+    """``df`` with ``cell``, the box of its unit vector ``v``."""
+    schema = ", ".join([*map(_kind, df.schema.fields), "cell long"])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.of(_matrix(batch.column("v"))))], names=[*batch.schema.names, "cell"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _looked_at(asks: DataFrame, shared, table: tuple[np.ndarray, np.ndarray], enough: int, second: bool) -> DataFrame:
+    """``asks`` once for each box to look at: first the nearest ones that hold ``enough`` rows, then all others within ``reach``."""
+    held = asks.sparkSession.sparkContext.broadcast(table)  # boxes with rows, in order, and their rows
     kept = [f for f in asks.schema.fields if f.name != "reach"]
     schema = ", ".join([*map(_kind, kept), "cell long"])
 
     def run(batches):
-        cell, count = shared.value
+        tree, (box, count) = shared.value, held.value
+        if not len(box):
+            return
+        # Boxes were numbered cell by cell, so those of a cell stand together.
+        home = np.searchsorted(tree.roots, box, "right") - 1
+        start, end = np.searchsorted(home, np.arange(len(tree.roots)), "left"), np.searchsorted(home, np.arange(len(tree.roots)), "right")
+        total = np.add.reduceat(np.append(count, 0), start) * (end > start)
+        low, high = tree.low[box], tree.high[box]
+
+        def within(cells: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The boxes of some cells and the squared distance to them."""
+            which = np.concatenate([np.zeros(0, np.int64), *(np.arange(start[c], end[c]) for c in cells)])
+            return which, (np.maximum(np.maximum(low[which] - x, x - high[which]), 0) ** 2).sum(axis=1)
+
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                gap = _gaps(segment_means(_matrix(part.column("q")), segments), cell)
-                order = np.argsort(gap, axis=1, kind="stable")
-                before = np.cumsum(count[order], axis=1) - count[order]
-                first = np.zeros(gap.shape, bool)
-                np.put_along_axis(first, order, before < enough, axis=1)
-                take = ~first & (gap <= part.column("reach").to_numpy(zero_copy_only=False)[:, None]) if second else first
-                ask, which = np.nonzero(take)
-                rows = part.take(pa.array(ask))
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in kept], pa.array(cell[which])], names=[*(f.name for f in kept), "cell"])
+                q = _matrix(part.column("q"))
+                turned, gaps = _turned(q, tree.segments), _gaps(segment_means(q, tree.segments), tree.cells)
+                reach = part.column("reach").to_numpy(zero_copy_only=False)
+                ask, looked = [], []
+                for j, gap in enumerate(gaps):
+                    order = np.argsort(gap, kind="stable")
+                    before = np.cumsum(total[order]) - total[order]
+                    which, far = within(order[before < enough], turned[j])
+                    nearest = np.argsort(far, kind="stable")
+                    which = which[nearest]
+                    first = which[np.cumsum(count[which]) - count[which] < enough]
+                    if second:
+                        which, far = within(np.flatnonzero(gap <= reach[j]), turned[j])
+                        first = np.setdiff1d(which[far <= reach[j]], first, assume_unique=True)
+                    ask.append(np.full(len(first), j))
+                    looked.append(box[first])
+                rows = part.take(pa.array(np.concatenate(ask)))
+                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in kept], pa.array(np.concatenate(looked))], names=[*(f.name for f in kept), "cell"])
 
     return asks.mapInArrow(run, schema)
 
 
-def exact_neighbours(rows: DataFrame, asks: DataFrame, k: int, ties: list[str], segments: int = 5, enough: int = 512) -> tuple[DataFrame, DataFrame]:
+def exact_neighbours(rows: DataFrame, asks: DataFrame, k: int, ties: list[str], segments: int = 5, enough: int = 512, sample: int = 131_072) -> tuple[DataFrame, DataFrame]:
     """The ``k`` rows most like each question, of all keys, and (cell, rows, asks) of what was compared.
 
     ``rows`` and ``asks`` as in ``compared``, without cells.  The nearest cells
     give each question ``k`` rows; the farthest of those bounds the distance
-    of the segment means of any better row, and so the cells that are left to
-    look at.  A question with fewer than ``k`` rows so far looks at all.
+    of any better row, and so the cells that are left to look at.  A question
+    with fewer than ``k`` rows so far looks at all.  Cells are those of a grid,
+    crowded ones cut into boxes of about ``enough`` rows, as far as some
+    ``sample`` rows, chosen by hash from all, tell where: they decide
+    how many cells are looked at, not what is found.
     """
-    rows = pin(gridded(rows, segments))
     # At most BINS ** segments cells, whatever the rows.
+    table = gridded(rows.select("v"), segments).groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()
+    cells, count = table.column("cell").to_numpy(), table.column("n").to_numpy()
+    picked = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "v"]), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(1, count.sum())))
+    some = rows.filter(picked).select("v").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(boxes(cells, count, _matrix(some.column("v")), segments, enough))
+    rows = pin(_boxed(rows, shared))
+    # Not many more boxes than cells or a quarter of the sample.
     table = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()
-    cells = table.column("cell").to_numpy(), table.column("n").to_numpy()
+    held = table.column("cell").to_numpy(), table.column("n").to_numpy()
     asks = pin(asks)
-    near = pin(_looked_at(asks.withColumn("reach", F.lit(0.0)), cells, segments, enough, False))
+    near = pin(_looked_at(asks.withColumn("reach", F.lit(0.0)), shared, held, enough, False))
     first = pin(_best(compared(rows, near, k, ties), k, ties))
     kth = first.groupBy("ask").agg(F.when(F.count("*") == k, F.min("similarity")).alias("_least"))
     reach = F.coalesce(2.0 - 2.0 * F.col("_least") + 2 * ROUNDING, F.lit(9.0))
     bounded = asks.join(kth, "ask", "left").withColumn("reach", reach).drop("_least")
-    far = pin(_looked_at(bounded, cells, segments, enough, True))
+    far = pin(_looked_at(bounded, shared, held, enough, True))
     found = _best(first.drop("position").union(compared(rows, far, k, ties)), k, ties)
     asked = near.select("cell").union(far.select("cell")).groupBy("cell").agg(F.count("*").alias("asks"))
     return found, rows.groupBy("cell").agg(F.count("*").alias("rows")).join(asked, "cell", "left").na.fill(0, ["asks"])
