@@ -1,6 +1,7 @@
 """Plans on small literal tables: empty inputs, ties, defects of naive versions, invariants."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -447,6 +448,19 @@ def test_long_names_and_open_characters_match_the_nearest(spark, monkeypatch, sh
     assert {r.name: tuple(r.near) for r in got} == {r.name: tuple(r.near) for r in want}
 
 
+def test_exploded_names_are_not_broadcast(spark):
+    """Spark takes spellings for as small as the companies they are made of; sent to the driver, they would fill it."""
+    listed = spark.createDataFrame([("Co1有限公司", "Co1", "有限公司")], "full_name string, base string, kind string")
+    parts = spark.createDataFrame([("Co2", "有限公司", "Co2", 0, 1)], "name string, kind string, part string, cost int, left int")
+    pairs = spark.createDataFrame([("Co2", "有限公司", (9, "Co1有限公司"))], "name string, kind string, near struct<distance:int,full_name:string>")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB")) > 0
+    for met in (company._by_spelling(parts, listed, 1), company._in_blocks(pairs, listed)):
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+        assert re.findall(r"SortMergeJoin \[(?:kind|_a)", plan), plan
+    matched = company.match_names(spark.createDataFrame([("Co1",)], "name string"), listed.select("full_name"))
+    assert "Broadcast" not in matched._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_names_without_companies_and_nulls(spark):
     none = spark.createDataFrame([], "full_name string")
     some = spark.createDataFrame([("a",), (None,), ("",)], "name string")

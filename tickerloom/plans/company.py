@@ -77,6 +77,15 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged.
+
+    Spark takes exploded rows for as small as what they were made of, and would send
+    all of them to the driver for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def _rest(place) -> Column:
     return F.substring("name", place + 1, F.greatest(F.length("name"), F.lit(1)))
 
@@ -125,7 +134,7 @@ def _by_spelling(parts: DataFrame, listed: DataFrame, e: int) -> DataFrame:
     for d in range(1, e + 1):
         ways = F.when(F.col("left") >= d, _spellings(F.col("part"), d)).otherwise(ways)
     asked = parts.withColumn("s", F.explode(ways)).select("name", "kind", "s.key", "s.any", (F.col("cost") + F.col("s.any") + F.col("s.gone")).alias("cost"))
-    met = asked.join(best, ["kind", "key", "any"])
+    met = asked.join(_met(best), ["kind", "key", "any"])
     return met.groupBy("name").agg(F.min(F.struct((F.col("cost") + F.col("best.gone")).alias("distance"), "best.full_name")).alias("near"))
 
 
@@ -172,7 +181,7 @@ def _in_blocks(pairs: DataFrame, listed: DataFrame, block: int = BLOCK) -> DataF
     right = listed.join(F.broadcast(both), "kind").select("kind", "full_name", deal("full_name", "_companies").alias("_b"), each("_names").alias("_a"))
     # The distance is worked out only as far as it can be the best.
     meeting = ["kind", "_a", "_b"]
-    met = _spread(left, *meeting).join(_spread(right, *meeting), meeting).withColumn("distance", F.expr("levenshtein(name, full_name, near.distance)"))
+    met = _spread(left, *meeting).join(_met(_spread(right, *meeting)), meeting).withColumn("distance", F.expr("levenshtein(name, full_name, near.distance)"))
     better = met.filter((F.col("distance") >= 0) & (F.struct("distance", "full_name") < F.col("near")))
     return better.groupBy("name").agg(F.min(F.struct("distance", "full_name")).alias("near"))
 
@@ -182,11 +191,11 @@ def _by_segments(pairs: DataFrame, listed: DataFrame, e: int, share: int = 16) -
     parts = _parts(pairs, e)
     keys = pin(_lookups(parts, listed.select("kind", F.length("base").alias("size")).distinct(), e))
     segments = _segments(listed, e)
-    met = keys.join(segments.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name", "kind").agg(F.sum("n").alias("n"))
+    met = keys.join(_met(segments.groupBy("key").agg(F.count("*").alias("n"))), "key").groupBy("name", "kind").agg(F.sum("n").alias("n"))
     all_ = listed.groupBy("kind").agg(F.count("*").alias("all"))
     crowded = pin(met.join(F.broadcast(all_), "kind").filter(F.col("n") * share >= F.col("all")).select("name", "kind"))
-    found = keys.join(crowded, ["name", "kind"], "left_anti").join(segments, "key").select("name", "full_name").distinct()
-    return _nearer(found), pairs.join(crowded, ["name", "kind"], "left_semi")
+    found = keys.join(_met(crowded), ["name", "kind"], "left_anti").join(_met(segments), "key").select("name", "full_name").distinct()
+    return _nearer(found), pairs.join(_met(crowded), ["name", "kind"], "left_semi")
 
 
 def nearest_names(names: DataFrame, listed: DataFrame) -> DataFrame:
@@ -230,10 +239,10 @@ def nearest_names(names: DataFrame, listed: DataFrame) -> DataFrame:
             found, through = found.union(some), through.union(crowded)
         if e == ROUNDS[-1]:
             through = open_
-        found = found.union(_in_blocks(through.join(best, "name"), listed))
+        found = found.union(_in_blocks(through.join(_met(best), "name"), listed))
         more = found.groupBy("name").agg(F.min("near").alias("more"))
-        best = pin(best.join(more, "name", "left").select("name", F.least("near", "more").alias("near")))
-        rest = open_.join(through.select("name", "kind"), ["name", "kind"], "left_anti").join(best, "name")
+        best = pin(best.join(_met(more), "name", "left").select("name", F.least("near", "more").alias("near")))
+        rest = open_.join(_met(through.select("name", "kind")), ["name", "kind"], "left_anti").join(_met(best), "name")
         open_ = pin(rest.filter(F.col("near.distance") > F.col("least") + e).drop("near"))
         if open_.isEmpty():
             break
@@ -255,11 +264,11 @@ def match_names(names: DataFrame, companies: DataFrame) -> DataFrame:
         F.substring("full_name", F.lit(1), F.col("n")).alias("name"), F.struct(F.length("full_name").alias("size"), "full_name").alias("candidate")
     )
     best = prefixes.groupBy("name").agg(F.min("candidate").alias("best"))
-    wanted = pin(names.select("name").filter("name IS NOT NULL").distinct().join(best, "name", "left").select("name", F.col("best.full_name").alias("by_prefix")))
+    wanted = pin(names.select("name").filter("name IS NOT NULL").distinct().join(_met(best), "name", "left").select("name", F.col("best.full_name").alias("by_prefix")))
     nearest = nearest_names(wanted.filter("by_prefix IS NULL"), listed)
-    found = wanted.join(nearest, "name", "left").select("name", F.coalesce("by_prefix", "near.full_name").alias("full_name"))
+    found = wanted.join(_met(nearest), "name", "left").select("name", F.coalesce("by_prefix", "near.full_name").alias("full_name"))
     bare = F.regexp_replace("full_name", "(" + "|".join(LEGAL_FORMS) + ")$", "")
-    return names.join(found, "name", "left").select(
+    return names.join(_met(found), "name", "left").select(
         *names.columns, "full_name", F.levenshtein("name", "full_name").cast("bigint").alias("distance"), F.coalesce(bare == F.col("name"), F.lit(False)).alias("exact"),
     )
 
