@@ -126,3 +126,17 @@ def test_no_rows_to_be_near_to(spark):
     rows = spark.createDataFrame([], "group bigint, place bigint, v array<double>")
     asks = spark.createDataFrame([(1, 1, 0, [0.6, -0.8])], "ask bigint, ask_group bigint, ask_upto bigint, q array<double>")
     assert neighbours.exact_neighbours(rows, asks, 5, ["place", "group"], segments=1)[0].isEmpty()
+
+
+def test_rows_in_boxes_do_not_need_the_first_copy(spark):
+    """Found the same after the rows that were put into boxes are gone from the disk."""
+    from tickerloom.session import lent
+
+    r = np.random.default_rng(8)
+    rows = [(int(g), int(p), [float(x) for x in v / np.linalg.norm(v)]) for g in range(6) for p, v in enumerate(r.normal(size=(40, 10)))]
+    frame = spark.createDataFrame(rows, "group bigint, place bigint, v array<double>")
+    asked = frame.filter("place = 39").select(F.col("group").alias("ask"), F.col("group").alias("ask_group"), F.lit(29).cast("long").alias("ask_upto"), F.col("v").alias("q"))
+    want = sorted(tuple(x) for x in neighbours.exact_neighbours(frame, asked, 3, ["place", "group"])[0].collect())
+    with lent(frame) as held:
+        places = neighbours.settled(held, asked.select("*"), enough=20)
+    assert sorted(tuple(x) for x in neighbours.found_in(places, 3, ["place", "group"])[0].collect()) == want and len(want) == 18

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,19 @@ def test_a_run_stored_already_moves_no_entries(spark, tmp_path, monkeypatch):
     assert sorted((r["id"], r["report_json"], r["month"]) for r in spark.read.parquet(paths[1]).collect()) == [("a", "x", "2024-01"), ("b", "y", "2024-01"), ("c", "z", "2024-02"), ("c", "z", "2024-02")]
 
 
+def test_what_was_shuffled_for_a_pinned_table_is_not_kept(spark):
+    """The setting holds while the table is written, and ends with it."""
+    before = spark.conf.get(session.SWEEP, None)
+    with session.swept(spark):
+        assert spark.conf.get(session.SWEEP) == "true"
+    rows = spark.range(5).repartition(2, "id")
+    assert rows.sparkSession.conf.get(session.SWEEP, None) == before
+    with session.lent(rows) as held:
+        assert held.count() == 5
+        path = held.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path) and spark.conf.get(session.SWEEP, None) == before
+
+
 def test_run_and_entries_share_an_id(spark, tmp_path):
     run = spark.createDataFrame([(7, dt.date(2024, 1, 5))], "id bigint, trade_date_as_of date")
     entries = spark.createDataFrame([("a", 7), ("b", 7), ("c", 8)], "id string, run_id bigint")

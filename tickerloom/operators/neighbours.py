@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -354,6 +355,22 @@ def exact_neighbours(rows: DataFrame, asks: DataFrame, k: int, ties: list[str],
     ``sample`` rows, chosen by hash from all, tell where: they decide
     how many cells are looked at, not what is found.
     """
+    return found_in(settled(rows, asks, segments, enough, sample), k, ties)
+
+
+@dataclass(frozen=True)
+class Settled:
+    """Pinned rows and questions, the boxes (broadcast), which of them hold how many rows, and how many are enough at first."""
+
+    rows: DataFrame
+    asks: DataFrame
+    boxes: Broadcast
+    held: tuple[np.ndarray, np.ndarray]
+    enough: int
+
+
+def settled(rows: DataFrame, asks: DataFrame, segments: int = 5, enough: int = 512, sample: int = 131_072) -> Settled:
+    """Every row in its box, as in ``exact_neighbours``; ``rows`` and ``asks`` themselves are not read after this."""
     # At most BINS ** segments cells, whatever the rows.
     table = gridded(rows.select("v"), segments).groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()
     cells, count = table.column("cell").to_numpy(), table.column("n").to_numpy()
@@ -364,7 +381,12 @@ def exact_neighbours(rows: DataFrame, asks: DataFrame, k: int, ties: list[str],
     # Not many more boxes than cells or a quarter of the sample.
     table = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()
     held = table.column("cell").to_numpy(), table.column("n").to_numpy()
-    asks = pin(asks)
+    return Settled(rows, pin(asks), shared, held, enough)
+
+
+def found_in(places: Settled, k: int, ties: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What ``exact_neighbours`` returns, of rows in their boxes."""
+    rows, asks, shared, held, enough = places.rows, places.asks, places.boxes, places.held, places.enough
     near = pin(_looked_at(asks.withColumn("reach", F.lit(0.0)), shared, held, enough, False))
     first = pin(_best(compared(rows, near, k, ties), k, ties))
     kth = first.groupBy("ask").agg(F.when(F.count("*") == k, F.min("similarity")).alias("_least"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators.neighbours import exact_neighbours, unit
+from tickerloom.operators.neighbours import found_in, settled, unit
 from tickerloom.operators.newest import last_rows, top
 from tickerloom.operators.ordered import percent_ranks, running_total
 from tickerloom.operators.similarity import centred, closest_to_newest
 from tickerloom.plans.market import INSTRUMENT, by_instrument, newest_bar, trailing_mean
-from tickerloom.session import pin
+from tickerloom.session import lent, pin
 from tickerloom.sources.sinks import MONTH, stored_months
 
 # Default factor weights of the rule score, and the momentum above which an instrument is dropped.
@@ -144,14 +144,16 @@ def similar_patterns_across(prices: DataFrame, length: int = 10, k: int = 5) ->
     Stretches that overlap the newest one, which only the instrument's own can,
     are left out; ties go to the newer stretch, then to the smaller code.
     """
-    shaped = pin(pattern_rows(prices, length))
-    names = shaped.select(*INSTRUMENT).distinct()
-    # Instruments by number, in the order of their codes.
-    numbered = pin(running_total(names.withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)}), ["_all"], INSTRUMENT, "_one", "group").select(*INSTRUMENT, "group"))
-    rows = shaped.join(numbered, INSTRUMENT).select("group", F.col("bar").alias("place"), (-F.unix_date("trade_date")).cast("long").alias("age"), "v")
-    newest = rows.groupBy("group").agg(F.max_by(F.struct("v", "place"), "place").alias("n"))
-    asks = newest.select(F.col("group").alias("ask"), F.col("group").alias("ask_group"), (F.col("n.place") - length).alias("ask_upto"), F.col("n.v").alias("q"))
-    found, looked_at = exact_neighbours(rows, asks, k, ["age", "group"])
+    # Rows are written once more with their boxes; the first copy is gone before they are compared.
+    with lent(pattern_rows(prices, length)) as shaped:
+        names = shaped.select(*INSTRUMENT).distinct()
+        # Instruments by number, in the order of their codes.
+        numbered = pin(running_total(names.withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)}), ["_all"], INSTRUMENT, "_one", "group").select(*INSTRUMENT, "group"))
+        rows = shaped.join(numbered, INSTRUMENT).select("group", F.col("bar").alias("place"), (-F.unix_date("trade_date")).cast("long").alias("age"), "v")
+        newest = rows.groupBy("group").agg(F.max_by(F.struct("v", "place"), "place").alias("n"))
+        asks = newest.select(F.col("group").alias("ask"), F.col("group").alias("ask_group"), (F.col("n.place") - length).alias("ask_upto"), F.col("n.v").alias("q"))
+        places = settled(rows, asks)
+    found, looked_at = found_in(places, k, ["age", "group"])
     ours = numbered.select(F.col("group").alias("ask"), *[F.col(c) for c in INSTRUMENT])
     theirs = numbered.select("group", *[F.col(c).alias(f"like_{c}") for c in INSTRUMENT])
     named = found.join(ours, "ask").join(theirs, "group").withColumn("trade_date", F.date_from_unix_date((-F.col("age")).cast("int")))
