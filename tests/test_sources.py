@@ -150,6 +150,21 @@ def test_a_run_stored_already_moves_no_entries(spark, tmp_path, monkeypatch):
     assert sorted((r["id"], r["report_json"], r["month"]) for r in spark.read.parquet(paths[1]).collect()) == [("a", "x", "2024-01"), ("b", "y", "2024-01"), ("c", "z", "2024-02"), ("c", "z", "2024-02")]
 
 
+def test_entries_go_to_their_months_in_turns(spark, tmp_path, monkeypatch):
+    """A month is in one turn, also that of no date; the first move's rows are gone afterwards."""
+    days = [dt.date(2024, 1, 5), dt.date(2024, 2, 5), dt.date(2024, 3, 5), None]
+    run = spark.createDataFrame(list(enumerate(days)), "id bigint, trade_date_as_of date")
+    entries = spark.createDataFrame([(f"{i}-{k}", i) for i in range(4) for k in range(3)], "id string, run_id bigint")
+    written, write = [], sinks._write_by
+    monkeypatch.setattr(sinks, "TURN", 6)
+    monkeypatch.setattr(sinks, "_write_by", lambda df, *args: written.append(df.count()) or write(df, *args))
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "shared"))
+    sinks.append_pick_run(run, entries, str(tmp_path / "r"), str(tmp_path / "e"))
+    stored = spark.read.schema("id string, run_id bigint, month string").parquet(str(tmp_path / "e")).collect()
+    assert written == [6, 6] and not list((tmp_path / "shared").rglob("*.parquet"))
+    assert {(r.id, r.month) for r in stored} == {(f"{i}-{k}", days[i] and f"{days[i]:%Y-%m}") for i in range(4) for k in range(3)} and len(stored) == 12
+
+
 def test_what_was_shuffled_for_a_pinned_table_is_not_kept(spark):
     """The setting holds while the table is written, and ends with it."""
     before = spark.conf.get(session.SWEEP, None)

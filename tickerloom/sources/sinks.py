@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import token_cost
 from tickerloom.operators.merge import fill_missing
 from tickerloom.operators.newest import newest_row
-from tickerloom.session import pin
+from tickerloom.session import pin, released, swept
 from tickerloom.sources.tables import parquet_or_empty
 
 MONTH = "month"
 WRITERS = 8  # runs are few and small
+TURN = 1 << 26  # entries that are on their way to their months at a time
 
 
 def _write_by(df: DataFrame, column: str, mode: str, path: str, **options: str) -> None:
     """Partitioned write with few, evenly sized files: rebalancing gathers a day's rows and splits a hot day."""
-    df.hint("rebalance", column).write.mode(mode).options(**options).partitionBy(column).parquet(path)
+    with swept(df.sparkSession):
+        df.hint("rebalance", column).write.mode(mode).options(**options).partitionBy(column).parquet(path)
 
 
 def with_month(df: DataFrame, day: str) -> DataFrame:
@@ -50,12 +54,27 @@ def _not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFram
     return rows.alias("r").join(missing.alias("m"), same, "left_semi")
 
 
+def _turns(rows: DataFrame, most: int) -> Iterator[DataFrame]:
+    """``rows`` in parts of whole months with about ``most`` rows each, one part if they are few; months are bounded by the calendar."""
+    counts = rows.groupBy(MONTH).count().orderBy(MONTH).collect()
+    parts, held = [[]], 0
+    for r in counts:
+        if held and held + r["count"] > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(r[MONTH] or "")
+        held += r["count"]
+    for months in parts:
+        yield rows if len(parts) == 1 else rows.filter(F.coalesce(MONTH, F.lit("")).isin(months))
+
+
 def append_pick_run(run: DataFrame, entries: DataFrame, runs_path: str, entries_path: str) -> DataFrame:
     """Append runs and their ranked entries; returns the newest stored entry id of each of these runs.
 
     Entries go first and the runs last, so nobody sees a run without its
     entries; what is stored already is left out, so a retry adds nothing and
-    moves no more than the keys.
+    moves no more than the keys.  New entries move to their run's day and then
+    to their month; the first move leaves the disk before the second begins.
     """
     spark = run.sparkSession
     day = run.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("trade_date"))
@@ -63,10 +82,13 @@ def append_pick_run(run: DataFrame, entries: DataFrame, runs_path: str, entries_
     held_runs = parquet_or_empty(spark, runs_path, "id bigint")
     fresh = _not_stored(entries, held_entries, ["id", "run_id"])
     if fresh is not None:
-        _write_by(with_month(fresh.join(day, "run_id"), "trade_date"), MONTH, "append", entries_path)
+        with released(spark):
+            for part in _turns(pin(with_month(fresh.join(day, "run_id"), "trade_date")), TURN):
+                _write_by(part, MONTH, "append", entries_path)
     fresh = _not_stored(run, held_runs, ["id"])
     if fresh is not None:
-        fresh.coalesce(WRITERS).write.mode("append").parquet(runs_path)
+        with swept(spark):
+            fresh.coalesce(WRITERS).write.mode("append").parquet(runs_path)
     stored = spark.read.schema("id string, run_id bigint").parquet(entries_path).join(day.select("run_id"), "run_id", "left_semi")
     return newest_row(stored, ["run_id"], ["id"]).select("run_id", F.col("id").alias("entry_id"))
 
