@@ -358,6 +358,21 @@ def test_names_match_as_by_comparing_all_pairs(spark):
     assert (rows["贵州茅台酒"]["exact"], rows["中国平安"]["exact"], rows["茅台"]["exact"]) == (True, False, False)
 
 
+def test_bars_of_a_backtest_have_no_move_of_their_own(spark):
+    """The windows by ``asked`` use the move by instrument, and bars that are kept leave it behind."""
+    kind = "market string, ts_code string, trade_date date, low double, high double, close double"
+    bars = spark.createDataFrame([("a", "1", DAY + dt.timedelta(days=i), 1.0, 1.0, 1.0 + i) for i in range(3)], kind)
+    dates = spark.createDataFrame([("a", "1", DAY)], "market string, ts_code string, as_of date")
+    ahead = backtest.forward_bars(spark.createDataFrame(dates.rdd, dates.schema), spark.createDataFrame(bars.rdd, bars.schema), (1,))
+    moves = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", ahead._jdf.queryExecution().executedPlan().toString())
+    assert not [m for m in moves if "asked" in m] and values(ahead, "close_1") == [(2.0,)]
+    kept = []
+    runs = table(spark, "pick_runs", [{"id": 1, "trade_date_as_of": DAY}])
+    entries = table(spark, "pick_entries", [{"id": "e", "run_id": 1, "ts_code": "1", "close_price": 1.0}])
+    got = backtest.outcomes(entries, runs, bars, (1,), keep=lambda df: kept.append(df) or df)
+    assert len(kept) == 1 and values(got, "entry_id", "return_pct") == [("e", 100.0)]
+
+
 def test_bars_and_dates_of_a_backtest_move_once_by_instrument(spark):
     """All windows over bars and asked dates share one shuffle."""
     import re

@@ -9,7 +9,7 @@ from tickerloom.catalog.registry import query
 from tickerloom.functions import scalar
 from tickerloom.operators import indicators, neighbours, similarity
 from tickerloom.plans import analytics, backtest, company, market
-from tickerloom.session import scratch_path
+from tickerloom.session import pin, scratch_path
 from tickerloom.sources import sinks
 
 QUARTER = "(SELECT count(*) * 25e-2 FROM v_instruments)"
@@ -231,7 +231,7 @@ FROM (SELECT e.*, b.ret_20d, x.h, CASE x.h WHEN 1 THEN low1 WHEN 3 THEN low3 ELS
 
 
 def _outcomes(r, *horizons):
-    return backtest.outcomes(r.pick_entries, r.pick_runs, r.daily_prices, horizons or backtest.HORIZONS)
+    return backtest.outcomes(r.pick_entries, r.pick_runs, r.daily_prices, horizons or backtest.HORIZONS, keep=pin)
 
 
 @query(

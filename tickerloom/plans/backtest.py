@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,13 @@ def forward_bars(dates: DataFrame, prices: DataFrame, horizons=HORIZONS) -> Data
     ``low_h``, ``high_h`` and ``close_h``.  Dates and bars are at most one row per
     code and day before they meet, so no group grows with the number of
     entries behind a date; they move once, and all windows share that move.
+    The move is asked for, else the windows by ``asked`` get one of their own.
     """
     asked = dates.select(*KEY, "as_of").distinct()
     level = ["low", "high", "close"]
     timeline = prices.select(*KEY, F.col("trade_date").alias("as_of"), *level, F.lit(False).alias("asked")).unionByName(
         asked.select(*KEY, "as_of", F.lit(True).alias("asked")), allowMissingColumns=True
-    )
+    ).repartition(*KEY)
     own = Window.partitionBy(*KEY, "asked").orderBy("as_of")
     ahead = {}
     for h in horizons:
@@ -43,13 +46,15 @@ def forward_bars(dates: DataFrame, prices: DataFrame, horizons=HORIZONS) -> Data
     return known.select(*KEY, "as_of", *[F.col(f"bar.{c}").alias(c) for c in columns])
 
 
-def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HORIZONS, market: str = "a") -> DataFrame:
+def outcomes(entries: DataFrame, runs: DataFrame, prices: DataFrame, horizons=HORIZONS, market: str = "a", keep: Callable[[DataFrame], DataFrame] = lambda bars: bars) -> DataFrame:
     """Return and level hits of each entry per horizon; horizons the bars do not reach are left out.
 
-    Entries are all of one market, and only its bars are looked at.
+    Entries are all of one market, and only its bars are looked at.  ``keep``
+    (``session.pin``) writes the coming bars first, so that what was shuffled
+    for them is off the disk before the entries move.
     """
     dated = entries.join(runs.select(F.col("id").alias("run_id"), F.col("trade_date_as_of").alias("as_of")), "run_id").withColumn("market", F.lit(market))
-    known = forward_bars(dated, prices.filter(F.col("market") == market), horizons)
+    known = keep(forward_bars(dated, prices.filter(F.col("market") == market), horizons))
     ahead = [F.struct(F.lit(h).alias("horizon_days"), *[F.col(f"{c}_{h}").alias(c) for c in ("low", "high", "close")]) for h in horizons]
     rows = dated.join(known, [*KEY, "as_of"]).select(
         F.col("id").alias("entry_id"), "run_id", "ts_code", "rank_in_run", "close_price", "rule_composite_score", "llm_composite_score", "recommendation",
